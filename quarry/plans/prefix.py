@@ -15,12 +15,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import cut_lineage
+
 
 def _parts(df: DataFrame, order: Sequence[str], num_partitions: int | None) -> DataFrame:
+    """Range-partition and tag each row with its partition number.
+
+    Range bounds are sampled from the input, whose row order after a
+    shuffle is not deterministic; two evaluations could therefore disagree
+    on partition numbers. The tagged frame is written once with a
+    reliable checkpoint (shared folder, survives executor loss), so the
+    per-partition totals and the local running values read the same rows.
+    """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order])
-              .withColumn("_pid", F.spark_partition_id()))
+    tagged = (df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order])
+                .withColumn("_pid", F.spark_partition_id()))
+    return cut_lineage(tagged)
 
 
 def running_sums(df: DataFrame, order: Sequence[str], values: dict[str, str | Column],
