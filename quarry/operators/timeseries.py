@@ -151,7 +151,7 @@ def decompose(series: DataFrame, period: int = 7, phase: Column | None = None) -
 
 def seasonality_profile(df: DataFrame, ts: str, value: str, part: str = "weekday") -> DataFrame:
     """Mean and count by weekday (Mon=0) / month / hour of the raw rows."""
-    p = {"weekday": F.weekday(ts), "month": F.month(ts), "hour": F.hour(ts)}[part]
+    p = {"weekday": F.weekday(ts), "month": F.month(ts), "hour": F.hour(ts)}[part].cast("bigint")
     return df.groupBy(p.alias(part)).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 

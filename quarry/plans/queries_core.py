@@ -151,7 +151,7 @@ def q_r12(spark, sf):
 
 
 @query("r13_key_set_diff", sql="""
-WITH req AS (SELECT o_orderkey AS l_orderkey, unnest(range(1, 5)) AS l_linenumber FROM orders),
+WITH req AS (SELECT o_orderkey AS l_orderkey, CAST(unnest(range(1, 5)) AS INTEGER) AS l_linenumber FROM orders),
 have AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
 SELECT l_orderkey, l_linenumber, 'missing' AS kind FROM (SELECT * FROM req EXCEPT SELECT * FROM have)
 UNION ALL
@@ -159,7 +159,7 @@ SELECT l_orderkey, l_linenumber, 'extra' AS kind FROM (SELECT * FROM have EXCEPT
 def q_r13(spark, sf):
     """Required line numbers 1..4 per order against the lines present (table form)."""
     req = T(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"),
-                                        F.explode(F.sequence(F.lit(1), F.lit(4))).alias("l_linenumber"))
+                                        F.explode(F.sequence(F.lit(1), F.lit(4))).cast("int").alias("l_linenumber"))
     have = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     keys = ["l_orderkey", "l_linenumber"]
     missing = req.join(have, keys, "left_anti").withColumn("kind", F.lit("missing"))
@@ -187,7 +187,7 @@ def q_j1(spark, sf):
     o = T(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
     c = T(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     j = R.equi_join(R.equi_join(li, o, "l_orderkey"), c, "o_custkey")
-    out = j.groupBy("c_mktsegment", F.year("o_orderdate").alias("yr")).agg(
+    out = j.groupBy("c_mktsegment", F.year("o_orderdate").cast("bigint").alias("yr")).agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
         F.count(F.lit(1)).alias("n"))
     return round_doubles(out)

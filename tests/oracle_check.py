@@ -95,6 +95,16 @@ def main():
             print(f"FAIL-SQL {name}: {str(e)[:300]}")
             bad.append(name)
             continue
+        stypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        dtypes = {d[0]: str(d[1]) for d in cur.description}
+        tmap = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT",
+                "tinyint": "TINYINT", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+        tdiff = [(c, stypes.get(c), dtypes.get(c)) for c in dcols
+                 if c in stypes and tmap.get(stypes[c], stypes[c]) != dtypes[c].upper()
+                 and not (stypes[c].startswith("array") or stypes[c].startswith("struct"))]
+        if tdiff:
+            print(f"  type-diff {name}: {tdiff}")
         if sorted(scols) != sorted(dcols):
             print(f"MISMATCH-COLS {name}: spark={scols} duck={dcols}")
             bad.append(name)
