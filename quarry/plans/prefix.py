@@ -88,3 +88,24 @@ def global_row_number(df: DataFrame, order: Sequence[str], out: str = "row_numbe
                       num_partitions: int | None = None) -> DataFrame:
     """1-based position in ``order`` (a unique key) across the whole frame."""
     return running_sum(df, order, F.lit(1), out, num_partitions)
+
+
+def previous_row(df: DataFrame, order: Sequence[str], value: str, out: str,
+                 num_partitions: int | None = None) -> DataFrame:
+    """``lag(value)`` in a global ``order`` (a unique key) without moving
+    every row into one task.
+
+    Inside a range partition the lag is a window partitioned by the
+    partition number; the first row of each partition takes the last value
+    of the previous non-empty partition from a broadcast table with one
+    row per partition.
+    """
+    parts = _parts(df, order, num_partitions)
+    ordered = [F.col(c).asc_nulls_first() for c in order]
+    w = Window.partitionBy("_pid").orderBy(*ordered)
+    local = parts.select("*", F.lag(value).over(w).alias("_lag"), F.row_number().over(w).alias("_rn"))
+    last = parts.groupBy("_pid").agg(F.max_by(value, F.struct(*[F.col(c) for c in order])).alias("_last"))
+    carry = last.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_carry"))
+    j = local.join(F.broadcast(carry), "_pid")
+    return (j.withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag")))
+             .drop("_pid", "_lag", "_rn", "_carry"))
