@@ -70,7 +70,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 def html_profile(pages: DataFrame, html: str = "html") -> DataFrame:
     """Size and presence of tables / forms / scripts per page."""
     low = F.lower(F.col(html))
-    return pages.select("*", F.length(html).alias("size_chars"), low.contains("<table").alias("has_tables"),
+    return pages.select("*", F.length(html).cast("bigint").alias("size_chars"), low.contains("<table").alias("has_tables"),
                         low.contains("<form").alias("has_forms"), low.contains("<script").alias("has_scripts"))
 
 
@@ -85,7 +85,8 @@ def html_title(html: Column) -> Column:
 
 def text_profile(docs: DataFrame, text: str = "text") -> DataFrame:
     """Characters and lines (split on newline) per document."""
-    return docs.select("*", F.length(text).alias("size_chars"), F.size(F.split(text, "\n", -1)).alias("num_lines"))
+    return docs.select("*", F.length(text).cast("bigint").alias("size_chars"),
+                       F.size(F.split(text, "\n", -1)).cast("bigint").alias("num_lines"))
 
 
 def preview(docs: DataFrame, text: str, n_lines: int = 10, max_chars: int = 1000) -> DataFrame:
