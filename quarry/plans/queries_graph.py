@@ -1 +1,264 @@
-"""Registered queries (graph)."""
+"""Registered queries: graph operators (N*) on the two derived graphs
+(FIXTURES.md §3): ``graph_sparse`` from line items and ``graph_dense``
+from consecutive purchases. SQL twins rebuild the same graphs in DuckDB;
+BFS-type twins use a keyed recursive CTE, iterative scores are unrolled."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions.columns import round_doubles
+from quarry.operators import graph as G
+from quarry.plans import fixtures as FX
+from quarry.plans.catalog import query
+
+GS = """li AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45),
+g AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"""
+GD = """p AS (SELECT user_id, lag(user_id) OVER (ORDER BY ts, event_id) AS prev FROM events WHERE event_type = 'purchase'),
+g AS (SELECT DISTINCT least(user_id, prev) AS src, greatest(user_id, prev) AS dst FROM p WHERE prev IS NOT NULL AND prev <> user_id)"""
+COMMON = """ee AS (SELECT src AS a, dst AS b FROM g UNION ALL SELECT dst, src FROM g),
+nd AS (SELECT DISTINCT a AS node FROM ee),
+deg AS (SELECT a AS node, count(*) AS degree FROM ee GROUP BY a)"""
+
+
+def W(graph_sql: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{graph_sql},\n{COMMON}\n"
+
+
+def dense(spark, sf):
+    return G.canonical(FX.graph_dense(spark, sf))
+
+
+def sparse(spark, sf):
+    return G.canonical(FX.graph_sparse(spark, sf))
+
+
+BFS_ALL = """bfs(s, node, d) USING KEY (s, node) AS (
+  SELECT node, node, 0 FROM nd
+  UNION
+  SELECT b.s, x.b, min(b.d + 1) FROM bfs b JOIN ee x ON b.node = x.a
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.s = b.s AND r.node = x.b)
+  GROUP BY b.s, x.b)"""
+
+
+def _bfs_from(src_sql: str) -> str:
+    return f"""bfs(s, node, d) USING KEY (s, node) AS (
+  SELECT s, s, 0 FROM ({src_sql})
+  UNION
+  SELECT b.s, x.b, min(b.d + 1) FROM bfs b JOIN ee x ON b.node = x.a
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.s = b.s AND r.node = x.b)
+  GROUP BY b.s, x.b)"""
+
+
+SUMMARY_SQL = """SELECT CAST(sum(degree) / 2 AS BIGINT) AS n_edges, count(*) AS n_nodes,
+  round(2 * (sum(degree) / 2) / count(*), 6) AS average_degree,
+  round(2 * (sum(degree) / 2) / (count(*) * (count(*) - 1.0)), 6) AS density FROM deg"""
+
+
+@query("n1_summary_dense", sql=W(GD) + SUMMARY_SQL)
+def q_n1d(spark, sf):
+    return round_doubles(G.summary(dense(spark, sf)))
+
+
+@query("n1_summary_sparse", sql=W(GS) + SUMMARY_SQL)
+def q_n1s(spark, sf):
+    return round_doubles(G.summary(sparse(spark, sf)))
+
+
+@query("n2_degree", sql=W(GD) + "SELECT node, degree FROM deg")
+def q_n2(spark, sf):
+    return G.degrees(dense(spark, sf))
+
+
+@query("n3_highest_degree", sql=W(GD) + "SELECT node, degree FROM deg ORDER BY degree DESC, node LIMIT 1")
+def q_n3(spark, sf):
+    return G.highest_degree(dense(spark, sf))
+
+
+TRI_SQL = """tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM g x JOIN g y ON x.dst = y.src
+                JOIN g z ON z.src = x.src AND z.dst = y.dst),
+per AS (SELECT node, count(*) AS t FROM (SELECT a AS node FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY node)"""
+
+
+@query("n6_clustering", sql=W(GD) + "," + TRI_SQL + """
+SELECT d.node, d.degree, coalesce(per.t, 0) AS triangles,
+  round(CASE WHEN d.degree > 1 THEN 2.0 * coalesce(per.t, 0) / (d.degree * (d.degree - 1)) ELSE 0 END, 6) AS clustering
+FROM deg d LEFT JOIN per ON d.node = per.node""")
+def q_n6(spark, sf):
+    return round_doubles(G.clustering(dense(spark, sf)))
+
+
+@query("n6_clustering_summary", sql=W(GD) + "," + TRI_SQL + """,
+c AS (SELECT d.node, d.degree, coalesce(per.t, 0) AS t,
+  CASE WHEN d.degree > 1 THEN 2.0 * coalesce(per.t, 0) / (d.degree * (d.degree - 1)) ELSE 0 END AS cl
+  FROM deg d LEFT JOIN per ON d.node = per.node)
+SELECT CAST(sum(t) / 3 AS BIGINT) AS triangles, round(avg(cl), 6) AS average_clustering,
+       round(sum(t) / sum(degree * (degree - 1) / 2.0), 6) AS transitivity FROM c""")
+def q_n6s(spark, sf):
+    return round_doubles(G.clustering_summary(dense(spark, sf)))
+
+
+@query("n7_shortest_path_dense", sql=W(GD, True) + ", " + _bfs_from("SELECT min(node) AS s FROM nd") + """
+SELECT (SELECT min(node) FROM nd) AS source, (SELECT max(node) FROM nd) AS target,
+       (SELECT min(d) FROM bfs WHERE node = (SELECT max(node) FROM nd)) AS length""")
+def q_n7d(spark, sf):
+    e = dense(spark, sf)
+    ns = G.nodes(e)
+    lo = ns.agg(F.min("node")).first()[0]
+    hi = ns.agg(F.max("node")).first()[0]
+    return G.shortest_path_length(e, lo, hi).withColumn("length", F.col("length").cast("integer")) \
+            .withColumn("source", F.col("source").cast("bigint")).withColumn("target", F.col("target").cast("bigint"))
+
+
+@query("n7_shortest_path_sparse", sql=W(GS, True) + ", " + _bfs_from("SELECT min(src) AS s FROM g") + """
+SELECT (SELECT min(src) FROM g) AS source, (SELECT max(dst) FROM g) AS target,
+       (SELECT min(d) FROM bfs WHERE node = (SELECT max(dst) FROM g)) AS length""")
+def q_n7s(spark, sf):
+    """Usually unreachable in the sparse graph: the length must be NULL."""
+    e = sparse(spark, sf)
+    lo = e.agg(F.min("src")).first()[0]
+    hi = e.agg(F.max("dst")).first()[0]
+    return G.shortest_path_length(e, lo, hi).withColumn("length", F.col("length").cast("integer")) \
+            .withColumn("source", F.col("source").cast("bigint")).withColumn("target", F.col("target").cast("bigint"))
+
+
+@query("n8_bfs_distances", sql=W(GD, True) + ", " + _bfs_from("SELECT min(node) AS s FROM nd") + """
+SELECT node, d AS dist FROM bfs""")
+def q_n8(spark, sf):
+    e = dense(spark, sf)
+    src = G.nodes(e).agg(F.min("node").alias("source"))
+    return G.bfs(e, src).select("node", F.col("dist").cast("integer"))
+
+
+@query("n9_degree_distribution", sql=W(GD) + "SELECT degree, count(*) AS n_nodes FROM deg GROUP BY degree")
+def q_n9(spark, sf):
+    return G.degree_distribution(dense(spark, sf))
+
+
+@query("n10_degree_centrality", sql=W(GD) + """
+SELECT node, degree, round(degree / ((SELECT count(*) FROM nd) - 1.0), 6) AS centrality FROM deg""")
+def q_n10(spark, sf):
+    return round_doubles(G.degree_centrality(dense(spark, sf)))
+
+
+@query("n11_closeness", sql=W(GD, True) + ", " + BFS_ALL + """,
+agg AS (SELECT s, sum(d) AS total, count(*) AS reach, sum(1.0 / d) AS harmonic FROM bfs WHERE d > 0 GROUP BY s)
+SELECT nd.node, round(coalesce((reach * 1.0 / total) * (reach * 1.0 / ((SELECT count(*) FROM nd) - 1)), 0), 6) AS closeness,
+       round(coalesce(harmonic, 0), 6) AS harmonic FROM nd LEFT JOIN agg ON nd.node = agg.s""")
+def q_n11(spark, sf):
+    return round_doubles(G.closeness(dense(spark, sf)))
+
+
+@query("n11_path_stats", sql=W(GD, True) + ", " + BFS_ALL + """
+SELECT round(avg(d), 6) AS average_path_length, CAST(max(d) AS INTEGER) AS diameter, count(*) AS reachable_pairs
+FROM bfs WHERE d > 0""")
+def q_n11p(spark, sf):
+    return round_doubles(G.path_stats(dense(spark, sf))).withColumn("diameter", F.col("diameter").cast("integer"))
+
+
+@query("n12_betweenness", sql=W(GD, True) + ", " + BFS_ALL + """,
+sig(s, node, d, sigma) USING KEY (s, node) AS (
+  SELECT node, node, 0, CAST(1.0 AS DOUBLE) FROM nd
+  UNION
+  SELECT p.s, x.b, any_value(p.d) + 1, sum(p.sigma) FROM sig p JOIN ee x ON p.node = x.a
+  JOIN bfs t ON t.s = p.s AND t.node = x.b AND t.d = p.d + 1
+  GROUP BY p.s, x.b),
+n AS (SELECT count(*) AS n FROM nd),
+bc AS (SELECT v.node, sum(v.sigma * w.sigma / st.sigma) AS b
+       FROM sig v JOIN sig w ON w.s = v.node JOIN sig st ON st.s = v.s AND st.node = w.node
+       WHERE v.s <> v.node AND w.node <> v.node AND v.s <> w.node AND v.d + w.d = st.d
+       GROUP BY v.node)
+SELECT nd.node, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM nd LEFT JOIN bc ON nd.node = bc.node, n""")
+def q_n12(spark, sf):
+    return round_doubles(G.betweenness(dense(spark, sf)))
+
+
+def _eigen_sql(rounds: int) -> str:
+    parts = ["x0 AS MATERIALIZED (SELECT node, 1.0 / (SELECT count(*) FROM nd) AS x FROM nd)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"""y{k} AS MATERIALIZED (SELECT p.node, p.x + coalesce(q.ax, 0) AS x FROM x{k-1} p LEFT JOIN
+  (SELECT ee.b AS node, sum(s.x) AS ax FROM ee JOIN x{k-1} s ON ee.a = s.node GROUP BY ee.b) q ON p.node = q.node)""")
+        parts.append(f"x{k} AS MATERIALIZED (SELECT node, x / (SELECT sqrt(sum(x * x)) FROM y{k}) AS x FROM y{k})")
+    return W(GD) + ", " + ",\n".join(parts) + f"\nSELECT node, round(x, 6) AS eigenvector FROM x{rounds}"
+
+
+@query("n13_eigenvector", sql=_eigen_sql(20))
+def q_n13(spark, sf):
+    return round_doubles(G.eigenvector(dense(spark, sf), 20))
+
+
+def _pagerank_sql(rounds: int, d: float = 0.85) -> str:
+    parts = ["n AS (SELECT count(*) AS n FROM nd)",
+             "od AS (SELECT a AS node, count(*) AS od FROM ee GROUP BY a)",
+             "r0 AS MATERIALIZED (SELECT node, 1.0 / (SELECT n FROM n) AS pr FROM nd)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"""r{k} AS MATERIALIZED (SELECT nd.node, {1 - d} / (SELECT n FROM n) + {d} * (coalesce(f.inflow, 0)
+  + (SELECT coalesce(sum(CASE WHEN od.od IS NULL THEN r.pr END), 0) FROM r{k-1} r LEFT JOIN od ON r.node = od.node) / (SELECT n FROM n)) AS pr
+  FROM nd LEFT JOIN (SELECT ee.b AS node, sum(r.pr / od.od) AS inflow FROM r{k-1} r JOIN od ON r.node = od.node
+  JOIN ee ON ee.a = r.node GROUP BY ee.b) f ON nd.node = f.node)""")
+    return W(GD) + ", " + ",\n".join(parts) + f"\nSELECT node, round(pr, 6) AS pagerank FROM r{rounds}"
+
+
+@query("n14_pagerank", sql=_pagerank_sql(20))
+def q_n14(spark, sf):
+    return round_doubles(G.pagerank(dense(spark, sf), 0.85, 20))
+
+
+@query("n15_connected_components", sql=W(GS, True) + ", " + BFS_ALL + """
+SELECT node, min(s) AS label FROM bfs GROUP BY node""")
+def q_n15(spark, sf):
+    return G.connected_components(sparse(spark, sf))
+
+
+@query("n15_component_sizes", sql=W(GS, True) + ", " + BFS_ALL + """
+SELECT label, count(*) AS size FROM (SELECT node, min(s) AS label FROM bfs GROUP BY node) GROUP BY label""")
+def q_n15s(spark, sf):
+    return G.component_sizes(G.connected_components(sparse(spark, sf)))
+
+
+def _lpa_sql(rounds: int) -> str:
+    parts = ["l0 AS MATERIALIZED (SELECT node, node AS label FROM nd)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"""l{k} AS MATERIALIZED (SELECT p.node, coalesce(b.label, p.label) AS label FROM l{k-1} p LEFT JOIN
+  (SELECT node, label FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY votes DESC, label) AS rn
+     FROM (SELECT ee.b AS node, l.label, count(*) AS votes FROM ee JOIN l{k-1} l ON ee.a = l.node GROUP BY 1, 2))
+   WHERE rn = 1) b ON p.node = b.node)""")
+    return W(GD) + ", " + ",\n".join(parts)
+
+
+@query("n16_label_propagation", sql=_lpa_sql(5) + "\nSELECT node, label FROM l5")
+def q_n16(spark, sf):
+    return G.label_propagation(dense(spark, sf), 5)
+
+
+@query("n16_modularity", sql=_lpa_sql(5) + """,
+m AS (SELECT count(*) AS m FROM g),
+ins AS (SELECT la.label, count(*) AS lc FROM g JOIN l5 la ON g.src = la.node JOIN l5 lb ON g.dst = lb.node
+        WHERE la.label = lb.label GROUP BY la.label),
+dc AS (SELECT l5.label, sum(degree) AS dc FROM deg JOIN l5 ON deg.node = l5.node GROUP BY l5.label)
+SELECT round(sum(coalesce(lc, 0) * 1.0 / m - (dc / (2.0 * m)) * (dc / (2.0 * m))), 6) AS modularity, count(*) AS communities
+FROM dc LEFT JOIN ins ON dc.label = ins.label, m""")
+def q_n16m(spark, sf):
+    e = dense(spark, sf)
+    return round_doubles(G.modularity(e, G.label_propagation(e, 5)))
+
+
+@query("n17_triangles", sql=W(GD) + "," + TRI_SQL + "\nSELECT a, b, c FROM tri")
+def q_n17t(spark, sf):
+    return G.triangles(dense(spark, sf))
+
+
+@query("n17_four_cliques", sql=W(GD) + """
+SELECT x.src AS a, x.dst AS b, y.dst AS c, z.dst AS d FROM g x JOIN g y ON x.dst = y.src JOIN g z ON y.dst = z.src
+JOIN g ac ON ac.src = x.src AND ac.dst = y.dst JOIN g ad ON ad.src = x.src AND ad.dst = z.dst
+JOIN g bd ON bd.src = x.dst AND bd.dst = z.dst""")
+def q_n17f(spark, sf):
+    return G.four_cliques(dense(spark, sf))
+
+
+@query("n18_influential_nodes", sql=W(GD) + """
+SELECT node, degree, round(degree / ((SELECT count(*) FROM nd) - 1.0), 6) AS centrality FROM deg
+ORDER BY degree DESC, node LIMIT 10""")
+def q_n18(spark, sf):
+    c = G.degree_centrality(dense(spark, sf))
+    return round_doubles(c.orderBy(F.col("degree").desc(), F.col("node")).limit(10))
