@@ -1 +1,149 @@
-"""Registered queries (text)."""
+"""Registered queries: HTML page corpus (H*), question routing and text
+matching (X*, Q7) and answers (O*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions.columns import round_doubles
+from quarry.operators import pages as H
+from quarry.plans import fixtures as FX
+from quarry.plans.catalog import T, query
+
+# ------------------------------------------------------------------ pages
+
+PG = """WITH sup AS (SELECT s.*, n.n_regionkey, CAST(floor(s_suppkey / 50) AS BIGINT) AS block
+             FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey),
+pg AS (SELECT n_regionkey, block, CAST(block * 10 + n_regionkey AS BIGINT) AS page_id, count(*) AS n_sup
+       FROM sup GROUP BY 1, 2),
+nat AS (SELECT n_regionkey, count(*) AS n_nat FROM nation GROUP BY 1),
+tb AS (
+  SELECT page_id, 0 AS table_idx, 'Nations of ' || r_name AS caption, 'Rank|Name|Region' AS headers,
+         1 + n_nat AS row_count, 3 AS col_count, 'wikitable sortable' AS classes, 3 * (1 + n_nat) AS cell_count,
+         n_nat AS data_rows, 3 AS data_cols
+  FROM pg JOIN region ON r_regionkey = pg.n_regionkey JOIN nat USING (n_regionkey)
+  UNION ALL
+  SELECT page_id, 1, NULL, 'Key|Supplier|Balance', 1 + n_sup, 3, '', 3 * (1 + n_sup), n_sup, 3 FROM pg
+  UNION ALL
+  SELECT page_id, 2, NULL, '', 2, 2, '', 4, 1, 2 FROM pg)
+"""
+
+
+def synth_tables(spark, sf):
+    return H.page_tables(H.parse_pages(FX.pages_synth(spark, sf)))
+
+
+@query("h1_table_extraction", sql=PG + """
+SELECT page_id, CAST(table_idx AS INTEGER) AS table_idx, caption, headers, CAST(row_count AS INTEGER) AS row_count,
+       CAST(col_count AS INTEGER) AS col_count, classes FROM tb""")
+def q_h1(spark, sf):
+    """Synthetic pages built from region/nation/supplier parse back to their tables."""
+    t = synth_tables(spark, sf)
+    return t.select("page_id", "table_idx", "caption", F.array_join("headers", "|").alias("headers"),
+                    "row_count", "col_count", F.array_join("classes", " ").alias("classes"))
+
+
+@query("h1_supplier_cells", sql=PG + """
+SELECT CAST(floor(s_suppkey / 50) * 10 + n_regionkey AS BIGINT) AS page_id, s_suppkey, s_name, s_acctbal FROM sup""")
+def q_h1c(spark, sf):
+    """H1 + H15: the supplier table's data rows (key filter ^\\d+$, money cleaning)
+    are exactly the supplier rows."""
+    t = synth_tables(spark, sf).filter(F.col("table_idx") == 1)
+    rows = H.scraped_rows(t, money_col=2)
+    return rows.select("page_id", F.col("cells")[0].cast("bigint").alias("s_suppkey"),
+                       F.col("cells")[1].alias("s_name"), F.col("money").alias("s_acctbal"))
+
+
+@query("h8_nation_cells", sql=PG + """
+SELECT page_id, n_nationkey, n_name FROM pg JOIN nation USING (n_regionkey)""")
+def q_h8(spark, sf):
+    """Nation cells carry a link and a footnote <sup>; simplification keeps the name only."""
+    t = synth_tables(spark, sf).filter(F.col("table_idx") == 0)
+    rows = H.scraped_rows(t)
+    return rows.select("page_id", F.col("cells")[0].cast("int").alias("n_nationkey"), F.col("cells")[1].alias("n_name"))
+
+
+@query("h2_remove_blocks", sql=r"""
+SELECT page_id, length(html) AS original_size,
+  length(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g')) AS stripped_size FROM pages""")
+def q_h2(spark, sf):
+    p = T(spark, sf, "pages")
+    return p.select("page_id", F.length("html").cast("bigint").alias("original_size"),
+                    F.length(H.remove_blocks_regex(F.col("html"))).cast("bigint").alias("stripped_size"))
+
+
+@query("h5_relevance", sql=PG + """
+SELECT page_id, CAST(table_idx AS INTEGER) AS table_idx, (table_idx = 0) OR (row_count > 5) AS relevant FROM tb""")
+def q_h5(spark, sf):
+    return H.relevance(synth_tables(spark, sf)).select("page_id", "table_idx", "relevant")
+
+
+@query("h6_section_divs", sql=PG + "SELECT page_id, 0 AS n_section_divs, 3 AS cleaned_tables FROM pg")
+def q_h6(spark, sf):
+    parsed = H.parse_pages(FX.pages_synth(spark, sf))
+    return parsed.select("page_id", "n_section_divs", "cleaned_tables")
+
+
+@query("h7_strategy", sql=PG + """
+SELECT page_id, CAST(table_idx AS INTEGER) AS table_idx, CASE WHEN table_idx = 0 THEN 1 END AS strategy FROM tb""")
+def q_h7(spark, sf):
+    return H.strategy(synth_tables(spark, sf)).select("page_id", "table_idx", "strategy")
+
+
+@query("h9_formatting_tables", sql=PG + """
+SELECT page_id, CAST(table_idx AS INTEGER) AS table_idx, row_count <= 2 OR cell_count < 4 AS is_formatting FROM tb""")
+def q_h9(spark, sf):
+    return H.formatting_flag(synth_tables(spark, sf)).select("page_id", "table_idx", "is_formatting")
+
+
+@query("h10_cleaning_metrics")
+def q_h10(spark, sf):
+    """Before/after tables and sizes of the real page corpus (parse job)."""
+    return round_doubles(H.cleaning_metrics(H.parse_pages(T(spark, sf, "pages"))))
+
+
+@query("h11_best_table", sql=PG + """
+SELECT page_id, 0 AS table_idx, 15 AS score FROM pg""")
+def q_h11(spark, sf):
+    best = H.pick_first_best(H.best_table_score(synth_tables(spark, sf)))
+    return best.select("page_id", "table_idx", "score")
+
+
+@query("h12_film_score", sql=PG + """
+SELECT page_id, CAST(table_idx AS INTEGER) AS table_idx,
+  CASE table_idx WHEN 0 THEN 8 WHEN 1 THEN CASE WHEN row_count > 50 THEN 5 WHEN row_count > 20 THEN 3 ELSE 0 END ELSE 0 END AS film_score
+FROM tb""")
+def q_h12(spark, sf):
+    return H.film_score(synth_tables(spark, sf)).select("page_id", "table_idx", "film_score")
+
+
+@query("h13_likely_data_table", sql=PG + """
+SELECT page_id, CAST(table_idx AS INTEGER) AS table_idx,
+  CASE WHEN table_idx = 0 THEN 'Film-related headers, Wikipedia data table class'
+       WHEN row_count > 20 THEN 'Large dataset (' || row_count || ' rows)' ELSE '' END AS reasons,
+  table_idx = 0 OR row_count > 20 AS likely_data_table FROM tb""")
+def q_h13(spark, sf):
+    t = H.likely_data_table(synth_tables(spark, sf))
+    return t.select("page_id", "table_idx", F.array_join("reasons", ", ").alias("reasons"), "likely_data_table")
+
+
+@query("h14_page_summary", sql=PG + """
+SELECT page_id, CAST(table_idx AS INTEGER) AS table_idx, coalesce(caption, 'None') AS caption,
+  CASE WHEN headers = '' THEN 'None' ELSE replace(headers, '|', ', ') END AS headers,
+  row_count || ' rows x ' || col_count || ' columns' AS dimensions,
+  CASE WHEN classes = '' THEN 'None' ELSE replace(classes, ' ', ', ') END AS classes FROM tb""")
+def q_h14(spark, sf):
+    return H.table_summary(synth_tables(spark, sf))
+
+
+@query("h16_extraction_metadata", sql=PG + """
+SELECT page_id, CAST(3 AS BIGINT) AS tables_found, 0 AS best_table_idx, CAST(n_nat AS INTEGER) AS best_rows,
+       3 AS best_cols, 15 AS best_score, 'Rank,Name,Region' AS columns FROM pg JOIN nat USING (n_regionkey)""")
+def q_h16(spark, sf):
+    t = synth_tables(spark, sf)
+    found = t.groupBy("page_id").agg(F.count(F.lit(1)).alias("tables_found"))
+    best = H.pick_first_best(H.best_table_score(t)).select(
+        "page_id", F.col("table_idx").alias("best_table_idx"), F.col("data_rows").alias("best_rows"),
+        F.col("data_cols").alias("best_cols"), F.col("score").alias("best_score"),
+        F.array_join(F.col("rows")[0], ",").alias("columns"))
+    return found.join(best, "page_id")
