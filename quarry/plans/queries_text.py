@@ -147,3 +147,230 @@ def q_h16(spark, sf):
         F.col("data_cols").alias("best_cols"), F.col("score").alias("best_score"),
         F.array_join(F.col("rows")[0], ",").alias("columns"))
     return found.join(best, "page_id")
+
+
+# ------------------------------------------------------------------ questions
+
+from quarry.operators import answers as O  # noqa: E402
+from quarry.operators import questions as X  # noqa: E402
+
+
+def _sql_lit(w: str) -> str:
+    return "'" + w.replace("'", "''") + "'"
+
+
+def _sql_hits(expr: str, words) -> str:
+    return "(" + " + ".join(f"CAST(contains({expr}, {_sql_lit(w)}) AS INTEGER)" for w in words) + ")"
+
+
+def _sql_any(expr: str, words) -> str:
+    return "(" + " OR ".join(f"contains({expr}, {_sql_lit(w)})" for w in words) + ")"
+
+
+LOWTXT = "lower(coalesce(text, ''))"
+USER_TURNS = "conversations WHERE role = 'user'"
+
+
+def _task_sql() -> str:
+    names = list(X.TASK_VOCABULARIES)
+    scores = ", ".join(f"{_sql_hits(LOWTXT, X.TASK_VOCABULARIES[n])} AS score_{n}" for n in names)
+    best = "greatest(" + ", ".join(f"score_{n}" for n in names) + ")"
+    pick = " ".join(f"WHEN score_{n} = {best} THEN '{n}'" for n in names)
+    return f"""SELECT conv_id, turn, CASE WHEN text IS NULL OR text = '' THEN 'custom' WHEN {best} = 0 THEN 'custom' {pick} END
+  AS task_type, {", ".join(f"score_{n}" for n in names)} FROM (SELECT conv_id, turn, text, {scores} FROM {USER_TURNS})"""
+
+
+@query("x1_task_type", sql=_task_sql())
+def q_x1(spark, sf):
+    c = T(spark, sf, "conversations").filter(F.col("role") == "user")
+    return c.select("conv_id", "turn", X.task_type(F.col("text")).alias("task_type"), *X.task_scores(F.col("text")))
+
+
+def _analysis_sql() -> str:
+    chain = " ".join(f"WHEN {_sql_any(LOWTXT, words)} THEN '{name}'" for name, words in X.ANALYSIS_CHAIN)
+    return f"SELECT conv_id, turn, CASE {chain} ELSE 'general' END AS analysis_type FROM {USER_TURNS}"
+
+
+@query("x2_analysis_type", sql=_analysis_sql())
+def q_x2(spark, sf):
+    c = T(spark, sf, "conversations").filter(F.col("role") == "user")
+    return c.select("conv_id", "turn", X.analysis_type(F.col("text")).alias("analysis_type"))
+
+
+def _keywords_sql() -> str:
+    parts = ["[" + ", ".join(_sql_lit(w) for w in X.BASE_KEYWORDS) + "]"]
+    for triggers, words in X.DOMAIN_KEYWORDS:
+        parts.append(f"CASE WHEN {_sql_any(LOWTXT, triggers)} THEN [" + ", ".join(_sql_lit(w) for w in words)
+                     + "] ELSE []::VARCHAR[] END")
+    stop = ", ".join(_sql_lit(w) for w in X.STOP_WORDS)
+    words = (r"list_slice(list_filter(regexp_extract_all(coalesce(text, ''), '[\pL\pN_]+'), "
+             f"lambda w: regexp_full_match(w, '[a-zA-Z]+') AND length(w) > 4 AND lower(w) NOT IN ({stop})), 1, 5)")
+    allw = "flatten([" + ", ".join(parts + [words]) + "])"
+    return f"SELECT doc_id, array_to_string(list_sort(list_distinct({allw})), ',') AS keywords FROM documents"
+
+
+@query("x3_question_keywords", sql=_keywords_sql())
+def q_x3(spark, sf):
+    d = T(spark, sf, "documents")
+    return d.select("doc_id", F.array_join(X.question_keywords(F.col("text")), ",").alias("keywords"))
+
+
+@query("x4_numbered_lines", sql=r"""
+SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '(?m)^\s*\d+\.\s')) AS INTEGER) AS numbered_lines FROM documents""")
+def q_x4(spark, sf):
+    return T(spark, sf, "documents").select("doc_id", X.numbered_lines(F.col("text")).alias("numbered_lines"))
+
+
+@query("x4_key_items", sql=r"""
+WITH l AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM conversations),
+s AS (SELECT conv_id, turn, line_no, trim(line) AS s FROM l)
+SELECT conv_id, turn, CAST(line_no AS INTEGER) AS line_no,
+       trim(regexp_replace(trim(split_part(substring(s, 3), ':', 1)), '^`+|`+$', '', 'g')) AS key,
+       trim(regexp_extract(substring(s, 3), '^[^:]*:(.*)$', 1)) AS type
+FROM s WHERE starts_with(s, '- ') AND contains(s, ':')""")
+def q_x4k(spark, sf):
+    c = T(spark, sf, "conversations").withColumn("_id", F.struct("conv_id", "turn"))
+    items = X.key_items(c, "_id", "text")
+    return items.select(F.col("_id.conv_id").alias("conv_id"), F.col("_id.turn").alias("turn"), "line_no", "key", "type")
+
+
+def _dict_sql() -> str:
+    rows = ", ".join(f"({_sql_lit(c)}, {_sql_lit(k)})" for c, ks in X.TASK_VOCABULARIES.items() for k in ks)
+    return f"""
+WITH d AS (SELECT category, keyword, array_to_string(regexp_extract_all(lower(keyword), '[a-z0-9]+'), ' ') AS gram
+           FROM (VALUES {rows}) AS v(category, keyword)),
+t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS tok FROM documents),
+g AS (SELECT DISTINCT doc_id, gram FROM (
+  SELECT doc_id, array_to_string(list_slice(tok, i, i + n - 1), ' ') AS gram
+  FROM (SELECT doc_id, tok, unnest(range(1, len(tok) + 1)) AS i FROM t), (SELECT unnest(range(1, 4)) AS n)
+  WHERE i + n - 1 <= len(tok)))
+SELECT doc_id, category, count(DISTINCT keyword) AS hits FROM g JOIN d USING (gram) GROUP BY 1, 2"""
+
+
+@query("x7_dictionary_hits", sql=_dict_sql())
+def q_x7(spark, sf):
+    """Whole-word / phrase hits of the category vocabularies over all documents."""
+    d = T(spark, sf, "documents")
+    return X.dictionary_hits(d, "doc_id", "text", X.vocabulary_table(spark))
+
+
+def _sqlq_sql() -> str:
+    low = LOWTXT
+    return f"""SELECT conv_id, turn,
+  (({_sql_hits(low, X.SQL_WORDS)} >= 2 AND {_sql_hits(low, X.DB_WORDS)} >= 1)
+   OR regexp_matches(coalesce(text, ''), '(?i)(s3|gs)://[^\\s]+\\.(parquet|csv|json)|https?://[^\\s]+\\.(parquet|csv|json)')
+   OR (contains({low}, 'install httpfs') AND contains({low}, 'load httpfs'))
+   OR (contains({low}, 'read_parquet') AND contains({low}, 's3://'))) AS is_sql FROM conversations"""
+
+
+@query("q7_sql_question", sql=_sqlq_sql())
+def q_q7(spark, sf):
+    return T(spark, sf, "conversations").select("conv_id", "turn", X.is_sql_question(F.col("text")).alias("is_sql"))
+
+
+# ------------------------------------------------------------------ SQL entry
+
+
+def _views(spark, sf, names):
+    from quarry.sources.tables import register_views
+    register_views(spark, sf, names)
+
+
+@query("q1_sql_over_views", sql="""
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
+       round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-12-01' GROUP BY 1, 2""")
+def q_q1(spark, sf):
+    _views(spark, sf, ["lineitem"])
+    return spark.sql("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
+                               round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+                        FROM lineitem WHERE l_shipdate <= TIMESTAMP_NTZ '2000-12-01 00:00:00' GROUP BY 1, 2""")
+
+
+@query("q2_file_table_function", sql="""
+SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1""")
+def q_q2(spark, sf):
+    """read_parquet('...')-style access: Spark SQL's direct file query."""
+    return spark.sql(f"SELECT o_orderpriority, count(*) AS n FROM parquet.`{sf}/orders.parquet` GROUP BY 1")
+
+
+@query("q3_q5_date_functions", sql="""
+SELECT o_orderkey, CAST(datediff('day', o_orderdate, max_ship) AS INTEGER) AS ship_days,
+       CAST(CAST(max_ship AS DATE) - CAST(o_orderdate AS DATE) AS INTEGER) AS minus_days, CAST(o_orderdate AS DATE) AS order_day
+FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS max_ship FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def q_q35(spark, sf):
+    """DATE_DIFF('day', a, b), date1 - date2 and ::DATE in Spark SQL."""
+    _views(spark, sf, ["orders", "lineitem"])
+    return spark.sql("""SELECT o_orderkey, CAST(datediff(DAY, o_orderdate, max_ship) AS INT) AS ship_days,
+                               datediff(max_ship::DATE, o_orderdate::DATE) AS minus_days, o_orderdate::DATE AS order_day
+                        FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS max_ship FROM lineitem GROUP BY 1)
+                          ON l_orderkey = o_orderkey""")
+
+
+@query("q6_string_agg", sql="""
+SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+def q_q6(spark, sf):
+    _views(spark, sf, ["nation", "region"])
+    return spark.sql("""SELECT r_name, string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS nations
+                        FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+
+
+# ------------------------------------------------------------------ answers
+
+SALES_KEYS = [("total_sales", "number"), ("top_nation", "string"), ("day_sales_correlation", "number"),
+              ("median_sales", "number"), ("total_sales_tax", "number"), ("sales_chart", "base64 PNG string")]
+
+
+@query("o1_answer_object", sql="""
+WITH j AS (SELECT o.o_totalprice AS price, o.o_orderdate AS d, n.n_name FROM orders o
+           JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)
+SELECT round(sum(price), 6) AS total_sales,
+       (SELECT n_name FROM j GROUP BY n_name ORDER BY sum(price) DESC, n_name LIMIT 1) AS top_nation,
+       round(covar_pop(dayofmonth(d), price) / nullif(stddev_pop(dayofmonth(d)) * stddev_pop(price), 0), 6) AS day_sales_correlation,
+       round(median(price), 6) AS median_sales, round(sum(price) * 0.10, 6) AS total_sales_tax,
+       'Missing data' AS sales_chart FROM j""")
+def q_o1(spark, sf):
+    """The flagship row shaped to the spec keys (the chart key is missing)."""
+    from quarry.plans.queries_core import sales_report
+    row = sales_report(T(spark, sf, "orders"), T(spark, sf, "customer"), T(spark, sf, "nation"))
+    return O.answer_object(row, SALES_KEYS).drop("answer_json")
+
+
+@query("o2_answer_array", sql="""
+WITH t AS (SELECT n_name, row_number() OVER (ORDER BY count(*) DESC, n_name) AS pos FROM customer
+           JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name),
+p AS (SELECT unnest(range(1, 31)) AS pos)
+SELECT CAST(p.pos AS INTEGER) AS pos, coalesce(t.n_name, 'No data') AS value FROM p LEFT JOIN t ON t.pos = p.pos""")
+def q_o2(spark, sf):
+    """Nations ranked by customer count as a 30-slot string array (padded)."""
+    c = T(spark, sf, "customer").select("c_nationkey")
+    n = T(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    counts = c.join(F.broadcast(n), "c_nationkey").groupBy("n_name").agg(F.count(F.lit(1)).alias("k"))
+    ordered = counts.agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("nk"), "n_name"))).alias("s"))
+    arr = ordered.select(O.answer_array(F.transform("s", lambda x: x["n_name"]), 30).alias("a"))
+    return arr.select(F.posexplode("a").alias("pos", "value")).select((F.col("pos") + 1).alias("pos"), "value")
+
+
+@query("o3_typed_defaults", sql="""
+WITH base AS (SELECT l_returnflag, l_orderkey, l_extendedprice FROM lineitem
+              UNION ALL SELECT l_returnflag, l_orderkey, l_extendedprice FROM lineitem WHERE l_orderkey % 100 = 4)
+SELECT l_returnflag, CAST(sum(CASE WHEN l_orderkey % 100 IN (1, 2, 3) THEN 0 ELSE trunc(l_extendedprice) END) AS BIGINT) AS as_int,
+       round(sum(CASE WHEN l_orderkey % 100 IN (1, 2, 3) THEN 0.0 ELSE l_extendedprice END), 2) AS as_double,
+       count(*) FILTER (WHERE l_orderkey % 100 = 2) AS n_marker FROM base GROUP BY 1""")
+def q_o3(spark, sf):
+    """safe_convert on raw CSV text: int via float ('3.7' -> 3), bad -> 0 / 0.0."""
+    from quarry.plans import fixtures as FX2
+    from quarry.sources import files as S2
+    df = S2.read_csv(spark, FX2.csv_dirty_path(spark, sf))
+    raw = F.col("l_extendedprice")
+    return round_doubles(df.groupBy("l_returnflag").agg(
+        F.sum(O.typed(raw, "int")).alias("as_int"), F.sum(O.typed(raw, "float")).alias("as_double"),
+        F.count_if(raw == "n/a").alias("n_marker")), 2)
+
+
+@query("o4_json_safe", sql="""
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, value FROM events""")
+def q_o4(spark, sf):
+    e = T(spark, sf, "events").select("event_id", "ts", "value")
+    return O.json_safe(e)
