@@ -41,6 +41,7 @@ def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> None:
     """Import every query module so that the registry is complete."""
     from quarry.plans import (  # noqa: F401
+        queries_charts,
         queries_core,
         queries_graph,
         queries_ml,

@@ -8,23 +8,25 @@ location (a ``_SUCCESS`` marker makes the write idempotent).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.session import derived_path
+from quarry.session import derived_path, fs_exists, fs_touch
 from quarry.sources.tables import load
 
 
-def _written(path: str) -> bool:
-    return os.path.exists(os.path.join(path, "_SUCCESS")) if "://" not in path else False
+DONE_MARKER = "_QUARRY_DONE"
 
 
 def _once(spark: SparkSession, name: str, sf: str, writer) -> str:
+    """Write a derived table once; a marker written after the last write
+    (through the Hadoop FileSystem API, so any shared store works) makes a
+    half-written folder be rewritten instead of read."""
     path = derived_path(spark, name, sf)
-    if not _written(path):
+    marker = path + "/" + DONE_MARKER
+    if not fs_exists(spark, marker):
         writer(path)
+        fs_touch(spark, marker)
     return path
 
 
@@ -213,3 +215,52 @@ def json_synth(spark: SparkSession, sf: str) -> DataFrame:
 __all__ = ["csv_dirty_path", "tsv_part_path", "json_array_docs_path", "jsonl_events_path", "latin1_documents_path",
            "text_documents_path", "xml_nation_path", "result_runs_path", "graph_sparse", "graph_dense",
            "pages_synth", "json_synth", "Window"]
+
+
+# ------------------------------------------------------------------ streams
+
+
+def _time_chunks(df: DataFrame, ts: str, n: int) -> list[DataFrame]:
+    """Split rows into n consecutive event-time ranges (bounds from
+    approximate quantiles: n - 1 scalars reach the driver)."""
+    qs = df.select(F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("_t")) \
+           .approxQuantile("_t", [i / n for i in range(1, n)], 0.001)
+    t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+    edges = [None] + qs + [None]
+    out = []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (t >= lo)
+        if hi is not None:
+            cond = cond & (t < hi)
+        out.append(df.filter(cond))
+    return out
+
+
+def events_stream_dir(spark: SparkSession, sf: str, files: int = 8) -> str:
+    """events as a file stream source: files written one after another in
+    event-time order, so arrival order follows event time."""
+    def write(path):
+        ev = load(spark, sf, "events")
+        for i, chunk in enumerate(_time_chunks(ev, "ts", files)):
+            chunk.coalesce(1).write.mode("overwrite" if i == 0 else "append").parquet(path)
+    return _once(spark, "events_stream", sf, write)
+
+
+def perf_level(user_id):
+    return F.when(F.pmod(user_id, F.lit(2)) == 0, F.lit("Optimized")).otherwise(F.lit("Fallback"))
+
+
+def run_log_dir(spark: SparkSession, sf: str, files: int = 8) -> str:
+    """Run-log lines derived from events, one per event:
+    'YYYY-MM-DD HH:MM:SS | INFO | runner | monitor:1 | PERFORMANCE | req-<id> |
+    <Optimized|Fallback> execution: <value>s' (level by user_id parity)."""
+    def write(path):
+        ev = load(spark, sf, "events")
+        line = F.format_string("%s | INFO     | runner | monitor:1 | PERFORMANCE | req-%d | %s execution: %.2fs",
+                               F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("event_id"),
+                               perf_level(F.col("user_id")), F.col("value"))
+        for i, chunk in enumerate(_time_chunks(ev, "ts", files)):
+            chunk.select(line.alias("value")).coalesce(1).write.mode("overwrite" if i == 0 else "append").text(path)
+    return _once(spark, "run_log", sf, write)

@@ -9,7 +9,6 @@ created only when that setting is missing (local runs and tests).
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,24 +42,43 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a private one only if unset."""
-    sc = spark.sparkContext
-    path = sc.getCheckpointDir()
-    if path:
-        return path
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; a private
+    temporary one is created and set only when the setting is missing."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    return path.rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Make ``DataFrame.checkpoint`` write under the shared folder."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(checkpoint_root(spark))
+    return sc.getCheckpointDir()
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (visible to every executor)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "quarry", *parts)
+    return "/".join([checkpoint_root(spark), "quarry", *parts])
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def fs_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def fs_touch(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.create(p, True).close()
 
 
 def derived_path(spark: SparkSession, name: str, *keys: str) -> str:
