@@ -244,7 +244,7 @@ def events_stream_dir(spark: SparkSession, sf: str, files: int = 8) -> str:
     def write(path):
         ev = load(spark, sf, "events")
         for i, chunk in enumerate(_time_chunks(ev, "ts", files)):
-            chunk.coalesce(1).write.mode("overwrite" if i == 0 else "append").parquet(path)
+            chunk.write.mode("overwrite" if i == 0 else "append").parquet(path)
     return _once(spark, "events_stream", sf, write)
 
 
@@ -262,5 +262,5 @@ def run_log_dir(spark: SparkSession, sf: str, files: int = 8) -> str:
                                F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("event_id"),
                                perf_level(F.col("user_id")), F.col("value"))
         for i, chunk in enumerate(_time_chunks(ev, "ts", files)):
-            chunk.select(line.alias("value")).coalesce(1).write.mode("overwrite" if i == 0 else "append").text(path)
+            chunk.select(line.alias("value")).write.mode("overwrite" if i == 0 else "append").text(path)
     return _once(spark, "run_log", sf, write)
