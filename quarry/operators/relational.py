@@ -179,3 +179,26 @@ def crosstab_long(df: DataFrame, a: str, b: str) -> DataFrame:
 def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence) -> DataFrame:
     """A12 wide form: pivot over a declared value list (no distinct pass)."""
     return df.groupBy(a).pivot(b, list(values)).agg(F.count(F.lit(1)))
+
+
+_AGGS = {"sum": F.sum, "mean": F.avg, "median": F.median, "min": F.min, "max": F.max,
+         "count": F.count, "count_distinct": F.count_distinct, "std": F.stddev_samp, "var": F.var_samp}
+
+
+def aggregate(df: DataFrame, column: str, how: str = "sum", scale: float | None = None) -> DataFrame:
+    """One-row ``value`` = how(column) (times ``scale``, e.g. 0.10 for tax)."""
+    v = _AGGS[how](F.col(column))
+    if scale is not None:
+        v = v * F.lit(scale)
+    return df.agg(v.alias("value"))
+
+
+def top_group(df: DataFrame, group: str, measure: str, how: str = "sum") -> DataFrame:
+    """A2: the group with the largest total (ties: smallest group value)."""
+    g = df.groupBy(group).agg(_AGGS[how](F.col(measure)).alias("total"))
+    return g.orderBy(F.col("total").desc(), F.col(group).asc_nulls_last()).limit(1)
+
+
+def day_of_month(df: DataFrame, date_col: str, out: str = "day") -> DataFrame:
+    """T3 helper: adds the day of month of a date column."""
+    return df.withColumn(out, F.dayofmonth(F.col(date_col)))
