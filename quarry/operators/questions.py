@@ -177,15 +177,34 @@ def dictionary_hits(docs: DataFrame, id_col: str, text: str, dictionary: DataFra
     """Per (document, category) the number of distinct dictionary
     entries present as whole words / phrases.
 
-    The dictionary is normalised to the same word n-grams; the match is an
-    equi-join on the n-gram. The dictionary is broadcast only below a
-    checked row count; above it the join is a planned shuffle join.
+    The dictionary is normalised to word n-grams. When its size is below a
+    checked bound, its n-grams travel as literal arrays: each document keeps
+    only the words that are dictionary unigrams and builds phrases only at
+    positions where a dictionary phrase can start, so no document is
+    expanded into all of its n-grams. Above the bound the match is an
+    equi-join of all document n-grams with the dictionary (shuffle join).
     """
     d = dictionary.select("category", "keyword",
-                          F.array_join(_norm_tokens(F.col("keyword")), " ").alias("gram"))
-    max_n = d.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
+                          F.array_join(_norm_tokens(F.col("keyword")), " ").alias("gram")).filter(F.col("gram") != "")
     n_rows = d.count()
-    g = ngrams(docs, id_col, text, int(max_n))
-    dd = F.broadcast(d) if n_rows <= broadcast_rows else d
-    hits = g.join(dd, "gram")
-    return hits.groupBy(id_col, "category").agg(F.count_distinct("keyword").alias("hits"))
+    if n_rows > broadcast_rows:
+        max_n = d.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
+        g = ngrams(docs, id_col, text, int(max_n))
+        return g.join(d, "gram").groupBy(id_col, "category").agg(F.count_distinct("keyword").alias("hits"))
+    grams = [r["gram"] for r in d.select("gram").distinct().collect()]  # bounded by the check above
+    uni = sorted(g for g in grams if " " not in g)
+    multi = sorted(g for g in grams if " " in g)
+    firsts = sorted({g.split(" ")[0] for g in multi})
+    max_n = max([len(g.split(" ")) for g in multi] + [1])
+    tok = docs.select(id_col, _norm_tokens(F.col(text)).alias("tok"))
+    lit_arr = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
+    found = [F.array_intersect(F.array_distinct("tok"), lit_arr(uni))]
+    if multi:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("tok"), F.lit(1))),
+                          lambda i: F.array_contains(lit_arr(firsts), F.element_at("tok", i)))
+        for n in range(2, max_n + 1):
+            phrases = F.transform(starts, lambda i: F.array_join(F.slice("tok", i, n), " "))
+            found.append(F.array_intersect(phrases, lit_arr(multi)))
+    hits = tok.select(id_col, F.explode(F.array_distinct(F.flatten(F.array(*found)))).alias("gram"))
+    return (hits.join(F.broadcast(d), "gram")
+            .groupBy(id_col, "category").agg(F.count_distinct("keyword").alias("hits")))
