@@ -35,7 +35,7 @@ SCRAPED_COLUMN_NAMES = ["Rank", "Peak", "Title", "Worldwide_Gross", "Year"]
 SECTION_CLASS_PATTERN = r"(?i)(content|main|article|data|table)"
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-IMPLIED = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "li": {"li"}, "p": {"p"},
+IMPLIED = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "li": {"li"}, "p": {"p"},
            "option": {"option"}}
 SCOPE = {"table", "tbody", "thead", "tfoot", "ul", "ol", "select", "div", "body", "html"}
 

@@ -34,15 +34,15 @@ FALLBACK_ENCODINGS = ["utf-8", "latin-1", "cp1252", "iso-8859-1"]
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """S1/S5: 'UTF-8' unless some line fails to decode, then 'ISO-8859-1'.
+    """S1/S5: 'UTF-8' unless some line is not valid UTF-8, then 'ISO-8859-1'.
 
-    A failed UTF-8 decode shows up as U+FFFD in ``read.text``; the test is
-    one distributed ``count_if`` (a single scalar reaches the driver).
-    Latin-1 decodes every byte, so it ends the fallback chain as in the
-    reference (utf-8, then latin-1).
+    ``read.text`` keeps the raw bytes; ``is_valid_utf8`` checks them in the
+    JVM and one distributed ``count_if`` brings a single number to the
+    driver. Latin-1 decodes every byte, so it ends the fallback chain as in
+    the reference (utf-8, then latin-1).
     """
-    bad = (spark.read.option("encoding", "UTF-8").text(path)
-           .agg(F.count_if(F.col("value").contains("�")).alias("bad")).first()["bad"])
+    bad = (spark.read.text(path)
+           .agg(F.count_if(~F.expr("is_valid_utf8(value)")).alias("bad")).first()["bad"])
     return "UTF-8" if not bad else "ISO-8859-1"
 
 
