@@ -402,3 +402,22 @@ FROM orders GROUP BY 1""")
 def q_a12p(spark, sf):
     w = R.crosstab_wide(T(spark, sf, "orders"), "o_orderstatus", "o_orderpriority", PRIORITIES)
     return w.select("o_orderstatus", *[F.coalesce(F.col(f"`{p}`"), F.lit(0)).alias(p) for p in PRIORITIES])
+
+
+@query("a13_quality_summary", sql="""
+SELECT (SELECT count(*) FROM lineitem) AS n_rows, 11 AS n_columns,
+  (SELECT count(*) FILTER (WHERE l_orderkey IS NULL) + count(*) FILTER (WHERE l_quantity IS NULL OR isnan(l_quantity))
+     + count(*) FILTER (WHERE l_extendedprice IS NULL OR isnan(l_extendedprice)) + count(*) FILTER (WHERE l_returnflag IS NULL)
+   FROM lineitem) AS missing_cells,
+  CAST((SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT) AS duplicate_rows,
+  (SELECT round(avg(l_extendedprice), 6) FROM lineitem) AS mean_price, (SELECT round(stddev_samp(l_extendedprice), 6) FROM lineitem) AS sd_price""")
+def q_a13(spark, sf):
+    """P12 + P13 + A9 in one row: one profiling aggregate plus the
+    fingerprinted duplicate count, merged without a cross join."""
+    from quarry.operators import profile as P
+    li = T(spark, sf, "lineitem")
+    miss = P.missing_values(li, ["l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag"]) \
+            .filter(F.col("column") == "__total__").select(F.col("missing").alias("missing_cells"))
+    stats = li.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(li.columns)).alias("n_columns"),
+                   F.avg("l_extendedprice").alias("mean_price"), F.stddev_samp("l_extendedprice").alias("sd_price"))
+    return round_doubles(combine_rows(stats, miss, P.duplicate_rows(li)))
