@@ -134,10 +134,13 @@ def impute(df: DataFrame, columns: Sequence[str], how: str = "mean") -> DataFram
     """Fill NULLs with the column mean / median (scalar subqueries) or drop."""
     if how == "drop":
         return df.na.drop(subset=list(columns))
+    from quarry.plans.prefix import exact_quantiles
     out = df
     for c in columns:
-        agg = F.avg(c) if how == "mean" else F.median(c)
-        fill = df.agg(agg).scalar()
+        if how == "mean":
+            fill = df.agg(F.avg(c)).scalar()
+        else:
+            fill = exact_quantiles(df, c, [0.5]).select("q0").scalar()
         out = out.withColumn(c, F.coalesce(F.col(c), fill))
     return out
 

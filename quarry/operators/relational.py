@@ -187,6 +187,10 @@ _AGGS = {"sum": F.sum, "mean": F.avg, "median": F.median, "min": F.min, "max": F
 
 def aggregate(df: DataFrame, column: str, how: str = "sum", scale: float | None = None) -> DataFrame:
     """One-row ``value`` = how(column) (times ``scale``, e.g. 0.10 for tax)."""
+    if how == "median":
+        from quarry.plans.prefix import exact_quantiles
+        m = exact_quantiles(df, column, [0.5], names=["value"]).select("value")
+        return m.select((F.col("value") * F.lit(scale)).alias("value")) if scale is not None else m
     v = _AGGS[how](F.col(column))
     if scale is not None:
         v = v * F.lit(scale)

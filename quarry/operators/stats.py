@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import safe_corr
-from quarry.plans.prefix import value_ranks
+from quarry.plans.prefix import exact_quantiles, value_ranks
 
 STATS = ("count", "mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis")
 
@@ -36,14 +36,11 @@ def describe(df: DataFrame, columns: Sequence[str], exact_percentiles: bool = Tr
     aggs = []
     for c in columns:
         x = _num(c)
-        if exact_percentiles:
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        else:
-            q = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000)
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max"),
-                 F.skewness(x).alias(f"{c}__g1"), F.kurtosis(x).alias(f"{c}__g2")]
+                 F.max(x).alias(f"{c}__max"), F.skewness(x).alias(f"{c}__g1"), F.kurtosis(x).alias(f"{c}__g2")]
+        if not exact_percentiles:
+            aggs.append(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f"{c}__q"))
     wide = df.agg(*aggs)
     structs = []
     for c in columns:
@@ -54,9 +51,18 @@ def describe(df: DataFrame, columns: Sequence[str], exact_percentiles: bool = Tr
         structs.append(F.struct(
             F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"), F.col(f"{c}__mean").alias("mean"),
             F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"),
-            F.col(f"{c}__q")[0].alias("q25"), F.col(f"{c}__q")[1].alias("q50"), F.col(f"{c}__q")[2].alias("q75"),
+            *([F.col(f"{c}__q")[0].alias("q25"), F.col(f"{c}__q")[1].alias("q50"), F.col(f"{c}__q")[2].alias("q75")]
+              if not exact_percentiles else []),
             F.col(f"{c}__max").alias("max"), skew.alias("skewness"), kurt.alias("kurtosis")))
-    return wide.select(F.inline(F.array(*structs)))
+    long = wide.select(F.inline(F.array(*structs)))
+    if not exact_percentiles:
+        return long
+    # exact quartiles of all columns in one rank pipeline over (column, value)
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _num(c).alias("value"))
+                                            for c in columns])).alias("s")).select("s.*")
+    q = exact_quantiles(stacked, "value", [0.25, 0.5, 0.75], ["column"], ["q25", "q50", "q75"]).drop("n")
+    out = long.join(q, "column", "left")
+    return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis")
 
 
 def pearson(df: DataFrame, x: str | Column, y: str | Column, name: str = "r") -> DataFrame:
@@ -177,9 +183,8 @@ def iqr_outliers(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataF
     planned by size (broadcast when small, sort-merge otherwise).
     """
     x = _num(value)
-    q = df.groupBy(group).agg(F.percentile(x, F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("p"))
-    fences = q.select(group, F.col("p")[0].alias("min"), F.col("p")[1].alias("q1"), F.col("p")[2].alias("median"),
-                      F.col("p")[3].alias("q3"), F.col("p")[4].alias("max"))
+    fences = exact_quantiles(df, value, [0.0, 0.25, 0.5, 0.75, 1.0], [group],
+                             ["min", "q1", "median", "q3", "max"]).drop("n")
     fences = fences.withColumn("lo", F.col("q1") - k * (F.col("q3") - F.col("q1"))) \
                    .withColumn("hi", F.col("q3") + k * (F.col("q3") - F.col("q1")))
     flagged = df.select(group, x.alias("_x")).join(fences.select(group, "lo", "hi"), group)

@@ -109,3 +109,43 @@ def previous_row(df: DataFrame, order: Sequence[str], value: str, out: str,
     j = local.join(F.broadcast(carry), "_pid")
     return (j.withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag")))
              .drop("_pid", "_lag", "_rn", "_carry"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
+                    names: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Exact interpolated quantiles (``quantile_cont``) per key, without
+    buffering any group's values in one task.
+
+    Rows become one counter per distinct (key, value) (partial aggregate);
+    running counts in (key, value) order come from the range-partitioned
+    prefix sum; a key's ranks are the running count minus the key's start.
+    For probability p with n values, position h = (n - 1) p; the answer
+    interpolates the values at ranks floor(h) + 1 and floor(h) + 2, found
+    by one grouped aggregate over the distinct values.
+    """
+    names = list(names or [f"q{i}" for i in range(len(probs))])
+    keys = list(keys)
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_sums(counts, [*keys, "_v"], {"_g": "_c"}, num_partitions)
+    if keys:
+        per_key = ranked.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min(F.col("_g") - F.col("_c")).alias("_s"))
+        r = ranked.join(per_key, keys)
+    else:
+        n_all = counts.agg(F.sum("_c")).scalar()
+        r = ranked.withColumn("_n", n_all).withColumn("_s", F.lit(0).cast("bigint"))
+    cum = F.col("_g") - F.col("_s")
+    lo_cum = cum - F.col("_c")
+    aggs = [F.max("_n").alias("_n")]
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        k = F.floor(h)
+        lo_rank, hi_rank = k + 1, F.least(k + 2, F.col("_n"))
+        aggs += [F.max(F.when((lo_cum < lo_rank) & (lo_rank <= cum), F.col("_v"))).alias(f"_lo{i}"),
+                 F.max(F.when((lo_cum < hi_rank) & (hi_rank <= cum), F.col("_v"))).alias(f"_hi{i}"),
+                 F.max(h - k).alias(f"_f{i}")]
+    g = r.groupBy(*keys).agg(*aggs)
+    outs = [(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
+            for i, nm in enumerate(names)]
+    return g.select(*keys, F.col("_n").alias("n"), *outs)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import combine_rows, round_doubles, safe_corr
 from quarry.operators import relational as R
 from quarry.plans.catalog import T, query
+from quarry.plans.prefix import exact_quantiles
 
 
 def fixed_small(df: DataFrame) -> DataFrame:
@@ -33,13 +34,15 @@ def sales_report(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> D
     scalars = j.agg(
         F.sum("o_totalprice").alias("total_sales"),
         safe_corr(F.dayofmonth("o_orderdate"), F.col("o_totalprice")).alias("day_sales_correlation"),
-        F.median("o_totalprice").alias("median_sales"),
         (F.sum("o_totalprice") * F.lit(0.10)).alias("total_sales_tax"),
     )
+    median = exact_quantiles(j, "o_totalprice", [0.5], names=["median_sales"]).select("median_sales")
     top = (R.grouped_total_with_top(j, "n_name", "o_totalprice", "t")
            .orderBy(F.col("t").desc(), F.col("n_name").asc()).limit(1)
            .select(F.col("n_name").alias("top_nation")))
-    return round_doubles(combine_rows(scalars, top))
+    out = combine_rows(scalars, median, top)
+    return round_doubles(out.select("total_sales", "day_sales_correlation", "median_sales", "total_sales_tax",
+                                    "top_nation"))
 
 
 @query("sales_report", bench=True, sql="""
@@ -286,9 +289,10 @@ def q_a3(spark, sf):
 @query("a4_median", sql="""
 SELECT o_orderstatus, round(median(o_totalprice), 6) AS median_price FROM orders GROUP BY 1""")
 def q_a4(spark, sf):
-    """Exact interpolated median; ``percentile_approx`` is the named large-group option."""
-    return round_doubles(T(spark, sf, "orders").groupBy("o_orderstatus").agg(
-        F.median("o_totalprice").alias("median_price")))
+    """Exact interpolated median per group, computed from ranks (no group's
+    values are buffered in one task)."""
+    q = exact_quantiles(T(spark, sf, "orders"), "o_totalprice", [0.5], ["o_orderstatus"], ["median_price"])
+    return round_doubles(q.drop("n"))
 
 
 @query("a5_min_max", sql="""
@@ -347,11 +351,11 @@ SELECT l_returnflag, round(stddev_samp(l_extendedprice), 6) AS sd, round(var_sam
   round(quantile_cont(l_extendedprice, 0.75), 6) AS q3, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90
 FROM lineitem GROUP BY 1""")
 def q_a9(spark, sf):
-    p = F.percentile("l_extendedprice", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9)]))
-    g = T(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.stddev_samp("l_extendedprice").alias("sd"), F.var_samp("l_extendedprice").alias("var"), p.alias("qs"))
-    return round_doubles(g.select("l_returnflag", "sd", "var", *[F.col("qs")[i].alias(n) for i, n in
-                                                                 enumerate(["q1", "q2", "q3", "p90"])]))
+    li = T(spark, sf, "lineitem")
+    m = li.groupBy("l_returnflag").agg(F.stddev_samp("l_extendedprice").alias("sd"),
+                                       F.var_samp("l_extendedprice").alias("var"))
+    q = exact_quantiles(li, "l_extendedprice", [0.25, 0.5, 0.75, 0.9], ["l_returnflag"], ["q1", "q2", "q3", "p90"])
+    return round_doubles(m.join(q.drop("n"), "l_returnflag"))
 
 
 @query("a10_date_range", sql="""
