@@ -133,19 +133,17 @@ def asof_join(points: DataFrame, grid: DataFrame, key: str, ts: str, grid_ts: st
               value_cols: Sequence[str]) -> DataFrame:
     """For each grid row, the last point at or before it (same key).
 
-    Union of grid and points in one frame, then ``last(ignoreNulls)`` over
-    a window partitioned by the series key and ordered by time (points
-    sort before a grid row at the same instant). One shuffle on the key.
+    Grid and points are one frame (points sort before a grid row at the
+    same instant); the grid rows take the last non-NULL point values by a
+    keyed carry-forward over range partitions, so a series that holds a
+    large share of the rows is still split across tasks.
     """
+    from quarry.plans.prefix import carry_forward
     p = points.select(F.col(key), F.col(ts).alias("_t"), F.lit(0).alias("_g"),
                       *[F.col(v) for v in value_cols])
     g = grid.select(F.col(key), F.col(grid_ts).alias("_t"), F.lit(1).alias("_g"),
                     *[F.lit(None).cast(points.schema[v].dataType).alias(v) for v in value_cols])
-    w = (Window.partitionBy(key).orderBy(F.col("_t"), F.col("_g"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = p.unionByName(g)
-    filled = both.select(F.col(key), F.col("_t"), F.col("_g"),
-                         *[F.last(F.col(v), ignorenulls=True).over(w).alias(v) for v in value_cols])
+    filled = carry_forward(p.unionByName(g), [key], ["_t", "_g"], list(value_cols))
     return filled.filter(F.col("_g") == 1).drop("_g").withColumnRenamed("_t", grid_ts)
 
 

@@ -149,3 +149,33 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     outs = [(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
             for i, nm in enumerate(names)]
     return g.select(*keys, F.col("_n").alias("n"), *outs)
+
+
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
+                  num_partitions: int | None = None) -> DataFrame:
+    """Per key, replace every value by the last non-NULL value at or before
+    the row in ``order`` (``last(ignoreNulls)`` over an unbounded frame),
+    without one task per key.
+
+    Rows are range-partitioned on (keys, order), so a key holding a third
+    of the rows spans many partitions. Each partition fills locally; the
+    first rows of a key in a partition take the last non-NULL value of
+    that key from earlier partitions (a window over the small
+    (partition, key) table, partitioned by key).
+    """
+    keys, order, values = list(keys), list(order), list(values)
+    parts = _parts(df, [*keys, *order], num_partitions)
+    ordered = [F.col(c).asc_nulls_first() for c in order]
+    w = (Window.partitionBy("_pid", *keys).orderBy(*ordered)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = parts.select("*", *[F.last(v, ignorenulls=True).over(w).alias(f"_l_{v}") for v in values])
+    pos = F.struct(*[F.col(c) for c in order])
+    tails = parts.groupBy("_pid", *keys).agg(
+        *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), pos)).alias(f"_t_{v}") for v in values])
+    cw = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select("_pid", *keys, *[F.last(f"_t_{v}", ignorenulls=True).over(cw).alias(f"_c_{v}")
+                                          for v in values])
+    j = local.join(carry, ["_pid", *keys])
+    for v in values:
+        j = j.withColumn(v, F.coalesce(F.col(f"_l_{v}"), F.col(f"_c_{v}")))
+    return j.drop("_pid", *[f"_{p}_{v}" for v in values for p in ("l", "c")])

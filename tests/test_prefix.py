@@ -44,3 +44,21 @@ def test_previous_row(spark):
     got = {r["t"]: r["prev"] for r in previous_row(df, ["t"], "u", "prev", 6).collect()}
     assert got[0] is None
     assert all(got[i] == rows[i - 1][1] for i in range(1, 500))
+
+
+def test_carry_forward_hot_key(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for i in range(2000):
+        k = "hot" if i % 3 != 0 else f"k{i % 7}"
+        v = None if rnd.random() < 0.6 else float(i)
+        rows.append((k, i, v))
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    from quarry.plans.prefix import carry_forward
+    got = {(r["k"], r["t"]): r["v"] for r in carry_forward(df, ["k"], ["t"], ["v"], 7).collect()}
+    last = {}
+    for k, t, v in sorted(rows, key=lambda r: (r[0], r[1])):
+        if v is not None:
+            last[k] = v
+        assert got[(k, t)] == last.get(k)
