@@ -258,10 +258,9 @@ def peak_trough(series: DataFrame) -> DataFrame:
 
 
 def rank_within(df: DataFrame, part: str, value: str, tie: str) -> DataFrame:
-    """Rank / dense_rank / row_number / quartile ntile within each group."""
-    w = Window.partitionBy(part).orderBy(F.col(value).desc())
-    wt = Window.partitionBy(part).orderBy(F.col(value).desc(), F.col(tie))
-    return df.select("*", F.rank().over(w).cast("bigint").alias("rank"),
-                     F.dense_rank().over(w).cast("bigint").alias("dense_rank"),
-                     F.row_number().over(wt).cast("bigint").alias("row_number"),
-                     F.ntile(4).over(wt).cast("bigint").alias("quartile"))
+    """Rank / dense_rank / row_number / quartile (ntile 4) within each
+    group, by value descending; computed with keyed prefix sums so a large
+    group is spread over many tasks."""
+    from quarry.plans.prefix import keyed_ranks
+    r = keyed_ranks(df, [part], value, [tie], descending=True, buckets=4)
+    return r.withColumnRenamed("ntile", "quartile").select(*df.columns, "rank", "dense_rank", "row_number", "quartile")

@@ -179,3 +179,34 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     for v in values:
         j = j.withColumn(v, F.coalesce(F.col(f"_l_{v}"), F.col(f"_c_{v}")))
     return j.drop("_pid", *[f"_{p}_{v}" for v in values for p in ("l", "c")])
+
+
+def keyed_ranks(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], descending: bool = True,
+                buckets: int = 4, num_partitions: int | None = None) -> DataFrame:
+    """rank / dense_rank / row_number / ntile within each key, without one
+    task per key.
+
+    Ordering is (value desc or asc, tie). rank and dense_rank come from
+    per-(key, value) counts and their running sums (the key's start is
+    subtracted); row_number is the running count over (key, value, tie);
+    ntile follows from row_number and the key's size (first n % b buckets
+    get one extra row, the SQL rule).
+    """
+    keys, tie = list(keys), list(tie)
+    sval = F.col(value) * (-1 if descending else 1)
+    base = df.withColumn("_sv", sval)
+    counts = base.groupBy(*keys, "_sv").agg(F.count(F.lit(1)).alias("_c"))
+    rk = running_sums(counts, [*keys, "_sv"], {"_g": "_c", "_d": F.lit(1)}, num_partitions)
+    start = rk.groupBy(*keys).agg(F.min(F.col("_g") - F.col("_c")).alias("_gs"), F.min(F.col("_d") - 1).alias("_ds"),
+                                  F.sum("_c").alias("_n"))
+    vr = rk.join(start, keys).select(*keys, "_sv", "_n", (F.col("_g") - F.col("_c") - F.col("_gs") + 1).alias("rank"),
+                                     (F.col("_d") - F.col("_ds")).alias("dense_rank"))
+    rows = running_sums(base.withColumn("_one", F.lit(1)), [*keys, "_sv", *tie], {"_rn": "_one"}, num_partitions)
+    rstart = rows.groupBy(*keys).agg(F.min("_rn").alias("_r0"))
+    out = rows.join(rstart, keys).withColumn("row_number", F.col("_rn") - F.col("_r0") + 1).join(vr, [*keys, "_sv"])
+    n, rn, b = F.col("_n"), F.col("row_number"), F.lit(buckets)
+    q, r = F.floor(n / b), n % b
+    big = r * (q + 1)
+    ntile = F.when(q == 0, rn).when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1) \
+             .otherwise(F.floor((rn - 1 - big) / F.greatest(q, F.lit(1))) + r + 1)
+    return out.withColumn("ntile", ntile.cast("bigint")).drop("_sv", "_one", "_rn", "_r0", "_n")

@@ -62,3 +62,19 @@ def test_carry_forward_hot_key(spark):
         if v is not None:
             last[k] = v
         assert got[(k, t)] == last.get(k)
+
+
+def test_keyed_ranks_against_sql_windows(spark):
+    import duckdb
+    import pandas as pd
+    rows = [(k, i, float((i * 7) % 5)) for k, size in (("big", 23), ("tiny", 3), ("one", 1), ("mid", 9))
+            for i in range(size)]
+    df = spark.createDataFrame(rows, "g string, id long, v double")
+    from quarry.plans.prefix import keyed_ranks
+    got = sorted(tuple(r) for r in keyed_ranks(df, ["g"], "v", ["id"], buckets=4, num_partitions=5)
+                 .select("g", "id", "rank", "dense_rank", "row_number", "ntile").collect())
+    pdf = pd.DataFrame(rows, columns=["g", "id", "v"])  # noqa: F841 (queried by DuckDB)
+    exp = sorted(duckdb.sql("""SELECT g, id, rank() OVER w, dense_rank() OVER w,
+        row_number() OVER (PARTITION BY g ORDER BY v DESC, id), ntile(4) OVER (PARTITION BY g ORDER BY v DESC, id)
+        FROM pdf WINDOW w AS (PARTITION BY g ORDER BY v DESC)""").fetchall())
+    assert got == exp
