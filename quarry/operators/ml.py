@@ -171,3 +171,19 @@ def learning_curve(df: DataFrame, label: str, features: Sequence[str], key: str,
     for r in rows[1:]:
         out = out.unionByName(r)
     return out if out is not None else spark.createDataFrame([], "fraction double, accuracy double")
+
+
+def cross_validate_linear(df: DataFrame, label: str, features: Sequence[str], fold_col: str, k: int,
+                          reg_params: Sequence[float] = (0.0, 0.1)) -> DataFrame:
+    """M10 (Spark ML form): CrossValidator over LinearRegression with a user
+    fold column (fold = key mod k), one RMSE per parameter setting."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    va = VectorAssembler(inputCols=list(features), outputCol="features")
+    lr = LinearRegression(featuresCol="features", labelCol=label)
+    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, numFolds=k, foldCol=fold_col,
+                        evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"))
+    model = cv.fit(va.transform(df).withColumn(fold_col, F.col(fold_col).cast("int")))
+    rows = [(float(p), float(m)) for p, m in zip(reg_params, model.avgMetrics)]
+    return df.sparkSession.createDataFrame(rows, "reg_param double, mean_rmse double")

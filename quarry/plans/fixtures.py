@@ -185,6 +185,14 @@ def pages_synth(spark: SparkSession, sf: str, suppliers_per_page: int = 50) -> D
                        .alias("url"), html.alias("html"))
 
 
+def html_files_dir(spark: SparkSession, sf: str) -> str:
+    """The synthetic pages as one .html file per page (page_id=N/part-*.txt)."""
+    def write(path):
+        pages = pages_synth(spark, sf)
+        pages.repartition("page_id").select("page_id", "html").write.mode("overwrite").partitionBy("page_id").text(path)
+    return _once(spark, "html_files", sf, write)
+
+
 # ------------------------------------------------------------------ JSON
 
 

@@ -164,3 +164,12 @@ def q_m11(spark, sf):
 @query("m12_learning_curve")
 def q_m12(spark, sf):
     return round_doubles(M.learning_curve(doc_features(spark, sf), "label", DOC_FEATURES, "doc_id"))
+
+
+@query("m10_cross_validator")
+def q_m10cv(spark, sf):
+    """Spark ML CrossValidator with foldCol = key mod 5 (rows-only twin of m10_kfold_ols)."""
+    o = T(spark, sf, "orders").select(F.pmod("o_orderkey", F.lit(5)).alias("fold"),
+                                      F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
+                                      .cast("double").alias("x"), F.col("o_totalprice").alias("y"))
+    return round_doubles(M.cross_validate_linear(o, "y", ["x"], "fold", 5), 4)
