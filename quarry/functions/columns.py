@@ -65,12 +65,40 @@ def money_to_double(c: ColumnLike) -> Column:
     return cleaned.try_cast("double")
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every DOUBLE/FLOAT column (top level) to ``digits`` places."""
+SIG_DIGITS = 10
+
+
+def round_sig(c: ColumnLike, digits: int = SIG_DIGITS) -> Column:
+    """Round to ``digits`` significant digits (0, NULL, NaN and +-Inf kept).
+
+    x is scaled by an exact power of ten, rounded half away from zero and
+    scaled back, so the result is the same double in any IEEE engine that
+    follows the same steps (the SQL twins use the identical formula).
+    """
+    x = col(c).cast("double")
+    e = F.floor(F.log10(F.abs(x)))
+    k = F.lit(digits - 1) - e
+    up = F.round(x * F.pow(F.lit(10.0), k), 0) / F.pow(F.lit(10.0), k)
+    down = F.round(x / F.pow(F.lit(10.0), -k), 0) * F.pow(F.lit(10.0), -k)
+    special = x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))) | (x == 0)
+    return F.when(special, x).when(k >= 0, up).otherwise(down)
+
+
+def round_doubles(df: DataFrame, digits: int | None = None, decimals: dict[str, int] | None = None) -> DataFrame:
+    """Round every DOUBLE/FLOAT column (top level): to ``SIG_DIGITS``
+    significant digits by default, or to ``digits`` decimal places.
+    ``decimals`` names columns that sit on a decimal grid (sums of money
+    with two decimals): they are rounded to that many places, which
+    recovers the exact grid value from any summation order."""
+    decimals = decimals or {}
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
+            c = F.col(f"`{f.name}`").cast("double")
+            if f.name in decimals:
+                out.append(F.round(c, decimals[f.name]).alias(f.name))
+                continue
+            out.append((round_sig(c) if digits is None else F.round(c, digits)).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)

@@ -42,7 +42,7 @@ def sales_report(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> D
            .select(F.col("n_name").alias("top_nation")))
     out = combine_rows(scalars, median, top)
     return round_doubles(out.select("total_sales", "day_sales_correlation", "median_sales", "total_sales_tax",
-                                    "top_nation"))
+                                    "top_nation"), decimals={"total_sales": 2, "total_sales_tax": 3})
 
 
 @query("sales_report", bench=True, sql="""
@@ -50,10 +50,10 @@ WITH j AS (
   SELECT o.o_totalprice AS price, o.o_orderdate AS d, n.n_name
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey),
-s AS (SELECT round(sum(price), 6) AS total_sales,
+s AS (SELECT round(sum(price), 2) AS total_sales,
              round(covar_pop(dayofmonth(d), price) / nullif(stddev_pop(dayofmonth(d)) * stddev_pop(price), 0), 6) AS day_sales_correlation,
              round(median(price), 6) AS median_sales,
-             round(sum(price) * 0.10, 6) AS total_sales_tax FROM j),
+             round(sum(price) * 0.10, 3) AS total_sales_tax FROM j),
 t AS (SELECT n_name AS top_nation FROM j GROUP BY n_name ORDER BY sum(price) DESC, n_name LIMIT 1)
 SELECT * FROM s, t
 """)
@@ -98,13 +98,13 @@ def q_r5(spark, sf):
 
 
 @query("r6_argmax_date", sql="""
-SELECT day, round(total, 6) AS total FROM (
+SELECT day, round(total, 2) AS total FROM (
   SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS total FROM orders GROUP BY 1)
 ORDER BY total DESC, day LIMIT 1""")
 def q_r6(spark, sf):
     daily = (T(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day"))
              .agg(F.sum("o_totalprice").alias("total")))
-    return round_doubles(R.arg_best(daily, "total", ["day"], tie=["day"]))
+    return round_doubles(R.arg_best(daily, "total", ["day"], tie=["day"]), decimals={"total": 2})
 
 
 @query("r7_topk_frequency", sql="""
@@ -181,7 +181,7 @@ def q_r14(spark, sf):
 
 
 @query("j1_inner_join", bench=True, sql="""
-SELECT c_mktsegment, year(o_orderdate) AS yr, round(sum(l_extendedprice * (1 - l_discount)), 6) AS revenue,
+SELECT c_mktsegment, year(o_orderdate) AS yr, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue,
        count(*) AS n
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 GROUP BY ALL""")
@@ -193,7 +193,7 @@ def q_j1(spark, sf):
     out = j.groupBy("c_mktsegment", F.year("o_orderdate").cast("bigint").alias("yr")).agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
         F.count(F.lit(1)).alias("n"))
-    return round_doubles(out)
+    return round_doubles(out, decimals={"revenue": 4})
 
 
 @query("j1_left_join", sql="""
@@ -259,13 +259,13 @@ def q_j4(spark, sf):
 # ------------------------------------------------------------------ A: aggregates
 
 
-@query("a1_total", sql="SELECT round(sum(l_extendedprice), 6) AS total FROM lineitem")
+@query("a1_total", sql="SELECT round(sum(l_extendedprice), 2) AS total FROM lineitem")
 def q_a1(spark, sf):
-    return round_doubles(T(spark, sf, "lineitem").agg(F.sum("l_extendedprice").alias("total")))
+    return round_doubles(T(spark, sf, "lineitem").agg(F.sum("l_extendedprice").alias("total")), decimals={"total": 2})
 
 
 @query("a2_top_group", sql="""
-SELECT n_name AS top_nation, round(t, 6) AS top_total FROM (
+SELECT n_name AS top_nation, round(t, 2) AS top_total FROM (
  SELECT n_name, sum(o_totalprice) AS t FROM orders JOIN customer ON o_custkey = c_custkey
  JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name) ORDER BY t DESC, n_name LIMIT 1""")
 def q_a2(spark, sf):
@@ -275,7 +275,7 @@ def q_a2(spark, sf):
     j = o.join(c, "c_custkey").join(n, "n_nationkey")
     g = R.grouped_total_with_top(j, "n_name", "o_totalprice", "top_total")
     best = R.arg_best(g, "top_total", ["n_name"], tie=["n_name"])
-    return round_doubles(best.select(F.col("n_name").alias("top_nation"), "top_total"))
+    return round_doubles(best.select(F.col("n_name").alias("top_nation"), "top_total"), decimals={"top_total": 2})
 
 
 @query("a3_mean", sql="""
@@ -304,9 +304,10 @@ def q_a5(spark, sf):
         F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
 
 
-@query("a6_tax", sql="SELECT round(sum(o_totalprice) * 0.10, 6) AS tax FROM orders")
+@query("a6_tax", sql="SELECT round(sum(o_totalprice) * 0.10, 3) AS tax FROM orders")
 def q_a6(spark, sf):
-    return round_doubles(T(spark, sf, "orders").agg((F.sum("o_totalprice") * F.lit(0.10)).alias("tax")))
+    return round_doubles(T(spark, sf, "orders").agg((F.sum("o_totalprice") * F.lit(0.10)).alias("tax")),
+                         decimals={"tax": 3})
 
 
 @query("a7_count_avg", sql="""
@@ -367,7 +368,7 @@ def q_a10(spark, sf):
 
 
 @query("a11_rollup", sql="""
-SELECT r_name, n_name, round(sum(c_acctbal), 6) AS total, count(*) AS n, CAST(grouping(r_name, n_name) AS BIGINT) AS gid
+SELECT r_name, n_name, round(sum(c_acctbal), 2) AS total, count(*) AS n, CAST(grouping(r_name, n_name) AS BIGINT) AS gid
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 GROUP BY ROLLUP (r_name, n_name)""")
 def q_a11(spark, sf):
@@ -375,15 +376,15 @@ def q_a11(spark, sf):
     n = fixed_small(T(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey"))
     r = fixed_small(T(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"))
     return round_doubles(R.rollup_totals(c.join(n, "c_nationkey").join(r, "n_regionkey"),
-                                         ["r_name", "n_name"], "c_acctbal"))
+                                         ["r_name", "n_name"], "c_acctbal"), decimals={"total": 2})
 
 
 @query("a11_cube", sql="""
-SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 6) AS total, count(*) AS n,
+SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS total, count(*) AS n,
   CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS gid FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
 def q_a11c(spark, sf):
     return round_doubles(R.rollup_totals(T(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"],
-                                         "o_totalprice", "cube"))
+                                         "o_totalprice", "cube"), decimals={"total": 2})
 
 
 @query("a12_crosstab_long", sql="""

@@ -60,12 +60,13 @@ def q_s3(spark, sf):
 
 
 @query("s4_read_jsonl", sql="""
-SELECT event_type, count(*) AS n, round(sum(value), 6) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1""")
+SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1""")
 def q_s4(spark, sf):
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     df = S.read_jsonl(spark, FX.jsonl_events_path(spark, sf), schema=schema)
     return round_doubles(df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"),
-                                                      F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+                                                      F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")),
+                         decimals={"total": 2})
 
 
 @query("s5_read_json_latin1", sql="""

@@ -338,10 +338,10 @@ SALES_KEYS = [("total_sales", "number"), ("top_nation", "string"), ("day_sales_c
 @query("o1_answer_object", sql="""
 WITH j AS (SELECT o.o_totalprice AS price, o.o_orderdate AS d, n.n_name FROM orders o
            JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)
-SELECT round(sum(price), 6) AS total_sales,
+SELECT round(sum(price), 2) AS total_sales,
        (SELECT n_name FROM j GROUP BY n_name ORDER BY sum(price) DESC, n_name LIMIT 1) AS top_nation,
        round(covar_pop(dayofmonth(d), price) / nullif(stddev_pop(dayofmonth(d)) * stddev_pop(price), 0), 6) AS day_sales_correlation,
-       round(median(price), 6) AS median_sales, round(sum(price) * 0.10, 6) AS total_sales_tax,
+       round(median(price), 6) AS median_sales, round(sum(price) * 0.10, 3) AS total_sales_tax,
        'Missing data' AS sales_chart FROM j""")
 def q_o1(spark, sf):
     """The flagship row shaped to the spec keys (the chart key is missing)."""

@@ -53,13 +53,56 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint`` write under the shared folder."""
+    """Make ``DataFrame.checkpoint`` write under the shared folder, and make
+    this package importable on the executors."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(checkpoint_root(spark))
+    ship_code(spark)
     return sc.getCheckpointDir()
 
 
+_SHIPPED: set[str] = set()
+
+
+def _package_zip() -> bytes:
+    import io
+    import os
+    import zipfile
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _dirs, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    arc = os.path.join("quarry", os.path.relpath(full, root))
+                    info = zipfile.ZipInfo(arc, date_time=(2020, 1, 1, 0, 0, 0))
+                    with open(full, "rb") as fh:
+                        zf.writestr(info, fh.read())
+    return buf.getvalue()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Python workers import ``quarry`` for pandas UDFs and mapInPandas. The
+    package is zipped into the shared folder (Hadoop FileSystem API) and
+    added with ``addPyFile`` once per Spark application."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    data = _package_zip()
+    digest = hashlib.sha1(data).hexdigest()[:12]
+    path = shared_path(spark, "pyfiles", f"quarry-{digest}.zip")
+    if not fs_exists(spark, path):
+        p, fs = _fs(spark, path)
+        out = fs.create(p, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (visible to every executor)."""
     return "/".join([checkpoint_root(spark), "quarry", *parts])

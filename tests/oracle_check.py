@@ -19,11 +19,14 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+EXACT = False
+
+
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 4)
+        return v if EXACT else round(v, 4)
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if isinstance(v, dict):
@@ -50,7 +53,7 @@ def close(a, b):
         return False
     for ra, rb in zip(a, b):
         for x, y in zip(ra, rb):
-            if isinstance(x, float) and isinstance(y, float):
+            if isinstance(x, float) and isinstance(y, float) and not EXACT:
                 if not math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-4):
                     return False
             elif x != y:
@@ -59,8 +62,11 @@ def close(a, b):
 
 
 def main():
-    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    prefixes = sys.argv[2:]
+    global EXACT
+    args = [a for a in sys.argv[1:] if a != "--exact"]
+    EXACT = "--exact" in sys.argv
+    sf = args[0] if args else "/root/testdata/sf0.01"
+    prefixes = args[1:]
     import __spark_entry__ as E
     from quarry.session import get_session
     spark = get_session("local[8]", 8)
