@@ -236,3 +236,38 @@ def frequency_table(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1))).scalar()
     return counts.withColumn("share", F.col("n") / total)
+
+
+def ks_normal(df: DataFrame, value: str) -> DataFrame:
+    """T9 (Spark ML form): one-sample Kolmogorov-Smirnov test against a
+    normal with the sample's mean and sd (both scalar subqueries)."""
+    from pyspark.ml.stat import KolmogorovSmirnovTest
+    x = _num(value)
+    m = df.agg(F.avg(x), F.stddev_samp(x)).first()
+    res = KolmogorovSmirnovTest.test(df.select(x.alias("_x")).filter("_x IS NOT NULL"), "_x", "norm",
+                                     float(m[0]), float(m[1])).first()
+    return df.sparkSession.createDataFrame([(float(res.statistic), float(res.pValue))], "statistic double, p double")
+
+
+def chi_square_ml(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """T7 (Spark ML form): ChiSquareTest of each categorical feature
+    against the label; one row per feature with statistic, dof and p."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import ChiSquareTest
+    va = VectorAssembler(inputCols=features, outputCol="_f")
+    r = ChiSquareTest.test(va.transform(df.select(*[F.col(c).cast("double") for c in features],
+                                                  F.col(label).cast("double").alias(label))), "_f", label).first()
+    rows = [(f, float(r.statistics[i]), int(r.degreesOfFreedom[i]), float(r.pValues[i])) for i, f in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, "feature string, statistic double, dof int, p double")
+
+
+def correlation_matrix_ml(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
+    """T4/T5 (Spark ML form, wide case): ``Correlation.corr`` on an assembled
+    vector (Gram matrix in one pass), long form (col_a < col_b)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    va = VectorAssembler(inputCols=columns, outputCol="_f", handleInvalid="skip")
+    mat = Correlation.corr(va.transform(df.select(*[F.col(c).cast("double") for c in columns])), "_f", method).first()[0]
+    arr = mat.toArray()
+    rows = [(a, b, float(arr[i][j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")

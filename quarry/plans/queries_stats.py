@@ -219,3 +219,30 @@ def q_t14(spark, sf):
 SELECT c_mktsegment, count(*) AS n, round(count(*) / (SELECT count(*) FROM customer), 6) AS share FROM customer GROUP BY 1""")
 def q_t15(spark, sf):
     return round_doubles(S.frequency_table(T(spark, sf, "customer"), "c_mktsegment"))
+
+
+@query("t9_ks_normal")
+def q_t9ks(spark, sf):
+    """Kolmogorov-Smirnov normality test of order totals (Spark ML)."""
+    return round_doubles(S.ks_normal(T(spark, sf, "orders"), "o_totalprice"))
+
+
+@query("t7_chi_square_ml")
+def q_t7ml(spark, sf):
+    """ChiSquareTest of quality against toxicity (Spark ML)."""
+    return round_doubles(S.chi_square_ml(T(spark, sf, "labels"), ["quality"], "toxic"))
+
+
+@query("t5_spearman_matrix", sql=f"""
+WITH p AS (SELECT l_quantity AS a, l_discount AS b, l_tax AS c FROM lineitem
+           WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL),
+r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra,
+             rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb,
+             rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS rc FROM p)
+SELECT 'l_quantity' AS col_a, 'l_discount' AS col_b, round({_corr_sql('ra', 'rb')}, 6) AS r FROM r
+UNION ALL SELECT 'l_quantity', 'l_tax', round({_corr_sql('ra', 'rc')}, 6) FROM r
+UNION ALL SELECT 'l_discount', 'l_tax', round({_corr_sql('rb', 'rc')}, 6) FROM r""")
+def q_t5m(spark, sf):
+    """Spearman matrix for the wide case: Spark ML Correlation (Gram matrix)."""
+    return round_doubles(S.correlation_matrix_ml(T(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"],
+                                                 "spearman"))
