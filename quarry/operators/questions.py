@@ -113,9 +113,11 @@ def question_keywords(text: Column) -> Column:
     for triggers, words in DOMAIN_KEYWORDS:
         parts.append(F.when(_any(low, triggers), F.array(*[F.lit(w) for w in words]))
                       .otherwise(F.array().cast("array<string>")))
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    words = F.filter(runs, lambda w: w.rlike(r"^[a-zA-Z]+$") & (F.length(w) > 4) &
-                     ~F.lower(w).isin(*STOP_WORDS))
+    # maximal word runs made only of ASCII letters, at least five long: the
+    # lookarounds reject runs that continue with any Unicode letter/digit
+    cand = F.regexp_extract_all(F.coalesce(text, F.lit("")),
+                                F.lit(r"(?<![\p{L}\p{N}_])[a-zA-Z]{5,}(?![\p{L}\p{N}_])"), 0)
+    words = F.filter(cand, lambda w: ~F.lower(w).isin(*STOP_WORDS))
     parts.append(F.slice(words, 1, 5))
     return F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))
 
