@@ -78,3 +78,17 @@ def test_keyed_ranks_against_sql_windows(spark):
         row_number() OVER (PARTITION BY g ORDER BY v DESC, id), ntile(4) OVER (PARTITION BY g ORDER BY v DESC, id)
         FROM pdf WINDOW w AS (PARTITION BY g ORDER BY v DESC)""").fetchall())
     assert got == exp
+
+
+def test_components_star_vs_propagation(spark):
+    import random
+    from quarry.operators import graph as G
+    rnd = random.Random(11)
+    edges = [(i, i + 1) for i in range(0, 60)]                  # a long chain (diameter 60)
+    edges += [(100 + rnd.randint(0, 30), 100 + rnd.randint(0, 30)) for _ in range(60)]
+    edges += [(200, 201), (202, 203), (203, 200)]
+    e = G.canonical(spark.createDataFrame(edges, "s long, t long"), "s", "t")
+    star = {r["node"]: r["label"] for r in G.connected_components(e).collect()}
+    prop = {r["node"]: r["label"] for r in G.connected_components(e, method="propagate").collect()}
+    assert star == prop
+    assert star[60] == 0 and star[203] == 200
