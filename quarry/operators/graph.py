@@ -15,7 +15,7 @@ high-degree hub never expands its full neighbour list.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import cut_lineage
@@ -137,8 +137,7 @@ def four_cliques(edges: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ BFS
 
 
-def bfs(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None,
-        target: Column | None = None) -> DataFrame:
+def bfs(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Multi-source BFS. ``sources`` has a ``source`` column.
 
     Returns (source, node, dist) for every reachable node. The visited set

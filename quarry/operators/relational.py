@@ -12,10 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import col
 
 # ---------------------------------------------------------------- R: rows
 
@@ -111,7 +110,7 @@ def equi_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Data
 
 
 def band_join(left: DataFrame, right: DataFrame, left_value: str, right_lo: str, right_hi: str,
-              bucket_width: float, max_band_buckets: int | None = None) -> DataFrame:
+              bucket_width: float) -> DataFrame:
     """Rows of ``left`` whose value lies in [right_lo, right_hi].
 
     The band is turned into an equi-join: every right row is exploded over

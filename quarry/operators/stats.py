@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import safe_corr
 from quarry.plans.prefix import exact_quantiles, value_ranks
 
-STATS = ("count", "mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis")
-
-
 def _num(c: str) -> Column:
     return F.col(c).cast("double")
 

@@ -80,7 +80,6 @@ SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_in
        round(regr_r2(l_extendedprice, l_quantity), 9) AS r2 FROM lineitem""")
 def q_m6(spark, sf):
     out = M.linear_one_feature(T(spark, sf, "lineitem"), "l_extendedprice", "l_quantity")
-    from quarry.functions.columns import round_sig
     return out.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"),
                       F.round("r2", 9).alias("r2"))
 
