@@ -164,3 +164,24 @@ def test_histogram_constant(spark, z):
     df = spark.createDataFrame([(z,), (z,)], "x double")
     h = S.histogram(df, "x", 4).collect()
     assert sum(r["n"] for r in h) == 2
+
+
+def test_wiki_rules_and_sections():
+    body = ('<div class="navbox">nav</div><div class="mw-references-wrap references">refs</div>'
+            '<span class="mw-editsection">[edit]</span><div id="mw-navigation">menu</div>'
+            '<div class="content main">Sales data overview<table><tr><td>1</td><td>x<sup class="reference">[2]</sup>'
+            '</td></tr><tr><td>2</td><td>y</td></tr><tr><td>3</td><td>z</td></tr></table></div>'
+            '<div class="other">data</div>')
+    wiki_tree, plain_tree = H.parse(body), H.parse(body)
+    H.clean_tree(wiki_tree, wiki=True)
+    H.clean_tree(plain_tree, wiki=False)
+    w, p = wiki_tree.html(), plain_tree.html()
+    for gone in ("navbox", "references", "mw-editsection", "mw-navigation", "[2]"):
+        assert gone not in w and gone in p
+    wiki = H.parse_page(1, '<html><head><link href="https://en.wikipedia.org/x"></head><body>' + body + "</body></html>")
+    plain = H.parse_page(2, "<html><body>" + body + "</body></html>")
+    assert wiki["wiki"] is True and plain["wiki"] is False
+    assert wiki["cleaned_size"] < plain["cleaned_size"]
+    # only the div whose class names a section kind and whose text holds a keyword
+    assert wiki["n_section_divs"] == 1 and plain["n_section_divs"] == 1
+    assert wiki["tables"][0]["rows"] == [["1", "x"], ["2", "y"], ["3", "z"]]
