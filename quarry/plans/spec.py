@@ -16,7 +16,6 @@ no text-to-plan step: the spec is the plan.
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -28,8 +27,8 @@ from quarry.operators.answers import answer_object
 
 
 def resolve(op: str) -> Callable[..., DataFrame]:
-    module, func = op.rsplit(".", 1)
-    return getattr(importlib.import_module(f"quarry.operators.{module}"), func)
+    from quarry.registry import resolve as registry_resolve
+    return registry_resolve(op)
 
 
 def evaluate(item: Mapping[str, Any], sources: Mapping[str, DataFrame]) -> DataFrame:
