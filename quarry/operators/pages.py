@@ -264,8 +264,21 @@ def parse_page(page_id, html, keywords=tuple(DEFAULT_KEYWORDS)):
                 "error": f"{type(e).__name__}: {e}", "tables": []}
 
 
+PAGES_PER_BATCH = 256
+
+
 def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """The parse job: one output row per page (tables nested)."""
+    """The parse job: one output row per page (tables nested).
+
+    Whole pages travel to Python in Arrow batches; the batch row limit is
+    lowered to ``PAGES_PER_BATCH`` (if larger) so that a batch of big pages
+    stays small in the Python worker.
+    """
+    spark = pages.sparkSession
+    current = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if current <= 0 or current > PAGES_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES_PER_BATCH))
+
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame([parse_page(int(p), h) for p, h in zip(pdf[id_col], pdf[html_col])])
