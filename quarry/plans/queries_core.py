@@ -426,3 +426,42 @@ def q_a13(spark, sf):
     stats = li.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(li.columns)).alias("n_columns"),
                    F.avg("l_extendedprice").alias("mean_price"), F.stddev_samp("l_extendedprice").alias("sd_price"))
     return round_doubles(combine_rows(stats, miss, P.duplicate_rows(li)))
+
+
+SALES_SPEC = [
+    {"key": "total_sales", "source": "sales", "op": "relational.aggregate", "params": {"column": "price"},
+     "type": "number"},
+    {"key": "top_nation", "source": "sales", "op": "relational.top_group",
+     "params": {"group": "n_name", "measure": "price"}, "column": "n_name", "type": "string"},
+    {"key": "day_sales_correlation", "source": "sales", "op": "stats.pearson",
+     "prepare": {"op": "relational.day_of_month", "params": {"date_col": "d"}},
+     "params": {"x": "day", "y": "price"}, "type": "number"},
+    {"key": "median_sales", "source": "sales", "op": "relational.aggregate",
+     "params": {"column": "price", "how": "median"}, "type": "number"},
+    {"key": "total_sales_tax", "source": "sales", "op": "relational.aggregate",
+     "params": {"column": "price", "scale": 0.10}, "type": "number"},
+]
+
+
+@query("spec_sales_answer", sql="""
+WITH j AS (
+  SELECT o.o_totalprice AS price, o.o_orderdate AS d, n.n_name
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey),
+s AS (SELECT round(sum(price), 2) AS total_sales,
+             round(covar_pop(dayofmonth(d), price) / nullif(stddev_pop(dayofmonth(d)) * stddev_pop(price), 0), 6) AS day_sales_correlation,
+             round(median(price), 6) AS median_sales,
+             round(sum(price) * 0.10, 3) AS total_sales_tax FROM j),
+t AS (SELECT n_name AS top_nation FROM j GROUP BY n_name ORDER BY sum(price) DESC, n_name LIMIT 1)
+SELECT * FROM s, t""")
+def q_spec(spark, sf):
+    """The flagship report through the declarative spec (operators looked
+    up in the registry, one job per item, merged without a cross join)."""
+    from quarry.plans.spec import answer
+    o = T(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("price"),
+                                      F.col("o_orderdate").alias("d"))
+    c = T(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    n = fixed_small(T(spark, sf, "nation").select("n_nationkey", "n_name"))
+    sales = o.join(c, "c_custkey").join(n, "n_nationkey")
+    out = answer(spark, {"sales": sales}, SALES_SPEC).drop("answer_json")
+    return round_doubles(out, decimals={"total_sales": 2, "total_sales_tax": 3})
