@@ -145,7 +145,8 @@ def bfs(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None) ->
     adjacency, anti-joins the visited set and stops when the frontier is
     empty (one count per round reaches the driver).
     """
-    adj = both_directions(edges).select(F.col("src").alias("node"), F.col("dst").alias("nxt"))
+    # the adjacency is read every round: pin it once (reliable checkpoint)
+    adj = cut_lineage(both_directions(edges).select(F.col("src").alias("node"), F.col("dst").alias("nxt")))
     frontier = sources.select("source", F.col("source").alias("node")).distinct()
     visited = frontier.withColumn("dist", F.lit(0))
     k = 0
@@ -205,6 +206,7 @@ def betweenness(edges: DataFrame, normalized: bool = True) -> DataFrame:
     (1 + delta(s, w)), level by level from the deepest. Scores are the
     sum over sources, scaled like networkx (undirected).
     """
+    edges = cut_lineage(edges.select("src", "dst"))
     adj = both_directions(edges).select(F.col("src").alias("node"), F.col("dst").alias("nxt"))
     ns = nodes(edges)
     n = ns.agg(F.count(F.lit(1))).scalar()
@@ -258,6 +260,7 @@ def eigenvector(edges: DataFrame, rounds: int = 20, rescale_every: int = 5) -> D
     the same direction as normalising every round; the periodic rescale
     (after a reliable checkpoint) keeps magnitudes bounded.
     """
+    edges = cut_lineage(edges.select("src", "dst"))
     adj = both_directions(edges).unionByName(nodes(edges).select(F.col("node").alias("src"), F.col("node").alias("dst")))
     adj = adj.persist()
     x = nodes(edges).select("node", F.lit(1.0).alias("x"))
@@ -280,8 +283,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, checkpoi
     source's out-degree) is persisted for the loop; the rank vector is
     read once per round and cut with a reliable checkpoint every few rounds.
     """
+    edges = cut_lineage(edges.select("src", "dst"))
     adj = both_directions(edges)
-    outdeg = adj.groupBy("src").agg(F.count(F.lit(1)).alias("od"))
+    outdeg = cut_lineage(adj.groupBy("src").agg(F.count(F.lit(1)).alias("od")))
     wadj = adj.join(outdeg, "src").persist()
     n = outdeg.agg(F.count(F.lit(1))).scalar()
     pr = outdeg.select(F.col("src").alias("node"), (F.lit(1.0) / n).alias("pr"))
@@ -374,6 +378,7 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """Synchronous label propagation: every node takes its neighbours'
     most frequent label (ties: smallest label), fixed rounds."""
+    edges = cut_lineage(edges.select("src", "dst"))
     adj = both_directions(edges)
     lab = nodes(edges).select("node", F.col("node").alias("label"))
     for k in range(1, rounds + 1):
