@@ -133,7 +133,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
         per_key = ranked.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min(F.col("_g") - F.col("_c")).alias("_s"))
         r = ranked.join(per_key, keys)
     else:
-        n_all = counts.agg(F.sum("_c")).scalar()
+        # the last running count is the total: read it from the checkpointed table
+        n_all = ranked.agg(F.max("_g")).scalar()
         r = ranked.withColumn("_n", n_all).withColumn("_s", F.lit(0).cast("bigint"))
     cum = F.col("_g") - F.col("_s")
     lo_cum = cum - F.col("_c")
