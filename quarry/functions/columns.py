@@ -133,3 +133,21 @@ def string_columns(df: DataFrame) -> list[str]:
 def temporal_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+
+
+def ntz_epoch_micros(c: ColumnLike) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ wall-clock value,
+    independent of the session time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col(c))
+
+
+def ntz_to_instant(c: ColumnLike) -> Column:
+    """TIMESTAMP_NTZ -> TIMESTAMP read as UTC (whatever the session zone):
+    streaming watermarks need TIMESTAMP, and window bounds then align on
+    UTC days exactly like the naive values."""
+    return F.timestamp_micros(ntz_epoch_micros(c))
+
+
+def instant_to_ntz(c: ColumnLike) -> Column:
+    """TIMESTAMP -> its UTC wall clock as TIMESTAMP_NTZ (inverse of ntz_to_instant)."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(col(c)), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import ntz_epoch_micros
 from quarry.plans.prefix import running_sum
 
 GRAINS = ("day", "week", "month", "quarter", "year")
@@ -72,7 +73,7 @@ def rolling_span(series: DataFrame, seconds: int, tcol: str = "t") -> DataFrame:
     The frame is a RANGE over epoch seconds, so irregular or missing
     periods are handled exactly.
     """
-    epoch = F.unix_timestamp(F.col(tcol).cast("timestamp"))
+    epoch = F.floor(ntz_epoch_micros(F.col(tcol).cast("timestamp_ntz")) / 1_000_000).cast("bigint")
     w = Window.partitionBy("key").orderBy(epoch).rangeBetween(-(seconds - 1), 0)
     return series.select("*", F.sum("y").over(w).alias("span_sum"), F.count("y").over(w).alias("span_n"),
                          F.avg("y").over(w).alias("span_mean"))

@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import instant_to_ntz, ntz_to_instant
 from quarry.operators.answers import PERF_LINE
 from quarry.session import shared_path
 
@@ -45,23 +46,24 @@ def event_window_means(spark: SparkSession, source_dir: str, size: str = "1 day"
                        watermark: str = "1 day", files_per_batch: int = 2, run_id: str | None = None) -> DataFrame:
     """V2: sliding-window count and mean of event values per type.
 
-    ``ts`` is cast to TIMESTAMP first (a watermark rejects TIMESTAMP_NTZ);
-    the session time zone is UTC, so the instants are unchanged.
+    ``ts`` becomes a TIMESTAMP read as UTC first (a watermark rejects
+    TIMESTAMP_NTZ); results go back to naive wall-clock values, so the
+    answer does not depend on the session time zone.
     """
     ev = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
-          .withColumn("ts", F.col("ts").cast("timestamp")))
+          .withColumn("ts", ntz_to_instant("ts")))
     agg = (ev.withWatermark("ts", watermark)
            .groupBy(F.window("ts", size, slide).alias("w"), "event_type")
            .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")))
     out = _run(agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                           "event_type", "n", "mean_value"), ["window_start", "event_type"], "event_window_means", run_id)
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n", "mean_value")
+    return out.select(instant_to_ntz("window_start").alias("window_start"),
+                      instant_to_ntz("window_end").alias("window_end"), "event_type", "n", "mean_value")
 
 
 def parse_perf_lines(lines: DataFrame) -> DataFrame:
     """Timestamp prefix + PERFORMANCE fields of a run-log line."""
-    ts = F.to_timestamp(F.substring("value", 1, 19), "yyyy-MM-dd HH:mm:ss")
+    ts = ntz_to_instant(F.to_timestamp_ntz(F.substring("value", 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")))
     return lines.select(ts.alias("ts"), F.lower(F.regexp_extract("value", PERF_LINE, 2)).alias("level"),
                         F.regexp_extract("value", PERF_LINE, 3).try_cast("double").alias("seconds")) \
                 .filter(F.col("seconds").isNotNull())
@@ -78,4 +80,4 @@ def run_log_stream(spark: SparkSession, log_dir: str, size: str = "1 day", water
                 F.count_if(F.col("seconds") > slow_seconds).alias("slow_runs"), F.max("seconds").alias("max_seconds")))
     out = _run(agg.select(F.col("w.start").alias("window_start"), "level", "runs", "mean_seconds", "slow_runs",
                           "max_seconds"), ["window_start", "level"], "run_log_stream", run_id)
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return out.withColumn("window_start", instant_to_ntz("window_start"))

@@ -39,3 +39,15 @@ def test_run_log_stream_matches_batch(spark, tmp_path):
     batch = {r["level"]: r["runs"] for r in run_log_metrics(spark.read.text(logs)).collect()}
     assert batch == {"optimized": 2, "fallback": 1}
     assert F is not None
+
+
+def test_stream_windows_ignore_session_time_zone(spark, tmp_path):
+    src = str(tmp_path / "src")
+    _events(spark, 10, 3, 0).coalesce(1).write.mode("append").parquet(src)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        out = V.event_window_means(spark, src, size="1 day", slide="1 day").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert [(r["window_start"], r["n"]) for r in out] == [(dt.datetime(2024, 1, 10), 3)]
