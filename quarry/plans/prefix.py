@@ -27,11 +27,11 @@ def _parts(df: DataFrame, order: Sequence[str], num_partitions: int | None) -> D
     reliable checkpoint (shared folder, survives executor loss), so the
     per-partition totals and the local running values read the same rows.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order])
-                .withColumn("_pid", F.spark_partition_id()))
-    return cut_lineage(tagged)
+    ordered = [F.col(c).asc_nulls_first() for c in order]
+    # without an explicit count the range shuffle uses spark.sql.shuffle.partitions
+    # and AQE may merge neighbouring ranges by size (order is preserved)
+    ranged = df.repartitionByRange(num_partitions, *ordered) if num_partitions else df.repartitionByRange(*ordered)
+    return cut_lineage(ranged.withColumn("_pid", F.spark_partition_id()))
 
 
 def running_sums(df: DataFrame, order: Sequence[str], values: dict[str, str | Column],
