@@ -67,11 +67,18 @@ def pearson(df: DataFrame, x: str | Column, y: str | Column, name: str = "r") ->
     return df.agg(safe_corr(x, y).alias(name))
 
 
+WIDE_COLUMNS = 60
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All column pairs in one aggregate of co-moments, long form.
 
     k(k-1)/2 pairs are expressions of a single pass; no row cross join.
+    Above ``WIDE_COLUMNS`` columns the expression count grows too large for
+    one aggregate and the Gram-matrix form (Spark ML ``Correlation``) is used.
     """
+    if len(columns) > WIDE_COLUMNS:
+        return correlation_matrix_ml(df, list(columns), "pearson")
     pairs = list(itertools.combinations(columns, 2))
     wide = df.agg(*[safe_corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
     return wide.select(F.inline(F.array(*[

@@ -71,3 +71,15 @@ def test_histogram_counts(spark, xs, bins):
     n = sum(1 for x in xs if x is not None)
     assert sum(r["n"] for r in h) == n
     assert len(h) == (bins if n else 0)
+
+
+def test_wide_correlation_switch(spark):
+    import random
+    rnd = random.Random(2)
+    cols = [f"c{i}" for i in range(62)]
+    rows = [tuple(float(rnd.randint(0, 9)) for _ in cols) for _ in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    wide = {(r["col_a"], r["col_b"]): r["r"] for r in S.correlation_matrix(df, cols).collect()}
+    assert len(wide) == 62 * 61 // 2
+    arr = np.array(rows)
+    assert math.isclose(wide[("c0", "c1")], float(np.corrcoef(arr[:, 0], arr[:, 1])[0, 1]), abs_tol=1e-9)
