@@ -6,8 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tests import oracle_check
 from tests.oracle_check import TABLES, close, rows_key
 
+oracle_check.EXACT = True   # values must be bit-identical after the shared rounding
+
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = E.queries()
 SQLS = E.oracle_sql()
