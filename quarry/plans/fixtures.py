@@ -268,3 +268,55 @@ def run_log_dir(spark: SparkSession, sf: str, files: int = 8) -> str:
         for i, chunk in enumerate(_time_chunks(ev, "ts", files)):
             chunk.select(line.alias("value")).write.mode("overwrite" if i == 0 else "append").text(path)
     return _once(spark, "run_log", sf, write)
+
+
+# ------------------------------------------------------------------ archives
+
+
+def _arrow_fs_path(uri: str):
+    """pyarrow filesystem + path for a Spark/Hadoop style URI (file:, s3a:, ...)."""
+    import pyarrow.fs as pafs
+    if uri.startswith("file:") and not uri.startswith("file:///"):
+        uri = "file://" + uri[len("file:"):]
+    if uri.startswith("s3a://"):
+        uri = "s3://" + uri[len("s3a://"):]
+    if "://" not in uri:
+        uri = "file://" + uri
+    return pafs.FileSystem.from_uri(uri)
+
+
+def zip_archives_dir(spark: SparkSession, sf: str, per_archive: int = 500) -> str:
+    """Customer listings as ZIP archives, one per block of ``per_archive``
+    customer keys: a 'lists/customers.csv' member (directory prefix to be
+    flattened), a 'notes.txt' member, a hidden '.meta' member and a
+    directory entry. Built by ``applyInPandas`` per block (bounded groups)
+    and written into the shared folder through ``pyarrow.fs``."""
+    def write(path):
+        import io
+        import zipfile
+
+        import pandas as pd
+        root = path
+
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("c_custkey")
+            block = int(pdf["block"].iloc[0])
+            body = "c_custkey,c_name,n_name\n" + "".join(
+                f"{k},{n},{m}\n" for k, n, m in zip(pdf["c_custkey"], pdf["c_name"], pdf["n_name"]))
+            buf = io.BytesIO()
+            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+                zf.writestr("lists/", "")
+                zf.writestr("lists/customers.csv", body)
+                zf.writestr("notes.txt", f"block {block}\n")
+                zf.writestr(".meta", "hidden")
+            fs, base = _arrow_fs_path(root)
+            fs.create_dir(base, recursive=True)
+            with fs.open_output_stream(f"{base}/block={block}.zip") as out:
+                out.write(buf.getvalue())
+            return pd.DataFrame({"block": [block], "n": [len(pdf)]})
+
+        c = load(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+        n = F.broadcast(load(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"))
+        rows = c.join(n, "c_nationkey").withColumn("block", F.floor(F.col("c_custkey") / per_archive).cast("bigint"))
+        rows.groupBy("block").applyInPandas(build, "block long, n long").write.format("noop").mode("overwrite").save()
+    return _once(spark, "zip_archives", sf, write)

@@ -125,3 +125,21 @@ SELECT page_id, unnest(regexp_extract_all(html, 'https?://\S+')) AS url FROM pag
 def q_s18(spark, sf):
     p = T(spark, sf, "pages").select("page_id", "html")
     return p.select("page_id", F.explode(S.extract_urls(F.col("html"))).alias("url"))
+
+
+@query("s11_zip_members", sql="""
+WITH c AS (SELECT CAST(floor(c_custkey / 500) AS BIGINT) AS block,
+                  length(CAST(c_custkey AS VARCHAR) || ',' || c_name || ',' || n_name) + 1 AS bytes
+           FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT block, 'extracted_customers.csv' AS member, CAST(length('c_custkey,c_name,n_name') + 1 + sum(bytes) AS BIGINT) AS size,
+       CAST(count(*) + 1 AS BIGINT) AS lines FROM c GROUP BY block
+UNION ALL
+SELECT DISTINCT block, 'extracted_notes.txt', CAST(length('block ' || block) + 1 AS BIGINT), CAST(1 AS BIGINT) FROM c""")
+def q_s11(spark, sf):
+    """ZIP archives -> members (directories and hidden members skipped, names
+    flattened with the extracted_ prefix); line counts of the text members."""
+    m = S.zip_members(spark, FX.zip_archives_dir(spark, sf))
+    block = F.regexp_extract(F.url_decode("archive"), r"block=(\d+)\.zip$", 1).cast("bigint")
+    text = F.decode(F.col("content"), "UTF-8")
+    lines = F.size(F.split(F.regexp_replace(text, "\n$", ""), "\n")).cast("bigint")
+    return m.select(block.alias("block"), "member", "size", lines.alias("lines"))
