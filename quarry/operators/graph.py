@@ -15,7 +15,7 @@ high-degree hub never expands its full neighbour list.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import cut_lineage
@@ -384,8 +384,10 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     for k in range(1, rounds + 1):
         votes = (adj.join(lab.withColumnRenamed("node", "src"), "src")
                  .groupBy(F.col("dst").alias("node"), "label").agg(F.count(F.lit(1)).alias("votes")))
-        w = Window.partitionBy("node").orderBy(F.col("votes").desc(), F.col("label"))
-        best = votes.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("node", "label")
+        # most votes, then smallest label: two partial aggregates instead of a
+        # window per node, so a hub's many candidate labels are not sorted in one task
+        top = votes.groupBy("node").agg(F.max("votes").alias("votes"))
+        best = votes.join(top, ["node", "votes"]).groupBy("node").agg(F.min("label").alias("label"))
         lab = lab.select("node").join(best, "node", "left").join(
             lab.withColumnRenamed("label", "old"), "node").select("node", F.coalesce("label", "old").alias("label"))
         lab = cut_lineage(lab)
