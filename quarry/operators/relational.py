@@ -203,3 +203,15 @@ def top_group(df: DataFrame, group: str, measure: str, how: str = "sum") -> Data
 def day_of_month(df: DataFrame, date_col: str, out: str = "day") -> DataFrame:
     """T3 helper: adds the day of month of a date column."""
     return df.withColumn(out, F.dayofmonth(F.col(date_col)))
+
+
+def group_mode(df: DataFrame, group: str, value: str, out: str = "mode") -> DataFrame:
+    """Most frequent value per group, smallest value on ties.
+
+    Counts per (group, value), the best count per group, then the smallest
+    value at that count: three partial aggregates and one join, no window,
+    so a group with many distinct values is never sorted in one task.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_k"))
+    best = counts.groupBy(group).agg(F.max("_k").alias("_k"))
+    return counts.join(best, [group, "_k"]).groupBy(group).agg(F.min(value).alias(out))

@@ -328,19 +328,15 @@ SELECT d.r_name, n_nations, n_customers, mode_segment, nations FROM d JOIN m USI
 def q_a8(spark, sf):
     """Distinct count, mode (ties: smallest value) and ordered string_agg per region.
 
-    Mode is a count per (group, value) followed by a per-group top-1, so no
-    group's values are ever collected; string_agg runs over distinct names.
+    Mode is a count per (group, value) and two partial aggregates (no
+    window, no collected values); string_agg runs over distinct names.
     """
-    from pyspark.sql import Window
     c = T(spark, sf, "customer").select("c_nationkey", "c_mktsegment")
     n = fixed_small(T(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey"))
     r = fixed_small(T(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"))
     j = c.join(n, "c_nationkey").join(r, "n_regionkey")
     d = j.groupBy("r_name").agg(F.count_distinct("n_name").alias("n_nations"), F.count(F.lit(1)).alias("n_customers"))
-    counts = j.groupBy("r_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("r_name").orderBy(F.col("k").desc(), F.col("c_mktsegment"))
-    m = counts.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(
-        "r_name", F.col("c_mktsegment").alias("mode_segment"))
+    m = R.group_mode(j, "r_name", "c_mktsegment", "mode_segment")
     s = (j.select("r_name", "n_name").distinct().groupBy("r_name")
          .agg(F.expr("string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name)").alias("nations")))
     return d.join(m, "r_name").join(s, "r_name")
