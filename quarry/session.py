@@ -44,13 +44,31 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_PRIVATE_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private
-    temporary one is created and set only when the setting is missing."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    The setting is read, never changed (Spark rejects runtime changes to
+    it). Without it, a checkpoint folder already set on the SparkContext is
+    used; failing that (local runs and tests only) a private folder is
+    created once per application.
+    """
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        try:
+            path = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001 - not a SQL conf in some versions
+            path = None
+    if not path:
+        path = sc.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = sc.applicationId
+        if app not in _PRIVATE_ROOTS:
+            _PRIVATE_ROOTS[app] = tempfile.mkdtemp(prefix="quarry-ckpt-")
+        path = _PRIVATE_ROOTS[app]
     return path.rstrip("/")
 
 
