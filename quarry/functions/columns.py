@@ -151,3 +151,12 @@ def ntz_to_instant(c: ColumnLike) -> Column:
 def instant_to_ntz(c: ColumnLike) -> Column:
     """TIMESTAMP -> its UTC wall clock as TIMESTAMP_NTZ (inverse of ntz_to_instant)."""
     return F.timestamp_add("MICROSECOND", F.unix_micros(col(c)), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def ntz_floor(c: ColumnLike, seconds: int) -> Column:
+    """Truncate a TIMESTAMP_NTZ to a multiple of ``seconds`` since the epoch
+    (hour = 3600), by integer arithmetic: no session time zone involved."""
+    us = ntz_epoch_micros(c)
+    step = seconds * 1_000_000
+    floored = us - F.pmod(us, F.lit(step))
+    return F.timestamp_add("MICROSECOND", floored, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))

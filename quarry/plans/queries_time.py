@@ -66,8 +66,9 @@ FROM s WINDOW w AS (PARTITION BY key ORDER BY CAST(epoch(t) AS BIGINT) RANGE BET
 def q_w3(spark, sf):
     """24-hour rolling count over an hourly series with missing hours."""
     ev = T(spark, sf, "events")
+    from quarry.functions.columns import ntz_floor
     hourly = ev.groupBy(F.col("event_type").alias("key"),
-                        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")).agg(F.count(F.lit(1)).alias("y"))
+                        ntz_floor("ts", 3600).alias("t")).agg(F.count(F.lit(1)).alias("y"))
     return round_doubles(W.rolling_span(hourly, 86400))
 
 
