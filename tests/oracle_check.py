@@ -68,8 +68,15 @@ def main():
     sf = args[0] if args else "/root/testdata/sf0.01"
     prefixes = args[1:]
     import __spark_entry__ as E
-    from quarry.session import get_session
-    spark = get_session("local[8]", 8)
+    import os as _os
+    if _os.environ.get("QUARRY_PLAIN_SESSION"):
+        # a session as the driver builds it (no helper defaults)
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").getOrCreate())
+    else:
+        from quarry.session import get_session
+        spark = get_session("local[8]", 8)
     qs, sqls = E.queries(), E.oracle_sql()
     con = duckdb.connect()
     for t in TABLES:
