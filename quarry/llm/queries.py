@@ -38,3 +38,33 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.simhash import near_duplicates
     return near_duplicates(load(spark, sf_dir, "documents"), k=3, distance=3)
+
+
+_DOC_WORDS = """[w for w in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') if w <> '']"""
+
+
+@query("op8_decontamination", f"""
+with d as (select row_number() over () as r, doc_id, {_DOC_WORDS} as w from documents),
+b as (select coalesce(cast(item_id as varchar), 'null') as item, {_DOC_WORDS} as w from benchmark where text is not null),
+q as (select distinct item, array_to_string(list_slice(w, i, i + 9), ' ') as phrase, least(len(w), 10) as n
+  from (select item, w, unnest(range(1, greatest(len(w) - 8, 2))) as i from b where len(w) > 0)),
+lens as (select distinct n from q),
+p as (select r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') as phrase
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, lens where len(w) >= n)),
+m as (select p.r, p.i, p.n, q.item from p join q on p.phrase = q.phrase and p.n = q.n),
+hit as (select r, count(distinct j) as n_hit from (select r, unnest(range(i, i + n)) as j from m) group by r),
+its as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct r, item from m) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (r) left join its using (r)
+""")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm.decontaminate import contamination
+    rows = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=10)
+    return rows.select("doc_id", "n_words", "n_hit", "n_items",
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
