@@ -68,3 +68,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=10)
     return rows.select("doc_id", "n_words", "n_hit", "n_items",
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded again: doc_id, n_tokens, ids, round_trip."""
+    from pyspark.sql import functions as F
+
+    from quarry.llm.sentencepiece_codec import decode, encode
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = encode(docs, model, keep=("doc_id", "text"))
+    back = decode(ids, model, keep=("doc_id", "text", "ids"), text_col="decoded")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                       F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
