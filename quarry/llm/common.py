@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.session import ensure_checkpoint_dir, shared_path
 
-# Python works on slices of an Arrow batch with at most so many characters (one long
-# document may exceed it alone), which bounds what a worker holds beside the batch.
-SLICE_CHARS = 4_000_000
+# Python works on slices of an Arrow batch with at most so many bytes of text (one longer document
+# is a slice alone), which bounds what a worker holds beside the batch.
+SLICE_BYTES = 4_000_000
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -28,13 +31,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_slices(texts: list, most: int = SLICE_CHARS):
-    """(from, to) index pairs that cover ``texts`` in order, each of about ``most`` characters."""
-    a, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= most:
-            yield a, i + 1
-            a, n = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def arrow_slices(texts: pa.Array, most: int = SLICE_BYTES):
+    """(from, to) index pairs that cover a string column in order, each of about ``most`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    a, before = 0, 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield a, b
+        a, before = b, int(ends[b - 1])

@@ -30,10 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh_path, text_slices
+from quarry.llm.common import arrow_slices, fresh_path
 
 # Characters of test items in one block; a longer item is a block alone.
 BLOCK_CHARS = 4_000_000
+# Text of one segment.
+SEGMENT_BYTES = 8_000_000
 # Words between two documents of a segment on its position axis: more than any phrase can bridge.
 GAP = 1 << 12
 
@@ -87,10 +89,9 @@ def build_index(docs: DataFrame, path: str, doc_col: str = "doc_id", text_col: s
         name = TaskContext.get().partitionId()
         n = 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            texts = [t or "" for t in texts]
-            for a, b in text_slices(texts, 8_000_000):
-                cols = segment_of(ids.slice(a, b - a), texts[a:b])
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in arrow_slices(texts, SEGMENT_BYTES):
+                cols = segment_of(ids.slice(a, b - a), texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f"{name}-{n}"])] + [pa.array([c], pa.binary()) for c in cols],
                     names=["segment", "doc_ids", "known", "n_words", "starts", "terms", "counts", "postings"])

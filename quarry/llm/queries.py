@@ -82,3 +82,15 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = decode(ids, model, keep=("doc_id", "text", "ids"), text_col="decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                        F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm.quality_mil import fit, held_out, score
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    rows = score(docs, fit(docs, labels, "quality"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -30,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_slices
+from quarry.llm.common import arrow_slices
 
 MARK = "▁"
-# Stretches remembered per Python worker, the longest that is remembered, and piece pairs.
-CACHE_ENTRIES, CACHE_CHARS, PAIR_ENTRIES = 400_000, 64, 1_000_000
+# Stretches remembered per Python worker and generation (the last two are kept), the longest that
+# is remembered, and piece pairs.
+CACHE_ENTRIES, CACHE_CHARS, PAIR_ENTRIES = 250_000, 64, 300_000
 _RUNS = re.compile(MARK + "+[^" + MARK + "]*|[^" + MARK + "]+")
 
 
@@ -45,6 +46,7 @@ class Pieces:
                  dummy_prefix: bool = True, unknown: int = 0):
         self.scores, self.byte_ids, self.bpe = scores, byte_ids, bpe
         self.dummy_prefix, self.unknown = dummy_prefix, unknown
+        self.split: dict[str, tuple[str, str] | None] = {}
         self.longest = max(map(len, scores), default=1)
         self.lowest = min((s for _, s in scores.values()), default=0.0)
         # lengths of the pieces with the same last (at most three) characters, longest first;
@@ -88,10 +90,10 @@ class Pieces:
             return [self.scores[piece][0]]
         return [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that the merges of a BPE model make of a short text: the adjacent pair with
-        the best score first, the leftmost of equals."""
-        parts = list(text)
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The pieces that the merges of a BPE model make of a short text (the adjacent pair with
+        the best score first, the leftmost of equals), and the pair merged last."""
+        parts, last = list(text), None
         while len(parts) > 1:
             best = None
             for i in range(len(parts) - 1):
@@ -101,8 +103,38 @@ class Pieces:
             if best is None:
                 break
             i = best[1]
+            last = parts[i], parts[i + 1]
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        return parts, last
+
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces whose merge makes ``piece``; None if no merges lead to it."""
+        if piece not in self.split:
+            parts, last = self.merged(piece)
+            self.split[piece] = last if len(parts) == 1 else None
+        return self.split[piece]
+
+    def fits(self, left: str, right: str) -> bool:
+        """Whether the merges leave two neighbouring pieces as they are: no merge across their
+        border is due before the merges that made them. Their merges are undone, latest first,
+        and each pair that then meets at the border is looked at."""
+        if len(right) > 1 and self.halves(right) is None:
+            return False
+        due = None
+        while left:
+            crossing = self.scores.get(left + right)
+            if crossing is not None and (due is None or crossing[1] > due[0] or crossing[1] == due[0] and due[1]):
+                return False
+            a = self.scores[left][1] if len(left) > 1 else None
+            b = self.scores[right][1] if len(right) > 1 else None
+            if a is None and b is None:
+                break
+            # a lower score is merged later; of equals the left one comes first
+            if b is None or a is not None and a < b:
+                due, left = (a, False), self.halves(left)[1]
+            else:
+                due, right = (b, True), self.halves(right)[0]
+        return True
 
 
 class Lattice:
@@ -116,7 +148,7 @@ class Lattice:
 
     def _fits(self, left: str, piece: str) -> bool:
         """Whether the merges of a BPE model leave the two neighbours as they are."""
-        got = self.p.merged(left + piece) == ([left, piece] if left else [piece])
+        got = self.p.fits(left, piece)
         if len(self.pairs) >= PAIR_ENTRIES:
             self.pairs.clear()
         self.pairs[left, piece] = got
@@ -187,28 +219,29 @@ class Codec:
     def __init__(self, path: str):
         self.pieces, self.table = Pieces.load(path)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.pairs: dict = {}
 
-    def _stretch(self, s: str) -> bytes:
-        inside, out, a = self.pieces.inside, [], 0
-        for b in [*(i for i in range(1, len(s)) if s[i - 1:i + 1] not in inside), len(s)]:
-            part, a = s[a:b], b
-            out.append(self.known.get(part) or self._search(part))
-        found = b"".join(out)
-        self._remember(s, found)
-        return found
-
-    def _search(self, s: str) -> bytes:
-        lattice = Lattice(self.pieces, self.pairs)
-        found = np.array(lattice.push(s) + lattice.finish(), dtype="<i4").tobytes()
-        self._remember(s, found)
-        return found
-
-    def _remember(self, s: str, found: bytes) -> None:
-        if len(s) <= CACHE_CHARS:
+    def _stretch(self, key: str) -> bytes:
+        """Ids of a stretch that ``known`` lacks. Keys have no mark in front; a stretch without a
+        mark has a space instead, with which no other key starts."""
+        found = self.old.get(key)
+        if not found:
+            s = key[1:] if key[:1] == " " else MARK + key
+            inside = self.pieces.inside
+            cuts = [i for i in range(1, len(s)) if s[i - 1:i + 1] not in inside]
+            if cuts:
+                # the parts are remembered, not the whole
+                keys = [key[:len(key) - len(s) + cuts[0]]]
+                keys += [" " + s[a:b] for a, b in zip(cuts, [*cuts[1:], len(s)])]
+                return b"".join([self.known.get(k) or self._stretch(k) for k in keys])
+            lattice = Lattice(self.pieces, self.pairs)
+            found = np.array(lattice.push(s) + lattice.finish(), dtype="<i4").tobytes()
+        if len(key) <= CACHE_CHARS:
             if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
-            self.known[s] = found
+                self.old, self.known = self.known, {}
+            self.known[key] = found
+        return found
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
@@ -216,11 +249,10 @@ class Codec:
             return b""
         if "  " in text or text[0] == " " or MARK in text or not self.pieces.dummy_prefix:
             marked = (MARK if self.pieces.dummy_prefix else "") + text.replace(" ", MARK)
-            parts = _RUNS.findall(marked)
+            parts = [s[1:] if s[0] == MARK else " " + s for s in _RUNS.findall(marked)]
         else:
-            parts = [MARK + w for w in text.split(" ")]
-        get = self.known.get
-        return b"".join([get(s) or self._stretch(s) for s in parts])
+            parts = text.split(" ")
+        return b"".join([self.known.get(s) or self._stretch(s) for s in parts])
 
     def decode(self, ids) -> str:
         table, n = self.table, len(self.table)
@@ -251,9 +283,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            for a, b in text_slices(texts):
-                rows = [c.encode_bytes(t) for t in texts[a:b]]
+            texts = batch.column(len(keep))
+            for a, b in arrow_slices(texts):
+                rows = [c.encode_bytes(t) for t in texts.slice(a, b - a).to_pylist()]
                 offsets = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
                 yield pa.RecordBatch.from_arrays(
@@ -271,9 +303,11 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", keep: tuple =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for batch in batches:
-            texts = [c.decode(x or ()) for x in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(keep))] + [pa.array(texts, pa.string())], names=[*keep, text_col])
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                texts = [c.decode(x or ()) for x in part.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(i) for i in range(len(keep))] + [pa.array(texts, pa.string())], names=[*keep, text_col])
 
     return rows.select(*keep, F.col(ids_col).alias("__ids")) \
         .mapInArrow(run, _schema(rows, keep, text_col, "string"))

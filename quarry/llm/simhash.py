@@ -26,10 +26,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, text_slices
+from quarry.llm.common import arrow_slices, materialize
 from quarry.llm.components import connected_components
 
 BITS = 64
@@ -62,15 +63,15 @@ def fingerprint(text: str | None, k: int) -> int:
 
 def fingerprints(docs: DataFrame, k: int = 3, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row per document, the fingerprint as a signed 64-bit integer."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            for a, b in text_slices(texts):
-                fp = np.fromiter((fingerprint(t, k) for t in texts[a:b]), np.uint64, b - a)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "fp": fp.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in arrow_slices(texts):
+                fp = np.fromiter((fingerprint(t, k) for t in texts.slice(a, b - a).to_pylist()), np.uint64, b - a)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInPandas(run, "doc_id long, fp long")
+        .mapInArrow(run, "doc_id long, fp long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:

@@ -25,24 +25,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_slices
+from quarry.llm.common import arrow_slices
 
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
-# Encodings remembered per Python worker; the table is emptied when it is full.
-CACHE_ENTRIES = 300_000
+# Encodings remembered per Python worker and generation; the last two generations are kept.
+CACHE_ENTRIES = 150_000
 
 # A space before one of these cannot start a new pre-token.
 _SPACE_BEFORE_SPACE = re.compile(r" (?=\s|$)")
 _WORD_SPACE = re.compile(r" (?=\S)")
 
 
-class CachedEncoder:
+class CachedEncoder(dict):
     """Byte-level BPE of whole texts, by the tokenizers library, one call per unseen word.
 
     The pre-tokenizer never joins characters across a space that is followed by a non-space
-    character, so a text's ids are the ids of the stretches between such places. Each stretch
-    is encoded by the library once and then looked up.
+    character, nor a letter with a final mark, nor anything with a lone newline. So the ids of a
+    text are the ids of the stretches between such places, which are looked up here; an unseen one
+    goes to the library. A key is a stretch without the space before it; a stretch with no space
+    before it has one in its key, with which no other key starts.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -50,30 +52,34 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # strings of special tokens inside a document are ordinary text
         self.tokenizer.encode_special_tokens = True
-        self.entries = entries
-        self.known: dict[str, bytes] = {}
-
-    def encode_bytes(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [_WORD_SPACE.split(t) if _SPACE_BEFORE_SPACE.search(t) else t.split(" ") for t in texts]
-        known = self.known
-        # the first stretch has no space before it, which its key says by a leading character
-        # no other key starts with: all others start after a space
-        for parts in split:
-            parts[0] = " " + parts[0]
-        new = {w for parts in split for w in parts if w not in known}
-        if new:
-            if len(known) + len(new) > self.entries:
-                known.clear()
-                new = {w for parts in split for w in parts}
-            keys = list(new)
-            plain = [k[1:] if k[:1] == " " else " " + k for k in keys]
-            for at in range(0, len(keys), 20_000):
-                encoded = self.tokenizer.encode_batch_fast(plain[at:at + 20_000], add_special_tokens=False)
-                for k, e in zip(keys[at:at + 20_000], encoded):
-                    known[k] = np.array(e.ids, dtype="<u4").tobytes()
-        look = known.__getitem__
-        return [b"".join(map(look, parts)) for parts in split]
+        self.entries, self.old = entries, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self._encode(key)
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+    def _encode(self, key: str) -> bytes:
+        if len(key) > 1:
+            if key[-1] in ".,;:!?" and key[:-1].isalpha():
+                return self[key[:-1]] + self[" " + key[-1]]
+            lines = key.split("\n")
+            if len(lines) > 1 and all(x and x == x.strip() for x in [lines[0][key[0] == " ":], *lines[1:]]):
+                return self[lines[0]] + b"".join(self[" \n"] + self[" " + x] for x in lines[1:])
+        text = key[1:] if key[:1] == " " else " " + key
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        parts = _WORD_SPACE.split(text) if _SPACE_BEFORE_SPACE.search(text) else text.split(" ")
+        parts[0] = " " + parts[0]
+        return b"".join(map(self.__getitem__, parts))
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -93,9 +99,9 @@ def _encode(path: str, end_id: int):
         part = TaskContext.get().partitionId()
         before = 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
-                rows = enc.encode_bytes(texts[a:b])
+            ids, column = batch.column(0), batch.column(1)
+            for a, b in arrow_slices(column):
+                rows = [enc.encode_bytes(t) for t in column.slice(a, b - a).to_pylist()]
                 sizes = np.fromiter((len(r) // 4 + 1 for r in rows), np.int64, b - a)
                 ends = np.cumsum(sizes)
                 flat = np.frombuffer(b"".join(x for r in rows for x in (r, end)), dtype="<i4")
