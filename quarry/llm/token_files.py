@@ -30,21 +30,22 @@ from quarry.llm.common import arrow_slices
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
 # Encodings remembered per Python worker and generation; the last two generations are kept.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 
 # A space before one of these cannot start a new pre-token.
 _SPACE_BEFORE_SPACE = re.compile(r" (?=\s|$)")
 _WORD_SPACE = re.compile(r" (?=\S)")
+# Latin letters, which every Unicode version has as such, and a final mark.
+_MARKED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]")
 
 
-class CachedEncoder(dict):
-    """Byte-level BPE of whole texts, by the tokenizers library, one call per unseen word.
+class CachedEncoder:
+    """Byte-level BPE of whole texts by the tokenizers library, each distinct word once.
 
     The pre-tokenizer never joins characters across a space that is followed by a non-space
-    character, nor a letter with a final mark, nor anything with a lone newline. So the ids of a
-    text are the ids of the stretches between such places, which are looked up here; an unseen one
-    goes to the library. A key is a stretch without the space before it; a stretch with no space
-    before it has one in its key, with which no other key starts.
+    character. So the ids of a text are the ids of the stretches between such places, which are
+    remembered; unseen ones go to the library. A key is a stretch without the space before it; a
+    stretch with no space before it has one in its key, with which no other key starts.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -52,34 +53,58 @@ class CachedEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         # strings of special tokens inside a document are ordinary text
         self.tokenizer.encode_special_tokens = True
-        self.entries, self.old = entries, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.old.get(key)
-        if found is None:
-            found = self._encode(key)
-        if len(self) >= self.entries:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
-        return found
-
-    def _encode(self, key: str) -> bytes:
-        if len(key) > 1:
-            if key[-1] in ".,;:!?" and key[:-1].isalpha():
-                return self[key[:-1]] + self[" " + key[-1]]
-            lines = key.split("\n")
-            if len(lines) > 1 and all(x and x == x.strip() for x in [lines[0][key[0] == " ":], *lines[1:]]):
-                return self[lines[0]] + b"".join(self[" \n"] + self[" " + x] for x in lines[1:])
-        text = key[1:] if key[:1] == " " else " " + key
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        parts = _WORD_SPACE.split(text) if _SPACE_BEFORE_SPACE.search(text) else text.split(" ")
-        parts[0] = " " + parts[0]
-        return b"".join(map(self.__getitem__, parts))
+        vocab = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t[:1] == "\u0120"]] = True   # byte-level form of a space
+        self.entries = entries
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self, keys: list[str]) -> None:
+        """Encode words of letters together, as a text: each starts at a token with a space."""
+        words, marked, known = [], [], self.known
+        for k in keys:
+            if k.isalpha():
+                words.append(k)
+            elif _MARKED.fullmatch(k):
+                marked.append(k)
+                if k[:-1] not in known:
+                    words.append(k[:-1])
+            else:
+                known[k] = self._ids(k[1:] if k[:1] == " " else " " + k).tobytes()
+        words = list(dict.fromkeys(words))
+        for a in range(0, len(words), 1000):
+            part = words[a:a + 1000]
+            ids = self._ids(" " + " ".join(part))
+            starts = np.flatnonzero(self.spaced[ids]).tolist()
+            raw = ids.tobytes()
+            for w, i, j in zip(part, starts, [*starts[1:], len(ids)]):
+                known[w] = raw[4 * i:4 * j]
+        for k in marked:
+            end = " " + k[-1]
+            if end not in known:
+                known[end] = self._ids(k[-1]).tobytes()
+            known[k] = known[k[:-1]] + known[end]
+
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = []
+        for t in texts:
+            t = t or ""
+            parts = _WORD_SPACE.split(t) if _SPACE_BEFORE_SPACE.search(t) else t.split(" ")
+            parts[0] = " " + parts[0]
+            split.append(parts)
+        if len(self.known) > self.entries:
+            self.old, self.known = self.known, {}
+        new = set().union(*split).difference(self.known)
+        kept = new.intersection(self.old)
+        self.known.update((k, self.old[k]) for k in kept)
+        self._learn(sorted(new - kept))
+        look = self.known.__getitem__
+        return [b"".join(map(look, parts)) for parts in split]
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -101,7 +126,7 @@ def _encode(path: str, end_id: int):
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for a, b in arrow_slices(column):
-                rows = [enc.encode_bytes(t) for t in column.slice(a, b - a).to_pylist()]
+                rows = enc.encode_bytes(column.slice(a, b - a).to_pylist())
                 sizes = np.fromiter((len(r) // 4 + 1 for r in rows), np.int64, b - a)
                 ends = np.cumsum(sizes)
                 flat = np.frombuffer(b"".join(x for r in rows for x in (r, end)), dtype="<i4")
