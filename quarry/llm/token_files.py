@@ -35,8 +35,6 @@ CACHE_ENTRIES = 300_000
 # A space before one of these cannot start a new pre-token.
 _SPACE_BEFORE_SPACE = re.compile(r" (?=\s|$)")
 _WORD_SPACE = re.compile(r" (?=\S)")
-# Latin letters, which every Unicode version has as such, and a final mark.
-_MARKED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]")
 
 
 class CachedEncoder:
@@ -64,30 +62,19 @@ class CachedEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, keys: list[str]) -> None:
-        """Encode words of letters together, as a text: each starts at a token with a space."""
-        words, marked, known = [], [], self.known
-        for k in keys:
-            if k.isalpha():
-                words.append(k)
-            elif _MARKED.fullmatch(k):
-                marked.append(k)
-                if k[:-1] not in known:
-                    words.append(k[:-1])
-            else:
-                known[k] = self._ids(k[1:] if k[:1] == " " else " " + k).tobytes()
-        words = list(dict.fromkeys(words))
-        for a in range(0, len(words), 1000):
-            part = words[a:a + 1000]
+        """Encode stretches together, as a text: each starts at a token with a space."""
+        known = self.known
+        plain = [k for k in keys if " " not in k]
+        for a in range(0, len(plain), 1000):
+            part = plain[a:a + 1000]
             ids = self._ids(" " + " ".join(part))
             starts = np.flatnonzero(self.spaced[ids]).tolist()
             raw = ids.tobytes()
-            for w, i, j in zip(part, starts, [*starts[1:], len(ids)]):
-                known[w] = raw[4 * i:4 * j]
-        for k in marked:
-            end = " " + k[-1]
-            if end not in known:
-                known[end] = self._ids(k[-1]).tobytes()
-            known[k] = known[k[:-1]] + known[end]
+            for k, i, j in zip(part, starts, [*starts[1:], len(ids)]):
+                known[k] = raw[4 * i:4 * j]
+        for k in keys:
+            if " " in k:
+                known[k] = self._ids(k[1:] if k[0] == " " else " " + k).tobytes()
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -102,7 +89,7 @@ class CachedEncoder:
         new = set().union(*split).difference(self.known)
         kept = new.intersection(self.old)
         self.known.update((k, self.old[k]) for k in kept)
-        self._learn(sorted(new - kept))
+        self._learn(list(new - kept))
         look = self.known.__getitem__
         return [b"".join(map(look, parts)) for parts in split]
 
