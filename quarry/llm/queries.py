@@ -94,3 +94,79 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = score(docs, fit(docs, labels, "quality"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op2_line_runs", """
+with l as (select doc_id, i, line, row_number() over (partition by doc_id order by i) as pos
+  from (select doc_id, unnest(range(len(x))) as i, unnest(x) as line
+    from (select doc_id, string_split(text, chr(10)) as x from documents))
+  where regexp_matches(line, '[^ \\t\\r\\f\\v]')),
+w as (select doc_id, pos, line as a, lead(line) over (partition by doc_id order by pos) as b from l),
+f as (select doc_id, pos, row_number() over (partition by a, b order by doc_id, pos) as n from w where b is not null),
+gone as (select doc_id, pos from f where n > 1 union select doc_id, pos + 1 from f where n > 1),
+cut as (select doc_id, list(i) as lines from gone join l using (doc_id, pos) group by doc_id),
+s as (select doc_id, string_split(text, chr(10)) as x, lines from documents left join cut using (doc_id))
+select doc_id, cast(coalesce(len(x), 0) as bigint) as n_lines, cast(coalesce(len(lines), 0) as bigint) as n_deleted,
+  case when lines is null then array_to_string(x, chr(10))
+    else coalesce(array_to_string(list_transform(list_filter(range(len(x)), lambda i: not list_contains(lines, i)), lambda i: x[i + 1]),
+      chr(10)), '') end as text
+from s
+""")
+def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.line_runs import line_dedup
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs, min_lines=2, counts=("n_lines", "n_deleted"))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+             ("block", "com/de/")]
+
+
+def _url_sql(rules: list[tuple[str, str]], order: int, floor: float, grid: int) -> str:
+    """The twin of ``url_filter.judge``: one step per context length."""
+    def pick(value):
+        whens = []
+        for v, r in sorted(rules, key=lambda x: -len(x[1])):
+            h, _, p = r.partition("/")
+            whens.append(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}') then '{v if value == 'v' else r}'")
+        return "case " + " ".join(whens) + " end"
+
+    ctes = f"""
+r0 as (select page_id, coalesce(url, '') as url from pages),
+r1 as (select *, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) as path from r0),
+r as (select *, {pick('r')} as rule, {pick('v')} as ruled from r1),
+u as (select distinct url, ruled, md5(url)[1] in ('0', '1', '2') as held from r where url <> ''),
+ch as (select url, ruled, held, substr(repeat(chr(2), {order}) || url, i, {order + 1}) as gram
+  from (select *, unnest(range(1, length(url) + 1)) as i from u)),
+n as (select gram, count(*) filter (not held and ruled = 'allow') as a, count(*) filter (not held and ruled = 'block') as b
+  from ch group by gram)"""
+    for k in range(order + 1):
+        ctes += f""",
+t{k} as (select substr(gram, {order + 1 - k}, {k + 1}) as g, sum(a) as a, sum(b) as b from n group by 1),
+c{k} as (select substr(g, 1, {k}) as c, sum(a) as ca, sum(b) as cb, count(*) filter (a > 0) as ta,
+  count(*) filter (b > 0) as tb from t{k} group by 1),
+p{k} as (select t.g, case when ca > 0 then (cast(a as double) + ta * {'la' if k else repr(floor)}) / (ca + ta)
+    else {'la' if k else repr(floor)} end as pa,
+  case when cb > 0 then (cast(b as double) + tb * {'lb' if k else repr(floor)}) / (cb + tb)
+    else {'lb' if k else repr(floor)} end as pb
+  from t{k} t join c{k} c on substr(t.g, 1, {k}) = c.c
+  {f'join (select g as s, pa as la, pb as lb from p{k - 1}) l on substr(t.g, 2, {k}) = l.s' if k else ''})"""
+    ctes += f""",
+s as (select url, ruled, case when (select sum(a) > 0 and sum(b) > 0 from n) then round(avg(ln(pa) - ln(pb)), 9) else 0.0 end
+  as score from ch join p{order} on gram = g where ruled is null or held group by url, ruled),
+bins as (select floor(score * {grid}) as bin, count(*) filter (ruled = 'allow') as a, count(*) filter (ruled = 'block') as b
+  from s where ruled is not null group by 1),
+cuts as (select bin, round(sum(a) over (order by bin desc) / sum(a) over ()
+  + coalesce(sum(b) over (order by bin rows between unbounded preceding and 1 preceding), 0) / sum(b) over (), 9) as v from bins),
+cut as (select coalesce((min(bin) + max(bin)) / {2.0 * grid}, 0.0) as t from cuts where v = (select max(v) from cuts))"""
+    return f"""with {ctes}
+select page_id, host, path, rule,
+  coalesce(r.ruled, case when coalesce(score, 0.0) >= (select t from cut) then 'allow' else 'block' end) as verdict
+from r left join (select url, score from s where ruled is null) using (url)"""
+
+
+@query("op3_url_filter", _url_sql(URL_RULES, 4, 1.0 / 0x110000, 100))
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.url_filter import judge
+    return judge(load(spark, sf_dir, "pages"), URL_RULES, order=4).select("page_id", "host", "path", "rule", "verdict")
