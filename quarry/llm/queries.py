@@ -225,3 +225,9 @@ def op1_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                 F.lit(hostile).alias("text"))
     return digests(materialize(format_turns(turns.unionByName(own)), "chat"))
+
+
+@query("op10_perplexity_rules")
+def op10_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.kn_quality import quality_rules
+    return quality_rules(load(spark, sf_dir, "documents"))
