@@ -172,11 +172,13 @@ def score(docs: DataFrame, model: AttentionModel, words: int = PASSAGE_WORDS, te
     """The ``keep`` columns and the score (0 to 1) of every whole text."""
     keep = [c for c in keep if c != score_col]
     types = dict(docs.dtypes)
+    own = text_col in keep and types[text_col] == "string"
+    at = keep.index(text_col) if own else len(keep)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep))
+            texts = batch.column(at)
             for a, b in arrow_slices(texts):
                 xs = [bag(t, words) for t in texts.slice(a, b - a).to_pylist()]
                 starts = np.cumsum([0, *map(len, xs)])[:-1]
@@ -184,7 +186,7 @@ def score(docs: DataFrame, model: AttentionModel, words: int = PASSAGE_WORDS, te
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(a, b - a) for i in range(len(keep))] + [scores], names=[*keep, score_col])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(
+    return docs.select(*keep, *([] if own else [F.col(text_col).cast("string").alias("__text")])).mapInArrow(
         run, ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"`{score_col}` double"]))
 
 

@@ -9,7 +9,7 @@ Columns of a file: ``doc_id``, ``part`` (range partition, ascending with doc_id)
 (ids of the earlier documents of the part), ``n_tokens``, ``ids``.
 
 Defined results: a null text counts as empty (its ids are the end id alone); a null ``doc_id``
-sorts first; rows with the same ``doc_id`` are all kept, ordered by text; an empty table gives
+sorts first; rows with the same ``doc_id`` are all kept, ordered by a hash of the text; an empty table gives
 files without rows; columns other than the two named ones are ignored.
 """
 
@@ -132,11 +132,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encode ``docs`` and write the ORC files under ``path``.
 
     The texts, not the wider ids, are range-shuffled by document id and encoded after the sort,
-    so ids are written as they are made. Repeated ids spread by the text's hash.
+    so ids are written as they are made. Repeated ids spread by the text's hash (the text itself
+    as a sort key would send sampled texts to the driver).
     """
     src = docs.select(F.col(doc_col).cast("long").alias("doc_id"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = src.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = src.withColumn("th", F.xxhash64("text")).repartitionByRange("doc_id", "th") \
+        .sortWithinPartitions("doc_id", "th").select("doc_id", "text")
     (ordered.mapInArrow(_encode(tokenizer_path, end_id), FILE_SCHEMA)
      .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(fpp))
      .option("orc.create.index", "true").option("orc.row.index.stride", "1000")
