@@ -1,21 +1,70 @@
 """Corpus pipeline: STAGES applied in order to ``documents``, each written as Parquet and read
-again as the next stage's input."""
+again as the next stage's input.
+
+Quality classifier, line dedup, SimHash near-dedup, benchmark decontamination, SentencePiece
+encoding. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize
+from quarry.llm.decontaminate import contamination
+from quarry.llm.line_runs import line_dedup
+from quarry.llm.quality_mil import fit, held_out, score
+from quarry.llm.queries import tokenizer_file
+from quarry.llm.sentencepiece_codec import encode
+from quarry.llm.simhash import near_duplicates
 from quarry.sources.tables import load
 
-STAGES: list = []
 
-# The classifier, SimHash and the tokenizer are not expressible in SQL.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below 0.5 go."""
+    labels = load(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    model = fit(docs, labels, "quality")
+    return score(docs, model, keep=tuple(docs.columns), score_col="__score").filter("__score >= 0.5").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of two or more lines are deleted from the texts; no document goes."""
+    return line_dedup(docs, min_lines=2).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays, once."""
+    groups = near_duplicates(docs, k=3, distance=3)
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    left = docs.join(stay, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
+    # rows that repeat an id belong to one group as well
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return left.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item go."""
+    found = contamination(docs, load(spark, sf_dir, "benchmark"), window=10)
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("__id"))
+    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("__id")), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the SentencePiece ids of every whole text."""
+    ids = encode(docs, tokenizer_file("piece_bpe_32k.model"), keep=("doc_id",))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("SimHash near-dedup", near_dups),
+          ("benchmark decontamination", decontaminate), ("SentencePiece encoding", tokens)]
+
+# The classifier, SimHash and the tokenizer cannot be written in SQL; tests/llm compare the stages
+# with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{n}")
     return docs
