@@ -3,7 +3,8 @@
 Base rules count words, symbols, repeated lines and repeated word windows of the whole text. Then a
 modified Kneser-Ney model (Chen and Goodman, 1998) of characters, of order 5 and one for each
 language, gives every document's perplexity per character; a document outside its language's lower
-and upper perplexity is rejected.
+and upper perplexity is rejected. Each half of a language's documents (by hash of the text) is
+scored by the model of the other half, so that no document vouches for its own n-grams.
 
 All documents are counted: tasks count the n-grams of slices of text, Spark sums them and derives
 continuation counts, discounts and interpolated probabilities by grouping and joins. For scoring,
@@ -16,8 +17,8 @@ Bands: per language, the median log-perplexity of the documents that pass the ba
 minus ``width`` times the normalised median absolute deviation, from histograms of steps 1/200.
 
 Defined results: null and empty texts have no words and fail the base rules; a null language is a
-language of its own; a language whose deviation is 0 (a single document) gets the least width
-``floor``; rows that repeat id and text get the same result each; a null id is kept; an empty table
+language of its own; where the other half of a language is empty there is no perplexity and the
+base rules decide; bands are at least ``floor`` wide to either side; rows that repeat id and text get the same result each; a null id is kept; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_slices, materialize
@@ -119,6 +120,11 @@ def by_language(langs: pa.Array, texts: pa.Array, most: int | None = None):
             yield lang, [a + i for i in at], [t[i] for i in at]
 
 
+def model_key(half) -> Column:
+    """The name of the model of a half of a language's documents."""
+    return F.concat("lang", F.lit("\x1f"), half.cast("string")).alias("lang")
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, g, c): occurrences of every n-gram of the highest order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +136,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                         [pa.array([lang] * len(counts), pa.string()), pa.array(strings_of(grams)), pa.array(counts)],
                         names=["lang", "g", "c"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, g string, c long") \
+    return docs.select(model_key(F.col("half")), "text").mapInArrow(run, "lang string, g string, c long") \
         .groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
@@ -217,7 +223,10 @@ class Pack:
         return keys[i] == h, values[i]
 
     def log_likelihoods(self, lang: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text, the summed log probability and the number of the positions of this pack."""
+        """Per text, the summed log probability and the number of the positions of this pack; not
+        a number if there is no model."""
+        if (lang, "u", 0) not in self.arrays:
+            return np.full(len(texts), np.nan), np.ones(len(texts), np.int64)
         strings = [padded(t) for t in texts]
         codes = codes_of("".join(strings))
         rolling = [codes.astype(np.uint64)]
@@ -289,25 +298,25 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_perplexities(docs: DataFrame, model: DataFrame, most: int = PACK_ENTRIES) -> DataFrame:
-    """(doc_id, th, logppl): the mean negative log probability per character of distinct rows."""
+    """(doc_id, th, lang, logppl): the mean negative log probability per character of distinct rows."""
     parts = None
     for n, pack in enumerate(packs(model, most)):
         sent = docs.sparkSession.sparkContext.broadcast(pack)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lang, rows, texts in by_language(batch.column(2), batch.column(3), SCORE_BYTES):
+                for lang, rows, texts in by_language(batch.column(3), batch.column(4), SCORE_BYTES):
                     ll, count = sent.value.log_likelihoods(lang, texts)
                     at = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ll),
-                                                      pa.array(count)], names=["doc_id", "th", "ll", "chars"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(ll),
+                                                      pa.array(count)], names=["doc_id", "th", "lang", "ll", "chars"])
 
-        part = docs.select("doc_id", "th", "lang", "text").mapInArrow(run, "doc_id long, th long, ll double, chars long") \
-            .withColumn("pack", F.lit(n))
+        part = docs.select("doc_id", "th", "lang", model_key(1 - F.col("half")).alias("key"), "text") \
+            .mapInArrow(run, "doc_id long, th long, lang string, ll double, chars long").withColumn("pack", F.lit(n))
         parts = part if parts is None else parts.unionByName(part)
     # rows that repeat id and text have the same likelihood in a pack
-    once = parts.groupBy("doc_id", "th", "pack").agg(F.max("ll").alias("ll"), F.max("chars").alias("chars"))
-    return once.groupBy("doc_id", "th").agg((-F.sum("ll") / F.sum("chars")).alias("logppl"))
+    once = parts.groupBy("doc_id", "th", "lang", "pack").agg(F.max("ll").alias("ll"), F.max("chars").alias("chars"))
+    return once.groupBy("doc_id", "th", "lang").agg(F.nanvl(-F.sum("ll") / F.sum("chars"), F.lit(None).cast("double")).alias("logppl"))
 
 
 def histogram_median(rows: DataFrame, value: str, out: str) -> DataFrame:
@@ -322,21 +331,23 @@ def quality_rules(docs: DataFrame, width: float = 6.0, floor: float = 0.05, doc_
                   text_col: str = "text", lang_col: str = "lang", pack_entries: int = PACK_ENTRIES) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, perplexity, lower, upper."""
-    src = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string"), F.col(lang_col)).alias("th"),
+    src = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"),
                       F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
-                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = src.mapInArrow(_measure, "doc_id long, th long, lang string, n_words long, word_chars long, n_symbols long, "
+                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")) \
+        .withColumn("half", F.pmod("th", F.lit(2)))
+    base = src.select("doc_id", "th", "lang", "text").mapInArrow(_measure, "doc_id long, th long, lang string, n_words long, word_chars long, n_symbols long, "
                                     "n_dup_lines long, n_repeat_words long") \
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     ppl = log_perplexities(src, train(gram_counts(src)), pack_entries)
-    p = ppl.withColumnsRenamed({"doc_id": "i", "th": "t"})
-    rows = materialize(base.join(p, base.doc_id.eqNullSafe(p.i) & (base.th == p.t)).drop("i", "t"), "kn-scored")
-    passed = rows.filter(~F.col("base_failed"))
+    p = ppl.withColumnsRenamed({"doc_id": "i", "th": "t", "lang": "l"})
+    same = base.doc_id.eqNullSafe(p.i) & (base.th == p.t) & (base.lang == p.l)
+    rows = materialize(base.join(p, same).drop("i", "t", "l"), "kn-scored")
+    passed = rows.filter(~F.col("base_failed") & F.col("logppl").isNotNull())
     middle = histogram_median(passed, "logppl", "mid")
     spread = histogram_median(passed.join(middle, "lang").withColumn("dev", F.abs(F.col("logppl") - F.col("mid"))), "dev", "mad")
     reach = F.greatest(F.lit(float(floor)), width * 1.4826 * F.col("mad"))
     bands = middle.join(spread, "lang").select("lang", (F.col("mid") - reach).alias("lo"), (F.col("mid") + reach).alias("hi"))
     return rows.join(bands, "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("logppl").between(F.col("lo"), F.col("hi"))).alias("kept"),
+        (~F.col("base_failed") & F.coalesce(F.col("logppl").between(F.col("lo"), F.col("hi")), F.lit(True))).alias("kept"),
         F.exp("logppl").alias("perplexity"), F.exp("lo").alias("lower"), F.exp("hi").alias("upper"))

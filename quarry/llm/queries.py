@@ -157,8 +157,8 @@ s as (select url, ruled, case when (select sum(a) > 0 and sum(b) > 0 from n) the
   as score from ch join p{order} on gram = g where ruled is null or held group by url, ruled),
 bins as (select floor(score * {grid}) as bin, count(*) filter (ruled = 'allow') as a, count(*) filter (ruled = 'block') as b
   from s where ruled is not null group by 1),
-cuts as (select bin, round(sum(a) over (order by bin desc) / sum(a) over ()
-  + coalesce(sum(b) over (order by bin rows between unbounded preceding and 1 preceding), 0) / sum(b) over (), 9) as v from bins),
+cuts as (select bin, round(sum(a) over (order by bin desc) / nullif(sum(a) over (), 0)
+  + coalesce(sum(b) over (order by bin rows between unbounded preceding and 1 preceding), 0) / nullif(sum(b) over (), 0), 9) as v from bins),
 cut as (select coalesce((min(bin) + max(bin)) / {2.0 * grid}, 0.0) as t from cuts where v = (select max(v) from cuts))"""
     return f"""with {ctes}
 select page_id, host, path, rule,

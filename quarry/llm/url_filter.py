@@ -83,8 +83,8 @@ def threshold(scored: DataFrame) -> DataFrame:
         F.count(F.when(F.col("verdict") == "allow", 1)).alias("a"), F.count(F.when(F.col("verdict") == "block", 1)).alias("b"))
     # the grid has at most some thousand steps: a character's log ratio is bounded by the floor
     cuts = bins.selectExpr(
-        "bin", "sum(a) over (order by bin desc) / sum(a) over () as kept",
-        "coalesce(sum(b) over (order by bin rows between unbounded preceding and 1 preceding), 0) / sum(b) over () as cut")
+        "bin", "try_divide(sum(a) over (order by bin desc), sum(a) over ()) as kept",
+        "try_divide(coalesce(sum(b) over (order by bin rows between unbounded preceding and 1 preceding), 0), sum(b) over ()) as cut")
     best = cuts.selectExpr("bin", "round(kept + cut, 9) as value").selectExpr("bin", "value", "max(value) over () as top") \
         .filter("value = top")
     return best.agg(F.coalesce((F.min("bin") + F.max("bin")) / (2.0 * GRID), F.lit(0.0)).alias("t"))
