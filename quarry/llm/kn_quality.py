@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +37,7 @@ from quarry.llm.common import arrow_slices, materialize
 ORDER = 5
 START, END = 2, 3
 # Entries of one broadcast pack of the model: 16 bytes each.
-PACK_ENTRIES = 4_000_000
+PACK_ENTRIES = 1_500_000
 # Text that is scored at once.
 SCORE_BYTES = 1_000_000
 GRID = 200
@@ -198,21 +197,52 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def hashed(model: DataFrame) -> DataFrame:
+    """(lang, kind, k, h, value, after) of the model's entries: the hash stands for the n-gram, and
+    ``after`` is the character that the entry predicts after (null: any)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, ks = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            h, after = np.zeros(len(ks), np.uint64), np.full(len(ks), -1, np.int64)
+            own = np.array([x == "p" for x in kinds], np.int64)
+            for k in np.unique(ks):
+                at = np.flatnonzero(ks == k)
+                if k:
+                    grams = codes_of("".join(batch.column(3).take(pa.array(at)).to_pylist())).reshape(len(at), k)
+                    # of an n-gram the last but one, of a context the last character
+                    place = k - 1 - own[at]
+                    after[at] = np.where(place >= 0, grams[np.arange(len(at)), np.maximum(place, 0)].astype(np.int64), -1)
+                else:
+                    grams = np.zeros((len(at), 0), np.uint32)
+                h[at] = hashes(grams)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(h.view(np.int64)), pa.array(batch.column(4).to_numpy().astype(np.float32)),
+                 pa.array(after, mask=after < 0)], names=["lang", "kind", "k", "h", "value", "after"])
+
+    return model.select("lang", "kind", "k", "g", "value").mapInArrow(
+        run, "lang string, kind string, k int, h long, value float, after long")
+
+
 class Pack:
     """Sorted hash arrays of a part of the model: for each language, kind and length the hashes
     and, in the same order, the values. ``after``: the characters it predicts after, by language
-    (None: after all)."""
+    (None: after all). ``others``: for the first pack of a language, the characters of its other
+    packs; it also predicts after the characters that the model has never seen."""
 
-    def __init__(self, rows: pa.Table, after: dict[str, set[int]] | None):
-        self.after = None if after is None else {k: np.array(sorted(v), np.uint32) for k, v in after.items()}
+    def __init__(self, after: dict[str, set[int] | None], others: dict[str, set[int]]):
+        self.after = {k: None if v is None else np.array(sorted(others.get(k, v)), np.uint32) for k, v in after.items()}
+        self.first = set(others)
         self.arrays: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        for key in rows.group_by(["lang", "kind", "k"]).aggregate([]).to_pylist():
-            lang, kind, k = key["lang"], key["kind"], key["k"]
-            own = rows.filter((pc.field("lang") == lang) & (pc.field("kind") == kind) & (pc.field("k") == k))
-            grams = codes_of("".join(own["g"].to_pylist())).reshape(len(own), k) if k else np.zeros((len(own), 0), np.uint32)
-            h = hashes(grams)
-            order = np.argsort(h)
-            self.arrays[lang, kind, k] = h[order], own["value"].to_numpy()[order].astype(np.float32)
+
+    def add(self, lang: str, rows: pa.Table) -> None:
+        kinds, ks = rows["kind"].to_numpy(), rows["k"].to_numpy()
+        h, value = rows["h"].to_numpy().view(np.uint64), rows["value"].to_numpy()
+        for kind in ("p", "b", "u"):
+            for k in range(ORDER + 1):
+                at = np.flatnonzero((kinds == kind) & (ks == k))
+                if len(at):
+                    at = at[np.argsort(h[at])]
+                    self.arrays[lang, kind, k] = h[at], value[at]
 
     def look(self, lang: str, kind: str, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, value) of each hash."""
@@ -223,10 +253,7 @@ class Pack:
         return keys[i] == h, values[i]
 
     def log_likelihoods(self, lang: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text, the summed log probability and the number of the positions of this pack; not
-        a number if there is no model."""
-        if (lang, "u", 0) not in self.arrays:
-            return np.full(len(texts), np.nan), np.ones(len(texts), np.int64)
+        """Per text, the summed log probability and the number of the positions of this pack."""
         strings = [padded(t) for t in texts]
         codes = codes_of("".join(strings))
         rolling = [codes.astype(np.uint64)]
@@ -235,8 +262,8 @@ class Pack:
             h[1:] = rolling[-1][:-1] * _P + rolling[0][1:]
             rolling.append(h)
         use = codes != START
-        if self.after is not None:
-            use[1:] &= np.isin(codes[:-1], self.after.get(lang, np.zeros(0, np.uint32)))
+        if self.after[lang] is not None:
+            use[1:] &= np.isin(codes[:-1], self.after[lang], invert=lang in self.first)
         at = np.flatnonzero(use)
         total = np.zeros(len(at), np.float64)
         open_ = np.arange(len(at))
@@ -259,31 +286,43 @@ class Pack:
 
 
 def packs(model: DataFrame, most: int = PACK_ENTRIES):
-    """The model on the driver, one pack at a time."""
-    after = F.when(F.col("kind") == "p", F.expr("substring(g, k - 1, 1)")).otherwise(F.expr("substring(g, k, 1)"))
-    alone = (F.col("kind") == "u") | (F.col("kind") == "p") & (F.col("k") == 1) | (F.col("kind") == "b") & (F.col("k") == 0)
-    rows = model.withColumn("after", F.when(~alone, after))
+    """The model on the driver, one pack at a time. Small languages share a pack; the entries of a
+    large one are dealt to several by the character that they predict after."""
+    rows = materialize(hashed(model), "kn-hashed")
     # one row per language and character
-    sizes = sorted(((r.n, r.lang, r.after) for r in rows.filter("after is not null").groupBy("lang", "after")
-                    .agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (x[1], x[2]))
-    groups, size = [[]], 0
-    for n, lang, c in sizes:
-        if groups[-1] and size + n > most:
-            groups.append([])
-            size = 0
-        groups[-1].append((lang, c))
-        size += n
-    if len(groups) == 1:
-        yield Pack(rows.drop("after").toArrow(), None)
-        return
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.filter("after is not null").groupBy("lang", "after").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes.setdefault(r.lang, []).append((r.after, r.n))
+    groups: list[dict[str, set[int] | None]] = [{}]
+    room = most
+    for lang in sorted(sizes):
+        n = sum(x for _, x in sizes[lang])
+        if n <= most:
+            if n > room:
+                groups.append({})
+                room = most
+            groups[-1][lang] = None
+            room -= n
+            continue
+        for c, x in sorted(sizes[lang]):
+            if x > room or groups[-1].get(lang, ()) is None:
+                groups.append({})
+                room = most
+            groups[-1].setdefault(lang, set()).add(c)
+            room -= x
     spark = model.sparkSession
-    for g in groups:
-        chosen = F.broadcast(spark.createDataFrame(g, "lang string, after string"))
-        part = rows.join(chosen, ["lang", "after"], "left_semi").unionByName(rows.filter("after is null"))
-        own: dict[str, set[int]] = {}
-        for lang, c in g:
-            own.setdefault(lang, set()).add(ord(c))
-        yield Pack(part.drop("after").toArrow(), own)
+    begun: set[str] = set()
+    for group in filter(None, groups):
+        starts = {x for x, v in group.items() if v is not None} - begun
+        pack = Pack(group, {x: {c for c, _ in sizes[x]} - group[x] for x in starts})
+        begun |= starts
+        for lang, after in group.items():
+            own = rows.filter(F.col("lang") == lang)
+            if after is not None:
+                chosen = F.broadcast(spark.createDataFrame([(c,) for c in sorted(after)], "after long"))
+                own = own.join(chosen, "after", "left_semi").unionByName(own.filter("after is null"))
+            pack.add(lang, own.select("kind", "k", "h", "value").toArrow())
+        yield pack
 
 
 # ---------------------------------------------------------------- verdicts
@@ -299,7 +338,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def log_perplexities(docs: DataFrame, model: DataFrame, most: int = PACK_ENTRIES) -> DataFrame:
     """(doc_id, th, lang, logppl): the mean negative log probability per character of distinct rows."""
-    parts = None
+    keyed = docs.select("doc_id", "th", "lang", model_key(1 - F.col("half")).alias("key"), "text")
+    schema = "doc_id long, th long, lang string, ll double, chars long"
+    parts, seen = None, set()
     for n, pack in enumerate(packs(model, most)):
         sent = docs.sparkSession.sparkContext.broadcast(pack)
 
@@ -311,12 +352,17 @@ def log_perplexities(docs: DataFrame, model: DataFrame, most: int = PACK_ENTRIES
                     yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(ll),
                                                       pa.array(count)], names=["doc_id", "th", "lang", "ll", "chars"])
 
-        part = docs.select("doc_id", "th", "lang", model_key(1 - F.col("half")).alias("key"), "text") \
-            .mapInArrow(run, "doc_id long, th long, lang string, ll double, chars long").withColumn("pack", F.lit(n))
+        own = keyed.filter(F.col("key").isin(list(pack.after)))
+        seen |= set(pack.after)
+        part = own.mapInArrow(run, schema).withColumn("pack", F.lit(n))
         parts = part if parts is None else parts.unionByName(part)
+    # documents whose other half is empty have no model
+    none = keyed.filter(~F.col("key").isin(sorted(seen))).select(
+        "doc_id", "th", "lang", F.lit(None).cast("double").alias("ll"), F.lit(1).cast("long").alias("chars"), F.lit(-1).alias("pack"))
+    parts = none if parts is None else parts.unionByName(none)
     # rows that repeat id and text have the same likelihood in a pack
     once = parts.groupBy("doc_id", "th", "lang", "pack").agg(F.max("ll").alias("ll"), F.max("chars").alias("chars"))
-    return once.groupBy("doc_id", "th", "lang").agg(F.nanvl(-F.sum("ll") / F.sum("chars"), F.lit(None).cast("double")).alias("logppl"))
+    return once.groupBy("doc_id", "th", "lang").agg((-F.sum("ll") / F.sum("chars")).alias("logppl"))
 
 
 def histogram_median(rows: DataFrame, value: str, out: str) -> DataFrame:
