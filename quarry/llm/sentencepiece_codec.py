@@ -25,8 +25,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,10 @@ CACHE_ENTRIES, CACHE_CHARS, PAIR_ENTRIES = 250_000, 64, 300_000
 _RUNS = re.compile(MARK + "+[^" + MARK + "]*|[^" + MARK + "]+")
 
 
+# Stands before the first piece of a text.
+START_ID = -1
+
+
 class Pieces:
     """The vocabulary of a model: normal pieces with scores, byte pieces, and the kind of model."""
 
@@ -49,14 +55,13 @@ class Pieces:
         self.split: dict[str, tuple[str, str] | None] = {}
         self.longest = max(map(len, scores), default=1)
         self.lowest = min((s for _, s in scores.values()), default=0.0)
-        # lengths of the pieces with the same last (at most three) characters, longest first;
+        self.names = {i: p for p, (i, _) in scores.items()}
         # a pair of characters that is inside no piece parts every text
-        ends: dict[str, set[int]] = {}
-        self.inside: set[str] = set()
-        for piece in scores:
-            ends.setdefault(piece[-3:], set()).add(len(piece))
-            self.inside.update(piece[i:i + 2] for i in range(len(piece) - 1))
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items() if len(k) == 3}
+        self.inside = {p[i:i + 2] for p in scores for i in range(len(p) - 1)}
+        self.automaton = ahocorasick.Automaton()
+        for p, (i, score) in scores.items():
+            self.automaton.add_word(p, (len(p), i, score))
+        self.automaton.make_automaton()
         crossing = [p for p in scores if MARK in p.lstrip(MARK)]
         if crossing:
             raise ValueError(f"pieces continue over a space: {crossing[:3]}")
@@ -85,10 +90,14 @@ class Pieces:
                 table.append(b"")
         return cls(scores, byte_ids if any(byte_ids) else [], kind == 2, norm.add_dummy_prefix, unknown), table
 
-    def ids_of(self, piece: str) -> list[int]:
-        if piece in self.scores:
-            return [self.scores[piece][0]]
-        return [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
+    def name(self, number: int) -> str:
+        """A piece by its id; ids below START_ID stand for characters that are no piece."""
+        return "" if number == START_ID else self.names[number] if number >= 0 else chr(START_ID - 1 - number)
+
+    def ids_of(self, number: int) -> list[int]:
+        if number >= 0:
+            return [number]
+        return [self.byte_ids[b] for b in self.name(number).encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The pieces that the merges of a BPE model make of a short text (the adjacent pair with
@@ -143,42 +152,49 @@ class Lattice:
     def __init__(self, pieces: Pieces, pairs: dict | None = None):
         self.p = pieces
         self.pairs = {} if pairs is None else pairs
-        self.text = ""                       # characters after the committed boundary
-        self.best: list = [(0.0, 0, "")]     # per boundary: score, previous boundary, piece
+        self.text = ""                                # characters after the committed boundary
+        self.best: list = [(0.0, 0, START_ID)]        # per boundary: score, previous boundary, piece
 
-    def _fits(self, left: str, piece: str) -> bool:
+    def _fits(self, left: int, piece: int) -> bool:
         """Whether the merges of a BPE model leave the two neighbours as they are."""
-        got = self.p.fits(left, piece)
+        got = self.p.fits(self.p.name(left), self.p.name(piece))
         if len(self.pairs) >= PAIR_ENTRIES:
             self.pairs.clear()
-        self.pairs[left, piece] = got
+        self.pairs[(left << 32) + piece] = got
         return got
 
+    def _character(self, end: int, found):
+        """The better of ``found`` and the last character alone, if that is no piece."""
+        c, before = self.text[end - 1], self.best[end - 1]
+        if before is None or c in self.p.scores or found is not None and self.p.bpe:
+            return found
+        alone = (before[0] + self.p.lowest - 10.0, end - 1, START_ID - 1 - ord(c))
+        return alone if found is None or alone[0] > found[0] else found
+
     def _extend(self, begin: int, stop: int) -> None:
-        """Find the best piece that ends at each of the boundaries ``begin + 1`` to ``stop``."""
-        text, scores, best, bpe, pairs = self.text, self.p.scores, self.best, self.p.bpe, self.pairs
-        lengths, short, floor = self.p.lengths, (2, 1), self.p.lowest - 10.0
-        for end in range(begin + 1, stop + 1):
-            found = None
-            for n in lengths.get(text[end - 3:end], ()) + short if end > 2 else short[2 - end:]:
-                at = end - n
-                if at < 0 or best[at] is None:
-                    continue
-                piece = text[at:end]
-                known = scores.get(piece)
-                if known is None and n > 1:
-                    continue
-                score, _, left = best[at]
-                if bpe:
-                    fits = pairs.get((left, piece))
-                    if fits or fits is None and self._fits(left, piece):
-                        found = (0.0, at, piece)
-                        break
-                else:
-                    score += known[1] if known else floor
-                    if found is None or score > found[0]:
-                        found = (score, at, piece)
-            best.append(found)
+        """Find the best piece that ends at each of the boundaries ``begin + 1`` to ``stop``, among
+        the pieces that the automaton sees end there."""
+        best, bpe, pairs = self.best, self.p.bpe, self.pairs
+        end, found = begin + 1, None
+        for last, (n, piece, value) in self.p.automaton.iter(self.text, max(0, begin + 1 - self.p.longest), stop):
+            if last < begin:
+                continue
+            while end <= last:
+                best.append(self._character(end, found))
+                end, found = end + 1, None
+            before = best[last + 1 - n]
+            if before is None:
+                continue
+            if bpe:
+                if found is None:
+                    fits = pairs.get((before[2] << 32) + piece)
+                    if fits or fits is None and self._fits(before[2], piece):
+                        found = (0.0, last + 1 - n, piece)
+            elif found is None or before[0] + value > found[0]:
+                found = (before[0] + value, last + 1 - n, piece)
+        while end <= stop:
+            best.append(self._character(end, found))
+            end, found = end + 1, None
 
     def _commit(self, boundary: int) -> list[int]:
         """The ids up to ``boundary``, which is then the new start."""
@@ -218,31 +234,40 @@ class Lattice:
 class Codec:
     def __init__(self, path: str):
         self.pieces, self.table = Pieces.load(path)
+        self.bytes_of = pa.array([*self.table, b""], pa.binary())
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.pairs: dict = {}
 
     def _stretch(self, key: str) -> bytes:
         """Ids of a stretch that ``known`` lacks. Keys have no mark in front; a stretch without a
-        mark has a space instead, with which no other key starts."""
+        mark has a space instead, with which no other key starts. A stretch that parts into others
+        is not remembered itself."""
         found = self.old.get(key)
         if not found:
-            s = key[1:] if key[:1] == " " else MARK + key
-            inside = self.pieces.inside
-            cuts = [i for i in range(1, len(s)) if s[i - 1:i + 1] not in inside]
-            if cuts:
-                # the parts are remembered, not the whole
-                keys = [key[:len(key) - len(s) + cuts[0]]]
-                keys += [" " + s[a:b] for a, b in zip(cuts, [*cuts[1:], len(s)])]
-                return b"".join([self.known.get(k) or self._stretch(k) for k in keys])
+            if len(key) > 1 and not key.isalpha():
+                inside = self.pieces.inside
+                if key[-2] != " " and key[-2:] not in inside:
+                    # a word and a final mark
+                    return self._look(key[:-1]) + self._look(" " + key[-1])
+                s = key[1:] if key[0] == " " else MARK + key
+                cuts = [i for i in range(1, len(s)) if s[i - 1:i + 1] not in inside]
+                if cuts:
+                    keys = [key[:len(key) - len(s) + cuts[0]]]
+                    keys += [" " + s[a:b] for a, b in zip(cuts, [*cuts[1:], len(s)])]
+                    return b"".join(map(self._look, keys))
             lattice = Lattice(self.pieces, self.pairs)
-            found = np.array(lattice.push(s) + lattice.finish(), dtype="<i4").tobytes()
+            ids = lattice.push(key[1:] if key[:1] == " " else MARK + key) + lattice.finish()
+            found = np.array(ids, dtype="<i4").tobytes()
         if len(key) <= CACHE_CHARS:
             if len(self.known) >= CACHE_ENTRIES:
                 self.old, self.known = self.known, {}
             self.known[key] = found
         return found
 
+    def _look(self, key: str) -> bytes:
+        return self.known.get(key) or self._stretch(key)
+
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
         if not text:
@@ -255,10 +280,24 @@ class Codec:
         return b"".join([self.known.get(s) or self._stretch(s) for s in parts])
 
     def decode(self, ids) -> str:
-        table, n = self.table, len(self.table)
-        raw = b"".join([table[i] for i in ids if 0 <= i < n])
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if self.pieces.dummy_prefix and text[:1] == " " else text
+        return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_lists(self, lists: pa.ListArray) -> list[str]:
+        """The text of each list of ids."""
+        lists = lists.fill_null([]) if lists.null_count else lists
+        bounds = lists.offsets.to_numpy()
+        ids = lists.values.to_numpy(zero_copy_only=False)[bounds[0]:bounds[-1]]
+        # the entry after the last stands for ids outside the vocabulary
+        pieces = self.bytes_of.take(pa.array(np.where((ids < 0) | (ids >= len(self.table)), len(self.table), ids)))
+        at = np.concatenate([[0], np.cumsum(pc.binary_length(pieces).to_numpy(), dtype=np.int64)])[bounds - bounds[0]]
+        raw = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), b"")[0].as_py()
+        skip = b" " if self.pieces.dummy_prefix else b""
+        out = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            if skip and raw[a:a + 1] == skip:
+                a += 1
+            out.append(raw[a:b].decode("utf-8", "replace"))
+        return out
 
 
 _CODECS: dict[str, Codec] = {}
@@ -305,7 +344,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", keep: tuple =
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                texts = [c.decode(x or ()) for x in part.column(len(keep)).to_pylist()]
+                texts = c.decode_lists(part.column(len(keep)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(keep))] + [pa.array(texts, pa.string())], names=[*keep, text_col])
 
