@@ -137,13 +137,14 @@ def four_cliques(edges: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ BFS
 
 
-def bfs(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame, sources: DataFrame, target=None) -> DataFrame:
     """Multi-source BFS. ``sources`` has a ``source`` column.
 
     Returns (source, node, dist) for every reachable node. The visited set
     is keyed (source, node); each round joins the frontier with the
     adjacency, anti-joins the visited set and stops when the frontier is
-    empty (one count per round reaches the driver).
+    empty (one count per round reaches the driver). With a ``target`` the
+    search ends in the round that reaches it.
     """
     # the adjacency is read every round: pin it once (reliable checkpoint)
     adj = cut_lineage(both_directions(edges).select(F.col("src").alias("node"), F.col("dst").alias("nxt")))
@@ -161,7 +162,7 @@ def bfs(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None) ->
         if k % CHECKPOINT_EVERY == 0:
             visited = cut_lineage(visited)
         frontier = nxt
-        if max_rounds is not None and k >= max_rounds:
+        if target is not None and not nxt.filter(F.col("node") == F.lit(target)).isEmpty():
             break
     return visited
 
@@ -170,7 +171,7 @@ def shortest_path_length(edges: DataFrame, source, target) -> DataFrame:
     """Hops between two nodes; NULL when unreachable (one row)."""
     spark = edges.sparkSession
     src = spark.range(1).select(F.lit(source).alias("source"))
-    dist = bfs(edges, src)
+    dist = bfs(edges, src, target)
     hit = dist.filter(F.col("node") == F.lit(target)).agg(F.min("dist").alias("length"))
     return hit.select(F.lit(source).alias("source"), F.lit(target).alias("target"), "length")
 
@@ -299,7 +300,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, checkpoi
     return pr.withColumnRenamed("pr", "pagerank")
 
 
-def connected_components(edges: DataFrame, method: str = "star", max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, method: str = "star") -> DataFrame:
     """Component label = smallest node id in the component.
 
     ``method="star"`` (default): alternating large-star / small-star rounds
@@ -312,7 +313,7 @@ def connected_components(edges: DataFrame, method: str = "star", max_rounds: int
     if method == "propagate":
         return _propagate_components(edges)
     cur = cut_lineage(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    for _ in range(max_rounds):
+    while True:
         nxt = cut_lineage(_small_star(_large_star(cur)))
         # both are duplicate-free edge sets: equal size and no new edge means equal
         same = nxt.count() == cur.count() and nxt.exceptAll(cur).isEmpty()

@@ -2,18 +2,14 @@
 
 Parsing uses Spark's VARIANT type (``try_parse_json``) so heterogeneous
 documents need no common schema; explosion is the ``variant_explode_outer``
-table function through a lateral join. The only Python is the nesting
-depth rule (a recursive walk with the reference's first-five-items
-sampling), as a small Arrow-batched helper.
+table function through a lateral join. Nothing runs in Python.
 """
 
 from __future__ import annotations
 
 import itertools
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,31 +21,21 @@ STAT_KEY_WORDS = ["price", "value", "amount", "score", "rate"]
 _view_ids = itertools.count()
 
 
-def _depth(obj, level: int = 0) -> int:
-    if isinstance(obj, dict):
-        return max([_depth(v, level + 1) for v in obj.values()] + [level])
-    if isinstance(obj, list) and obj:
-        return max([_depth(x, level) for x in obj[:5]] + [level])
-    return level
-
-
-def _depth_series(s: pd.Series) -> pd.Series:
-    out = []
-    for txt in s:
-        try:
-            doc = json.loads(txt)
-        except (TypeError, ValueError):
-            out.append(None)
-            continue
-        target = doc[0] if isinstance(doc, list) and doc and isinstance(doc[0], dict) else doc
-        out.append(_depth(target) if isinstance(target, dict) else 0)
-    return pd.Series(out, dtype="Int64")
-
-
 def nesting_depth(js: Column) -> Column:
-    """+1 per object level, lists add 0 and are sampled to 5 items; for a
-    list of objects the first object is measured (the reference's rule)."""
-    return F.pandas_udf(_depth_series, "bigint")(js)
+    """The largest number of objects around any value; lists add nothing and every element
+    counts. Strings and empty objects are blanked out, then a running count goes over the braces
+    that are left. NULL for invalid JSON, 0 for a document without a non-empty object."""
+    text = F.to_json(F.try_parse_json(js))
+    braces = text
+    for pattern, by in ((r'"(?:[^"\\]|\\.)*"', "s"), (r"\{\s*\}", ""), (r"[^{}]", "")):
+        braces = F.regexp_replace(braces, pattern, by)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["top"], now).alias("top"))
+
+    return F.aggregate(F.split(braces, ""), start, step, lambda acc: acc["top"]).cast("bigint")
 
 
 def _type_name(schema: Column) -> Column:

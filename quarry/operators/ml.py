@@ -71,11 +71,14 @@ def cluster_sizes(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
-def logistic(train: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    """M5: logistic regression, predictions on the same rows."""
+def logistic(train: DataFrame, label: str, features: Sequence[str], score: DataFrame | None = None,
+             forest: bool = False) -> DataFrame:
+    """M5: logistic regression (or a random forest) fitted on ``train``, predictions for every row
+    of ``score`` (of ``train`` if none is given)."""
     va = VectorAssembler(inputCols=list(features), outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=50)
-    return Pipeline(stages=[va, lr]).fit(train).transform(train)
+    model = (RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=20, seed=7) if forest else
+             LogisticRegression(featuresCol="features", labelCol=label, maxIter=50))
+    return Pipeline(stages=[va, model]).fit(train).transform(train if score is None else score)
 
 
 def linear_one_feature(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -134,7 +137,10 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
 def ols_kfold(df: DataFrame, y: str, x: str, fold: str, k: int) -> DataFrame:
     """K-fold CV of one-feature OLS. Training sums for fold f are the
     totals minus fold f's sums (one grouped aggregate); the k coefficient
-    rows are then applied to the held-out fold. Returns RMSE per fold."""
+    rows are then applied to the held-out fold. The fold is ``fold mod k``,
+    so there are at most k coefficient rows to broadcast. Returns RMSE per
+    fold."""
+    df = df.withColumn(fold, F.pmod(F.col(fold), F.lit(k)))
     xx, yy = F.col(x).cast("double"), F.col(y).cast("double")
     per = df.groupBy(F.col(fold).alias("fold")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(xx).alias("sx"), F.sum(yy).alias("sy"),
@@ -157,14 +163,15 @@ def pca(df: DataFrame, k: int = 2) -> DataFrame:
 
 def learning_curve(df: DataFrame, label: str, features: Sequence[str], key: str,
                    fractions: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0)) -> DataFrame:
-    """Training-set fraction (by key hash) -> training accuracy of a
-    logistic model; one fit per fraction, rows unioned."""
+    """Training-set fraction (by key hash) -> accuracy of a logistic
+    model on a held-out fold (key mod 5 = 0), the same for every fraction
+    and never trained on; one fit per fraction, rows unioned."""
     spark = df.sparkSession
     rows = []
     bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(1000)) / 1000.0
+    held = F.pmod(F.col(key), F.lit(5)) == 0
     for frac in fractions:
-        part = df.filter(bucket < frac)
-        pred = logistic(part, label, features)
+        pred = logistic(df.filter(~held & (bucket < frac)), label, features, df.filter(held))
         acc = classification_metrics(pred, label, "prediction").select("accuracy")
         rows.append(acc.select(F.lit(float(frac)).alias("fraction"), "accuracy"))
     out = rows[0]

@@ -215,6 +215,35 @@ def _cells(tr: _Node):
     return out
 
 
+def _span(cell, name: str, most: int) -> int:
+    """A span attribute; anything but a positive number counts as 1. ``most``: HTML's own limit."""
+    value = (cell.attrs.get(name) or "").strip()
+    return min(max(int(value), 1), most) if value.isdecimal() else 1
+
+
+def _grid(rows: list[list]) -> list[list[str]]:
+    """Cell texts row by row, with a cell's text in every place that it spans."""
+    out, below = [], {}          # below: column -> (rows still to fill, text)
+    for cells in rows:
+        line, left = [], list(reversed(cells))
+        while left or len(line) in below:
+            at = len(line)
+            if at in below:
+                n, text = below.pop(at)
+                line.append(text)
+                if n > 1:
+                    below[at] = (n - 1, text)
+                continue
+            cell = left.pop()
+            text, down = _cell_text(cell), _span(cell, "rowspan", 65534)
+            for _ in range(_span(cell, "colspan", 1000)):
+                if down > 1:
+                    below[len(line)] = (down - 1, text)
+                line.append(text)
+        out.append(line)
+    return out
+
+
 PAGE_SCHEMA = ("page_id long, title string, wiki boolean, original_tables int, cleaned_tables int, "
                "original_size long, cleaned_size long, n_section_divs int, error string, "
                "tables array<struct<table_idx: int, caption: string, caption_raw: string, headers: array<string>, "
@@ -226,9 +255,8 @@ def parse_page(page_id, html, keywords=tuple(DEFAULT_KEYWORDS)):
     """One page -> metadata dict matching PAGE_SCHEMA."""
     try:
         html = html or ""
-        original = parse(html)
-        original_tables = len(original.find_all({"table"}))
         root = parse(html)
+        original_tables = len(root.find_all({"table"}))
         low = html.lower()
         wiki = "wikipedia.org" in low
         clean_tree(root, wiki)
@@ -240,7 +268,7 @@ def parse_page(page_id, html, keywords=tuple(DEFAULT_KEYWORDS)):
             ths = t.find_all({"th"})
             trs = t.find_all({"tr"})
             first = trs[0].find_all({"td", "th"}) if trs else []
-            rows = [[_cell_text(c) for c in _cells(tr)] for tr in _own_rows(t)]
+            rows = _grid([_cells(tr) for tr in _own_rows(t)])
             tables.append({
                 "table_idx": i,
                 "caption": caps[0].text(strip=True) if caps else None,
@@ -264,27 +292,25 @@ def parse_page(page_id, html, keywords=tuple(DEFAULT_KEYWORDS)):
                 "error": f"{type(e).__name__}: {e}", "tables": []}
 
 
-PAGES_PER_BATCH = 256
-
-
 def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The parse job: one output row per page (tables nested).
 
-    Whole pages travel to Python in Arrow batches; the batch row limit is
-    lowered to ``PAGES_PER_BATCH`` (if larger) so that a batch of big pages
-    stays small in the Python worker.
+    Whole pages travel to Python in Arrow batches, whose bytes Spark bounds
+    (``spark.sql.execution.arrow.maxBytesPerBatch``); each page is parsed
+    once and yielded by itself. A page that fails keeps its error row.
     """
-    spark = pages.sparkSession
-    current = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if current <= 0 or current > PAGES_PER_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES_PER_BATCH))
-
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([parse_page(int(p), h) for p, h in zip(pdf[id_col], pdf[html_col])])
+            for p, h in zip(pdf[id_col], pdf[html_col]):
+                yield pd.DataFrame([parse_page(int(p), h)])
     return pages.select(F.col(id_col).cast("long").alias(id_col), F.col(html_col)).mapInPandas(run, PAGE_SCHEMA)
 
 
+def failed_pages(parsed: DataFrame) -> DataFrame:
+    """H1: pages that could not be parsed, counted by error; ``page_tables`` has no rows of them."""
+    return parsed.filter("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
 def page_tables(parsed: DataFrame) -> DataFrame:
     """H1: one row per (page, table)."""
     return parsed.select("page_id", F.explode("tables").alias("t")).select("page_id", "t.*")

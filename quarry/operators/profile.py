@@ -130,8 +130,13 @@ def column_roles(df: DataFrame, date_hit_rate: float = 0.8) -> DataFrame:
                         F.col("__rows").alias("row_count"), F.lit(len(df.columns)).alias("column_count"))
 
 
-def impute(df: DataFrame, columns: Sequence[str], how: str = "mean") -> DataFrame:
-    """Fill NULLs with the column mean / median (scalar subqueries) or drop."""
+def impute(df: DataFrame, columns: Sequence[str], how: str = "mean", value=None) -> DataFrame:
+    """Fill NULLs with the column mean / median (scalar subqueries) or a constant ``value``, or
+    drop the rows."""
+    if how not in ("mean", "median", "constant", "drop"):
+        raise ValueError(f"how must be mean, median, constant or drop, not {how!r}")
+    if how == "constant" and value is None:
+        raise ValueError("a constant fill needs a value")
     if how == "drop":
         return df.na.drop(subset=list(columns))
     from quarry.plans.prefix import exact_quantiles
@@ -139,6 +144,8 @@ def impute(df: DataFrame, columns: Sequence[str], how: str = "mean") -> DataFram
     for c in columns:
         if how == "mean":
             fill = df.agg(F.avg(c)).scalar()
+        elif how == "constant":
+            fill = F.lit(value)
         else:
             fill = exact_quantiles(df, c, [0.5]).select("q0").scalar()
         out = out.withColumn(c, F.coalesce(F.col(c), fill))

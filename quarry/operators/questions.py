@@ -132,7 +132,7 @@ def key_items(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     lines = docs.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
     s = F.trim(F.col("line"))
     items = lines.filter(s.startswith("- ") & s.contains(":"))
-    body = F.substring(s, 3, 1_000_000)
+    body = F.regexp_replace(s, "^- ", "")
     key = F.trim(F.regexp_replace(F.trim(F.substring_index(body, ":", 1)), "^`+|`+$", ""))
     typ = F.trim(F.regexp_extract(body, r"^[^:]*:(.*)$", 1))
     return items.select(id_col, "line_no", key.alias("key"), typ.alias("type"))
@@ -162,51 +162,21 @@ def _norm_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
 
-def ngrams(docs: DataFrame, id_col: str, text: str, max_n: int = 3) -> DataFrame:
-    """Distinct word n-grams (n <= max_n) per document, words = [a-z0-9]+ runs."""
-    tok = docs.select(id_col, _norm_tokens(F.col(text)).alias("tok"))
-    grams = []
-    for n in range(1, max_n + 1):
-        seq = F.sequence(F.lit(1), F.size("tok") - n + 1)
-        g = F.when(F.size("tok") >= n, F.transform(seq, lambda i: F.array_join(F.slice("tok", i, n), " ")))
-        grams.append(g)
-    allg = F.flatten(F.array(*[F.coalesce(g, F.array().cast("array<string>")) for g in grams]))
-    return tok.select(id_col, F.explode(F.array_distinct(allg)).alias("gram"))
-
-
-def dictionary_hits(docs: DataFrame, id_col: str, text: str, dictionary: DataFrame,
-                    broadcast_rows: int = 100_000) -> DataFrame:
+def dictionary_hits(docs: DataFrame, id_col: str, text: str, dictionary: DataFrame) -> DataFrame:
     """Per (document, category) the number of distinct dictionary
     entries present as whole words / phrases.
 
-    The dictionary is normalised to word n-grams. When its size is below a
-    checked bound, its n-grams travel as literal arrays: each document keeps
-    only the words that are dictionary unigrams and builds phrases only at
-    positions where a dictionary phrase can start, so no document is
-    expanded into all of its n-grams. Above the bound the match is an
-    equi-join of all document n-grams with the dictionary (shuffle join).
+    One plan at every size: words with the few that follow them (as many as
+    the longest entry needs) meet the entries that start with the word in
+    an equi-join, and a phrase is verified by its slice. Words of a document
+    are made distinct before the join, and hits counted by partial aggregates.
     """
-    d = dictionary.select("category", "keyword",
-                          F.array_join(_norm_tokens(F.col("keyword")), " ").alias("gram")).filter(F.col("gram") != "")
-    n_rows = d.count()
-    if n_rows > broadcast_rows:
-        max_n = d.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
-        g = ngrams(docs, id_col, text, int(max_n))
-        return g.join(d, "gram").groupBy(id_col, "category").agg(F.count_distinct("keyword").alias("hits"))
-    grams = [r["gram"] for r in d.select("gram").distinct().collect()]  # bounded by the check above
-    uni = sorted(g for g in grams if " " not in g)
-    multi = sorted(g for g in grams if " " in g)
-    firsts = sorted({g.split(" ")[0] for g in multi})
-    max_n = max([len(g.split(" ")) for g in multi] + [1])
+    d = dictionary.select("category", "keyword", _norm_tokens(F.col("keyword")).alias("gram")) \
+        .filter(F.size("gram") > 0).select("category", "keyword", "gram", F.col("gram")[0].alias("first"))
+    longest = d.agg(F.max(F.size("gram"))).first()[0] or 1
     tok = docs.select(id_col, _norm_tokens(F.col(text)).alias("tok"))
-    lit_arr = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
-    found = [F.array_intersect(F.array_distinct("tok"), lit_arr(uni))]
-    if multi:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("tok"), F.lit(1))),
-                          lambda i: F.array_contains(lit_arr(firsts), F.element_at("tok", i)))
-        for n in range(2, max_n + 1):
-            phrases = F.transform(starts, lambda i: F.array_join(F.slice("tok", i, n), " "))
-            found.append(F.array_intersect(phrases, lit_arr(multi)))
-    hits = tok.select(id_col, F.explode(F.array_distinct(F.flatten(F.array(*found)))).alias("gram"))
-    return (hits.join(F.broadcast(d), "gram")
-            .groupBy(id_col, "category").agg(F.count_distinct("keyword").alias("hits")))
+    words = tok.select(id_col, F.explode(F.array_distinct(F.transform(
+        "tok", lambda _, i: F.slice("tok", i + 1, int(longest))))).alias("tail"))
+    met = words.withColumn("first", F.col("tail")[0]).join(d, "first") \
+        .filter(F.slice("tail", F.lit(1), F.size("gram")) == F.col("gram"))
+    return met.groupBy(id_col, "category").agg(F.count_distinct("keyword").alias("hits"))

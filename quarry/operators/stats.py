@@ -9,9 +9,11 @@ scalar subqueries, never through a join of a one-row frame.
 
 from __future__ import annotations
 
-import itertools
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,23 +69,43 @@ def pearson(df: DataFrame, x: str | Column, y: str | Column, name: str = "r") ->
     return df.agg(safe_corr(x, y).alias(name))
 
 
-WIDE_COLUMNS = 60
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All column pairs in one aggregate of co-moments, long form.
+    """All column pairs (col_a before col_b as given), long form.
 
-    k(k-1)/2 pairs are expressions of a single pass; no row cross join.
-    Above ``WIDE_COLUMNS`` columns the expression count grows too large for
-    one aggregate and the Gram-matrix form (Spark ML ``Correlation``) is used.
+    One definition at every width: a pair uses the rows where both values are present, and a
+    column that is constant on them gives NULL. Values are centred on the column means (one
+    aggregate), then one pass gathers the Gram matrices of values, squares and presence: tasks
+    multiply Arrow batches, and what is shuffled is one row per pair and task.
     """
-    if len(columns) > WIDE_COLUMNS:
-        return correlation_matrix_ml(df, list(columns), "pearson")
-    pairs = list(itertools.combinations(columns, 2))
-    wide = df.agg(*[safe_corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{a}__{b}").alias("r"))
-        for a, b in pairs])))
+    cols = list(columns)
+    k = len(cols)
+    means = df.agg(*[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first() if k else []
+    centre = [0.0 if m is None or not math.isfinite(m) else float(m) for m in means]
+    upper = np.triu_indices(k, 1)
+
+    def gram(batches):
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - centre
+            p = np.isfinite(x).astype(float)
+            x = np.where(p > 0, x, 0.0)
+            total += np.stack([p.T @ p, x.T @ p, p.T @ x, (x * x).T @ p, p.T @ (x * x), x.T @ x])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(upper[0].astype(np.int32)), pa.array(upper[1].astype(np.int32)), *(pa.array(t[upper]) for t in total)],
+            names=["i", "j", *names])
+
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    sums = df.select(*[_num(c).alias(f"v{i}") for i, c in enumerate(cols)]).mapInArrow(
+        gram, "i int, j int, " + ", ".join(f"{x} double" for x in names)).groupBy("i", "j").agg(
+        *[F.sum(x).alias(x) for x in names])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    # below this share of the mean square a variance is rounding error
+    var = lambda s, ss: F.when(F.col(ss) / n - (F.col(s) / n) ** 2 > 1e-13 * F.col(ss) / n,
+                               F.col(ss) / n - (F.col(s) / n) ** 2)
+    r = (F.col("sxy") / n - F.col("sx") / n * F.col("sy") / n) / F.sqrt(var("sx", "sxx") * var("sy", "syy"))
+    name = F.array(*[F.lit(c) for c in cols])
+    return sums.select(name[F.col("i")].alias("col_a"), name[F.col("j")].alias("col_b"),
+                       F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
 def strongest_pair(matrix: DataFrame) -> DataFrame:
@@ -266,8 +288,9 @@ def chi_square_ml(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def correlation_matrix_ml(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """T4/T5 (Spark ML form, wide case): ``Correlation.corr`` on an assembled
-    vector (Gram matrix in one pass), long form (col_a < col_b)."""
+    """T4/T5 (Spark ML form): ``Correlation.corr`` on an assembled vector, long form. By its
+    definition rows with a NULL in any of the columns are left out; ``correlation_matrix`` uses
+    every pair's complete rows."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
     va = VectorAssembler(inputCols=columns, outputCol="_f", handleInvalid="skip")

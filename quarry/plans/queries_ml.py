@@ -11,16 +11,25 @@ from quarry.plans.catalog import T, query
 DOC_FEATURES = ["n_chars", "n_lines", "mean_word_len"]
 
 
-def doc_features(spark, sf):
-    """Label rows joined to document text features (all JVM expressions)."""
-    d = T(spark, sf, "documents").select(
+def all_features(spark, sf):
+    """Text features of every document (all JVM expressions)."""
+    return T(spark, sf, "documents").select(
         "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
         F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
         (F.length(F.regexp_replace("text", r"\s", "")) / F.greatest(F.size(F.split(F.trim("text"), r"\s+")), F.lit(1)))
         .cast("double").alias("mean_word_len"))
+
+
+def doc_features(spark, sf):
+    """Label rows joined to document text features."""
     lab = T(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"),
                                         F.col("toxic").cast("double").alias("toxic"))
-    return lab.join(d, "doc_id")
+    return lab.join(all_features(spark, sf), "doc_id")
+
+
+def held_out():
+    """The labelled documents that no model below is fitted on."""
+    return F.pmod("doc_id", F.lit(5)) == 0
 
 
 @query("m1_scaling", sql="""
@@ -71,7 +80,10 @@ def q_m4(spark, sf):
 
 @query("m5_logistic_predictions")
 def q_m5(spark, sf):
-    pred = M.logistic(doc_features(spark, sf), "label", DOC_FEATURES)
+    """Every document scored by a model of the labelled ones outside the held-out fold."""
+    docs = all_features(spark, sf).join(T(spark, sf, "labels").select(
+        "doc_id", F.col("quality").cast("double").alias("label")), "doc_id", "left")
+    pred = M.logistic(doc_features(spark, sf).filter(~held_out()), "label", DOC_FEATURES, docs)
     return pred.select("doc_id", "label", "prediction")
 
 
@@ -121,7 +133,8 @@ def q_m8(spark, sf):
 
 @query("m8_model_metrics")
 def q_m8m(spark, sf):
-    pred = M.logistic(doc_features(spark, sf), "label", DOC_FEATURES)
+    f = doc_features(spark, sf)
+    pred = M.logistic(f.filter(~held_out()), "label", DOC_FEATURES, f.filter(held_out()))
     return round_doubles(M.classification_metrics(pred))
 
 

@@ -43,7 +43,13 @@ def evaluate(item: Mapping[str, Any], sources: Mapping[str, DataFrame]) -> DataF
     col = item.get("column")
     if col is None:
         col = out.columns[0]
-    return out.select(F.col(col).alias(item["key"])).limit(1)
+    if item.get("rows") == "all":
+        # a list, chart table or group result: every row, in order, as one JSON array
+        row = F.struct(*[F.col(c) for c in out.columns]) if item.get("column") is None else F.col(col)
+        return out.agg(F.to_json(F.array_sort(F.collect_list(row))).alias(item["key"]))
+    several = F.raise_error(F.lit(f"answer {item['key']!r} has more than one row; ask for rows='all'"))
+    return out.agg(F.first(col).alias("v"), F.count(F.lit(1)).alias("n")).select(
+        F.when(F.col("n") <= 1, F.col("v")).otherwise(several).alias(item["key"]))
 
 
 def answer(spark: SparkSession, sources: Mapping[str, DataFrame], spec: Sequence[Mapping[str, Any]]) -> DataFrame:

@@ -52,8 +52,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     The setting is read, never changed (Spark rejects runtime changes to
     it). Without it, a checkpoint folder already set on the SparkContext is
-    used; failing that (local runs and tests only) a private folder is
-    created once per application.
+    used; failing that, a private folder is created once per application
+    where the master is local, and on a cluster it is an error: a local
+    folder there is on the driver's machine alone.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
@@ -65,6 +66,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = sc.applicationId
         if app not in _PRIVATE_ROOTS:
             _PRIVATE_ROOTS[app] = tempfile.mkdtemp(prefix="quarry-ckpt-")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,31 +110,42 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema=None) -> DataF
     return r.load(path)
 
 
-def zip_members(spark: SparkSession, path: str) -> DataFrame:
+def zip_members(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
     """One row per ZIP member: (archive, member, size, content).
 
     Directories and hidden members are skipped, names are flattened to
-    their basename with the ``extracted_`` prefix, and a bad archive yields
-    no rows (the reference ignores it). Archives are read by ``binaryFile``
-    and opened on the executors, one archive per task.
+    their basename with the ``extracted_`` prefix. Archives are read by
+    ``binaryFile`` and opened on the executors; each member is yielded by
+    itself. A bad archive or member is a row with ``error`` and no content
+    when ``errors`` is set, else it has no row.
     """
-    schema = "archive string, member string, size long, content binary"
+    schema = "archive string, member string, size long, content binary" + (", error string" if errors else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def members(path, blob):
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(blob))) as zf:
+                for info in zf.infolist():
+                    base = info.filename.rstrip("/").split("/")[-1]
+                    if info.is_dir() or not base or base.startswith(".") or "/." in "/" + info.filename:
+                        continue
+                    try:
+                        data = zf.read(info)
+                    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as e:
+                        # damaged, encrypted or in a method that is not supported
+                        yield path, f"extracted_{base}", None, None, f"{type(e).__name__}: {e}"
+                    else:
+                        yield path, f"extracted_{base}", len(data), data, None
+        except (zipfile.BadZipFile, zlib.error, EOFError) as e:
+            yield path, None, None, None, f"{type(e).__name__}: {e}"
 
     def explode(batches):
         for pdf in batches:
-            out = []
             for p, blob in zip(pdf["path"], pdf["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(blob))) as zf:
-                        for info in zf.infolist():
-                            base = info.filename.rstrip("/").split("/")[-1]
-                            if info.is_dir() or not base or base.startswith(".") or "/." in "/" + info.filename:
-                                continue
-                            data = zf.read(info)
-                            out.append((p, f"extracted_{base}", len(data), data))
-                except zipfile.BadZipFile:
-                    continue
-            yield pd.DataFrame(out, columns=["archive", "member", "size", "content"])
+                for row in members(p, blob):
+                    if errors or row[-1] is None:
+                        out = pd.DataFrame([row[:len(names)]], columns=names)
+                        yield out.assign(size=out["size"].astype("Int64"))
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(explode, schema)

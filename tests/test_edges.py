@@ -128,6 +128,9 @@ def test_zip_members_and_bad_zip(spark, tmp_path):
     (tmp_path / "bad.zip").write_bytes(b"not a zip at all")
     got = sorted((r["member"], r["size"]) for r in SRC.zip_members(spark, str(tmp_path)).collect())
     assert got == [("extracted_data.csv", 8), ("extracted_notes.txt", 5)]
+    rows = SRC.zip_members(spark, str(tmp_path), errors=True).filter("error is not null").collect()
+    assert [(r["archive"].rsplit("/", 1)[-1], r["content"]) for r in rows] == [("bad.zip", None)]
+    assert "BadZipFile" in rows[0]["error"]
 
 
 def test_answer_shapes(spark):

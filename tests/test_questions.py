@@ -55,14 +55,12 @@ def test_sql_detection_and_list_items(spark):
     assert items == [("edge_count", "number"), ("density", "number")]
 
 
-def test_dictionary_fast_path_equals_general(spark):
+def test_dictionary_hits(spark):
     docs = spark.createDataFrame([(1, "The moving average of the time series, a moving average again."),
                                   (2, "CSS selector and graph nodes; shortest path"), (3, "nothing here")],
                                  "doc_id long, text string")
     vocab = X.vocabulary_table(spark)
     fast = sorted(tuple(r) for r in X.dictionary_hits(docs, "doc_id", "text", vocab).collect())
-    slow = sorted(tuple(r) for r in X.dictionary_hits(docs, "doc_id", "text", vocab, broadcast_rows=0).collect())
-    assert fast == slow
     assert (1, "timeseries", 2) in fast        # 'moving average' and 'time' as whole words
     assert (1, "statistical", 1) in fast       # 'average'
     assert (2, "graph", 2) in fast             # 'graph' and 'shortest path' ('nodes' is not 'node')
