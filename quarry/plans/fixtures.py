@@ -193,6 +193,36 @@ def html_files_dir(spark: SparkSession, sf: str) -> str:
     return _once(spark, "html_files", sf, write)
 
 
+# ------------------------------------------------------------------ questions
+
+# What a question of each kind ends with; the row's id chooses, so that every rule of the
+# question operators decides somewhere.
+QUESTION_PARTS = [
+    "", "\nFind the shortest path, degree and density of the network graph.",
+    "\nCompute the median, variance and correlation; is the mean normal?",
+    "\nShow the trend over time, a moving average and a forecast by date.",
+    "\nScrape the website https://data.example.com/films?page=2 and parse the html table.",
+    "\n1. First ask\n 2. Then answer\n- `edge_count`: number\n- density: number",
+    "\nSELECT a FROM b WHERE c, read_parquet('s3://bucket/key.parquet')",
+    "\nHow many movies grossed over 2 bn by country and population?",
+    "\nInstall httpfs; load httpfs; update and insert into the csv",
+    "\ncss selector, chi-square and the time series of a stock price",
+    "\nnothing to see",
+]
+
+
+def questions_synth(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Every row of ``df`` with the part that ``key mod n`` chooses at the end of its text."""
+    parts = F.array(*[F.lit(p) for p in QUESTION_PARTS])
+    return df.withColumn(text, F.concat(F.coalesce(text, F.lit("")), parts[F.pmod(F.expr(key), F.lit(len(QUESTION_PARTS))).cast("int")]))
+
+
+def questions_sql(table: str, key: str, text: str = "text") -> str:
+    """The same rows in SQL, to stand in the place of the table."""
+    lit = ", ".join("replace('" + p.replace("'", "''").replace("\n", "~") + "', '~', chr(10))" for p in QUESTION_PARTS)
+    return f"(SELECT * REPLACE (coalesce({text}, '') || [{lit}][({key}) % {len(QUESTION_PARTS)} + 1] AS {text}) FROM {table})"
+
+
 # ------------------------------------------------------------------ JSON
 
 

@@ -225,9 +225,11 @@ def q_j2_semi(spark, sf):
 
 
 @query("j2_anti_join", sql="""
-SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+SELECT c_custkey FROM customer WHERE NOT EXISTS (
+  SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)""")
 def q_j2_anti(spark, sf):
-    o = T(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order above 300,000."""
+    o = T(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return R.equi_join(T(spark, sf, "customer").select("c_custkey"), o, "c_custkey", "left_anti")
 
 

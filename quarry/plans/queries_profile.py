@@ -146,16 +146,19 @@ JSON_KIND = "c_custkey % 5"
 @query("p2_json_profile", sql="""
 SELECT c_custkey AS id, c_custkey % 5 <> 4 AS valid,
   CASE c_custkey % 5 WHEN 0 THEN 'dict' WHEN 1 THEN 'list' WHEN 2 THEN 'list' WHEN 3 THEN 'dict' END AS data_type,
-  CAST(CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 END AS BIGINT) AS records,
+  CAST(CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 6 WHEN 3 THEN 2 END AS BIGINT) AS records,
   CASE c_custkey % 5 WHEN 1 THEN 'dict' WHEN 2 THEN 'int' END AS item_type,
   CASE c_custkey % 5 WHEN 0 THEN 'id,name,balance,nation' WHEN 1 THEN 'id,segment' WHEN 3 THEN 'keys,segments' END AS keys,
-  CAST(CASE c_custkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 1 END AS BIGINT) AS depth,
+  CAST(CASE c_custkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 1 END AS BIGINT) AS depth,
   CASE c_custkey % 5 WHEN 0 THEN 'nested' WHEN 4 THEN NULL ELSE 'simple' END AS complexity,
   CASE c_custkey % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'json' WHEN 4 THEN NULL ELSE 'general' END AS suggested_analysis
 FROM customer""")
 def q_p2(spark, sf):
     """P2-P5, K4, K6 per JSON document of the derived customer corpus."""
-    prof = J.json_profile(FX.json_synth(spark, sf))
+    docs = FX.json_synth(spark, sf)
+    # lists of numbers get more than five items and a deeper last one
+    deep = F.concat(F.expr("substring(js, 1, length(js) - 1)"), F.lit(',4,5,{"b":{"c":{"d":1}}}]'))
+    prof = J.json_profile(docs.withColumn("js", F.when(F.col("id") % 5 == 2, deep).otherwise(F.col("js"))))
     return prof.withColumn("keys", F.array_join("keys", ","))
 
 

@@ -121,9 +121,9 @@ def q_s17(spark, sf):
 
 
 @query("s18_extract_urls", sql=r"""
-SELECT page_id, unnest(regexp_extract_all(html, 'https?://\S+')) AS url FROM pages""")
+SELECT page_id, unnest(regexp_extract_all(html, 'https?://\S+')) AS url FROM """ + FX.questions_sql("pages", "page_id", "html"))
 def q_s18(spark, sf):
-    p = T(spark, sf, "pages").select("page_id", "html")
+    p = FX.questions_synth(T(spark, sf, "pages").select("page_id", "html"), "page_id", "html")
     return p.select("page_id", F.explode(S.extract_urls(F.col("html"))).alias("url"))
 
 

@@ -181,7 +181,19 @@ def _sql_any(expr: str, words) -> str:
 
 
 LOWTXT = "lower(coalesce(text, ''))"
-USER_TURNS = "conversations WHERE role = 'user'"
+CONVERSATIONS = FX.questions_sql("conversations", "conv_id + turn")
+DOCUMENTS = FX.questions_sql("documents", "doc_id")
+USER_TURNS = CONVERSATIONS + " WHERE role = 'user'"
+
+
+def conversations(spark, sf):
+    return FX.questions_synth(T(spark, sf, "conversations"), "conv_id + turn")
+
+
+def documents(spark, sf):
+    return FX.questions_synth(T(spark, sf, "documents"), "doc_id")
+
+
 
 
 def _task_sql() -> str:
@@ -195,7 +207,7 @@ def _task_sql() -> str:
 
 @query("x1_task_type", sql=_task_sql())
 def q_x1(spark, sf):
-    c = T(spark, sf, "conversations").filter(F.col("role") == "user")
+    c = conversations(spark, sf).filter(F.col("role") == "user")
     return c.select("conv_id", "turn", X.task_type(F.col("text")).alias("task_type"), *X.task_scores(F.col("text")))
 
 
@@ -206,7 +218,7 @@ def _analysis_sql() -> str:
 
 @query("x2_analysis_type", sql=_analysis_sql())
 def q_x2(spark, sf):
-    c = T(spark, sf, "conversations").filter(F.col("role") == "user")
+    c = conversations(spark, sf).filter(F.col("role") == "user")
     return c.select("conv_id", "turn", X.analysis_type(F.col("text")).alias("analysis_type"))
 
 
@@ -219,31 +231,31 @@ def _keywords_sql() -> str:
     words = (r"list_slice(list_filter(regexp_extract_all(coalesce(text, ''), '[\pL\pN_]+'), "
              f"lambda w: regexp_full_match(w, '[a-zA-Z]+') AND length(w) > 4 AND lower(w) NOT IN ({stop})), 1, 5)")
     allw = "flatten([" + ", ".join(parts + [words]) + "])"
-    return f"SELECT doc_id, array_to_string(list_sort(list_distinct({allw})), ',') AS keywords FROM documents"
+    return f"SELECT doc_id, array_to_string(list_sort(list_distinct({allw})), ',') AS keywords FROM {DOCUMENTS}"
 
 
 @query("x3_question_keywords", sql=_keywords_sql())
 def q_x3(spark, sf):
-    d = T(spark, sf, "documents")
+    d = documents(spark, sf)
     return d.select("doc_id", F.array_join(X.question_keywords(F.col("text")), ",").alias("keywords"))
 
 
 @query("x4_numbered_lines", sql=r"""
-SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '(?m)^\s*\d+\.\s')) AS INTEGER) AS numbered_lines FROM documents""")
+SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '(?m)^\s*\d+\.\s')) AS INTEGER) AS numbered_lines FROM """ + DOCUMENTS)
 def q_x4(spark, sf):
-    return T(spark, sf, "documents").select("doc_id", X.numbered_lines(F.col("text")).alias("numbered_lines"))
+    return documents(spark, sf).select("doc_id", X.numbered_lines(F.col("text")).alias("numbered_lines"))
 
 
 @query("x4_key_items", sql=r"""
 WITH l AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM conversations),
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM """ + CONVERSATIONS + r"""),
 s AS (SELECT conv_id, turn, line_no, trim(line) AS s FROM l)
 SELECT conv_id, turn, CAST(line_no AS INTEGER) AS line_no,
        trim(regexp_replace(trim(split_part(substring(s, 3), ':', 1)), '^`+|`+$', '', 'g')) AS key,
        trim(regexp_extract(substring(s, 3), '^[^:]*:(.*)$', 1)) AS type
 FROM s WHERE starts_with(s, '- ') AND contains(s, ':')""")
 def q_x4k(spark, sf):
-    c = T(spark, sf, "conversations").withColumn("_id", F.struct("conv_id", "turn"))
+    c = conversations(spark, sf).withColumn("_id", F.struct("conv_id", "turn"))
     items = X.key_items(c, "_id", "text")
     return items.select(F.col("_id.conv_id").alias("conv_id"), F.col("_id.turn").alias("turn"), "line_no", "key", "type")
 
@@ -253,7 +265,7 @@ def _dict_sql() -> str:
     return f"""
 WITH d AS (SELECT category, keyword, array_to_string(regexp_extract_all(lower(keyword), '[a-z0-9]+'), ' ') AS gram
            FROM (VALUES {rows}) AS v(category, keyword)),
-t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS tok FROM documents),
+t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS tok FROM {DOCUMENTS}),
 g AS (SELECT DISTINCT doc_id, gram FROM (
   SELECT doc_id, array_to_string(list_slice(tok, i, i + n - 1), ' ') AS gram
   FROM (SELECT doc_id, tok, unnest(range(1, len(tok) + 1)) AS i FROM t), (SELECT unnest(range(1, 4)) AS n)
@@ -264,7 +276,7 @@ SELECT doc_id, category, count(DISTINCT keyword) AS hits FROM g JOIN d USING (gr
 @query("x7_dictionary_hits", sql=_dict_sql())
 def q_x7(spark, sf):
     """Whole-word / phrase hits of the category vocabularies over all documents."""
-    d = T(spark, sf, "documents")
+    d = documents(spark, sf)
     return X.dictionary_hits(d, "doc_id", "text", X.vocabulary_table(spark))
 
 
@@ -274,12 +286,12 @@ def _sqlq_sql() -> str:
   (({_sql_hits(low, X.SQL_WORDS)} >= 2 AND {_sql_hits(low, X.DB_WORDS)} >= 1)
    OR regexp_matches(coalesce(text, ''), '(?i)(s3|gs)://[^\\s]+\\.(parquet|csv|json)|https?://[^\\s]+\\.(parquet|csv|json)')
    OR (contains({low}, 'install httpfs') AND contains({low}, 'load httpfs'))
-   OR (contains({low}, 'read_parquet') AND contains({low}, 's3://'))) AS is_sql FROM conversations"""
+   OR (contains({low}, 'read_parquet') AND contains({low}, 's3://'))) AS is_sql FROM {CONVERSATIONS}"""
 
 
 @query("q7_sql_question", sql=_sqlq_sql())
 def q_q7(spark, sf):
-    return T(spark, sf, "conversations").select("conv_id", "turn", X.is_sql_question(F.col("text")).alias("is_sql"))
+    return conversations(spark, sf).select("conv_id", "turn", X.is_sql_question(F.col("text")).alias("is_sql"))
 
 
 # ------------------------------------------------------------------ SQL entry
