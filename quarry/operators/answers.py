@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.columns import nan_to_null, safe_double, safe_int, safe_str
+from quarry.plans.prefix import exact_quantiles
 
 # Fixed values that must equal the reference's markers and defaults.
 MISSING_MARKER = "Missing data"
@@ -91,6 +92,7 @@ def run_log_metrics(lines: DataFrame, text: str = "value", slow_seconds: float =
                           F.lower(F.regexp_extract(text, PERF_LINE, 2)).alias("level"),
                           F.regexp_extract(text, PERF_LINE, 3).try_cast("double").alias("seconds"))
     parsed = parsed.filter(F.col("seconds").isNotNull())
-    return parsed.groupBy("level").agg(F.count(F.lit(1)).alias("runs"), F.avg("seconds").alias("mean_seconds"),
-                                       F.percentile("seconds", 0.95).alias("p95_seconds"),
-                                       F.avg((F.col("seconds") > slow_seconds).cast("double")).alias("slow_share"))
+    p95 = exact_quantiles(parsed, "seconds", [0.95], ["level"], ["p95_seconds"]).drop("n")
+    means = parsed.groupBy("level").agg(F.count(F.lit(1)).alias("runs"), F.avg("seconds").alias("mean_seconds"),
+                                        F.avg((F.col("seconds") > slow_seconds).cast("double")).alias("slow_share"))
+    return means.join(p95, "level").select("level", "runs", "mean_seconds", "p95_seconds", "slow_share")

@@ -111,47 +111,91 @@ def previous_row(df: DataFrame, order: Sequence[str], value: str, out: str,
              .drop("_pid", "_lag", "_rn", "_carry"))
 
 
+# percentile_approx is off by at most n / ACCURACY ranks; brackets reach four times as far, which
+# is over three ranks more than that from SMALL_GROUP values on. Smaller groups are bracketed whole.
+ACCURACY = 10_000
+SMALL_GROUP = 10_000
+# Groups whose brackets are few enough to broadcast.
+BROADCAST_GROUPS = 100_000
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
-                    names: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Exact interpolated quantiles (``quantile_cont``) per key, without
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """Exact interpolated quantiles (``quantile_cont``) per key, without moving the rows or
     buffering any group's values in one task.
 
-    Rows become one counter per distinct (key, value) (partial aggregate);
-    running counts in (key, value) order come from the range-partitioned
-    prefix sum; a key's ranks are the running count minus the key's start.
-    For probability p with n values, position h = (n - 1) p; the answer
-    interpolates the values at ranks floor(h) + 1 and floor(h) + 2, found
-    by one grouped aggregate over the distinct values.
+    One pass sketches a bracket of two values around each probability (partial aggregates). A
+    second pass counts what lies below each bracket and gathers the distinct values inside with
+    their counts, some ten-thousandths of the rows. For probability p with n values, position
+    h = (n - 1) p; the answer interpolates the values at ranks floor(h) + 1 and floor(h) + 2,
+    found by running counts inside the bracket. The table of brackets has one row per key; it is
+    broadcast while its counted size is small. A rank outside its bracket would be an error.
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     keys = list(keys)
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_sums(counts, [*keys, "_v"], {"_g": "_c"}, num_partitions)
+    reach = 4.0 / ACCURACY
+    wanted = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-reach, reach)})
+    sketch = base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", F.array(*[F.lit(w) for w in wanted]), ACCURACY).alias("_s"))
+
+    def end(p: float, d: float, whole: str) -> Column:
+        w = p + d
+        near = F.col("_s")[wanted.index(w)] if 0.0 < w < 1.0 else F.col(whole)
+        return F.when(F.col("_n") < SMALL_GROUP, F.col(whole)).otherwise(near)
+
+    brackets = cut_lineage(sketch.select(
+        *keys, "_n", F.array(*[F.struct(end(p, -reach, "_min").alias("lo"), end(p, reach, "_max").alias("hi"))
+                               for p in probs]).alias("_b")))
     if keys:
-        per_key = ranked.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min(F.col("_g") - F.col("_c")).alias("_s"))
-        r = ranked.join(per_key, keys)
+        own = brackets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_b")
+        if brackets.count() <= BROADCAST_GROUPS:
+            own = F.broadcast(own)
+        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        met = base.join(own, on).select(*keys, "_v", "_b")
     else:
-        # the last running count is the total: read it from the checkpointed table
-        n_all = ranked.agg(F.max("_g")).scalar()
-        r = ranked.withColumn("_n", n_all).withColumn("_s", F.lit(0).cast("bigint"))
-    cum = F.col("_g") - F.col("_s")
-    lo_cum = cum - F.col("_c")
+        row = brackets.first()   # one row
+        if row["_n"] == 0:
+            return brackets.select(F.col("_n").alias("n"), *[F.lit(None).cast("double").alias(nm) for nm in names])
+        met = base.withColumn("_b", F.array(*[F.struct(F.lit(x["lo"]).alias("lo"), F.lit(x["hi"]).alias("hi"))
+                                              for x in row["_b"]]))
+    below = met.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col("_b")[i]["lo"]).alias(f"_below{i}")
+                                     for i in range(len(probs))])
+    inside = met.select(*keys, "_v", F.explode(F.filter(
+        F.sequence(F.lit(0), F.lit(len(probs) - 1)),
+        lambda i: F.col("_v").between(F.get(F.col("_b"), i)["lo"], F.get(F.col("_b"), i)["hi"]))).alias("_i")) \
+        .groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    running = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v")))
+    n_below = brackets.select(*keys, "_n").alias("a")
+    per_key = _join_keys(n_below, below, keys)
+    r = _join_keys(running, per_key, keys)
     aggs = [F.max("_n").alias("_n")]
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))
         k = F.floor(h)
-        lo_rank, hi_rank = k + 1, F.least(k + 2, F.col("_n"))
-        aggs += [F.max(F.when((lo_cum < lo_rank) & (lo_rank <= cum), F.col("_v"))).alias(f"_lo{i}"),
-                 F.max(F.when((lo_cum < hi_rank) & (hi_rank <= cum), F.col("_v"))).alias(f"_hi{i}"),
-                 F.max(h - k).alias(f"_f{i}")]
+        cum = F.col(f"_below{i}") + F.col("_upto")
+        at = lambda rank: F.max(F.when((F.col("_i") == i) & (cum - F.col("_c") < rank) & (rank <= cum), F.col("_v")))  # noqa: E731, B023
+        aggs += [at(k + 1).alias(f"_lo{i}"), at(F.least(k + 2, F.col("_n"))).alias(f"_hi{i}"), F.max(h - k).alias(f"_f{i}")]
     g = r.groupBy(*keys).agg(*aggs)
-    outs = [(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket"))
+    outs = [F.when(F.col(f"_lo{i}").isNull() | F.col(f"_hi{i}").isNull(), missed.cast("double"))
+            .otherwise(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
             for i, nm in enumerate(names)]
     return g.select(*keys, F.col("_n").alias("n"), *outs)
 
 
+def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join of per-key tables, null keys included; without keys both have what one row joins to."""
+    renamed = right.withColumnsRenamed({k: f"_j{i}" for i, k in enumerate(keys)})
+    if not keys:
+        row = renamed.first()    # one row
+        return left.select("*", *[F.lit(row[c]).alias(c) for c in renamed.columns])
+    on = [left[k].eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)]
+    return left.join(renamed, on).drop(*[f"_j{i}" for i in range(len(keys))])
+
+
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
                   num_partitions: int | None = None) -> DataFrame:
     """Per key, replace every value by the last non-NULL value at or before

@@ -129,3 +129,23 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_root(Session())
+
+
+def test_quantiles_of_large_hot_and_null_groups(spark):
+    import numpy as np
+
+    from quarry.plans.prefix import exact_quantiles
+    rng = np.random.default_rng(0)
+    hot = [("a", float(x)) for x in rng.integers(0, 40, 30_000)] + [(None, float(x)) for x in rng.normal(size=25_000)]
+    rows = hot + [("b", 1.0), ("b", 2.0), ("c", None), ("d", float("nan")), ("d", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    probs = [0.0, 0.05, 0.25, 0.5, 0.9, 0.9999, 1.0]
+    got = {r["k"]: r for r in exact_quantiles(df, "v", probs, ["k"]).collect()}
+    assert set(got) == {"a", None, "b", "d"}
+    for k, r in got.items():
+        x = [v for kk, v in rows if kk == k and v is not None and v == v]
+        assert r["n"] == len(x)
+        assert all(abs(r[f"q{i}"] - np.quantile(x, p)) < 1e-12 for i, p in enumerate(probs))
+    everything = exact_quantiles(df, "v", [0.5]).first()
+    assert abs(everything["q0"] - np.quantile([v for _, v in rows if v is not None and v == v], 0.5)) < 1e-12
+    assert exact_quantiles(df.limit(0), "v", [0.5]).first()["q0"] is None
