@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import distributions as D
 from quarry.functions.columns import round_doubles
 from quarry.operators import stats as S
-from quarry.plans.catalog import T, query
+from quarry.plans.catalog import ORACLE, T, query
 
 LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -104,10 +104,17 @@ def q_t6b(spark, sf):
                                              "BUILDING", "MACHINERY"))
 
 
-@query("t6_ttest_pvalues")
+def _p_sql(name: str, **p: str) -> str:
+    """The registered twin of a test with p-values of its (rounded) statistics."""
+    return "SELECT *, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in p.items()) + f" FROM ({ORACLE[name]})"
+
+
+@query("t6_ttest_pvalues", sql=_p_sql(
+    "t6_ttest_two_sample", p_pooled=D.f_pvalue_sql("t_pooled * t_pooled", "1", "df_pooled"),
+    p_welch=D.f_pvalue_sql("t_welch * t_welch", "1", "df_welch")))
 def q_t6p(spark, sf):
-    """p-values of the two-sample tests (no SQL twin: DuckDB has no t CDF)."""
-    t = S.t_test_two_sample(T(spark, sf, "customer"), "c_mktsegment", "c_acctbal", "BUILDING", "MACHINERY")
+    """p-values of the two-sample tests."""
+    t = round_doubles(S.t_test_two_sample(T(spark, sf, "customer"), "c_mktsegment", "c_acctbal", "BUILDING", "MACHINERY"))
     return round_doubles(t.select("*", D.t_pvalue(F.col("t_pooled"), F.col("df_pooled")).alias("p_pooled"),
                                   D.t_pvalue(F.col("t_welch"), F.col("df_welch")).alias("p_welch")))
 
@@ -132,9 +139,9 @@ def q_t7b(spark, sf):
     return round_doubles(S.chi_square(T(spark, sf, "orders"), "o_orderstatus", "o_orderpriority"))
 
 
-@query("t7_chi_square_pvalue")
+@query("t7_chi_square_pvalue", sql=_p_sql("t7_chi_square_orders", p=D.chi2_pvalue_sql("chi2", "dof")))
 def q_t7p(spark, sf):
-    c = S.chi_square(T(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
+    c = round_doubles(S.chi_square(T(spark, sf, "orders"), "o_orderstatus", "o_orderpriority"))
     return round_doubles(c.select("*", D.chi2_pvalue(F.col("chi2"), F.col("dof")).alias("p")))
 
 
@@ -150,9 +157,10 @@ def q_t8(spark, sf):
     return round_doubles(S.anova_oneway(T(spark, sf, "customer"), "c_mktsegment", "c_acctbal"))
 
 
-@query("t8_anova_pvalue")
+@query("t8_anova_pvalue", sql="SELECT f, df_between, df_within, p FROM ("
+       + _p_sql("t8_anova", p=D.f_pvalue_sql("f", "df_between", "df_within")) + ")")
 def q_t8p(spark, sf):
-    a = S.anova_oneway(T(spark, sf, "customer"), "c_mktsegment", "c_acctbal")
+    a = round_doubles(S.anova_oneway(T(spark, sf, "customer"), "c_mktsegment", "c_acctbal"))
     return round_doubles(a.select("f", "df_between", "df_within",
                                   D.f_pvalue(F.col("f"), F.col("df_between"), F.col("df_within")).alias("p")))
 
