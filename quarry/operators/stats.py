@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import safe_corr
-from quarry.plans.prefix import exact_quantiles, value_ranks
+from quarry.plans.prefix import exact_quantiles, join_groups, value_ranks
+from quarry.session import cut_lineage
+
 
 def _num(c: str) -> Column:
     return F.col(c).cast("double")
@@ -118,13 +120,20 @@ def spearman(df: DataFrame, x: str, y: str, name: str = "rho") -> DataFrame:
     """T5: Pearson on tie-averaged ranks.
 
     Ranks come from per-value counts and distributed prefix sums (no
-    global window); each rank table joins back on its value.
+    global window). What joins the rank tables is one counter per distinct
+    (x, y), not the rows; the mean rank is (n + 1) / 2, so the correlation
+    is three weighted sums.
     """
     pts = df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
     rx = value_ranks(pts, "_x").select("_x", F.col("avg_rank").alias("_rx"))
     ry = value_ranks(pts, "_y").select("_y", F.col("avg_rank").alias("_ry"))
-    ranked = pts.join(rx, "_x").join(ry, "_y")
-    return ranked.agg(safe_corr("_rx", "_ry").alias(name))
+    pairs = pts.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
+    mean = (pts.agg(F.count(F.lit(1))).scalar() + 1) / F.lit(2.0)
+    ranked = pairs.join(rx, "_x").join(ry, "_y").select(
+        "_c", (F.col("_rx") - mean).alias("_dx"), (F.col("_ry") - mean).alias("_dy"))
+    weighted = lambda a, b: F.sum(F.col("_c") * F.col(a) * F.col(b))
+    norm = F.sqrt(weighted("_dx", "_dx")) * F.sqrt(weighted("_dy", "_dy"))
+    return ranked.agg((weighted("_dx", "_dy") / F.nullif(norm, F.lit(0.0))).alias(name))
 
 
 def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -205,17 +214,19 @@ def mean_confidence_interval(df: DataFrame, value: str, z: float = 1.96) -> Data
 def iqr_outliers(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFrame:
     """Per group quartiles, fences and outlier count (five numbers too).
 
-    The per-group fences table has one row per group; the join back is
-    planned by size (broadcast when small, sort-merge otherwise).
+    The per-group fences table has one row per group and meets counters of
+    distinct (group, value), not rows.
     """
     x = _num(value)
     fences = exact_quantiles(df, value, [0.0, 0.25, 0.5, 0.75, 1.0], [group],
                              ["min", "q1", "median", "q3", "max"]).drop("n")
     fences = fences.withColumn("lo", F.col("q1") - k * (F.col("q3") - F.col("q1"))) \
                    .withColumn("hi", F.col("q3") + k * (F.col("q3") - F.col("q1")))
-    flagged = df.select(group, x.alias("_x")).join(fences.select(group, "lo", "hi"), group)
-    counts = flagged.groupBy(group).agg(F.count_if((F.col("_x") < F.col("lo")) | (F.col("_x") > F.col("hi")))
-                                        .alias("n_outliers"))
+    fences = cut_lineage(fences)
+    values = df.groupBy(group, x.alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    out = (F.col("_x") < F.col("lo")) | (F.col("_x") > F.col("hi"))
+    counts = join_groups(values, fences.select(group, "lo", "hi"), group).groupBy(group).agg(
+        F.sum(F.when(out, F.col("_c")).otherwise(0)).alias("n_outliers"))
     return fences.join(counts, group)
 
 
@@ -223,10 +234,10 @@ def zscore_outliers(df: DataFrame, group: str, value: str, z: float = 3.0) -> Da
     """Per group count of rows with |x - mean| / sd > z."""
     x = _num(value)
     m = df.groupBy(group).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
-    j = df.select(group, x.alias("_x")).join(m, group)
-    return j.groupBy(group).agg(
-        F.count_if(F.abs(F.col("_x") - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0)) > z).alias("n_outliers"),
-        F.count(F.lit(1)).alias("n"))
+    values = df.groupBy(group, x.alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    out = F.abs(F.col("_x") - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0)) > z
+    return join_groups(values, m, group).groupBy(group).agg(
+        F.sum(F.when(out, F.col("_c")).otherwise(0)).alias("n_outliers"), F.sum("_c").alias("n"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:

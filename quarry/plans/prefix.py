@@ -186,6 +186,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     return g.select(*keys, F.col("_n").alias("n"), *outs)
 
 
+def join_groups(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row per group. The table is pinned and
+    counted: while it is small it is broadcast and no row moves; beyond that it is a plain
+    equi-join, whose hot groups Spark splits."""
+    table = cut_lineage(table)
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table, key)
+
+
 def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join of per-key tables, null keys included; without keys both have what one row joins to."""
     renamed = right.withColumnsRenamed({k: f"_j{i}" for i, k in enumerate(keys)})
