@@ -82,7 +82,8 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, doc_col: str = "doc_id",
     earliest copy starts (first_id, first_th, first_pos)."""
     lines, suffixes = suffix_ranks(docs, min_lines, doc_col, text_col)
     place = F.struct(*_KEY, "pos")
-    first = suffixes.groupBy("rank").agg(F.min(place).alias("first"))
+    # written, so that the join below is between two plain inputs and Spark can split a hot interval
+    first = materialize(suffixes.groupBy("rank").agg(F.min(place).alias("first")), "lines-first")
     later = suffixes.join(first, "rank").filter(place > F.col("first")).select(
         *_KEY, "pos", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"),
         (F.col("pos") - F.col("first.pos")).alias("shift"))
