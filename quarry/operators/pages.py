@@ -438,8 +438,8 @@ def cleaning_metrics(parsed: DataFrame) -> DataFrame:
 
 def scraped_rows(tables: DataFrame, key_pattern: str = r"^\d+$", money_col: int | None = None) -> DataFrame:
     """Cell rows of the chosen tables as (page, table, row, cells) with
-    positional names for wide tables, the key-column filter and money
-    cleaning ('$' and ',' removed) on the chosen column."""
+    the key-column filter and money cleaning ('$' and ',' removed) on the
+    chosen column. Cells stay an array; their position is the name."""
     rows = tables.select("page_id", "table_idx", F.posexplode("rows").alias("row_idx", "cells"))
     rows = rows.filter(F.col("cells")[0].rlike(key_pattern))
     if money_col is not None:

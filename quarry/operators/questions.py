@@ -55,6 +55,8 @@ SQL_WORDS = ["select", "from", "where", "group by", "order by", "install", "load
              "read_csv", "read_json", "create table", "insert into", "update", "delete from"]
 DB_WORDS = ["s3://", "read_parquet(", "read_csv(", "read_json(", ".parquet", ".csv", ".json", "httpfs",
             "install httpfs", "load httpfs", "s3_region=", "bucket", "aws", "gcs://", "gs://"]
+# One pattern for the reference's list of database-file URLs (s3, gs, http; parquet, csv, json),
+# so that a text is searched once.
 DB_URL_PATTERN = r"(?i)(s3|gs)://[^\s]+\.(parquet|csv|json)|https?://[^\s]+\.(parquet|csv|json)"
 
 NUMBERED_LINE = r"(?m)^\s*\d+\.\s"

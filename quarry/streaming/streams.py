@@ -5,8 +5,9 @@ Both are event-time windowed aggregates with a watermark. A run uses the
 then stop); results leave through ``foreachBatch`` in update mode, each
 batch appended to a parquet folder with its batch id, and the final
 answer keeps the latest version of every (window, key). Checkpoints and
-outputs live in the shared checkpoint folder, so a restarted driver or a
-lost executor resumes from the last committed batch.
+outputs live in the shared checkpoint folder, so a lost executor costs no
+state. A call is a run of its own unless it names a ``run_id``: with the id
+of an earlier run it goes on from that run's last committed batch.
 """
 
 from __future__ import annotations
