@@ -7,7 +7,7 @@ encoding. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize
@@ -16,7 +16,7 @@ from quarry.llm.line_runs import line_dedup
 from quarry.llm.quality_mil import fit, held_out, score
 from quarry.llm.queries import tokenizer_file
 from quarry.llm.sentencepiece_codec import encode
-from quarry.llm.simhash import near_duplicates
+from quarry.llm.simhash import one_per_component
 from quarry.sources.tables import load
 
 
@@ -33,20 +33,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once."""
-    groups = near_duplicates(docs, k=3, distance=3)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(stay, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
-    # rows that repeat an id belong to one group as well
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return left.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*docs.columns)
+    """Of each group of near-duplicate rows the one with the smallest id (null is last) stays, once."""
+    return one_per_component(docs, k=3, distance=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
-    found = contamination(docs, load(spark, sf_dir, "benchmark"), window=10)
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("__id"))
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("__id")), "left_anti")
+    """Rows that hold ten consecutive words of a benchmark item go; other rows of their id stay."""
+    # the text alone decides, so its hash names the rows
+    keyed = docs.withColumn("__th", F.xxhash64("text"))
+    found = contamination(keyed, load(spark, sf_dir, "benchmark"), window=10, doc_col="__th")
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("__th")).distinct()
+    return keyed.join(bad, "__th", "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,17 +61,21 @@ def fingerprint(text: str | None, k: int) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 3, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per document, the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, k: int = 3, doc_col: str = "doc_id", text_col: str = "text",
+                 key_cols: tuple = ()) -> DataFrame:
+    """(doc_id, fp) and the 64-bit integers ``key_cols``: one row per document, the fingerprint as
+    a signed 64-bit integer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in arrow_slices(texts):
                 fp = np.fromiter((fingerprint(t, k) for t in texts.slice(a, b - a).to_pylist()), np.uint64, b - a)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                keys = [batch.column(2 + i).slice(a, b - a) for i in range(len(key_cols))]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(fp.view(np.int64)), *keys],
+                                                 names=["doc_id", "fp", *key_cols])
 
-    return docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *key_cols) \
+        .mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"`{c}` long" for c in key_cols]]))
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -287,16 +291,37 @@ def links(classes: DataFrame, distance: int = 3, sample: int = SAMPLE, block: in
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a long, b long").distinct()
 
 
+def labelled(classes: DataFrame, distance: int) -> DataFrame:
+    """``classes`` (fp, first) with ``label``, the smallest fingerprint of the component."""
+    labels = connected_components(links(classes, distance), "a", "b")
+    return classes.join(labels, classes.fp == labels.node, "left") \
+        .select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
+def one_per_component(docs: DataFrame, k: int = 3, distance: int = 3, doc_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of the rows' fingerprints: the smallest id (null is
+    last), then text hash, then hash of the row. Rows are judged one by one, whatever ids they share."""
+    key = ["__id", "__th", "__row"]
+    rows = docs.select("*", F.col(doc_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__th"),
+                       F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    fps = materialize(fingerprints(rows, k, doc_col, text_col, ("__th", "__row")), "simhash-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("__id"), "__th", "__row")
+    classes = materialize(fps.groupBy("fp").agg(F.min(place).alias("first")), "simhash-classes")
+    stay = labelled(classes, distance).groupBy("label").agg(F.min("first").alias("first")).select(*[f"first.{c}" for c in key])
+    stay = stay.withColumnsRenamed({c: f"{c}_stays" for c in key})
+    same = rows["__id"].eqNullSafe(stay["__id_stays"]) & (rows["__th"] == stay["__th_stays"]) & (rows["__row"] == stay["__row_stays"])
+    # rows that are equal in every column have the same key
+    return rows.join(stay, same, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 3,
                     doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest
     doc_id reachable over links of at most ``distance`` differing bits)."""
     fps = materialize(fingerprints(docs, k, doc_col, text_col), "simhash")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    found = links(classes, distance)
-    labels = connected_components(found, "a", "b")   # node, label: the component's smallest fingerprint
-    of = classes.join(labels, classes.fp == labels.node, "left") \
-        .select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    of = labelled(classes, distance)
     smallest = of.groupBy("label").agg(F.min("first").alias("component_id"))
     by_fp = of.select("fp", "label").join(smallest, "label").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(

@@ -117,6 +117,27 @@ def test_pipeline_stages_on_odd_rows(spark):
             assert len(out) <= (len(rows) if frame.count() else 0)
 
 
+def test_near_dups_and_decontamination_judge_rows(spark):
+    rng = random.Random(5)
+    word = lambda: f"{rng.choice('bcdfg')}{rng.randint(0, 9999)}"
+    a, b, c, d, e = ([word() for _ in range(300)] for _ in range(5))
+    near = lambda w: next(t for t in (" ".join([*w[:i], "changed", *w[i + 1:]]) for i in range(300))
+                          if (plain.simhash(t) ^ plain.simhash(" ".join(w))).bit_count() <= 3)
+    a, b, c, d, e, like_b, like_e = *map(" ".join, (a, b, c, d, e)), near(b), near(e)
+    rows = [(3, like_b), (5, a), (5, b), (None, c), (None, d), (None, e), (None, like_e), (7, c), (8, a), (8, a)]
+    schema = load(spark, SF, "documents").schema
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).repartition(3)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_dups(spark, frame, SF).collect()]
+    of_e = [x for x in out if x in ((None, e), (None, like_e))]
+    assert len(of_e) == 1 and sorted(map(str, set(out) - set(of_e))) == sorted(map(str, [(3, like_b), (5, a), (None, d), (7, c)]))
+    assert len(out) == 5
+    leak = a + " " + load(spark, SF, "benchmark").filter("text is not null").orderBy("item_id").first().text
+    rows = [(None, leak), (None, c), (None, d), (5, leak), (5, b), (None, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, frame, SF).collect()]
+    assert sorted(map(str, out)) == sorted(map(str, [(None, c), (None, d), (5, b), (None, None)]))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_twins(spark, name):
     con = duckdb.connect()
