@@ -6,6 +6,11 @@ language, gives every document's perplexity per character; a document outside it
 and upper perplexity is rejected. Each half of a language's documents (by hash of the text) is
 scored by the model of the other half, so that no document vouches for its own n-grams.
 
+``unit="word"`` takes a model of words, of order 3, instead, and the perplexity per word: n-grams are
+rows of word hashes, counts of both halves stand side by side, every level is a grouping and joins,
+and documents are scored by an equi-join of their n-grams with the model; nothing of it passes the
+driver. The registered query uses it.
+
 All documents are counted: tasks count the n-grams of slices of text, Spark sums them and derives
 continuation counts, discounts and interpolated probabilities by grouping and joins. For scoring,
 the model becomes sorted arrays of 64-bit hashes with log probabilities and back-off weights. An
@@ -365,6 +370,75 @@ def log_perplexities(docs: DataFrame, model: DataFrame, most: int = PACK_ENTRIES
     return once.groupBy("doc_id", "th", "lang").agg((-F.sum("ll") / F.sum("chars")).alias("logppl"))
 
 
+def word_grams(docs: DataFrame) -> DataFrame:
+    """(th, lang, half, w1, w2, w3): hashes of the words of every window, after two start marks
+    and up to the end mark; one row per word and end."""
+    words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "")
+    marks = [F.array(*[F.lit(m).cast("long")] * n) for m, n in ((START, 2), (END, 1))]
+    hashed_words = F.concat(marks[0], F.transform(words, lambda x: F.xxhash64(x)), marks[1])
+    rows = docs.select("th", "lang", "half", hashed_words.alias("a"))
+    windows = F.transform(F.sequence(F.lit(2), F.size("a") - 1), lambda i: F.struct(
+        *[F.get(F.col("a"), i - (3 - n)).alias(f"w{n}") for n in (1, 2, 3)]))
+    return rows.select("th", "lang", "half", F.explode(windows).alias("g")).select("th", "lang", "half", "g.*")
+
+
+def gram_name() -> Column:
+    return F.xxhash64("lang", "w1", "w2", "w3").alias("g")
+
+
+def word_model(docs: DataFrame) -> DataFrame:
+    """(g, l0, l1): for every n-gram of the documents its log probability by the models of either
+    half of its language, null where that half is empty."""
+    w = ["w1", "w2", "w3"]
+    level = materialize(word_grams(docs).groupBy("lang", *w).agg(
+        *[F.count(F.when(F.col("half") == h, 1)).alias(f"c{h}") for h in (0, 1)]), "kn-words-3")
+    levels = {3: level}
+    for k in (2, 1):
+        # continuation counts: words that stand before
+        levels[k] = materialize(levels[k + 1].groupBy("lang", *w[3 - k:]).agg(
+            *[F.count(F.when(F.col(f"c{h}") > 0, 1)).alias(f"c{h}") for h in (0, 1)]), f"kn-words-{k}")
+    counts = None
+    for k, rows in levels.items():
+        for h in (0, 1):
+            part = rows.filter(F.col(f"c{h}") > 0).select(model_key(F.lit(h)), F.lit(k).alias("k"), F.col(f"c{h}").alias("c"))
+            counts = part if counts is None else counts.unionByName(part)
+    d = discounts(counts)
+    for_half = [d.select(F.col("lang").alias("key"), "k", *[F.col(f"d{i}").alias(f"d{i}_{h}") for i in (1, 2, 3)]) for h in (0, 1)]
+    d = materialize(levels[1].select("lang").distinct().crossJoin(docs.sparkSession.range(1, 4).select(F.col("id").cast("int").alias("k")))
+                    .join(for_half[0].withColumnRenamed("k", "k_0"), (F.col("key") == model_key(F.lit(0))) & (F.col("k") == F.col("k_0")), "left").drop("key", "k_0")
+                    .join(for_half[1].withColumnRenamed("k", "k_1"), (F.col("key") == model_key(F.lit(1))) & (F.col("k") == F.col("k_1")), "left").drop("key", "k_1"), "kn-words-d")
+    low = levels[1].groupBy("lang").agg(*[(1 / (F.count(F.when(F.col(f"c{h}") > 0, 1)) + 1)).alias(f"q{h}") for h in (0, 1)])
+    for k in (1, 2, 3):
+        own = ["lang", *w[3 - k:]]
+        # one row per language and level, so it is sent along
+        rows = levels[k].join(F.broadcast(d.filter(F.col("k") == k).drop("k")), "lang")
+        for h in (0, 1):
+            c = F.col(f"c{h}")
+            rows = rows.withColumn(f"d_{h}", F.when(c == 0, 0.0).when(c == 1, F.col(f"d1_{h}")).when(c == 2, F.col(f"d2_{h}")).otherwise(F.col(f"d3_{h}")))
+        rows = rows.select(*own, "c0", "c1", "d_0", "d_1")
+        # written, so that the joins below are between plain inputs and Spark can split a hot word
+        ctx = materialize(rows.groupBy(*own[:-1]).agg(
+            *[F.sum(f"c{h}").alias(f"s{h}") for h in (0, 1)],
+            *[(F.sum(f"d_{h}") / F.nullif(F.sum(f"c{h}"), F.lit(0))).alias(f"b{h}") for h in (0, 1)]), f"kn-words-ctx{k}")
+        rows = rows.join(low, ["lang", *w[4 - k:]]).join(ctx, own[:-1])
+        # a context that the half does not have leaves the lower order
+        p = [F.when(F.col(f"s{h}") > 0, (F.col(f"c{h}") - F.col(f"d_{h}")) / F.col(f"s{h}") + F.col(f"b{h}") * F.col(f"q{h}"))
+             .otherwise(F.col(f"q{h}")) for h in (0, 1)]
+        if k < 3:
+            low = materialize(rows.select(*own, *[p[h].alias(f"q{h}") for h in (0, 1)]), f"kn-words-p{k}")
+    there = levels[1].groupBy("lang").agg(*[(F.sum(f"c{h}") > 0).alias(f"any{h}") for h in (0, 1)])
+    return materialize(rows.join(F.broadcast(there), "lang").select(
+        gram_name(), *[F.when(F.col(f"any{h}"), F.ln(p[h])).alias(f"l{h}") for h in (0, 1)]), "kn-words-model")
+
+
+def word_log_perplexities(docs: DataFrame) -> DataFrame:
+    """(th, lang, logppl): the mean negative log probability per word of distinct texts."""
+    grams = word_grams(docs).select("th", "lang", "half", gram_name())
+    ll = F.when(F.col("half") == 0, F.col("l1")).otherwise(F.col("l0"))
+    # repeats of a text add to the sum and to the number alike
+    return grams.join(word_model(docs), "g").groupBy("th", "lang").agg((-F.avg(ll)).alias("logppl"))
+
+
 def histogram_median(rows: DataFrame, value: str, out: str) -> DataFrame:
     """Per language, the lower median of ``value`` on a grid; the histogram is what is sorted."""
     bins = rows.groupBy("lang", F.floor(F.col(value) * GRID).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -374,7 +448,8 @@ def histogram_median(rows: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, width: float = 6.0, floor: float = 0.05, doc_col: str = "doc_id",
-                  text_col: str = "text", lang_col: str = "lang", pack_entries: int = PACK_ENTRIES) -> DataFrame:
+                  text_col: str = "text", lang_col: str = "lang", pack_entries: int = PACK_ENTRIES,
+                  unit: str = "character") -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, perplexity, lower, upper."""
     src = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"),
@@ -384,9 +459,13 @@ def quality_rules(docs: DataFrame, width: float = 6.0, floor: float = 0.05, doc_
     base = src.select("doc_id", "th", "lang", "text").mapInArrow(_measure, "doc_id long, th long, lang string, n_words long, word_chars long, n_symbols long, "
                                     "n_dup_lines long, n_repeat_words long") \
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    ppl = log_perplexities(src, train(gram_counts(src)), pack_entries)
-    p = ppl.withColumnsRenamed({"doc_id": "i", "th": "t", "lang": "l"})
-    same = base.doc_id.eqNullSafe(p.i) & (base.th == p.t) & (base.lang == p.l)
+    if unit == "word":
+        p = word_log_perplexities(src).withColumnsRenamed({"th": "t", "lang": "l"}).withColumn("i", F.lit(None))
+        same = (base.th == p.t) & (base.lang == p.l)
+    else:
+        ppl = log_perplexities(src, train(gram_counts(src)), pack_entries)
+        p = ppl.withColumnsRenamed({"doc_id": "i", "th": "t", "lang": "l"})
+        same = base.doc_id.eqNullSafe(p.i) & (base.th == p.t) & (base.lang == p.l)
     rows = materialize(base.join(p, same).drop("i", "t", "l"), "kn-scored")
     passed = rows.filter(~F.col("base_failed") & F.col("logppl").isNotNull())
     middle = histogram_median(passed, "logppl", "mid")

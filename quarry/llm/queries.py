@@ -230,4 +230,4 @@ def op1_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_perplexity_rules")
 def op10_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.kn_quality import quality_rules
-    return quality_rules(load(spark, sf_dir, "documents"))
+    return quality_rules(load(spark, sf_dir, "documents"), unit="word")

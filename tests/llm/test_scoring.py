@@ -215,6 +215,36 @@ def test_perplexity_matches_plain(spark, pack_entries):
     assert all(r.base_failed and not r.kept for r in rows if r.n_words < 50)
 
 
+def test_word_perplexity_matches_plain_and_sees_word_order(spark):
+    rng = random.Random(4)
+    # each word stands for one character of the plain model
+    words = {w: chr(0xe000 + i) for i, w in enumerate(["the", "then", "ten", "one", "Ün", "x#", "語", "q"])}
+    docs = [(i, " ".join(rng.choice(list(words)[:7]) for _ in range(rng.randint(0, 40))), rng.choice(["a", "b", None])) for i in range(40)]
+    docs += [(50, None, "a"), (51, "", "b"), (None, "the \n one", "a"), (3, *docs[3][1:]), (3, *docs[3][1:]), (52, "q", "lonely")]
+    rows = kn_quality.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string"), unit="word").collect()
+    half = dict(spark.createDataFrame({(t or "",) for _, t, _ in docs}, "t string")
+                .select("t", F.pmod(F.xxhash64("t"), F.lit(2))).collect())
+    coded = lambda t: "".join(words[w] for w in (t or "").split())
+    models = {(g, h): plain.KneserNey([coded(t) for _, t, lang in docs if (lang or "") == g and half[t or ""] == h], order=3)
+              for g in ("a", "b", "", "lonely") for h in (0, 1)}
+    other = lambda t, lang: models[lang or "", 1 - half[t or ""]]
+    want = sorted(((i, len((t or "").split()), other(t, lang).mean_nll(coded(t)) if other(t, lang).v > 1 else None)
+                   for i, t, lang in docs), key=str)
+    got = sorted(((r.doc_id, r.n_words, None if r.perplexity is None else math.log(r.perplexity)) for r in rows), key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and any(g[2] is None for g in got)
+    assert all(a[2] is b[2] or abs(a[2] - b[2]) < 1e-6 for a, b in zip(got, want))
+    # the same words in another order are less likely
+    names = [f"{a}{b}" for a in "kstmn" for b in "aeiou"]
+    texts = [" ".join(names[(s + 7 * i) % 25] for i in range(80)) for s in range(25) for _ in range(4)]
+    shuffled = texts[0].split()
+    rng.shuffle(shuffled)
+    docs = [(i, f"{t} {names[i % 25]}", "a") for i, t in enumerate(texts)] + [(900, " ".join(shuffled), "a")]
+    rows = {r.doc_id: r for r in kn_quality.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string"), unit="word").collect()}
+    assert rows[900].perplexity > 2 * max(rows[i].perplexity for i in range(100))
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert kn_quality.quality_rules(empty, unit="word").collect() == []
+
+
 def test_probabilities_sum_to_one():
     m = plain.KneserNey(["the then one", "ten then the"])
     for ctx in ("\x02\x02\x02\x02", "the ", "xyzq"):
