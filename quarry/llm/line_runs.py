@@ -36,15 +36,17 @@ def _key(doc_col: str, text_col: str) -> list[Column]:
             F.xxhash64(F.col(text_col).cast("string")).alias("th")]
 
 
-def line_sequences(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """(id, th, pos, line_no, h1, h2): one row per line that is not blank; pos counts those."""
+def line_sequences(docs: DataFrame, doc_col: str, text_col: str, count_words: bool = False) -> DataFrame:
+    """(id, th, pos, line_no, h1, h2): one row per line that is not blank; pos counts those.
+    ``count_words`` adds n_words, the line's runs of characters that are not white space."""
+    n_words = [F.size(F.filter(F.split("s.line", "[ \\t\\r\\f\\x0B]+"), lambda w: w != "")).alias("n_words")] if count_words else []
     lines = F.filter(
         F.transform(F.split(F.col(text_col).cast("string"), "\n", -1),
                     lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))),
         lambda s: s["line"].rlike("[^ \\t\\r\\f\\x0B]"))
     rows = docs.select(*_key(doc_col, text_col), F.posexplode(lines).alias("pos", "s")).select(
         *_KEY, "pos", F.col("s.line_no").alias("line_no"), F.xxhash64("s.line").alias("h1"),
-        F.xxhash64(F.lit(1), F.col("s.line")).alias("h2"))
+        F.xxhash64(F.lit(1), F.col("s.line")).alias("h2"), *n_words)
     # rows that repeat id and text say the same
     return rows.dropDuplicates([*_KEY, "pos"])
 
@@ -64,10 +66,12 @@ def doubled(rows: DataFrame, by: int) -> DataFrame:
     return rows.join(on, [*_KEY, "pos"])
 
 
-def suffix_ranks(docs: DataFrame, min_lines: int, doc_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def suffix_ranks(docs: DataFrame, min_lines: int, doc_col: str, text_col: str,
+                 count_words: bool = False) -> tuple[DataFrame, DataFrame]:
     """(repeated lines, suffixes that share their first ``min_lines`` lines with another), the
     latter with the rank that names their interval."""
-    ranks = lines = materialize(rank_pairs(line_sequences(docs, doc_col, text_col), "h1", "h2"), "lines-1")
+    lines = materialize(rank_pairs(line_sequences(docs, doc_col, text_col, count_words), "h1", "h2"), "lines-1")
+    ranks = lines.drop("n_words")
     covered = 1
     while covered < min_lines:
         step = min(covered, min_lines - covered)
@@ -76,11 +80,20 @@ def suffix_ranks(docs: DataFrame, min_lines: int, doc_col: str, text_col: str) -
     return lines, ranks
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = 2, doc_col: str = "doc_id",
-                  text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def later_long_lines(lines: DataFrame, line_words: int) -> DataFrame:
+    """(id, th, pos) of repeated lines of at least ``line_words`` words but for each one's earliest copy."""
+    place = F.struct(*_KEY, "pos")
+    long = lines.filter(F.col("n_words") >= line_words)
+    # written, so that the join below is between two plain inputs and Spark can split a hot line
+    first = materialize(long.groupBy("rank").agg(F.min(place).alias("first")), "lines-long")
+    return long.join(first, "rank").filter(place > F.col("first")).select(*_KEY, "pos")
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = 2, doc_col: str = "doc_id", text_col: str = "text",
+                  count_words: bool = False) -> tuple[DataFrame, DataFrame]:
     """(repeated lines, maximal runs). A run is a later copy: id, th, pos, n_lines, and where its
-    earliest copy starts (first_id, first_th, first_pos)."""
-    lines, suffixes = suffix_ranks(docs, min_lines, doc_col, text_col)
+    earliest copy starts (first_id, first_th, first_pos). ``count_words``: the lines have n_words."""
+    lines, suffixes = suffix_ranks(docs, min_lines, doc_col, text_col, count_words)
     place = F.struct(*_KEY, "pos")
     # written, so that the join below is between two plain inputs and Spark can split a hot interval
     first = materialize(suffixes.groupBy("rank").agg(F.min(place).alias("first")), "lines-first")
@@ -96,12 +109,16 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, doc_col: str = "doc_id",
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 2, doc_col: str = "doc_id", text_col: str = "text",
-               counts: tuple[str, str] | None = None) -> DataFrame:
+               counts: tuple[str, str] | None = None, line_words: int | None = None) -> DataFrame:
     """``docs`` with the lines of later copies deleted from ``text_col``; ``counts`` names columns
-    for the number of lines and of deleted lines."""
-    lines, runs = repeated_runs(docs, min_lines, doc_col, text_col)
+    for the number of lines and of deleted lines. With ``line_words``, a later copy of one line of
+    at least so many words is deleted too, whatever its neighbours are."""
+    lines, runs = repeated_runs(docs, min_lines, doc_col, text_col, line_words is not None)
     gone = runs.select(*_KEY, F.explode(F.sequence(F.col("pos"), (F.col("pos") + F.col("n_lines") - 1).cast("int")))
-                       .alias("pos")).distinct()
+                       .alias("pos"))
+    if line_words is not None:
+        gone = gone.unionByName(later_long_lines(lines, line_words))
+    gone = gone.distinct()
     removed = gone.join(lines.select(*_KEY, "pos", "line_no"), [*_KEY, "pos"]) \
         .groupBy(*_KEY).agg(F.collect_list("line_no").alias("__gone"))
     key = [c.alias(f"__{n}") for c, n in zip(_key(doc_col, text_col), _KEY)]

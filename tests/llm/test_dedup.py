@@ -41,6 +41,17 @@ def test_line_runs_edges(spark):
     assert line_dedup(df.limit(0), 2).collect() == []
 
 
+def test_long_single_lines(spark):
+    passage, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(49))
+    docs = [(1, f"a\n{passage}\nb\n{short}"), (2, f"c\n{passage}\nd\n{short}\ne"), (3, passage), (4, short), (5, f"{passage}\nb"),
+            (6, f"f\n\n{passage}\n{passage}\n"), (None, f" {passage}")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    out = {r.doc_id: (r.text, r.gone) for r in line_dedup(df, 2, counts=("n", "gone"), line_words=50).collect()}
+    assert out == {1: (docs[0][1], 0), 2: (f"c\nd\n{short}\ne", 1), 3: ("", 1), 4: (short, 0), 5: ("", 2), 6: ("f\n\n", 2),
+                   None: (f" {passage}", 0)}
+    assert {r.doc_id: r.text for r in line_dedup(df, 2).collect()} == plain.line_runs(docs, 2)
+
+
 def test_maximal_runs(spark):
     body = [f"line number {i}" for i in range(20)]
     docs = [(1, "\n".join(body)), (2, "\n".join(["front", *body[4:15], "back"]))]
