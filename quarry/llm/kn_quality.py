@@ -19,7 +19,9 @@ pack is broadcast in turn and adds the log-likelihood of the positions after its
 the model may be larger than what a task holds.
 
 Bands: per language, the median log-perplexity of the documents that pass the base rules, plus and
-minus ``width`` times the normalised median absolute deviation, from histograms of steps 1/200.
+minus ``width`` times the normalised median absolute deviation, from histograms of steps 1/200. With
+``good`` documents the lower and the upper width are calibrated: so narrow that at most ``tail`` of
+those that pass the base rules lie beyond that side, all languages together.
 
 Defined results: null and empty texts have no words and fail the base rules; a null language is a
 language of its own; where the other half of a language is empty there is no perplexity and the
@@ -447,11 +449,30 @@ def histogram_median(rows: DataFrame, value: str, out: str) -> DataFrame:
     return cum.filter("2 * upto >= total").groupBy("lang").agg(((F.min("bin") + 0.5) / GRID).alias(out))
 
 
+def widths(rows: DataFrame, tail: float, most: float = 20.0) -> tuple[float, float] | None:
+    """The deviations below and above the median beyond which at most ``tail`` of the rows' ``z``
+    lie, on a grid; None without rows. Of the bins, at most 2 * ``most`` * GRID come to the driver."""
+    z = F.greatest(F.lit(-most), F.least(F.lit(most), F.col("z")))
+    bins = sorted(rows.groupBy(F.floor(z * GRID).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in bins)
+    if not total:
+        return None
+
+    def edge(order):
+        upto = 0
+        for b, n in order:
+            upto += n
+            if upto > tail * total:
+                return b
+    return -edge(bins) / GRID, (edge(bins[::-1]) + 1) / GRID
+
+
 def quality_rules(docs: DataFrame, width: float = 6.0, floor: float = 0.05, doc_col: str = "doc_id",
                   text_col: str = "text", lang_col: str = "lang", pack_entries: int = PACK_ENTRIES,
-                  unit: str = "character") -> DataFrame:
+                  unit: str = "character", good: DataFrame | None = None, tail: float = 0.02) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, perplexity, lower, upper."""
+    base_failed, kept, perplexity, lower, upper. ``good``: the ids (doc_id) of documents known to be
+    good; where some of them pass the base rules, they set the width of either side."""
     src = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"),
                       F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")) \
@@ -470,8 +491,14 @@ def quality_rules(docs: DataFrame, width: float = 6.0, floor: float = 0.05, doc_
     passed = rows.filter(~F.col("base_failed") & F.col("logppl").isNotNull())
     middle = histogram_median(passed, "logppl", "mid")
     spread = histogram_median(passed.join(middle, "lang").withColumn("dev", F.abs(F.col("logppl") - F.col("mid"))), "dev", "mad")
-    reach = F.greatest(F.lit(float(floor)), width * 1.4826 * F.col("mad"))
-    bands = middle.join(spread, "lang").select("lang", (F.col("mid") - reach).alias("lo"), (F.col("mid") + reach).alias("hi"))
+    scale = materialize(middle.join(spread, "lang").select("lang", "mid", (1.4826 * F.col("mad")).alias("dev")), "kn-scale")
+    below = above = width
+    if good is not None:
+        known = passed.join(good.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+        below, above = widths(known.join(scale, "lang").select(
+            ((F.col("logppl") - F.col("mid")) / F.col("dev")).alias("z")), tail) or (width, width)
+    reach = [F.greatest(F.lit(float(floor)), x * F.col("dev")) for x in (below, above)]
+    bands = scale.select("lang", (F.col("mid") - reach[0]).alias("lo"), (F.col("mid") + reach[1]).alias("hi"))
     return rows.join(bands, "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("logppl").between(F.col("lo"), F.col("hi")), F.lit(True))).alias("kept"),

@@ -229,5 +229,10 @@ def op1_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_perplexity_rules")
 def op10_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands calibrated on the good documents outside the held-out fold."""
+    from pyspark.sql import functions as F
+
     from quarry.llm.kn_quality import quality_rules
-    return quality_rules(load(spark, sf_dir, "documents"), unit="word")
+    from quarry.llm.quality_mil import held_out
+    good = load(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id")
+    return quality_rules(load(spark, sf_dir, "documents"), unit="word", good=good, tail=0.02)

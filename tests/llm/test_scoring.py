@@ -263,6 +263,26 @@ def test_bands_reject_outliers(spark):
     assert sum(rows[i].kept for i in range(200)) >= 199
 
 
+def test_calibrated_bands_reject_moderate_junk(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+
+    def text(junk=0.0):
+        # a word is followed by one of five; junk puts a symbol in its place
+        w, out = 0, []
+        for _ in range(120):
+            w = (7 * w + rng.randint(1, 5)) % 400
+            out.append(rng.choice(["***", "%%%", "&&&"]) if rng.random() < junk else words[w])
+        return " ".join(out)
+
+    docs = [(i, text(), "a") for i in range(300)] + [(900 + i, text(0.06), "a") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(i,) for i in range(0, 300, 2)], "doc_id long")
+    kept = {r.doc_id: r.kept for r in kn_quality.quality_rules(df, unit="word", good=good).collect()}
+    assert not any(kept[i] for i in range(900, 905))
+    assert sum(kept[i] for i in range(1, 300, 2)) >= 135 and sum(kept[i] for i in range(0, 300, 2)) >= 144
+
+
 def test_perplexity_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert kn_quality.quality_rules(df).collect() == []
