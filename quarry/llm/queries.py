@@ -236,3 +236,12 @@ def op10_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality_mil import held_out
     good = load(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id")
     return quality_rules(load(spark, sf_dir, "documents"), unit="word", good=good, tail=0.02)
+
+
+@query("op13_best_fit_packing")
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm.packing import pack
+    return pack(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"),
+                size=2048, end_id=0, columns=[F.crc32("ids").alias("ids_crc32")])
