@@ -245,3 +245,57 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack
     return pack(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"),
                 size=2048, end_id=0, columns=[F.crc32("ids").alias("ids_crc32")])
+
+
+_RUN_WORDS = """[x for x in regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+') if x <> '']"""
+# crc32 of the decimal id: the bits of its bytes, lowest first, go through the reversed polynomial
+_CRC = """xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), flatten([[cast((ascii(c) >> k) & 1 as bigint)
+    for k in range(8)] for c in string_split(cast(doc_id as varchar), '')])),
+  lambda c, b: xor(c >> 1, (xor(c, b) & 1) * cast(3988292384 as bigint))))"""
+
+
+@query("op12_periodic_runs", f"""
+with d0 as (select row_number() over () as r, doc_id, {_RUN_WORDS} as w, case when doc_id is null then 1 else {_CRC} end as h
+  from documents),
+d1 as (select *, len(w) as n, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a, h // 10 as g from d0),
+d2 as (select r, doc_id, n, w, a, 1 + (n - a) // (3 + g % 8) as p from d1),
+d as (select r, doc_id, n, case when a is null then w else
+  [w[1 + case when i < a then i else a + (i - a) % p end] for i in range(n)] end as w from d2),
+s as (select r, n, unnest(range(n - 4)) as i, unnest([array_to_string(w[j + 1:j + 5], ' ') for j in range(n - 4)]) as five
+  from d where n >= 6),
+m as (select x.r, x.n, x.i, x.i - y.i as lag from s x join s y on x.r = y.r and x.five = y.five and y.i < x.i
+  and 4 * (x.i - y.i) <= x.n),
+g as (select r, lag, min(i) - lag as start, count(*) + 4 + lag as length
+  from (select r, lag, i, i - row_number() over (partition by r, lag order by i) as k from m) group by r, lag, k),
+q as (select r, start, length, min(lag) as period from g where length >= greatest(6, 4 * lag) group by r, start, length),
+best as (select r, start, length, period from q t
+  where not exists (select 1 from q o where o.r = t.r and (o.length * t.period > t.length * o.period
+    or o.length * t.period = t.length * o.period and (o.start < t.start or o.start = t.start and o.period < t.period)))),
+many as (select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed
+  from q group by r),
+gone as (select r, list(distinct i) as gone from (select r, unnest(range(start + period, start + length)) as i from q) group by r)
+select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, (1000 * length) // period as exponent_milli,
+  sha256(coalesce(listed, '')) as runs_sha256,
+  sha256(coalesce(array_to_string(case when gone is null then w else
+    [w[i + 1] for i in range(n) if not list_contains(gone, i)] end, ' '), '')) as collapsed_sha256
+from d left join many using (r) left join best using (r) left join gone using (r)
+""")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents as the contract rewrites them: from word ``a`` on, those whose id
+    hashes to a multiple of 10 repeat the ``p`` words there."""
+    from pyspark.sql import functions as F
+
+    from quarry.llm.periodic_runs import periodic_runs, strongest
+    docs = load(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.expr("crc32(cast(cast(doc_id as string) as binary))").alias("h"))
+    words = docs.withColumn("w", F.expr(r"case when h % 10 = 0 then array_remove(split(text, '[ \\x09-\\x0D]+'), '') end"))
+    sizes = words.withColumn("n", F.expr("cast(size(w) as bigint)")).withColumn("a", F.expr("(h div 10) % n"))
+    period = sizes.withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    text = F.expr("""case when n > 0 then array_join(slice(concat(slice(w, 1, int(a)),
+        flatten(array_repeat(slice(w, int(a + 1), int(p)), int((n - a + p - 1) div p)))), 1, int(n)), ' ') else text end""")
+    runs = periodic_runs(period.select("doc_id", text.alias("text"))).withColumn("best", strongest("runs"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+                       F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+                       F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
