@@ -299,3 +299,28 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
                        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op11_collocations", """
+with t as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+p as (select lang, [x for x in regexp_split_to_array(piece, '[ \\t]+') if x <> ''] as w from t),
+g as (select lang, m, phrase, count(*) as f from (select lang, m, unnest([array_to_string(w[i + 1:i + m], ' ')
+    for i in range(len(w) - m + 1)]) as phrase from p, (values (1), (2), (3), (4)) v(m) where len(w) >= m) group by all),
+n as (select lang, cast(sum(f) as bigint) as n from g where m = 1 group by lang),
+c as (select *, string_split(phrase, ' ') as w from g where f >= 30),
+cut as (select x.lang, x.m, x.phrase, x.f as a, k, h.f as l, r.f as r,
+    cast((cast(2000000 as hugeint) * x.f) // (h.f + r.f) as bigint) as score
+  from (select *, unnest(range(1, m)) as k from c where m > 1) x
+  join c h on h.lang = x.lang and h.phrase = array_to_string(x.w[1:k], ' ')
+  join c r on r.lang = x.lang and r.phrase = array_to_string(x.w[k + 1:], ' ')),
+low as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as o from cut) where o = 1),
+part as (select lang, phrase, max(f) as longer from (select lang, f, unnest([array_to_string(w[i + 1:i + s], ' ')
+    for i in range(m - s + 1)]) as phrase from c, (values (2), (3)) v(s) where s < m) group by lang, phrase),
+best as (select low.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+  from low left join part using (lang, phrase) where longer is null or 100 * longer < 80 * a)
+select lang, rank, phrase, a, l, r, n, score from best join n using (lang) where rank <= 2000
+""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.collocations import collocations
+    return collocations(load(spark, sf_dir, "documents").select("lang", "text"), least=30, most=2000)
