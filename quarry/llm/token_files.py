@@ -15,7 +15,6 @@ files without rows; columns other than the two named ones are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,103 +24,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.byte_bpe import BatchEncoder, batch_encoder
 from quarry.llm.common import arrow_slices
 
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
-# Encodings remembered per Python worker and generation; the last two generations are kept.
-CACHE_ENTRIES = 300_000
 
-# A space before one of these cannot start a new pre-token.
-_SPACE_BEFORE_SPACE = re.compile(r" (?=\s|$)")
-_WORD_SPACE = re.compile(r" (?=\S)")
-
-
-class CachedEncoder:
-    """Byte-level BPE of whole texts by the tokenizers library, each distinct word once.
-
-    The pre-tokenizer never joins characters across a space that is followed by a non-space
-    character. So the ids of a text are the ids of the stretches between such places, which are
-    remembered; unseen ones go to the library. A key is a stretch without the space before it; a
-    stretch with no space before it has one in its key, with which no other key starts.
-    """
-
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        # strings of special tokens inside a document are ordinary text
-        self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
-        self.spaced[[i for t, i in vocab.items() if t[:1] == "\u0120"]] = True   # byte-level form of a space
-        self.entries = entries
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _learn(self, keys: list[str]) -> None:
-        """Encode stretches together, as a text: each starts at a token with a space."""
-        known = self.known
-        plain = [k for k in keys if " " not in k]
-        for a in range(0, len(plain), 1000):
-            part = plain[a:a + 1000]
-            ids = self._ids(" " + " ".join(part))
-            starts = np.flatnonzero(self.spaced[ids]).tolist()
-            raw = ids.tobytes()
-            for k, i, j in zip(part, starts, [*starts[1:], len(ids)]):
-                known[k] = raw[4 * i:4 * j]
-        for k in keys:
-            if " " in k:
-                known[k] = self._ids(k[1:] if k[0] == " " else " " + k).tobytes()
+class CachedEncoder(BatchEncoder):
+    """``BatchEncoder`` for lists of texts."""
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = []
-        for t in texts:
-            t = t or ""
-            parts = _WORD_SPACE.split(t) if _SPACE_BEFORE_SPACE.search(t) else t.split(" ")
-            parts[0] = " " + parts[0]
-            split.append(parts)
-        if len(self.known) > self.entries:
-            self.old, self.known = self.known, {}
-        new = set().union(*split).difference(self.known)
-        kept = new.intersection(self.old)
-        self.known.update((k, self.old[k]) for k in kept)
-        self._learn(list(new - kept))
-        look = self.known.__getitem__
-        return [b"".join(map(look, parts)) for parts in split]
-
-
-_ENCODERS: dict[str, CachedEncoder] = {}
-
-
-def encoder(path: str) -> CachedEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
-    return _ENCODERS[path]
+        ids, rows = self.encode(pa.array(texts, pa.string()))
+        data = ids.astype("<u4").tobytes()
+        return [data[4 * a:4 * b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist())]
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = batch_encoder(path)
         part = TaskContext.get().partitionId()
         before = 0
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for a, b in arrow_slices(column):
-                rows = enc.encode_bytes(column.slice(a, b - a).to_pylist())
-                sizes = np.fromiter((len(r) // 4 + 1 for r in rows), np.int64, b - a)
-                ends = np.cumsum(sizes)
-                flat = np.frombuffer(b"".join(x for r in rows for x in (r, end)), dtype="<i4")
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                flat, rows = enc.encode(column.slice(a, b - a))
+                flat = np.insert(flat, rows[1:], end_id).astype(np.int32)
+                ends = rows[1:] + np.arange(1, b - a + 1)
+                sizes = np.diff(ends, prepend=0)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array(np.full(b - a, part, np.int32)),
                      pa.array(before + ends - sizes), pa.array(sizes.astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                     pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))],
                     names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
                 before += int(ends[-1])
     return run
