@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Encodings remembered per Python worker; longer stretches are not remembered.
-CACHE_ENTRIES = 300_000
+# Encodings remembered per Python worker and generation, of which the last two are kept; longer
+# stretches are not remembered.
+CACHE_ENTRIES = 500_000
 CACHE_BYTES = 64
 
 
@@ -76,6 +77,7 @@ class BatchEncoder:
         self.spaced[[i for t, i in vocab.items() if t[:1] == "Ġ"]] = True   # byte-level form of a space
         self.entries = entries
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _learn(self, keys: list[bytes]) -> None:
         known = self.known
@@ -107,10 +109,14 @@ class BatchEncoder:
         coded = byte_strings(raw, starts).dictionary_encode()
         which, keys = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
         if len(self.known) > self.entries:
-            self.known = {}
+            self.old, self.known = self.known, {}
         new = [k for k in keys if k not in self.known]
+        if self.old:
+            kept = [k for k in new if k in self.old]
+            self.known.update(zip(kept, map(self.old.__getitem__, kept)))
+            new = [k for k in new if k not in self.old]
         self._learn(new)
-        found = [self.known[k] for k in keys]
+        found = list(map(self.known.__getitem__, keys))
         for k in new:
             if len(k) > CACHE_BYTES:
                 del self.known[k]
