@@ -40,3 +40,16 @@ def arrow_slices(texts: pa.Array, most: int = SLICE_BYTES):
         b = max(a + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield a, b
         a, before = b, int(ends[b - 1])
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """Each name behind as many underscores (two at least) as it takes that no column has it,
+    whatever the case of its letters."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        name = "__" + name
+        while name.lower() in used:
+            name = "_" + name
+        out.append(name)
+    return out

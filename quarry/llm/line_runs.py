@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import free_names, materialize
 from quarry.plans.prefix import running_sums
 
 # Line ids are two 64-bit hashes of the line.
@@ -119,15 +119,17 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, doc_col: str = "doc_id", tex
     if line_words is not None:
         gone = gone.unionByName(later_long_lines(lines, line_words))
     gone = gone.distinct()
+    names = [*docs.columns, *(counts or ())]
+    id_, th, split, cut = free_names(names, "id", "th", "lines", "gone")
     removed = gone.join(lines.select(*_KEY, "pos", "line_no"), [*_KEY, "pos"]) \
-        .groupBy(*_KEY).agg(F.collect_list("line_no").alias("__gone"))
-    key = [c.alias(f"__{n}") for c, n in zip(_key(doc_col, text_col), _KEY)]
-    split = docs.select("*", *key, F.split(F.col(text_col).cast("string"), "\n", -1).alias("__lines")).drop(text_col)
-    joined = split.join(removed.withColumnsRenamed({n: f"__{n}" for n in _KEY}), ["__id", "__th"], "left")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")),
-                       lambda i: F.get(F.col("__lines"), i))
-    text = F.array_join(F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(left), "\n")
+        .groupBy(*_KEY).agg(F.collect_list("line_no").alias(cut)).withColumnsRenamed({"id": id_, "th": th})
+    key = [c.alias(n) for c, n in zip(_key(doc_col, text_col), (id_, th))]
+    own = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    parts = docs.select(*own, *key, F.split(F.col(text_col).cast("string"), "\n", -1).alias(split))
+    joined = parts.join(removed, [id_, th], "left")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(cut)), lambda i: F.get(F.col(split), i))
+    text = F.array_join(F.when(F.col(cut).isNull(), F.col(split)).otherwise(left), "\n")
     extra = [] if counts is None else [
-        F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias(counts[0]),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(counts[1])]
+        F.when(F.col(split).isNull(), 0).otherwise(F.size(split)).cast("long").alias(counts[0]),
+        F.coalesce(F.size(cut), F.lit(0)).cast("long").alias(counts[1])]
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *extra)

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.byte_bpe import byte_strings, text_bytes
 from quarry.llm.common import arrow_slices
+from quarry.llm.words import Words
 
 RUN = "struct<start: bigint, length: bigint, period: bigint>"
 SCHEMA = f"doc_id long, n_words long, runs array<{RUN}>, collapsed string"
@@ -43,40 +43,6 @@ SCHEMA = f"doc_id long, n_words long, runs array<{RUN}>, collapsed string"
 PAIRS = 1_000_000
 
 
-class Words:
-    """The words of the rows of one slice: ``ids`` (equal words have equal ids), ``rows`` (where the
-    words of each row begin and end), and their bytes."""
-
-    def __init__(self, texts: pa.Array):
-        raw, at = text_bytes(texts)
-        solid = ~((raw == 0x20) | ((raw >= 0x09) & (raw <= 0x0D)))
-        begin = solid.copy()
-        if len(raw):
-            new_row = np.zeros(len(raw) + 1, bool)
-            new_row[at] = True
-            begin[1:] &= ~solid[:-1] | new_row[1:-1]
-        places = np.flatnonzero(begin)
-        self.rows = np.searchsorted(places, at)
-        self.bytes = raw[solid]
-        starts = (np.cumsum(solid) - 1)[places] if len(places) else np.zeros(0, np.int64)
-        self.sizes = np.diff(np.append(starts, len(self.bytes)))
-        coded = byte_strings(self.bytes, starts).dictionary_encode()
-        self.ids = coded.indices.to_numpy(zero_copy_only=False)
-
-    def joined(self, keep: np.ndarray) -> pa.Array:
-        """The kept words of each row, joined by one space."""
-        row = np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))[keep]
-        sizes = self.sizes[keep]
-        per_row = np.bincount(row, minlength=len(self.rows) - 1)
-        rows_before = np.cumsum(per_row > 0) - (per_row > 0)
-        spaces = np.arange(len(row)) - rows_before[row]
-        out = np.full(int(sizes.sum() + np.maximum(per_row - 1, 0).sum()), 0x20, np.uint8)
-        out[np.arange(int(sizes.sum())) + np.repeat(spaces, sizes)] = self.bytes[np.repeat(keep, self.sizes)]
-        bytes_per_row = np.bincount(row, weights=sizes, minlength=len(self.rows) - 1).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(bytes_per_row + np.maximum(per_row - 1, 0))]).astype(np.int64)
-        return pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(out)])
-
-
 class Search:
     """Runs of all rows of a slice. Positions are numbered over the whole slice; ``lo`` and ``hi``
     of a position are the first word of its row and the first of the next one."""

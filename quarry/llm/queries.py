@@ -173,27 +173,36 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op7_unit_dedup", """
-with l as (select doc_id, i, line, [w for w in regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\f\\v]+') if w <> ''] as w
-  from (select doc_id, unnest(range(len(x))) as i, unnest(x) as line
-    from (select doc_id, string_split(text, chr(10)) as x from documents))),
-p as (select *, sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 as pos from l),
-r as (select *, array_to_string(w, ' ') as k from p),
-f as (select doc_id, i, pos, first_value(doc_id) over o as kept_id, first_value(pos) over o as kept_pos, row_number() over o as n
-  from r where len(w) >= 5 window o as (partition by k order by doc_id, pos)),
-g as (select doc_id, list(i) as gone, string_agg(cast(pos as varchar) || ':' || cast(kept_id as varchar) || ':'
-    || cast(kept_pos as varchar), ',' order by pos) as removed from f where n > 1 group by doc_id)
-select doc_id, cast(coalesce(len(gone), 0) as bigint) as n_removed, coalesce(removed, '') as removed,
-  case when gone is null then text else coalesce(array_to_string(list_transform(list_filter(range(len(string_split(text, chr(10)))),
-    lambda i: not list_contains(gone, i)), lambda i: string_split(text, chr(10))[i + 1]), chr(10)), '') end as text
-from documents left join g using (doc_id)
+with d as (select row_number() over () as r, doc_id, text as raw, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]*[^ \\t\\n\\x0B\\f\\r]+') as tok from documents),
+w as (select r, doc_id, len(tok) as n, length(text) as chars, unnest(range(1, len(tok) + 1)) as i, unnest(tok) as t from d),
+p as (select r, doc_id, n, chars, i, translate(regexp_replace(t, '^[ \\t\\n\\x0B\\f\\r]+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as word,
+    sum(length(t)) over (partition by r order by i) as upto from w),
+q as (select *, upto - length(word) as start from p),
+k as (select r, list(word order by i) as words, list(start order by i) as starts from q group by r),
+u as (select q.r, doc_id, start, case when i + 20 > n then chars else starts[i + 20] end as stop,
+    array_to_string(list_slice(words, i, i + 19), ' ') as unit
+  from q join k on k.r = q.r where i + 19 <= n and md5(word)[1] in ('0', '1')),
+f as (select *, first_value(doc_id) over o as kept_id, first_value(start) over o as kept_from, first_value(stop) over o as kept_stop,
+    first_value(r) over o as kept_r, row_number() over o as nth from u window o as (partition by unit order by doc_id, r, start)),
+gone as (select * from f where nth > 1 and not (r = kept_r and start < kept_stop)),
+g as (select r, count(*) as n, string_agg(start || ':' || kept_id || ':' || kept_from, ',' order by start, stop, kept_id, kept_from) as removed from gone group by r),
+m as (select r, start, stop, max(stop) over (partition by r order by start, stop rows between unbounded preceding and 1 preceding) as before from gone),
+isl as (select r, start, stop, sum(case when before is null or start > before then 1 else 0 end) over (partition by r order by start, stop) as s from m),
+rng as (select r, min(start) as a, max(stop) as b from isl group by r, s),
+cut as (select r, a, lag(b, 1, 0) over (partition by r order by a) as prev, max(b) over (partition by r) as last from rng),
+piece as (select cut.r, any_value(last) as last, string_agg(substring(text, cast(prev as bigint) + 1, cast(a - prev as bigint)), '' order by a) as head
+  from cut join d on d.r = cut.r group by cut.r)
+select doc_id, cast(coalesce(g.n, 0) as bigint) as n_removed, coalesce(removed, '') as removed,
+  case when g.n is null then raw else head || substring(d.text, cast(last as bigint) + 1) end as text
+from d left join g on g.r = d.r left join piece on piece.r = d.r
 """)
 def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removed units as ``offset:kept document:offset there``, and the text that is left."""
+    """Removed passages as ``offset:kept document:offset there``, and the text that is left."""
     from pyspark.sql import functions as F
 
-    from quarry.llm.unit_dedup import unit_dedup
-    rows = unit_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"), unit="line", min_words=5)
+    from quarry.llm.unit_dedup import passage_dedup
+    rows = passage_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"), words=20, one_in=8)
     return rows.select("doc_id", F.size("removed").cast("long").alias("n_removed"),
                        F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["from"], s["kept_id"], s["kept_from"])),
                                     ",").alias("removed"), "text")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_slices, materialize
+from quarry.llm.common import arrow_slices, free_names, materialize
 from quarry.llm.components import connected_components
 
 BITS = 64
@@ -302,15 +302,16 @@ def one_per_component(docs: DataFrame, k: int = 3, distance: int = 3, doc_col: s
                       text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component of the rows' fingerprints: the smallest id (null is
     last), then text hash, then hash of the row. Rows are judged one by one, whatever ids they share."""
-    key = ["__id", "__th", "__row"]
-    rows = docs.select("*", F.col(doc_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__th"),
-                       F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    fps = materialize(fingerprints(rows, k, doc_col, text_col, ("__th", "__row")), "simhash-rows")
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("__id"), "__th", "__row")
+    key = free_names(docs.columns, "id", "th", "row")
+    id_, th, row = key
+    rows = docs.select("*", F.col(doc_col).cast("long").alias(id_), F.xxhash64(F.col(text_col).cast("string")).alias(th),
+                       F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    fps = materialize(fingerprints(rows, k, doc_col, text_col, (th, row)), "simhash-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias(id_), th, row)
     classes = materialize(fps.groupBy("fp").agg(F.min(place).alias("first")), "simhash-classes")
-    stay = labelled(classes, distance).groupBy("label").agg(F.min("first").alias("first")).select(*[f"first.{c}" for c in key])
-    stay = stay.withColumnsRenamed({c: f"{c}_stays" for c in key})
-    same = rows["__id"].eqNullSafe(stay["__id_stays"]) & (rows["__th"] == stay["__th_stays"]) & (rows["__row"] == stay["__row_stays"])
+    stay = labelled(classes, distance).groupBy("label").agg(F.min("first").alias("first")).select(
+        *[F.col("first")[c].alias(f"{c}_stays") for c in key])
+    same = rows[id_].eqNullSafe(stay[f"{id_}_stays"]) & (rows[th] == stay[f"{th}_stays"]) & (rows[row] == stay[f"{row}_stays"])
     # rows that are equal in every column have the same key
     return rows.join(stay, same, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in docs.columns])
 

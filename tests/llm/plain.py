@@ -34,9 +34,10 @@ def simhash(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def line_runs(docs, m):
-    """docs: (id, text) in order, ids distinct; the texts without later copies of m-line runs."""
-    seen, out = set(), {}
+def line_runs(docs, m, line_words=None):
+    """docs: (id, text) in order, ids distinct; the texts without later copies of m-line runs, and
+    with ``line_words`` without later copies of lines of so many words."""
+    seen, long, out = set(), set(), {}
     for i, text in sorted(docs, key=lambda d: (d[0] is not None, d[0])):
         if text is None:
             out[i] = None
@@ -49,6 +50,11 @@ def line_runs(docs, m):
             if w in seen:
                 gone.update(at[p:p + m])
             seen.add(w)
+        for n in at:
+            if line_words is not None and len(re.split(r"[ \t\r\f\v]+", lines[n].strip(" \t\r\f\v"))) >= line_words:
+                if lines[n] in long:
+                    gone.add(n)
+                long.add(lines[n])
         out[i] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
     return out
 

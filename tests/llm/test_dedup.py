@@ -1,6 +1,8 @@
 """Line runs (2), SimHash (5) and unit dedup (7) against plain versions."""
 
+import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm import components, simhash
 from quarry.llm.line_runs import line_dedup, repeated_runs
-from quarry.llm.unit_dedup import unit_dedup, units
+from quarry.llm.simhash import one_per_component
+from quarry.llm.unit_dedup import passage_dedup, unit_dedup, units
 from tests.llm import plain
 
 SCHEMA = "doc_id long, text string"
@@ -175,3 +178,73 @@ def test_unit_dedup_edges(spark):
     got = sorted(((r.doc_id, r.text, len(r.removed)) for r in unit_dedup(df).collect()), key=str)
     assert got == sorted([(None, "", 1), (3, one, 0), (3, "", 1), (4, None, 0)], key=str)
     assert unit_dedup(df.limit(0)).collect() == []
+
+
+def plain_passages(docs, words, one_in):
+    """docs: (id, text), ids distinct. {id: (removed spans, text left)}."""
+    lower = {c: c + 32 for c in range(65, 91)}
+    found = []
+    for i, text in docs:
+        tok = [(m.group().translate(lower), m.start()) for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text or "")]
+        for k in range(len(tok) - words + 1):
+            if hashlib.md5(tok[k][0].encode()).digest()[0] * one_in < 256:
+                stop = tok[k + words][1] if k + words < len(tok) else len(text)
+                found.append((i is None, i, tok[k][1], stop, tuple(w for w, _ in tok[k:k + words])))
+    kept, removed = {}, {i: [] for i, _ in docs}
+    for _, i, start, stop, unit in sorted(found, key=lambda u: (u[0], u[1] or 0, u[2])):
+        at = kept.setdefault(unit, (i, start, stop))
+        if at[:2] != (i, start) and not (at[0] == i and start < at[2]):
+            removed[i].append((start, stop, at[0], at[1]))
+    out = {}
+    for i, text in docs:
+        gone = {p for a, b, *_ in removed[i] for p in range(a, b)}
+        out[i] = sorted(removed[i]), None if text is None else "".join(c for p, c in enumerate(text) if p not in gone)
+    return out
+
+
+@pytest.mark.parametrize("words,one_in", [(4, 2), (6, 1), (20, 8)])
+def test_passages_match_plain(spark, words, one_in):
+    rng = random.Random(words)
+    names = [f"w{i}" for i in range(60)] + ["É", "Ab", "ab", "🙂x"]
+    shared = [[rng.choice(names) for _ in range(60)] for _ in range(4)]
+
+    def text():
+        out = []
+        while rng.random() < 0.8:
+            out += rng.choice(shared) if rng.random() < 0.3 else [rng.choice(names) for _ in range(rng.randint(1, 60))]
+        return rng.choice(["", " \n"]) + rng.choice([" ", "\n", " \t"]).join(out) + rng.choice(["", "\n", "  "])
+
+    docs = [(i, text()) for i in range(150)] + [(200, None), (201, ""), (None, " ".join(shared[0])), (202, "a " * 300), (203, "b " * 90 + "A " * 40)]
+    docs += [(300 + i, " ".join(shared[1])) for i in range(100)] + [(500, " ".join(f"x{i}" for i in range(400_000)) + " " + " ".join(shared[2]))]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    for c in ("__row", "__rank", "__text", "__spans", "__from", "__to", "removed", "digest"):
+        df = df.withColumn(c, F.lit(f"own {c}"))
+    rows = passage_dedup(df, words, one_in).collect()
+    want = plain_passages(docs, words, one_in)
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert ([tuple(x) for x in r.removed], r.text) == want[r.doc_id]
+        assert r["__row"] == "own __row" and r["__text"] == "own __text" and r["__spans"] == "own __spans" and r["digest"] == "own digest"
+    assert any(x for x, _ in want.values())
+
+
+def test_passages_edges(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, same), (1, same), (None, same), (None, None)], "doc_id long, text string")
+    rows = passage_dedup(df, words=10, one_in=1).collect()
+    assert sorted(len(r.text or "") for r in rows) == [0, 0, 0, len(same)]
+    assert passage_dedup(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("names", [["__id", "__th", "__lines", "__gone"], ["__row", "__rank", "__text", "__spans", "__from", "__to"]])
+def test_columns_of_any_name_survive(spark, names):
+    rows = [(i, t) for i, t in enumerate(["a b c d e\nf g h i j", "x\na b c d e\nf g h i j", None, ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in names:
+        df = df.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    for out in (line_dedup(df), unit_dedup(df), one_per_component(df)):
+        got = out.collect()
+        assert got and set(df.columns) <= set(out.columns)
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+    assert next(r.text for r in line_dedup(df).collect() if r.doc_id == 1) == "x"
