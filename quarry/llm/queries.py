@@ -103,7 +103,10 @@ with l as (select doc_id, i, line, row_number() over (partition by doc_id order
   where regexp_matches(line, '[^ \\t\\r\\f\\v]')),
 w as (select doc_id, pos, line as a, lead(line) over (partition by doc_id order by pos) as b from l),
 f as (select doc_id, pos, row_number() over (partition by a, b order by doc_id, pos) as n from w where b is not null),
-gone as (select doc_id, pos from f where n > 1 union select doc_id, pos + 1 from f where n > 1),
+long as (select doc_id, pos, row_number() over (partition by line order by doc_id, pos) as n from l
+  where len([x for x in regexp_split_to_array(line, '[ \\t\\r\\f\\v]+') if x <> '']) >= 50),
+gone as (select doc_id, pos from f where n > 1 union select doc_id, pos + 1 from f where n > 1
+  union select doc_id, pos from long where n > 1),
 cut as (select doc_id, list(i) as lines from gone join l using (doc_id, pos) group by doc_id),
 s as (select doc_id, string_split(text, chr(10)) as x, lines from documents left join cut using (doc_id))
 select doc_id, cast(coalesce(len(x), 0) as bigint) as n_lines, cast(coalesce(len(lines), 0) as bigint) as n_deleted,
@@ -115,7 +118,7 @@ from s
 def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.line_runs import line_dedup
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup(docs, min_lines=2, counts=("n_lines", "n_deleted"))
+    return line_dedup(docs, min_lines=2, counts=("n_lines", "n_deleted"), line_words=50)
 
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
