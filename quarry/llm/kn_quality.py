@@ -9,7 +9,7 @@ scored by the model of the other half, so that no document vouches for its own n
 ``unit="word"`` takes a model of words, of order 3, instead, and the perplexity per word: n-grams are
 rows of word hashes, counts of both halves stand side by side, every level is a grouping and joins,
 and documents are scored by an equi-join of their n-grams with the model; nothing of it passes the
-driver. The registered query uses it.
+driver. The registered query does not use it: n-grams of words do not fit its disk budget (README).
 
 All documents are counted: tasks count the n-grams of slices of text, Spark sums them and derives
 continuation counts, discounts and interpolated probabilities by grouping and joins. For scoring,
@@ -20,8 +20,9 @@ the model may be larger than what a task holds.
 
 Bands: per language, the median log-perplexity of the documents that pass the base rules, plus and
 minus ``width`` times the normalised median absolute deviation, from histograms of steps 1/200. With
-``good`` documents the lower and the upper width are calibrated: so narrow that at most ``tail`` of
-those that pass the base rules lie beyond that side, all languages together.
+``good`` documents the lower and the upper width are calibrated for each language: so narrow that,
+with some certainty, at most ``tail`` of such documents that pass the base rules lie beyond that side
+(``edges``). A language with fewer than ``enough`` of them takes the widths of all together.
 
 Defined results: null and empty texts have no words and fail the base rules; a null language is a
 language of its own; where the other half of a language is empty there is no perplexity and the
@@ -449,30 +450,27 @@ def histogram_median(rows: DataFrame, value: str, out: str) -> DataFrame:
     return cum.filter("2 * upto >= total").groupBy("lang").agg(((F.min("bin") + 0.5) / GRID).alias(out))
 
 
-def widths(rows: DataFrame, tail: float, most: float = 20.0) -> tuple[float, float] | None:
-    """The deviations below and above the median beyond which at most ``tail`` of the rows' ``z``
-    lie, on a grid; None without rows. Of the bins, at most 2 * ``most`` * GRID come to the driver."""
+def edges(rows: DataFrame, tail: float, most: float = 20.0) -> DataFrame:
+    """Per language, ``n`` rows and the deviations (``below``, ``above`` the median) beyond which, with
+    some certainty, at most ``tail`` of such rows lie: on either side so many of the given ones lie
+    beyond as are two standard deviations less than ``tail`` of them. On a grid of 2 * ``most`` * GRID
+    bins a language, which are what is sorted."""
     z = F.greatest(F.lit(-most), F.least(F.lit(most), F.col("z")))
-    bins = sorted(rows.groupBy(F.floor(z * GRID).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect())
-    total = sum(n for _, n in bins)
-    if not total:
-        return None
-
-    def edge(order):
-        upto = 0
-        for b, n in order:
-            upto += n
-            if upto > tail * total:
-                return b
-    return -edge(bins) / GRID, (edge(bins[::-1]) + 1) / GRID
+    bins = rows.groupBy("lang", F.floor(z * GRID).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    c = bins.selectExpr("lang", "bin", "sum(n) over (partition by lang order by bin) as up",
+                        "sum(n) over (partition by lang order by bin desc) as down", "sum(n) over (partition by lang) as total")
+    few = F.greatest(F.lit(0.0), F.floor(tail * F.col("total") - 2 * F.sqrt(tail * F.col("total"))))
+    return c.groupBy("lang").agg(F.max("total").alias("n"), (-F.min(F.when(F.col("up") > few, F.col("bin"))) / GRID).alias("below"),
+                                 ((F.max(F.when(F.col("down") > few, F.col("bin"))) + 1) / GRID).alias("above"))
 
 
 def quality_rules(docs: DataFrame, width: float = 6.0, floor: float = 0.05, doc_col: str = "doc_id",
                   text_col: str = "text", lang_col: str = "lang", pack_entries: int = PACK_ENTRIES,
-                  unit: str = "character", good: DataFrame | None = None, tail: float = 0.02) -> DataFrame:
+                  unit: str = "character", good: DataFrame | None = None, tail: float = 0.02, enough: int = 50) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, perplexity, lower, upper. ``good``: the ids (doc_id) of documents known to be
-    good; where some of them pass the base rules, they set the width of either side."""
+    good; where some of them pass the base rules, they set the width of either side, in languages
+    with ``enough`` of them by themselves, in the others all together."""
     src = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"),
                       F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")) \
@@ -492,13 +490,19 @@ def quality_rules(docs: DataFrame, width: float = 6.0, floor: float = 0.05, doc_
     middle = histogram_median(passed, "logppl", "mid")
     spread = histogram_median(passed.join(middle, "lang").withColumn("dev", F.abs(F.col("logppl") - F.col("mid"))), "dev", "mad")
     scale = materialize(middle.join(spread, "lang").select("lang", "mid", (1.4826 * F.col("mad")).alias("dev")), "kn-scale")
-    below = above = width
-    if good is not None:
-        known = passed.join(good.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
-        below, above = widths(known.join(scale, "lang").select(
-            ((F.col("logppl") - F.col("mid")) / F.col("dev")).alias("z")), tail) or (width, width)
-    reach = [F.greatest(F.lit(float(floor)), x * F.col("dev")) for x in (below, above)]
-    bands = scale.select("lang", (F.col("mid") - reach[0]).alias("lo"), (F.col("mid") + reach[1]).alias("hi"))
+    if good is None:
+        sides = scale.select("lang", "mid", "dev", F.lit(width).alias("below"), F.lit(width).alias("above"))
+    else:
+        known = materialize(passed.join(good.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+                            .join(scale, "lang").select("lang", ((F.col("logppl") - F.col("mid")) / F.nullif("dev", F.lit(0.0))).alias("z"))
+                            .filter("z is not null"), "kn-known")
+        every = edges(known.withColumn("lang", F.lit("")), tail).first()
+        own = edges(known, tail).filter(F.col("n") >= enough).drop("n")
+        sides = scale.join(own, "lang", "left").select(
+            "lang", "mid", "dev", F.coalesce("below", F.lit(every.below if every else width)).alias("below"),
+            F.coalesce("above", F.lit(every.above if every else width)).alias("above"))
+    reach = [F.greatest(F.lit(float(floor)), F.col(x) * F.col("dev")) for x in ("below", "above")]
+    bands = sides.select("lang", (F.col("mid") - reach[0]).alias("lo"), (F.col("mid") + reach[1]).alias("hi"))
     return rows.join(bands, "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("logppl").between(F.col("lo"), F.col("hi")), F.lit(True))).alias("kept"),

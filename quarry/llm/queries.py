@@ -247,7 +247,7 @@ def op10_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.kn_quality import quality_rules
     from quarry.llm.quality_mil import held_out
     good = load(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id")
-    return quality_rules(load(spark, sf_dir, "documents"), unit="word", good=good, tail=0.02)
+    return quality_rules(load(spark, sf_dir, "documents"), unit="character", good=good, tail=0.02)
 
 
 @query("op13_best_fit_packing")
