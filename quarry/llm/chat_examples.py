@@ -101,7 +101,8 @@ DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Read segments in order, one running state per conversation; never a whole conversation."""
+    """Read segments in order, one running state per conversation; never a whole conversation. A turn
+    comes once for each example that trains on it, at least once."""
     state, done = None, []
 
     def close():
@@ -109,19 +110,20 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                      state["at"], state["examples"], state["example_chars"]))
 
     for batch in batches:
-        for conv, segment, seg_from, context_to, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+        for conv, seq, segment, seg_from, context_to, a, b in zip(*(c.to_pylist() for c in batch.columns)):
             if state is None or state["id"] != conv:
                 if state is not None:
                     close()
                 state = {"id": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "lost": 0, "at": 0,
                          "examples": 0, "example_chars": 0}
-            m = _SEGMENT.fullmatch(segment)
-            if m is None or seg_from != state["at"]:
-                raise ValueError(f"conversation {conv}: the segment at {seg_from} is not a turn in its place")
-            role, text = unescape(m.group(1)), m.group(2).replace("&lt;|", "<|").replace("&amp;", "&")
-            state["n"] += 1
-            state["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            state["at"] += len(segment)
+            if seq == state["n"]:
+                m = _SEGMENT.fullmatch(segment)
+                if m is None or seg_from != state["at"]:
+                    raise ValueError(f"conversation {conv}: the segment at {seg_from} is not a turn in its place")
+                role, text = unescape(m.group(1)), m.group(2).replace("&lt;|", "<|").replace("&amp;", "&")
+                state["n"] += 1
+                state["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                state["at"] += len(segment)
             if a is not None:
                 masked = segment[a - seg_from:b - seg_from].replace("&lt;|", "<|").replace("&amp;", "&")
                 state["lost"] += len(masked)
@@ -142,9 +144,14 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
                                       names=[x.split()[0] for x in DIGEST.split(", ")])
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, read back from the formatted turns: number of turns, sha256 of all turns
-    and of the text under the loss masks, and sizes. A hash of a conversation is sequential, so
-    its rows pass through one task, sorted and streamed."""
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq").select(
-        "conv_id", "segment", "seg_from", "context_to", "loss_from", "loss_to").mapInArrow(_digests, DIGEST)
+def digests(formatted: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
+    """Per conversation, read back from the formatted turns and the examples (``expanded``, by default
+    all of ``examples``) joined to the turns that they train on: number of turns, sha256 of all turns
+    and of the text under the examples' loss masks, and sizes. A hash of a conversation is
+    sequential, so its rows pass through one task, sorted and streamed."""
+    e = (examples(formatted) if expanded is None else expanded).select(
+        F.col("conv_id").alias("c"), F.col("target").alias("seq_of"), "context_to", "loss_from", "loss_to")
+    turns = formatted.select("conv_id", "seq", "segment", "seg_from")
+    joined = turns.join(e, turns.conv_id.eqNullSafe(e.c) & (turns.seq == e.seq_of), "left")
+    return joined.repartition("conv_id").sortWithinPartitions("conv_id", "seq").select(
+        "conv_id", "seq", "segment", "seg_from", "context_to", "loss_from", "loss_to").mapInArrow(_digests, DIGEST)

@@ -72,6 +72,18 @@ def test_each_reply_is_an_example(spark):
     assert n == len(got) > 5
 
 
+def test_a_lost_or_doubled_example_shows(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "bb"), (1, 2, "user", "c"), (1, 3, "assistant", "dd"), (None, 0, "assistant", "x")]
+    formatted = materialize(chat_examples.format_turns(spark.createDataFrame(rows, SCHEMA)), "t")
+    every = chat_examples.examples(formatted)
+    read = lambda e: {r.conv_id: (r.n_turns, r.loss_chars, r.n_examples, r.loss_sha256) for r in chat_examples.digests(formatted, e).collect()}
+    whole = read(every)
+    assert whole[1][:3] == (4, 4, 2) and whole[None][:3] == (1, 1, 1)
+    lost, doubled = read(every.filter("not (conv_id <=> 1 and target = 1)")), read(every.unionByName(every.filter("target = 3")))
+    assert lost[1][:3] == (4, 2, 1) and doubled[1][:3] == (4, 6, 3) and lost[None] == doubled[None] == whole[None]
+    assert len({lost[1][3], doubled[1][3], whole[1][3]}) == 3
+
+
 def test_chat_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert chat_examples.digests(chat_examples.format_turns(df)).collect() == []
@@ -89,7 +101,7 @@ def test_pipeline_matches_plain(spark):
     keep = {i: r.text for i, r in docs.items() if model.score(quality_mil.bag(r.text), np.array([0]))[0] >= 0.5}
     assert {i: r.text for i, r in got[0].items()} == keep
     # 2
-    keep = plain.line_runs(list(keep.items()), 2)
+    keep = plain.line_runs(list(keep.items()), 2, 50)
     assert {i: r.text for i, r in got[1].items()} == keep and all(r.n_chars == len(keep[i]) for i, r in got[1].items())
     # 3
     fp = {i: plain.simhash(t) for i, t in keep.items()}
