@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_slices
+from quarry.llm.common import arrow_slices, free_names, materialize
 
 # Words of a passage; labelled documents of a fit; passages that all of them may bring.
 PASSAGE_WORDS, SAMPLE, SAMPLE_PASSAGES = 128, 2500, 200_000
@@ -149,15 +149,22 @@ class AttentionModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", words: int = PASSAGE_WORDS,
-        sample: int = SAMPLE, doc_col: str = "doc_id", text_col: str = "text") -> AttentionModel:
-    """Learn from ``sample`` of the labelled documents (``labels``: doc_col, label_col)."""
+        sample: int = SAMPLE, doc_col: str = "doc_id", text_col: str = "text",
+        most_passages: int = SAMPLE_PASSAGES) -> AttentionModel:
+    """Learn from whole labelled documents (``labels``: doc_col, label_col): the first ``sample`` by a
+    hash of the id, and of those, in that order, as many as have ``most_passages`` passages together.
+    These bounds are what the driver holds; the choice does not depend on how the tables lie."""
     picked = labels.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")) \
         .filter("y in (0, 1) and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # at most ``sample`` ids, so the broadcast is bounded; only their texts are encoded
     few = texts.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
-    rows = bags(few, words, "doc_id", "text").join(F.broadcast(picked), "doc_id") \
-        .limit(SAMPLE_PASSAGES).toPandas().sort_values(["doc_id", "y", "passage", "x"], kind="stable")
+    every = materialize(bags(few, words, "doc_id", "text"), "mil-bags")
+    # one row per picked document
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fits = every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto).filter(F.col("upto") <= most_passages)
+    rows = every.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi").join(F.broadcast(picked), "doc_id") \
+        .toPandas().sort_values(["doc_id", "y", "passage", "x"], kind="stable")
     model = AttentionModel()
     if not len(rows):
         return model.fit(np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(0))
@@ -169,8 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", words: i
 
 def score(docs: DataFrame, model: AttentionModel, words: int = PASSAGE_WORDS, text_col: str = "text",
           keep: tuple = ("doc_id",), score_col: str = "score") -> DataFrame:
-    """The ``keep`` columns and the score (0 to 1) of every whole text."""
-    keep = [c for c in keep if c != score_col]
+    """The ``keep`` columns and the score (0 to 1) of every whole text; of the kept columns, one with
+    the score's name is left out."""
+    keep = [c for c in keep if c != score_col]     # a column of that name gives way to the score
     types = dict(docs.dtypes)
     own = text_col in keep and types[text_col] == "string"
     at = keep.index(text_col) if own else len(keep)
@@ -186,7 +194,7 @@ def score(docs: DataFrame, model: AttentionModel, words: int = PASSAGE_WORDS, te
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(a, b - a) for i in range(len(keep))] + [scores], names=[*keep, score_col])
 
-    return docs.select(*keep, *([] if own else [F.col(text_col).cast("string").alias("__text")])).mapInArrow(
+    return docs.select(*keep, *([] if own else [F.col(text_col).cast("string").alias(*free_names(keep, "text"))])).mapInArrow(
         run, ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"`{score_col}` double"]))
 
 
