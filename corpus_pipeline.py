@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import free_names, materialize
 from quarry.llm.decontaminate import contamination
 from quarry.llm.line_runs import line_dedup
 from quarry.llm.quality_mil import fit, held_out, score
@@ -24,12 +24,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.5 go."""
     labels = load(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "quality")
     model = fit(docs, labels, "quality")
-    return score(docs, model, keep=tuple(docs.columns), score_col="__score").filter("__score >= 0.5").select(*docs.columns)
+    name, = free_names(docs.columns, "score")
+    return score(docs, model, keep=tuple(docs.columns), score_col=name).filter(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines are deleted from the texts; no document goes."""
-    return line_dedup(docs, min_lines=2).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Later copies of runs of two or more lines, and of single lines of 50 or more words, are deleted
+    from the texts; no document goes."""
+    return line_dedup(docs, min_lines=2, line_words=50).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +42,11 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold ten consecutive words of a benchmark item go; other rows of their id stay."""
     # the text alone decides, so its hash names the rows
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    found = contamination(keyed, load(spark, sf_dir, "benchmark"), window=10, doc_col="__th")
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("__th")).distinct()
-    return keyed.join(bad, "__th", "left_anti").select(*docs.columns)
+    th, = free_names(docs.columns, "th")
+    keyed = docs.withColumn(th, F.xxhash64("text"))
+    found = contamination(keyed, load(spark, sf_dir, "benchmark"), window=10, doc_col=th)
+    bad = found.filter("contaminated").select(F.col("doc_id").alias(th)).distinct()
+    return keyed.join(bad, th, "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
