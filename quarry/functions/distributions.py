@@ -96,3 +96,63 @@ def chi2_pvalue_sql(x: str, dof: str) -> str:
     shape = lambda s: f"exp({_log_power_sql(s, f'({k} - 1)')} - {s} * {s} / 2 - {peak})"
     at = f"least({top}, greatest({low}, sqrt(greatest({x}, 0.0))))"
     return f"({_simpson_sql(shape, at, top)} / {_simpson_sql(shape, low, top)})"
+
+
+# The rational approximation of the normal distribution by Hart (1968), as given by
+# West (2005); it is exact to double precision.
+NORMAL_TOP = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931,
+              220.206867912376]
+NORMAL_BOTTOM = [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831,
+                 793.826512519948, 440.413735824752]
+
+
+def normal_cdf(z: Column) -> Column:
+    """Share of the standard normal distribution up to z."""
+    x = F.abs(z)
+
+    def poly(coefficients: list[float]) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + F.lit(c)
+        return out
+
+    near = F.exp(-x * x / 2) * poly(NORMAL_TOP) / poly(NORMAL_BOTTOM)
+    far = F.exp(-x * x / 2) / (x + 1 / (x + 2 / (x + 3 / (x + 4 / (x + 0.65))))) / math.sqrt(2 * math.pi)
+    tail = F.when(x > 37, 0.0).when(x < 5 * math.sqrt(2), near).otherwise(far)
+    return F.when(z.isNotNull(), F.when(z > 0, 1 - tail).otherwise(tail))
+
+
+def normal_cdf_sql(z: str) -> str:
+    """``normal_cdf`` for DuckDB; ``z`` is written out several times, so give a column."""
+    x = f"abs({z})"
+
+    def poly(coefficients: list[float]) -> str:
+        out = f"CAST({coefficients[0]!r} AS DOUBLE)"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+        return out
+
+    near = f"exp(-{x} * {x} / 2) * {poly(NORMAL_TOP)} / {poly(NORMAL_BOTTOM)}"
+    far = f"exp(-{x} * {x} / 2) / ({x} + 1 / ({x} + 2 / ({x} + 3 / ({x} + 4 / ({x} + 0.65))))) / {math.sqrt(2 * math.pi)!r}"
+    tail = f"CASE WHEN {x} > 37 THEN 0.0 WHEN {x} < {5 * math.sqrt(2)!r} THEN {near} ELSE {far} END"
+    return f"CASE WHEN {z} > 0 THEN 1 - ({tail}) ELSE {tail} END"
+
+
+# Terms of either series of the Kolmogorov distribution; at the point where they take turns the
+# fifth is below 1e-15.
+KOLMOGOROV_TERMS = 5
+KOLMOGOROV_TURN = 1.18
+
+
+def kolmogorov_tail(x: Column) -> Column:
+    """Probability that the Kolmogorov statistic exceeds x (0 or less: 1)."""
+    low = sum((F.exp(F.lit(-(2 * k - 1) ** 2 * math.pi ** 2 / 8) / (x * x)) for k in range(1, KOLMOGOROV_TERMS + 1)), F.lit(0.0))
+    high = sum(((-1) ** (k - 1) * F.exp(-2.0 * k * k * x * x) for k in range(1, KOLMOGOROV_TERMS + 1)), F.lit(0.0))
+    return F.when(x <= 0, 1.0).when(x < KOLMOGOROV_TURN, 1 - math.sqrt(2 * math.pi) / x * low).when(x.isNotNull(), 2 * high)
+
+
+def kolmogorov_tail_sql(x: str) -> str:
+    low = " + ".join(f"exp({-(2 * k - 1) ** 2 * math.pi ** 2 / 8!r} / ({x} * {x}))" for k in range(1, KOLMOGOROV_TERMS + 1))
+    high = " + ".join(f"({(-1) ** (k - 1)}) * exp(-{2.0 * k * k} * {x} * {x})" for k in range(1, KOLMOGOROV_TERMS + 1))
+    return (f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} < {KOLMOGOROV_TURN} THEN 1 - {math.sqrt(2 * math.pi)!r} / {x} * ({low}) "
+            f"ELSE 2 * ({high}) END")

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.prefix import join_groups
+
 # Fixed values that must equal the reference's: vocabularies (in declared
 # order, which is also the tie order), trigger lists and stop words.
 TASK_VOCABULARIES = {
@@ -55,8 +57,9 @@ SQL_WORDS = ["select", "from", "where", "group by", "order by", "install", "load
              "read_csv", "read_json", "create table", "insert into", "update", "delete from"]
 DB_WORDS = ["s3://", "read_parquet(", "read_csv(", "read_json(", ".parquet", ".csv", ".json", "httpfs",
             "install httpfs", "load httpfs", "s3_region=", "bucket", "aws", "gcs://", "gs://"]
-# One pattern for the reference's list of database-file URLs (s3, gs, http; parquet, csv, json),
-# so that a text is searched once.
+
+# One pattern for database files behind URLs (s3, gs, http; parquet, csv, json), so that a text is
+# searched once.
 DB_URL_PATTERN = r"(?i)(s3|gs)://[^\s]+\.(parquet|csv|json)|https?://[^\s]+\.(parquet|csv|json)"
 
 NUMBERED_LINE = r"(?m)^\s*\d+\.\s"
@@ -104,6 +107,25 @@ def analysis_type(text: Column, json_suggestion: Column | None = None) -> Column
     return out.otherwise(fallback)
 
 
+# Fixed values that must equal the reference's: what the keys of a JSON document say.
+JSON_KEY_WORDS = [
+    ("timeseries", ["date", "time", "year", "month", "timestamp", "created", "updated"]),
+    ("network", ["source", "target", "from", "to", "node", "edge", "connection"]),
+    ("statistical", ["value", "score", "rating", "price", "amount", "quantity"]),
+]
+
+
+def json_analysis(suggested: Column, keys: Column, complexity: Column) -> Column:
+    """What a JSON file says where the question has no keyword: the analysis its structure
+    suggests, unless that is none in particular; then the first kind whose words are in its keys;
+    then ``json`` for nested structures; else NULL. The arguments are ``json_profile``'s columns."""
+    text = F.lower(F.array_join(F.coalesce(keys, F.array().cast("array<string>")), " "))
+    out = F.when(suggested != "general", suggested)
+    for name, words in JSON_KEY_WORDS:
+        out = out.when(_any(text, words), F.lit(name))
+    return out.when(complexity.isin("complex", "nested"), F.lit("json"))
+
+
 def question_keywords(text: Column) -> Column:
     """Base words, domain lists whose trigger appears, and the first
     five ASCII words longer than four letters (not stop words), original
@@ -168,17 +190,17 @@ def dictionary_hits(docs: DataFrame, id_col: str, text: str, dictionary: DataFra
     """Per (document, category) the number of distinct dictionary
     entries present as whole words / phrases.
 
-    One plan at every size: words with the few that follow them (as many as
-    the longest entry needs) meet the entries that start with the word in
-    an equi-join, and a phrase is verified by its slice. Words of a document
-    are made distinct before the join, and hits counted by partial aggregates.
+    One plan at every size: words with the few that follow them (as many as the longest entry needs)
+    meet the entries that start with the word in an equi-join, and a phrase is verified by its
+    slice. The dictionary is pinned and counted: small it is broadcast, beyond that both sides are
+    shuffled; the exploded documents are never the broadcast side. Entries that a document repeats
+    are made distinct by the aggregate.
     """
     d = dictionary.select("category", "keyword", _norm_tokens(F.col("keyword")).alias("gram")) \
         .filter(F.size("gram") > 0).select("category", "keyword", "gram", F.col("gram")[0].alias("first"))
-    longest = d.agg(F.max(F.size("gram"))).first()[0] or 1
+    longest = int(d.agg(F.max(F.size("gram"))).first()[0] or 1)
     tok = docs.select(id_col, _norm_tokens(F.col(text)).alias("tok"))
-    words = tok.select(id_col, F.explode(F.array_distinct(F.transform(
-        "tok", lambda _, i: F.slice("tok", i + 1, int(longest))))).alias("tail"))
-    met = words.withColumn("first", F.col("tail")[0]).join(d, "first") \
-        .filter(F.slice("tail", F.lit(1), F.size("gram")) == F.col("gram"))
+    words = tok.select(id_col, F.inline(F.transform(
+        "tok", lambda w, i: F.struct(w.alias("first"), F.slice("tok", i + 1, longest).alias("tail")))))
+    met = join_groups(words, d, "first").filter(F.slice("tail", F.lit(1), F.size("gram")) == F.col("gram"))
     return met.groupBy(id_col, "category").agg(F.count_distinct("keyword").alias("hits"))

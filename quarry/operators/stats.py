@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import safe_corr
+from quarry.functions.distributions import kolmogorov_tail, normal_cdf
 from quarry.plans.prefix import exact_quantiles, join_groups, value_ranks
 from quarry.session import cut_lineage
 
@@ -74,7 +75,8 @@ def pearson(df: DataFrame, x: str | Column, y: str | Column, name: str = "r") ->
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All column pairs (col_a before col_b as given), long form.
 
-    One definition at every width: a pair uses the rows where both values are present, and a
+    One definition at every width: a pair uses the rows where both values are finite numbers (NULL,
+    NaN and infinite values count as missing), and a
     column that is constant on them gives NULL. Values are centred on the column means (one
     aggregate), then one pass gathers the Gram matrices of values, squares and presence: tasks
     multiply Arrow batches, and what is shuffled is one row per pair and task.
@@ -121,15 +123,16 @@ def spearman(df: DataFrame, x: str, y: str, name: str = "rho") -> DataFrame:
 
     Ranks come from per-value counts and distributed prefix sums (no
     global window). What joins the rank tables is one counter per distinct
-    (x, y), not the rows; the mean rank is (n + 1) / 2, so the correlation
-    is three weighted sums.
+    (x, y), not the rows; a rank table of few values is broadcast, so that a
+    column of few values does not gather its pairs. The mean rank is
+    (n + 1) / 2, so the correlation is three weighted sums.
     """
     pts = df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
     rx = value_ranks(pts, "_x").select("_x", F.col("avg_rank").alias("_rx"))
     ry = value_ranks(pts, "_y").select("_y", F.col("avg_rank").alias("_ry"))
     pairs = pts.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
     mean = (pts.agg(F.count(F.lit(1))).scalar() + 1) / F.lit(2.0)
-    ranked = pairs.join(rx, "_x").join(ry, "_y").select(
+    ranked = join_groups(join_groups(pairs, rx, "_x"), ry, "_y").select(
         "_c", (F.col("_rx") - mean).alias("_dx"), (F.col("_ry") - mean).alias("_dy"))
     weighted = lambda a, b: F.sum(F.col("_c") * F.col(a) * F.col(b))
     norm = F.sqrt(weighted("_dx", "_dx")) * F.sqrt(weighted("_dy", "_dy"))
@@ -276,8 +279,25 @@ def frequency_table(df: DataFrame, column: str) -> DataFrame:
 
 
 def ks_normal(df: DataFrame, value: str) -> DataFrame:
-    """T9 (Spark ML form): one-sample Kolmogorov-Smirnov test against a
-    normal with the sample's mean and sd (both scalar subqueries)."""
+    """One-sample Kolmogorov-Smirnov test against a normal with the sample's mean and deviation:
+    n, statistic, p (one row; NULL for a constant or empty column).
+
+    The empirical distribution comes from the counts and ranks of the distinct values, range by
+    range, and the statistic is the largest gap on either side of a step. p is the limiting
+    distribution at (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * statistic.
+    """
+    x = _num(value)
+    moments = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.count(x).alias("n"))
+    m, s, n = (moments.select(c).scalar() for c in ("m", "s", "n"))
+    steps = value_ranks(df.select(x.alias("_x")), "_x").withColumn("f", normal_cdf((F.col("_x") - m) / F.nullif(s, F.lit(0.0))))
+    gap = F.greatest((F.col("rank") - 1 + F.col("cnt")) / n - F.col("f"), F.col("f") - (F.col("rank") - 1) / n)
+    top = steps.agg(n.alias("n"), F.max(gap).alias("statistic"))
+    root = F.sqrt(F.col("n").cast("double"))
+    return top.select("n", "statistic", kolmogorov_tail((root + 0.12 + 0.11 / root) * F.col("statistic")).alias("p"))
+
+
+def ks_normal_ml(df: DataFrame, value: str) -> DataFrame:
+    """T9 (Spark ML form): ``KolmogorovSmirnovTest`` against the same normal."""
     from pyspark.ml.stat import KolmogorovSmirnovTest
     x = _num(value)
     m = df.agg(F.avg(x), F.stddev_samp(x)).first()

@@ -117,6 +117,8 @@ ACCURACY = 10_000
 SMALL_GROUP = 10_000
 # Groups whose brackets are few enough to broadcast.
 BROADCAST_GROUPS = 100_000
+# Values of one group that one task may count up in order.
+WINDOW_VALUES = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
@@ -167,7 +169,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
         F.sequence(F.lit(0), F.lit(len(probs) - 1)),
         lambda i: F.col("_v").between(F.get(F.col("_b"), i)["lo"], F.get(F.col("_b"), i)["hi"]))).alias("_i")) \
         .groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    running = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v")))
+    running = _counted_up(inside, [*keys, "_i"])
     n_below = brackets.select(*keys, "_n").alias("a")
     per_key = _join_keys(n_below, below, keys)
     r = _join_keys(running, per_key, keys)
@@ -186,6 +188,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     return g.select(*keys, F.col("_n").alias("n"), *outs)
 
 
+def _counted_up(values: DataFrame, group: list[str]) -> DataFrame:
+    """``_upto``: running count ``_c`` by ``_v`` within each group. While the largest group is small
+    that is a window; a larger one is spread over range partitions, and the count before the group
+    is taken off again."""
+    values = cut_lineage(values)
+    largest = values.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= WINDOW_VALUES:
+        return values.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*group).orderBy("_v")))
+    total = running_sum(values, [*group, "_v"], "_c", "_total")
+    before = total.groupBy(*group).agg(F.min(F.col("_total") - F.col("_c")).alias("_before"))
+    return _join_keys(total, before, group).withColumn("_upto", F.col("_total") - F.col("_before")).drop("_total", "_before")
+
+
 def join_groups(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """``rows`` with the columns of ``table``, which has one row per group. The table is pinned and
     counted: while it is small it is broadcast and no row moves; beyond that it is a plain
