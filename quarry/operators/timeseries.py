@@ -223,28 +223,68 @@ def forecast_ses(series: DataFrame, alpha: float, h: int) -> DataFrame:
         "key", "step", F.date_add("last", F.col("step")).alias("t"), F.col("level").alias("forecast"))
 
 
+def _solve(matrix: Column, n: int) -> Column:
+    """Solutions of n linear equations, given as an array of rows with the right side last, by
+    elimination in array expressions; NULL where they do not determine one (a pivot below 1e-12 of
+    the diagonal it started from). For symmetric systems such as normal equations."""
+    def step(state: Column, k: Column) -> Column:
+        pivot_row = F.get(state["m"], k)
+        pivot = F.get(pivot_row, k)
+        sound = F.when(F.abs(pivot) > 1e-12 * F.abs(F.get(state["d"], k)), pivot)
+        top = F.transform(pivot_row, lambda x: x / sound)
+        rows = F.transform(state["m"], lambda row, i: F.when(i == k, top).otherwise(
+            F.zip_with(row, top, lambda x, y: x - F.get(row, k) * y)))
+        return F.struct(rows.alias("m"), state["d"].alias("d"))
+
+    diagonal = F.transform(matrix, lambda row, i: F.get(row, i))
+    start = F.struct(matrix.alias("m"), diagonal.alias("d"))
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step)
+    answer = F.transform(done["m"], lambda row: F.get(row, F.lit(n)))
+    return F.when(~F.exists(answer, lambda x: x.isNull()), answer)
+
+
 def ar_fit(series: DataFrame, p: int) -> DataFrame:
-    """W13d: AR(p) by least squares per key (intercept + p lag coefficients).
+    """W13d: AR(p) by least squares per key: ``key, coef`` (intercept, then the coefficients of lag 1
+    to p) and ``n``, the rows used; ``recent`` holds the last p values, the latest first.
 
-    Each key's series is bounded by its period count; it is solved with
-    numpy in ``applyInPandas`` (one small normal-equation solve per key).
+    The lags are one ordered window over the (key, period) series, their means and co-moments one
+    aggregate per key, and the p equations are solved in array expressions. ``coef`` is NULL with
+    p + 1 rows or fewer and where the lags determine no solution (a constant series).
     """
-    import numpy as np
-    import pandas as pd
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        y = pdf["y"].astype(float).to_numpy()
-        rows = len(y) - p
-        if rows <= p + 1:
-            coef = [float("nan")] * (p + 1)
-        else:
-            X = np.column_stack([np.ones(rows)] + [y[p - k: len(y) - k] for k in range(1, p + 1)])
-            coef = np.linalg.lstsq(X, y[p:], rcond=None)[0].tolist()
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "coef": [coef], "n": [rows]})
-
-    return series.select("key", "t", F.col("y").cast("double").alias("y")).groupBy("key").applyInPandas(
-        fit, "key string, coef array<double>, n long")
+    y = F.col("y").cast("double")
+    lags = [f"x{k}" for k in range(1, p + 1)]
+    rows = series.select("key", "t", y.alias("x0"), *[F.lag(y, k).over(_w()).alias(x) for k, x in enumerate(lags, 1)])
+    full = F.lit(True)
+    for x in ("x0", *lags):
+        full = full & F.col(x).isNotNull()
+    pairs = [(i, j) for i in range(1, p + 1) for j in range(0, p + 1) if j == 0 or j >= i]
+    used = {x: F.when(full, F.col(x)) for x in ("x0", *lags)}
+    g = rows.groupBy("key").agg(
+        F.count(used["x0"]).alias("n"), *[F.avg(used[x]).alias(f"m_{x}") for x in used],
+        *[F.covar_pop(used[f"x{i}"], used[f"x{j}"]).alias(f"c_{i}_{j}") for i, j in pairs],
+        F.max_by(F.array(*[F.col(f"x{k}") for k in range(p)]), "t").alias("recent"))
+    matrix = F.array(*[F.array(*[F.col(f"c_{min(i, j)}_{max(i, j)}") for j in range(1, p + 1)], F.col(f"c_{i}_0"))
+                       for i in range(1, p + 1)])
+    g = g.withColumn("phi", F.when(F.col("n") > p + 1, _solve(matrix, p)))
+    means = F.array(*[F.col(f"m_{x}") for x in lags])
+    explained = F.aggregate(F.zip_with("phi", means, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return g.select("key", F.concat(F.array(F.col("m_x0") - explained), "phi").alias("coef"), "n", "recent")
+
+
+def forecast_ar(series: DataFrame, p: int, h: int) -> DataFrame:
+    """W13d: ``h`` steps ahead of an AR(p) of each key: ``key, step, t, forecast``. Every step feeds
+    on the ones before it. NULL where ``ar_fit`` has no coefficients or one of the last p values is
+    missing."""
+    fit = ar_fit(series, p).join(series.groupBy("key").agg(F.max("t").alias("last")), "key")
+
+    def step(past: Column, _: Column) -> Column:
+        terms = F.zip_with(F.slice(F.col("coef"), 2, p), F.slice(past, 1, p), lambda a, b: a * b)
+        return F.concat(F.array(F.aggregate(terms, F.get(F.col("coef"), F.lit(0)), lambda a, b: a + b)), past)
+
+    ahead = F.reverse(F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(h)), F.col("recent"), step), 1, h))
+    steps = fit.select("key", "last", _horizon(h), F.when(F.col("coef").isNotNull(), ahead).alias("ahead"))
+    return steps.select("key", "step", F.date_add("last", F.col("step")).alias("t"),
+                        F.get(F.col("ahead"), F.col("step") - 1).alias("forecast"))
 
 
 def peak_trough(series: DataFrame) -> DataFrame:

@@ -234,10 +234,43 @@ def q_w13d(spark, sf):
                                                F.regr_slope("y", "ylag").alias("phi")))
 
 
-@query("w13_arp_fit")
+# AR(3) by the inverse of the lags' 3 x 3 covariances (Cramer's rule)
+AR3_SQL = f"""
+WITH s AS ({EV_COUNT_SQL}),
+d AS (SELECT key, t, CAST(y AS DOUBLE) AS y, CAST(lag(y, 1) OVER o AS DOUBLE) AS a, CAST(lag(y, 2) OVER o AS DOUBLE) AS b,
+        CAST(lag(y, 3) OVER o AS DOUBLE) AS c FROM s WINDOW o AS (PARTITION BY key ORDER BY t)),
+m AS (SELECT key, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc,
+        covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, b) AS bb, covar_pop(b, c) AS bc,
+        covar_pop(c, c) AS cc, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy
+      FROM d WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL GROUP BY key),
+e AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+f AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS phi1,
+        (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS phi2,
+        (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS phi3 FROM e),
+fit AS (SELECT key, n, my - phi1 * ma - phi2 * mb - phi3 * mc AS c, phi1, phi2, phi3 FROM f WHERE n > 4)
+"""
+
+
+@query("w13_arp_fit", sql=AR3_SQL + """SELECT key, n, round(c, 6) AS c, round(phi1, 6) AS phi1, round(phi2, 6) AS phi2,
+  round(phi3, 6) AS phi3 FROM fit""")
 def q_w13p(spark, sf):
-    """AR(3) per key (numpy least squares per series in applyInPandas)."""
-    return W.ar_fit(events_daily(spark, sf), 3)
+    """AR(3) per key from one window and one aggregate."""
+    fit = W.ar_fit(events_daily(spark, sf), 3)
+    return round_doubles(fit.select("key", "n", *[F.get(F.col("coef"), F.lit(k)).alias(c)
+                                                  for k, c in enumerate(["c", "phi1", "phi2", "phi3"])]))
+
+
+@query("w13_forecast_ar", sql=AR3_SQL + """,
+last AS (SELECT key, t, y, a, b FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t DESC) AS r FROM d) WHERE r = 1),
+f1 AS (SELECT l.*, fit.* EXCLUDE (key), fit.c + phi1 * y + phi2 * a + phi3 * b AS s1 FROM last l JOIN fit USING (key)),
+f2 AS (SELECT *, c + phi1 * s1 + phi2 * y + phi3 * a AS s2 FROM f1),
+f3 AS (SELECT *, c + phi1 * s2 + phi2 * s1 + phi3 * y AS s3 FROM f2),
+f4 AS (SELECT *, c + phi1 * s3 + phi2 * s2 + phi3 * s1 AS s4 FROM f3),
+f5 AS (SELECT *, c + phi1 * s4 + phi2 * s3 + phi3 * s2 AS s5 FROM f4),
+st AS (SELECT key, t, unnest([1, 2, 3, 4, 5]) AS step, unnest([s1, s2, s3, s4, s5]) AS forecast FROM f5)
+SELECT key, CAST(step AS INTEGER) AS step, CAST(t + CAST(step AS INTEGER) AS DATE) AS t, round(forecast, 6) AS forecast FROM st""")
+def q_w13far(spark, sf):
+    return round_doubles(W.forecast_ar(events_daily(spark, sf), 3, 5))
 
 
 @query("w14_peak_trough", sql=f"""
