@@ -57,6 +57,38 @@ def variance_selection(df: DataFrame, columns: Sequence[str], threshold: float)
                                          for i, c in enumerate(columns)])))
 
 
+def label_selection(df: DataFrame, features: Sequence[str], label: str, bins: int = 10, top: int | None = None) -> DataFrame:
+    """M3: how much each numeric feature tells about the label: ``feature, mutual_information`` (in
+    nats), ``chi_square``, ``dof`` and ``selected`` (one of the ``top`` by mutual information, ties by
+    the order given; all without ``top``).
+
+    A feature is cut into ``bins`` equal parts of its range. One table counts (feature, bin, label)
+    for all features; it has at most features x bins x labels rows, and the margins are sums over
+    it. Rows without a value or a label do not count.
+    """
+    x = [F.col(f).cast("double") for f in features]
+    ends = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(x) for n, f in (("lo", F.min), ("hi", F.max))])
+    cells = []
+    for i, c in enumerate(x):
+        lo, hi = ends.select(f"lo{i}").scalar(), ends.select(f"hi{i}").scalar()
+        part = F.least(F.floor((c - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins), F.lit(bins - 1))
+        cells.append(F.struct(F.lit(i).alias("i"), F.when(c.isNotNull(), F.coalesce(part, F.lit(0))).alias("bin")))
+    counts = df.select(F.inline(F.array(*cells)), F.col(label).alias("label")).filter("bin is not null and label is not null") \
+        .groupBy("i", "bin", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    over = [Window.partitionBy("i", *by) for by in (["bin"], ["label"], [])]
+    c = counts.select("*", *[F.sum("n").over(w).alias(m) for w, m in zip(over, ("of_bin", "of_label", "of_all"))])
+    expected = F.col("of_bin") * F.col("of_label") / F.col("of_all")
+    told = c.groupBy("i").agg(
+        F.sum(F.col("n") / F.col("of_all") * F.ln(F.col("n") / expected)).alias("mutual_information"),
+        # cells without rows add what they expect: all rows less the cells that have some
+        (F.sum(F.pow(F.col("n") - expected, 2) / expected) + F.first("of_all") - F.sum(expected)).alias("chi_square"),
+        ((F.count_distinct("bin") - 1) * (F.count_distinct("label") - 1)).alias("dof"))
+    names = F.array(*[F.lit(f) for f in features])
+    place = F.row_number().over(Window.orderBy(F.desc("mutual_information"), "i"))      # one row per feature
+    return told.select(F.get(names, F.col("i")).alias("feature"), "mutual_information", "chi_square", "dof",
+                       (place <= (len(features) if top is None else top)).alias("selected"))
+
+
 def embedding_features(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
 

@@ -29,13 +29,19 @@ def _is_missing(df: DataFrame, c: str) -> Column:
     return x.isNull()
 
 
+def row_sample(df: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows whose JSON text has the smallest hash, as ``row`` (that text): the same rows
+    however the table is laid out. Every task keeps its own ``n`` smallest and Spark merges those."""
+    js = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("row"))
+    return js.withColumn("_h", F.md5(F.col("row").cast("binary"))).orderBy("_h", "row").limit(n).select("row")
+
+
 def table_profile(df: DataFrame, sample_rows: int = 2) -> DataFrame:
-    """Columns, column count, exact row count, dtypes and a small sample
-    (as JSON strings), one row."""
+    """Columns, column count, exact row count, dtypes and a small sample (``row_sample``, by
+    hash), one row."""
     dtypes = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(t).alias("dtype")) for n, t in df.dtypes])
     counts = df.agg(F.count(F.lit(1)).alias("row_count"))
-    sample = df.limit(sample_rows).agg(F.collect_list(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-                                       .alias("sample"))
+    sample = row_sample(df, sample_rows).agg(F.sort_array(F.collect_list("row")).alias("sample"))
     from quarry.functions.columns import combine_rows
     meta = counts.select(F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
                          F.lit(len(df.columns)).alias("num_columns"), dtypes.alias("dtypes"), "row_count")
@@ -98,6 +104,39 @@ def preview(docs: DataFrame, text: str, n_lines: int = 10, max_chars: int = 1000
     return docs.select("*", capped.alias("preview"))
 
 
+def preview_table(df: DataFrame, n_rows: int = 10, max_columns: int = 10) -> DataFrame:
+    """P9 of a table such as a CSV file: columns, num_columns, dtypes, sample_rows and ``preview``
+    (one line per row of ``row_sample``, the first ``max_columns`` columns, cells joined by `` | ``),
+    one row."""
+    shown = df.columns[:max_columns]
+    rows = row_sample(df, n_rows)
+    schema = ", ".join(f"`{c}` string" for c in df.columns)
+    cells = F.from_json("row", schema)
+    line = F.concat_ws(" | ", *[F.coalesce(cells[c], F.lit("NULL")) for c in shown])
+    out = rows.select(line.alias("line")).agg(F.count(F.lit(1)).alias("sample_rows"),
+                                              F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
+    dtypes = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(t).alias("dtype")) for n, t in df.dtypes])
+    return out.select(F.array(*[F.lit(c) for c in df.columns]).alias("columns"), F.lit(len(df.columns)).alias("num_columns"),
+                      dtypes.alias("dtypes"), "sample_rows", F.concat_ws("\n", F.lit(" | ".join(shown)), "lines").alias("preview"))
+
+
+def preview_json(docs: DataFrame, js: str, max_chars: int = 1000) -> DataFrame:
+    """P9 of JSON documents: ``data_type`` (list, dict or the scalar's), ``length`` of a list,
+    ``keys`` of a dict or of a list's first item, and the text, cut at ``max_chars`` with a mark.
+    A document that does not parse has an ``error`` and nothing else."""
+    v = F.try_parse_json(js)
+    kind = F.schema_of_variant(v)
+    data_type = (F.when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "dict").when(kind == "BIGINT", "int")
+                 .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "float").when(kind == "STRING", "str")
+                 .when(kind == "BOOLEAN", "bool").when(v.isNotNull(), "NoneType"))
+    items = F.try_variant_get(v, "$", "array<variant>")
+    first = F.when(data_type == "list", F.get(items, F.lit(0)).cast("string")).when(data_type == "dict", F.col(js))
+    text = F.when(F.length(js) > max_chars, F.concat(F.substring(js, 1, max_chars), F.lit("\n... (truncated)"))).otherwise(F.col(js))
+    return docs.select("*", data_type.alias("data_type"), F.size(F.when(data_type == "list", items)).alias("length"),
+                       F.json_object_keys(first).alias("keys"), F.when(v.isNotNull(), text).alias("preview"),
+                       F.when(v.isNull(), F.lit("JSON parse error")).alias("error"))
+
+
 def column_roles(df: DataFrame, date_hit_rate: float = 0.8) -> DataFrame:
     """Role of every column (numeric / date / text / edge endpoint), the
     suggested chart kind, and row / column counts, from the schema plus one
@@ -168,3 +207,45 @@ def detect_dates(df: DataFrame, column: str, formats: Sequence[str] = tuple(DATE
     g = df.agg(F.count(column).alias("non_null"), F.count_if(parsed.isNotNull()).alias("parsed"))
     return g.select("non_null", "parsed", (F.col("parsed") / F.nullif(F.col("non_null"), F.lit(0))).alias("hit_rate"),
                     (F.col("parsed") >= F.lit(threshold) * F.col("non_null")).alias("is_date"))
+
+
+def _votes(df: DataFrame, columns: Sequence[str], formats: Sequence[str]) -> DataFrame:
+    """One row: present values (``n{i}``) and votes per format (``v{i}``) of every column."""
+    aggs = []
+    for i, c in enumerate(columns):
+        x = F.trim(F.col(f"`{c}`"))
+        aggs += [F.count(F.nullif(x, F.lit(""))).alias(f"n{i}"),
+                 F.array(*[F.count_if(F.try_to_timestamp(x, F.lit(f)).isNotNull()) for f in formats]).alias(f"v{i}")]
+    return df.agg(*aggs)
+
+
+def date_formats(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = tuple(DATE_FORMATS)) -> DataFrame:
+    """Per text column the format that most values have (ties: the first given), the values
+    that are present, that it converts and that it fails: ``column, format, present, converted,
+    failed``. The format is NULL where no value has any. One aggregate votes for all columns."""
+    votes = _votes(df, columns, formats)
+    names = F.array(*[F.lit(f) for f in formats])
+    rows = []
+    for i, c in enumerate(columns):
+        best = F.array_max(F.col(f"v{i}"))
+        fmt = F.when(best > 0, F.get(names, (F.array_position(F.col(f"v{i}"), best) - 1).cast("int")))
+        rows.append(F.struct(F.lit(c).alias("column"), fmt.alias("format"), F.col(f"n{i}").alias("present"),
+                             best.alias("converted"), (F.col(f"n{i}") - best).alias("failed")))
+    return votes.select(F.inline(F.array(*rows)))
+
+
+def convert_dates(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = tuple(DATE_FORMATS)) -> DataFrame:
+    """``df`` with the text columns converted to timestamps by the format that ``date_formats``
+    finds for each; values in another format, or none, become NULL. The vote is one aggregate over
+    all columns, read back as scalars."""
+    votes = _votes(df, columns, formats)
+    out = {}
+    for i, c in enumerate(columns):
+        v = votes.select(F.col(f"v{i}")).scalar()
+        winner = F.when(F.array_max(v) > 0, F.array_position(v, F.array_max(v)))
+        x = F.trim(F.col(f"`{c}`"))
+        value = F.lit(None).cast("timestamp")
+        for k in range(len(formats), 0, -1):
+            value = F.when(winner == k, F.try_to_timestamp(x, F.lit(formats[k - 1]))).otherwise(value)
+        out[c] = value
+    return df.withColumns(out)

@@ -72,6 +72,31 @@ def q_m3(spark, sf):
     return round_doubles(M.variance_selection(li, ["l_quantity", "l_discount", "l_tax"], 0.01))
 
 
+def _label_selection_sql(features, label, table, bins, top):
+    cells = " UNION ALL ".join(f"""SELECT {i} AS i, '{f}' AS feature, {label} AS label,
+  least(floor(({f} - (SELECT min({f}) FROM {table})) / nullif((SELECT max({f}) - min({f}) FROM {table}), 0) * {bins}), {bins - 1}) AS bin
+  FROM {table}""" for i, f in enumerate(features))
+    return f"""
+WITH cells AS ({cells}),
+n AS (SELECT i, feature, bin, label, CAST(count(*) AS DOUBLE) AS n FROM cells GROUP BY ALL),
+bin AS (SELECT i, bin, sum(n) AS nb FROM n GROUP BY ALL), lab AS (SELECT i, label, sum(n) AS nl FROM n GROUP BY ALL),
+tot AS (SELECT i, sum(n) AS nt FROM n GROUP BY ALL),
+grid AS (SELECT t.i, nt, nb * nl / nt AS e, coalesce(n.n, 0) AS n FROM tot t JOIN bin b ON b.i = t.i JOIN lab l ON l.i = t.i
+  LEFT JOIN n ON n.i = t.i AND n.bin = b.bin AND n.label = l.label),
+r AS (SELECT i, sum(CASE WHEN n > 0 THEN n / nt * ln(n / e) ELSE 0 END) AS mi, sum((n - e) * (n - e) / e) AS chi FROM grid GROUP BY i)
+SELECT (SELECT any_value(feature) FROM n WHERE n.i = r.i) AS feature, round(mi, 6) AS mutual_information, round(chi, 6) AS chi_square,
+  ((SELECT count(*) FROM bin WHERE bin.i = r.i) - 1) * ((SELECT count(*) FROM lab WHERE lab.i = r.i) - 1) AS dof,
+  row_number() OVER (ORDER BY mi DESC, i) <= {top} AS selected FROM r"""
+
+
+M3_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey", "l_linenumber"]
+
+
+@query("m3_label_selection", sql=_label_selection_sql(M3_FEATURES, "l_returnflag", "lineitem", 10, 3))
+def q_m3l(spark, sf):
+    return round_doubles(M.label_selection(T(spark, sf, "lineitem"), M3_FEATURES, "l_returnflag", 10, 3))
+
+
 @query("m4_kmeans_sizes")
 def q_m4(spark, sf):
     e = M.embedding_features(T(spark, sf, "embeddings"))

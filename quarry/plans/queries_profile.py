@@ -25,6 +25,17 @@ def q_p1(spark, sf):
         F.col("d.column").alias("column"), F.col("d.dtype").alias("dtype"), F.col("position").cast("int"), "row_count")
 
 
+@query("p1_table_sample", sql="""
+WITH r AS (SELECT to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'c_acctbal': c_acctbal,
+  'c_mktsegment': c_mktsegment}) AS row FROM customer),
+t AS (SELECT row FROM r ORDER BY md5(CAST(row AS VARCHAR)), row LIMIT 5)
+SELECT CAST(row_number() OVER (ORDER BY row) - 1 AS INTEGER) AS pos, CAST(row AS VARCHAR) AS row, (SELECT count(*) FROM customer) AS row_count FROM t""")
+def q_p1s(spark, sf):
+    """The profile's sample: five customers, the same on any layout of the table."""
+    c = T(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return P.table_profile(c, sample_rows=5).select(F.posexplode("sample").alias("pos", "row"), "row_count")
+
+
 @query("p6_html_profile", sql="""
 SELECT page_id, length(html) AS size_chars, contains(lower(html), '<table') AS has_tables,
        contains(lower(html), '<form') AS has_forms, contains(lower(html), '<script') AS has_scripts FROM pages""")
@@ -52,6 +63,38 @@ def q_p9(spark, sf):
     return P.preview(T(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
 
 
+@query("p9_preview_csv", sql="""
+WITH r AS (SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size,
+  CAST(p_retailprice AS VARCHAR) AS p_retailprice FROM part),
+j AS (SELECT *, CAST(to_json({'p_partkey': p_partkey, 'p_name': p_name, 'p_brand': p_brand, 'p_type': p_type, 'p_size': p_size,
+  'p_retailprice': p_retailprice}) AS VARCHAR) AS js FROM r),
+t AS (SELECT concat_ws(' | ', p_partkey, p_name, p_brand, p_type, p_size, p_retailprice) AS line FROM j ORDER BY md5(js), js LIMIT 10)
+SELECT 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice' AS columns, 6 AS num_columns, 'string,string,string,string,string,string' AS dtypes,
+  count(*) AS sample_rows, 'p_partkey | p_name | p_brand | p_type | p_size | p_retailprice' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS preview FROM t""")
+def q_p9c(spark, sf):
+    p = P.preview_table(S.read_tsv(spark, FX.tsv_part_path(spark, sf)))
+    return p.select(F.array_join("columns", ",").alias("columns"), "num_columns",
+                    F.array_join(F.transform("dtypes", lambda d: d["dtype"]), ",").alias("dtypes"), "sample_rows", "preview")
+
+
+@query("p9_preview_json", sql="""
+WITH d AS (SELECT c_custkey AS id, c_custkey % 5 AS k, CASE c_custkey % 5
+    WHEN 0 THEN '{"id":' || c_custkey || ',"name":"' || c_name || '","balance":' || c_acctbal || ',"nation":{"name":"' || n_name
+      || '","region":{"name":"' || r_name || '"}}}'
+    WHEN 1 THEN '[{"id":' || c_custkey || ',"segment":"' || c_mktsegment || '"},{"id":' || c_nationkey || ',"segment":"' || n_name || '"}]'
+    WHEN 2 THEN '[' || c_custkey || ',' || c_nationkey || ',' || n_regionkey || ']'
+    WHEN 3 THEN '{"keys":[' || c_custkey || ',' || c_nationkey || '],"segments":["' || c_mktsegment || '"]}' END AS js
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT id, CASE WHEN k IN (1, 2) THEN 'list' WHEN k IN (0, 3) THEN 'dict' END AS data_type,
+  CASE k WHEN 1 THEN 2 WHEN 2 THEN 3 END AS length,
+  CASE k WHEN 0 THEN 'id,name,balance,nation' WHEN 1 THEN 'id,segment' WHEN 3 THEN 'keys,segments' END AS keys,
+  CASE WHEN length(js) > 60 THEN substring(js, 1, 60) || chr(10) || '... (truncated)' ELSE js END AS preview,
+  CASE WHEN k = 4 THEN 'JSON parse error' END AS error FROM d""")
+def q_p9j(spark, sf):
+    p = P.preview_json(FX.json_synth(spark, sf), "js", max_chars=60)
+    return p.select("id", "data_type", "length", F.array_join("keys", ",").alias("keys"), "preview", "error")
+
+
 def _typed_dirty(spark, sf):
     df = S.read_csv(spark, FX.csv_dirty_path(spark, sf))
     return df.select(F.col("l_orderkey").cast("bigint"), F.col("l_returnflag"),
@@ -138,6 +181,47 @@ def q_p18(spark, sf):
     return a.unionByName(b)
 
 
+def _date_texts(spark, sf):
+    """Ship dates as text in three formats, each with rows that are missing or in another format."""
+    d, k = F.col("l_shipdate"), F.pmod("l_orderkey", F.lit(100))
+    iso = F.date_format(d, "yyyy-MM-dd")
+    return T(spark, sf, "lineitem").select(
+        "l_returnflag",
+        F.when(k == 1, "n/a").when(k == 2, F.date_format(d, "yyyy/MM/dd")).otherwise(iso).alias("iso"),
+        F.when(k == 1, "").when(k == 3, iso).otherwise(F.date_format(d, "MM/dd/yyyy")).alias("us"),
+        F.when(k < 5, iso).when(k == 6, F.lit(None)).otherwise(F.date_format(d, "dd.MM.yyyy")).alias("dotted"))
+
+
+DATE_TEXT_SQL = """WITH t AS (SELECT l_returnflag, l_orderkey % 100 AS k, CAST(l_shipdate AS DATE) AS d FROM lineitem)
+"""
+
+
+@query("p18_date_formats", sql=DATE_TEXT_SQL + """
+SELECT 'iso' AS "column", 'yyyy-MM-dd' AS format, count(*) AS present, count(*) FILTER (WHERE k NOT IN (1, 2)) AS converted,
+  count(*) FILTER (WHERE k IN (1, 2)) AS failed FROM t
+UNION ALL SELECT 'us', 'MM/dd/yyyy', count(*) FILTER (WHERE k <> 1), count(*) FILTER (WHERE k NOT IN (1, 3)), count(*) FILTER (WHERE k = 3) FROM t
+UNION ALL SELECT 'dotted', 'dd.MM.yyyy', count(*) FILTER (WHERE k <> 6), count(*) FILTER (WHERE k >= 5 AND k <> 6), count(*) FILTER (WHERE k < 5) FROM t
+UNION ALL SELECT 'l_returnflag', NULL, count(*), 0, count(*) FROM t""")
+def q_p18f(spark, sf):
+    return P.date_formats(_date_texts(spark, sf), ["iso", "us", "dotted", "l_returnflag"])
+
+
+@query("p18_convert_dates", sql=DATE_TEXT_SQL + """,
+c AS (SELECT l_returnflag, CASE WHEN k NOT IN (1, 2) THEN d END AS iso, CASE WHEN k NOT IN (1, 3) THEN d END AS us,
+  CASE WHEN k >= 5 AND k <> 6 THEN d END AS dotted FROM t)
+SELECT l_returnflag, date_trunc('month', iso)::DATE AS month, count(iso) AS n_iso, count(us) AS n_us, count(dotted) AS n_dotted,
+  min(iso) AS first_iso, max(us) AS last_us, CAST(sum(datediff('day', DATE '1970-01-01', dotted)) AS BIGINT) AS days_dotted
+FROM c GROUP BY 1, 2""")
+def q_p18c(spark, sf):
+    """Three text columns converted by their own formats, by flag and month."""
+    c = P.convert_dates(_date_texts(spark, sf), ["iso", "us", "dotted"])
+    c = c.select("l_returnflag", *[F.col(x).cast("date").alias(x) for x in ("iso", "us", "dotted")])
+    return c.groupBy("l_returnflag", F.trunc("iso", "month").alias("month")).agg(
+        F.count("iso").alias("n_iso"), F.count("us").alias("n_us"), F.count("dotted").alias("n_dotted"),
+        F.min("iso").alias("first_iso"), F.max("us").alias("last_us"),
+        F.sum(F.datediff("dotted", F.lit("1970-01-01").cast("date"))).cast("bigint").alias("days_dotted"))
+
+
 # ------------------------------------------------------------------ JSON
 
 JSON_KIND = "c_custkey % 5"
@@ -212,7 +296,21 @@ def q_k6(spark, sf):
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.try_parse_json("js").isNull()).alias("n_invalid"))
 
 
-@query("s6_normalise_json")
+@query("s6_normalise_json", sql="""
+WITH c AS (SELECT *, c_custkey % 5 AS m FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+q AS (SELECT m, c_custkey AS id, 0 AS row_idx, unnest(['id', 'name', 'balance', 'nation']) AS key, unnest([CAST(c_custkey AS VARCHAR),
+    '"' || c_name || '"', CAST(c_acctbal AS VARCHAR), '{"name":"' || n_name || '","region":{"name":"' || r_name || '"}}']) AS value FROM c WHERE m = 0
+  UNION ALL SELECT m, c_custkey, unnest([0, 0, 1, 1]), unnest(['id', 'segment', 'id', 'segment']), unnest([CAST(c_custkey AS VARCHAR),
+    '"' || c_mktsegment || '"', CAST(c_nationkey AS VARCHAR), '"' || n_name || '"']) FROM c WHERE m = 1
+  UNION ALL SELECT m, c_custkey, unnest([0, 1, 2]), 'value', unnest([CAST(c_custkey AS VARCHAR), CAST(c_nationkey AS VARCHAR),
+    CAST(n_regionkey AS VARCHAR)]) FROM c WHERE m = 2
+  UNION ALL SELECT m, c_custkey, unnest([0, 1, 0]), unnest(['keys', 'keys', 'segments']), unnest([CAST(c_custkey AS VARCHAR),
+    CAST(c_nationkey AS VARCHAR), '"' || c_mktsegment || '"']) FROM c WHERE m = 3)
+SELECT id, CAST(row_idx AS BIGINT) AS row_idx, key, CASE WHEN key = 'balance' THEN CAST(round(CAST(value AS DOUBLE), 2) AS VARCHAR)
+  ELSE value END AS value FROM q""")
 def q_s6(spark, sf):
     """Every document shape to (id, row, key, value) rows (VARIANT explode)."""
-    return J.explode_records(FX.json_synth(spark, sf), "id")
+    cells = J.explode_records(FX.json_synth(spark, sf), "id")
+    # decimals of JSON text may end in zeros that a double does not show
+    money = F.round(F.col("value").try_cast("double"), 2).cast("string")
+    return cells.withColumn("value", F.when(F.col("key") == "balance", money).otherwise(F.col("value")))
