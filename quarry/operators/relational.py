@@ -83,10 +83,12 @@ def sort_by_count(df: DataFrame, key: str, count_name: str = "n") -> DataFrame:
 
 
 def union_first_strategy(candidates: DataFrame, key: Sequence[str], rank_col: str = "strategy") -> DataFrame:
-    """Union of candidate lists where a later strategy adds only what
-    earlier ones lack: keep, per key, the row with the lowest strategy rank."""
-    return (candidates.groupBy(*key)
-            .agg(F.min(rank_col).alias(rank_col)))
+    """Union of candidate lists where a later strategy adds only what earlier ones lack: per
+    key the whole row with the lowest strategy rank (several such rows: the smallest by the other
+    columns). A minimum over rows, so a key with many candidates is reduced before the shuffle."""
+    rest = [c for c in candidates.columns if c not in (*key, rank_col)]
+    best = candidates.groupBy(*key).agg(F.min(F.struct(rank_col, *rest)).alias("_best"))
+    return best.select(*key, "_best.*").select(*candidates.columns)
 
 
 def key_set_diff(present: Column, required: Column) -> tuple[Column, Column]:

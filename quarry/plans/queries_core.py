@@ -140,6 +140,23 @@ def q_r11(spark, sf):
     return R.sort_by_count(T(spark, sf, "orders"), "o_orderpriority")
 
 
+@query("r12_first_rows", sql="""
+SELECT p_partkey, strategy, reason, p_retailprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY strategy, reason, p_retailprice) AS rn FROM (
+    SELECT p_partkey, 1 AS strategy, 'large' AS reason, p_retailprice FROM part WHERE p_size > 45
+    UNION ALL SELECT p_partkey, 2, 'dear', p_retailprice FROM part WHERE p_retailprice > 1900
+    UNION ALL SELECT p_partkey, 3, 'promotion', p_retailprice FROM part WHERE p_type = 'PROMO')) WHERE rn = 1""")
+def q_r12r(spark, sf):
+    """The winning rows themselves."""
+    p = T(spark, sf, "part")
+    lists = [(F.col("p_size") > 45, 1, "large"), (F.col("p_retailprice") > 1900, 2, "dear"), (F.col("p_type") == "PROMO", 3, "promotion")]
+    cands = None
+    for cond, rank, why in lists:
+        rows = p.filter(cond).select("p_partkey", F.lit(rank).alias("strategy"), F.lit(why).alias("reason"), "p_retailprice")
+        cands = rows if cands is None else cands.unionByName(rows)
+    return R.union_first_strategy(cands, ["p_partkey"])
+
+
 @query("r12_union_strategies", sql="""
 SELECT p_partkey, min(strategy) AS strategy FROM (
   SELECT p_partkey, 1 AS strategy FROM part WHERE p_size > 45
@@ -217,6 +234,16 @@ def q_j1_full(spark, sf):
             .select(F.col("nk").alias("nationkey"), "n_customers", "n_suppliers"))
 
 
+@query("j1_right_join", sql="""
+WITH big AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 300000)
+SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM big RIGHT JOIN customer ON o_custkey = c_custkey""")
+def q_j1_right(spark, sf):
+    """Every customer, with the large orders where there are some."""
+    big = T(spark, sf, "orders").filter(F.col("o_totalprice") > 300000).select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    return R.equi_join(big, T(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", "right") \
+            .select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+
+
 @query("j2_semi_join", sql="""
 SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""")
 def q_j2_semi(spark, sf):
@@ -426,6 +453,28 @@ def q_a13(spark, sf):
     return round_doubles(combine_rows(stats, miss, P.duplicate_rows(li)))
 
 
+@query("a13_quality_summary_csv", sql="""
+WITH base AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 100 = 4),
+t AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, CASE WHEN l_orderkey % 100 IN (2, 3) THEN NULL ELSE l_extendedprice END AS price,
+  CAST(l_shipdate AS DATE) AS ship_day FROM base)
+SELECT count(*) AS n_rows, 6 AS n_columns, count(*) - count(price) AS missing_cells,
+  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS BIGINT) AS duplicate_rows,
+  round(avg(price), 6) AS mean_price, round(stddev_samp(price), 6) AS sd_price FROM t""")
+def q_a13c(spark, sf):
+    """The same summary of the damaged CSV, where cells are missing and rows doubled."""
+    from quarry.functions.columns import money_to_double
+    from quarry.operators import profile as P
+    from quarry.plans import fixtures as FX
+    from quarry.sources import files as S
+    raw = S.read_csv(spark, FX.csv_dirty_path(spark, sf))
+    t = raw.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", money_to_double(F.col("l_extendedprice")).alias("price"),
+                   F.col("l_shipdate").cast("date").alias("ship_day"))
+    miss = P.missing_values(t).filter(F.col("column") == "__total__").select(F.col("missing").alias("missing_cells"))
+    stats = t.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(t.columns)).alias("n_columns"), F.avg("price").alias("mean_price"),
+                  F.stddev_samp("price").alias("sd_price"))
+    return round_doubles(combine_rows(stats, miss, P.duplicate_rows(t)))
+
+
 SALES_SPEC = [
     {"key": "total_sales", "source": "sales", "op": "relational.aggregate", "params": {"column": "price"},
      "type": "number"},

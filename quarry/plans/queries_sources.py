@@ -77,6 +77,33 @@ def q_s5(spark, sf):
     return df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))
 
 
+@query("s5_read_json_utf16", sql="""
+SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, 'UTF-16' AS encoding FROM orders GROUP BY 1""")
+def q_s5u(spark, sf):
+    """Whole JSON documents in UTF-16: the encoding is found by the byte order mark."""
+    path = FX.utf16_orders_path(spark, sf) + "/*.json"
+    df = S.read_json_documents(spark, path, schema="o_orderstatus string, o_totalprice double", encoding=None)
+    out = df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    return round_doubles(out, 2).withColumn("encoding", F.lit(S.detect_encoding(spark, path)))
+
+
+@query("s14_manifest_by_type", sql="""
+SELECT CASE n_nationkey % 4 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'text' ELSE 'html' END AS type, count(*) AS n_files,
+  count(*) AS n_accepted, CAST(sum(length(n_name)) AS BIGINT) AS total_size FROM nation GROUP BY 1""")
+def q_s14t(spark, sf):
+    files = S.manifest(spark, FX.mixed_folder(spark, sf)).filter(F.col("name").startswith("nation-"))
+    return S.manifest_by_type(files)
+
+
+@query("s15_write_csv", sql="""
+SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier""")
+def q_s15(spark, sf):
+    """CSV sink and reader: what is written comes back."""
+    from quarry.session import derived_path
+    path = S.write_csv(T(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), derived_path(spark, "csv_sink", sf))
+    return S.read_csv(spark, path, schema="s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+
+
 @query("s7_read_parquet_pushdown", sql="""
 SELECT count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_discount > 0.05""")
 def q_s7(spark, sf):
@@ -120,6 +147,29 @@ def q_s17(spark, sf):
     return df.select("run_dir", "n_orders", "total")
 
 
+@query("s17_damaged_results", sql="""
+SELECT 'run=run-' || substring(o_orderpriority, 1, 1) AS run_dir, CAST(count(DISTINCT o_orderpriority) FILTER (WHERE o_orderpriority NOT LIKE '3%') AS BIGINT) AS n_rows,
+  CAST(count(DISTINCT o_orderpriority) FILTER (WHERE o_orderpriority LIKE '3%') AS BIGINT) AS n_damaged,
+  CASE WHEN any_value(o_orderpriority) LIKE '3%' THEN NULL ELSE count(*) END AS n_orders,
+  CASE WHEN any_value(o_orderpriority) LIKE '3%' THEN 20 END AS damaged_chars
+FROM orders GROUP BY o_orderpriority""")
+def q_s17d(spark, sf):
+    """Five runs, of which one file is cut off: it is counted and its text kept, the others are read."""
+    df = S.read_results(spark, FX.damaged_runs_path(spark, sf) + "/*/*.txt", schema="n_orders long, total double")
+    per = df.groupBy("run_dir").agg(F.max("n_orders").alias("n_orders"), F.max(F.length(F.regexp_replace("_corrupt_record", "\\s+$", ""))).alias("damaged_chars"))
+    return S.result_health(df).join(per, "run_dir")
+
+
+@query("s17_text_results", sql="""
+SELECT 'run=run-' || substring(o_orderpriority, 1, 1) AS run_dir, CASE WHEN o_orderpriority LIKE '3%' THEN 'false' ELSE 'true' END AS whole,
+  '{"n_orders":' || substring(CAST(count(*) AS VARCHAR), 1, 6) AS starts FROM orders GROUP BY o_orderpriority""")
+def q_s17t(spark, sf):
+    """The same runs' files as text outputs."""
+    t = S.read_text_results(spark, FX.damaged_runs_path(spark, sf) + "/*/*.txt")
+    text = F.trim(F.regexp_replace("text", "\\s+$", ""))
+    return t.select("run_dir", F.endswith(text, F.lit("}")).cast("string").alias("whole"), F.substring_index(text, ",", 1).alias("starts"))
+
+
 @query("s18_extract_urls", sql=r"""
 SELECT page_id, unnest(regexp_extract_all(html, 'https?://\S+')) AS url FROM """ + FX.questions_sql("pages", "page_id", "html"))
 def q_s18(spark, sf):

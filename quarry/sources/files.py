@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import cut_lineage
+
 # Fixed values that must equal the reference's (accepted upload extensions,
 # source-file priority and excluded output names).
 ACCEPTED_EXTENSIONS = [".csv", ".json", ".txt", ".html", ".htm", ".xml", ".zip",
@@ -35,16 +37,18 @@ FALLBACK_ENCODINGS = ["utf-8", "latin-1", "cp1252", "iso-8859-1"]
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """S1/S5: 'UTF-8' unless some line is not valid UTF-8, then 'ISO-8859-1'.
+    """The encoding of a folder's text: UTF-16 if a file begins with its byte order mark,
+    'UTF-8' unless some line is not valid UTF-8, else 'ISO-8859-1'.
 
-    ``read.text`` keeps the raw bytes; ``is_valid_utf8`` checks them in the
-    JVM and one distributed ``count_if`` brings a single number to the
-    driver. Latin-1 decodes every byte, so it ends the fallback chain as in
-    the reference (utf-8, then latin-1).
+    ``read.text`` keeps the raw bytes; ``is_valid_utf8`` checks them in the JVM and one distributed
+    ``count_if`` brings two numbers to the driver. A line that starts with a mark's bytes decides for
+    UTF-16, as no UTF-8 text has them. Latin-1 decodes every byte, so it ends the chain.
     """
-    bad = (spark.read.text(path)
-           .agg(F.count_if(~F.expr("is_valid_utf8(value)")).alias("bad")).first()["bad"])
-    return "UTF-8" if not bad else "ISO-8859-1"
+    raw = F.expr("substring(cast(value as binary), 1, 2)")
+    seen = spark.read.text(path).agg(
+        F.count_if(raw.isin(F.lit(bytearray(b"\xff\xfe")), F.lit(bytearray(b"\xfe\xff")))).alias("marks"),
+        F.count_if(~F.expr("is_valid_utf8(value)")).alias("bad")).first()
+    return "UTF-16" if seen["marks"] else "ISO-8859-1" if seen["bad"] else "UTF-8"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -65,9 +69,10 @@ def read_tsv(spark: SparkSession, path: str, schema=None, header: bool = True, e
     return read_csv(spark, path, schema=schema, header=header, sep="\t", encoding=encoding)
 
 
-def read_json_documents(spark: SparkSession, path: str, schema=None, encoding: str = "UTF-8") -> DataFrame:
-    """Whole-file JSON (a top-level array of objects becomes rows)."""
-    r = spark.read.option("multiLine", True).option("encoding", encoding)
+def read_json_documents(spark: SparkSession, path: str, schema=None, encoding: str | None = "UTF-8") -> DataFrame:
+    """Whole-file JSON (a top-level array of objects becomes rows); ``encoding=None`` detects
+    UTF-16, UTF-8 or Latin-1."""
+    r = spark.read.option("multiLine", True).option("encoding", encoding or detect_encoding(spark, path))
     if schema is not None:
         r = r.schema(schema)
     return r.json(path)
@@ -222,6 +227,12 @@ def manifest(spark: SparkSession, root: str, recursive: bool = True) -> DataFram
         is_question.alias("is_question_file"), rank.cast("int").alias("source_rank"))
 
 
+def manifest_by_type(files: DataFrame) -> DataFrame:
+    """``type, n_files, n_accepted, total_size`` of a manifest."""
+    return files.groupBy("type").agg(F.count(F.lit(1)).alias("n_files"), F.count_if("accepted").alias("n_accepted"),
+                                     F.sum("size").alias("total_size"))
+
+
 # ----------------------------------------------------------------- sinks
 
 
@@ -241,17 +252,40 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite", encoding
     return path
 
 
-def read_results(spark: SparkSession, glob: str, schema=None) -> DataFrame:
-    """Collect result JSON files from many run folders, with the
-    source file as lineage; unparseable files keep ``_corrupt_record``."""
-    r = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
+CORRUPT = "_corrupt_record"
+
+
+def read_results(spark: SparkSession, glob: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """The result JSON files of many run folders, with ``run_dir`` as lineage. A file that does
+    not parse is a row with its text in ``_corrupt_record``; with a schema as without, that column
+    is always there."""
+    r = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     if schema is not None:
-        r = r.schema(schema)
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        known = schema if CORRUPT in schema.names else T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        r = r.schema(known)
     df = r.json(glob)
+    if CORRUPT not in df.columns:
+        df = df.withColumn(CORRUPT, F.lit(None).cast("string"))
     path = F.url_decode(F.col("_metadata.file_path"))
     return df.withColumn("run_dir", F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
 
 
+def read_text_results(spark: SparkSession, glob: str) -> DataFrame:
+    """The text outputs of run folders: ``run_dir, name, text``, one row per file."""
+    path = F.url_decode(F.col("_metadata.file_path"))
+    return spark.read.option("wholetext", True).text(glob).select(
+        F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("run_dir"), F.regexp_extract(path, r"([^/]+)$", 1).alias("name"),
+        F.col("value").alias("text"))
+
+
+def result_health(results: DataFrame) -> DataFrame:
+    """Per run the rows that were read and the damaged files: ``run_dir, n_rows, n_damaged``. The
+    results are pinned first: a file scan may not be asked for its damaged texts alone."""
+    bad = F.col(CORRUPT).isNotNull()
+    return cut_lineage(results).groupBy("run_dir").agg(F.count_if(~bad).alias("n_rows"), F.count_if(bad).alias("n_damaged"))
+
+
 URL_PATTERN = r"https?://\S+"
 
 
