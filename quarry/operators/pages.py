@@ -244,11 +244,52 @@ def _grid(rows: list[list]) -> list[list[str]]:
     return out
 
 
+def _numbers(root: _Node) -> dict[int, tuple[int, int]]:
+    """Place of every element (by ``id``) when elements are counted as they open and as they close:
+    one lies inside another if it opens later and closes earlier."""
+    out, opened, closed, todo = {}, 0, 0, [(root, None)]
+    while todo:
+        node, pre = todo.pop()
+        if pre is None:
+            todo.append((node, opened))
+            opened += 1
+            todo.extend((c, None) for c in reversed(node.children) if isinstance(c, _Node))
+        else:
+            out[id(node)] = (pre, closed)
+            closed += 1
+    return out
+
+
+def _is_formatting(table: _Node) -> bool:
+    return len(table.find_all({"tr"})) <= 2 or len(table.find_all({"td", "th"})) < 4
+
+
+def _simple_html(node: _Node, in_table: bool = False) -> str:
+    """An element as the cleaned page holds it: tables with one fixed class, cells without
+    attributes and with their plain text, nested layout tables replaced by their text."""
+    if node.tag == "table":
+        if in_table and _is_formatting(node):
+            return node.text(strip=True)
+        attrs = ' class="cleaned-table"'
+    elif node.tag in ("td", "th") and not node.find_all({"table"}):
+        return f"<{node.tag}>{_cell_text(node)}</{node.tag}>"
+    elif in_table and node.tag in ("sup", "a"):
+        return "" if node.tag == "sup" else "".join(c for c in node.strings())
+    else:
+        attrs = "" if node.tag in ("td", "th") else "".join(f' {k}="{v}"' if v is not None else f" {k}" for k, v in node.attrs.items())
+    if node.tag in VOID:
+        return f"<{node.tag}{attrs}>"
+    inside = "".join(_simple_html(c, in_table or node.tag == "table") if isinstance(c, _Node) else "" if isinstance(c, _Comment) else c
+                     for c in node.children)
+    return f"<{node.tag}{attrs}>{inside}</{node.tag}>"
+
+
 PAGE_SCHEMA = ("page_id long, title string, wiki boolean, original_tables int, cleaned_tables int, "
                "original_size long, cleaned_size long, n_section_divs int, error string, "
                "tables array<struct<table_idx: int, caption: string, caption_raw: string, headers: array<string>, "
                "headers_raw: array<string>, classes: array<string>, row_count: int, col_count: int, cell_count: int, "
-               "nested_tables int, text: string, rows: array<array<string>>>>")
+               "nested_tables int, text: string, rows: array<array<string>>, pre: int, post: int, plain: string, "
+               "simple_size: long>>, divs array<struct<div_idx: int, pre: int, post: int, text: string, simple_size: long>>")
 
 
 def parse_page(page_id, html, keywords=tuple(DEFAULT_KEYWORDS)):
@@ -262,6 +303,7 @@ def parse_page(page_id, html, keywords=tuple(DEFAULT_KEYWORDS)):
         clean_tree(root, wiki)
         titles = [n for n in root.iter() if n.tag == "title"]
         title = titles[0].text() if titles else None
+        at = _numbers(root)
         tables = []
         for i, t in enumerate(root.find_all({"table"})):
             caps = t.find_all({"caption"})
@@ -279,17 +321,20 @@ def parse_page(page_id, html, keywords=tuple(DEFAULT_KEYWORDS)):
                 "row_count": len(trs), "col_count": len(first),
                 "cell_count": len(t.find_all({"td", "th"})),
                 "nested_tables": len(t.find_all({"table"})),
-                "text": t.text(), "rows": rows})
-        divs = [d for d in root.iter() if d.tag == "div" and re.search(SECTION_CLASS_PATTERN, d.attrs.get("class") or "")
-                and any(k.lower() in d.text().lower() for k in keywords)]
+                "text": t.text(), "rows": rows, "pre": at[id(t)][0], "post": at[id(t)][1], "plain": t.text(strip=True),
+                "simple_size": len(_simple_html(t))})
+        boxes = [d for d in root.iter() if d.tag == "div" and re.search(SECTION_CLASS_PATTERN, d.attrs.get("class") or "")]
+        divs = [{"div_idx": i, "pre": at[id(d)][0], "post": at[id(d)][1], "text": d.text(), "simple_size": len(_simple_html(d))}
+                for i, d in enumerate(boxes)]
         cleaned = root.html()
         return {"page_id": page_id, "title": title, "wiki": wiki, "original_tables": original_tables,
                 "cleaned_tables": len(tables), "original_size": len(html), "cleaned_size": len(cleaned),
-                "n_section_divs": len(divs), "error": None, "tables": tables}
+                "n_section_divs": sum(any(k.lower() in d["text"].lower() for k in keywords) for d in divs), "error": None,
+                "tables": tables, "divs": divs}
     except Exception as e:  # noqa: BLE001 - one bad page is one error row
         return {"page_id": page_id, "title": None, "wiki": None, "original_tables": None, "cleaned_tables": None,
                 "original_size": len(html or ""), "cleaned_size": None, "n_section_divs": None,
-                "error": f"{type(e).__name__}: {e}", "tables": []}
+                "error": f"{type(e).__name__}: {e}", "tables": [], "divs": []}
 
 
 def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -411,6 +456,7 @@ def likely_data_table(tables: DataFrame) -> DataFrame:
     cap = F.lower(F.coalesce("caption", F.lit("")))
     heads = F.lower(F.array_join("headers", " "))
     wikit = F.exists("classes", lambda c: F.lower(c).contains("wikitable"))
+    # fixed output labels
     reasons = F.filter(F.array(
         F.when(F.col("caption").isNotNull() & _contains_any(cap, LIKELY_CAPTION_WORDS), F.lit("Relevant caption")),
         F.when((F.size("headers") > 0) & _contains_any(heads, LIKELY_HEADER_WORDS), F.lit("Film-related headers")),
@@ -419,6 +465,12 @@ def likely_data_table(tables: DataFrame) -> DataFrame:
     return tables.withColumn("reasons", reasons).withColumn("likely_data_table", F.size("reasons") > 0)
 
 
+def page_summary(parsed: DataFrame) -> DataFrame:
+    """Title and number of tables per page."""
+    return parsed.select("page_id", F.coalesce(F.trim("title"), F.lit("No title")).alias("title"),
+                         F.col("cleaned_tables").alias("total_tables"))
+
+
 def table_summary(tables: DataFrame) -> DataFrame:
     """Caption, first five headers, dimensions and classes per table."""
     return tables.select("page_id", "table_idx", F.coalesce("caption", F.lit("None")).alias("caption"),
@@ -429,17 +481,75 @@ def table_summary(tables: DataFrame) -> DataFrame:
                          .alias("classes"))
 
 
-def cleaning_metrics(parsed: DataFrame) -> DataFrame:
-    """Tables and size before / after cleaning, reduction ratio."""
+def _inside(inner: str, outer: str) -> Column:
+    """Containment by the numbers of opening and closing."""
+    return (F.col(f"{inner}.pre") > F.col(f"{outer}.pre")) & (F.col(f"{inner}.post") < F.col(f"{outer}.post"))
+
+
+def sections(parsed: DataFrame, keywords=tuple(DEFAULT_KEYWORDS)) -> DataFrame:
+    """H6: the parts that a cleaned page keeps: relevant tables (``relevance``), and divs of a content
+    class whose text has a keyword; on a page with neither, all tables (``fallback``).
+
+    One row per part: ``page_id, kind, idx, pre, post, simple_size, fallback`` and ``within``, the
+    number of the page's kept parts around it (such a part appears again inside those).
+    """
+    part = ["page_id", "kind", "idx", "pre", "post", "simple_size"]
+    every = page_tables(parsed).withColumn("kind", F.lit("table")).withColumn("idx", F.col("table_idx"))
+    tables = relevance(every, keywords).filter("relevant").select(*part)
+    divs = parsed.select("page_id", F.explode("divs").alias("d")).select("page_id", "d.*") \
+        .filter(_contains_any(F.lower("text"), keywords)).withColumn("kind", F.lit("div")).withColumn("idx", F.col("div_idx")).select(*part)
+    found = tables.unionByName(divs)
+    rest = every.select(*part).join(found.select("page_id").distinct(), "page_id", "left_anti")
+    kept = found.withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True)))
+    around = kept.alias("i").join(kept.alias("o"), (F.col("i.page_id") == F.col("o.page_id")) & _inside("i", "o")) \
+        .groupBy("i.page_id", "i.kind", "i.idx").agg(F.count(F.lit(1)).alias("within"))
+    return kept.join(around, ["page_id", "kind", "idx"], "left").withColumn("within", F.coalesce("within", F.lit(0)))
+
+
+def nested_tables(parsed: DataFrame) -> DataFrame:
+    """H9: every table inside another one: ``page_id, outer_idx`` (the table right around it),
+    ``table_idx, depth, is_formatting, replaced_by`` (the text that stands in its place if it is only
+    layout, else NULL) and ``gone`` (it, or a table around it that is itself inside one, is only
+    layout, so the cleaned page does not hold it)."""
+    t = formatting_flag(page_tables(parsed)).select("page_id", "table_idx", "pre", "post", "is_formatting", "plain")
+    pairs = t.alias("i").join(t.alias("o"), (F.col("i.page_id") == F.col("o.page_id")) & _inside("i", "o")).select(
+        "i.*", F.col("o.table_idx").alias("outer"), F.col("o.is_formatting").alias("outer_formatting"), F.col("o.pre").alias("outer_pre"))
+    inner = pairs.groupBy("page_id", "table_idx", "is_formatting", "plain").agg(
+        F.max_by("outer", "outer_pre").alias("outer_idx"), F.count(F.lit(1)).alias("depth"),
+        # the outermost table is inside none, so it stays
+        F.count_if("outer_formatting").alias("n_layout"), F.min_by("outer_formatting", "outer_pre").alias("top_layout"))
+    above = F.col("n_layout") - F.col("top_layout").cast("int") > 0
+    return inner.select("page_id", "outer_idx", "table_idx", "depth", "is_formatting",
+                        F.when(F.col("is_formatting"), F.col("plain")).alias("replaced_by"), (F.col("is_formatting") | above).alias("gone"))
+
+
+# The page around the kept parts.
+CLEANED_PAGE = "<html><head><title>Cleaned Page</title></head><body></body></html>"
+
+
+def cleaning_metrics(parsed: DataFrame, keywords=tuple(DEFAULT_KEYWORDS)) -> DataFrame:
+    """Tables and size before and after cleaning, and the share that went: what is counted
+    after it is the cleaned page, the kept ``sections`` with simplified tables. A table that stands
+    in several kept parts counts in each; layout tables inside tables are text by then."""
+    kept = sections(parsed, keywords)
+    tables = page_tables(parsed).select("page_id", "table_idx", "pre", "post")
+    gone = nested_tables(parsed).filter("gone").select("page_id", "table_idx")
+    whole = tables.join(gone, ["page_id", "table_idx"], "left_anti")
+    own = (F.col("k.kind") == "table") & (F.col("t.table_idx") == F.col("k.idx"))
+    held = kept.alias("k").join(whole.alias("t"), (F.col("k.page_id") == F.col("t.page_id")) & (own | _inside("t", "k"))) \
+        .groupBy("k.page_id").agg(F.count(F.lit(1)).cast("int").alias("cleaned_tables"))
+    sizes = kept.groupBy("page_id").agg(F.sum("simple_size").alias("parts"))
+    m = parsed.select("page_id", "original_tables", "original_size", "error").join(held, "page_id", "left").join(sizes, "page_id", "left")
+    m = m.withColumn("cleaned_tables", F.when(F.col("error").isNull(), F.coalesce("cleaned_tables", F.lit(0)))) \
+        .withColumn("cleaned_size", F.when(F.col("error").isNull(), F.coalesce("parts", F.lit(0)) + len(CLEANED_PAGE)))
     ratio = F.when(F.col("original_size") > 0, 1 - F.col("cleaned_size") / F.col("original_size")).otherwise(0.0)
-    return parsed.select("page_id", "original_tables", "cleaned_tables", "original_size", "cleaned_size",
-                         ratio.alias("reduction_ratio"))
+    return m.select("page_id", "original_tables", "cleaned_tables", "original_size", "cleaned_size", ratio.alias("reduction_ratio"))
 
 
 def scraped_rows(tables: DataFrame, key_pattern: str = r"^\d+$", money_col: int | None = None) -> DataFrame:
     """Cell rows of the chosen tables as (page, table, row, cells) with
     the key-column filter and money cleaning ('$' and ',' removed) on the
-    chosen column. Cells stay an array; their position is the name."""
+    chosen column. Cells stay an array; ``named_cells`` names them."""
     rows = tables.select("page_id", "table_idx", F.posexplode("rows").alias("row_idx", "cells"))
     rows = rows.filter(F.col("cells")[0].rlike(key_pattern))
     if money_col is not None:
@@ -447,6 +557,24 @@ def scraped_rows(tables: DataFrame, key_pattern: str = r"^\d+$", money_col: int
     return rows
 
 
+def named_cells(rows: DataFrame, names=tuple(SCRAPED_COLUMN_NAMES)) -> DataFrame:
+    """``scraped_rows`` with the first cells under ``names`` by position; a row with fewer cells
+    has NULL in the others."""
+    return rows.select(*[c for c in rows.columns if c != "cells"], *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
+def extraction_metadata(tables: DataFrame, sample_rows: int = 3) -> DataFrame:
+    """Per page with a scored table the tables found, the best table's place, rows, columns,
+    score and column names, and its first ``sample_rows`` data rows (cells joined by ``|``). One pass
+    over the parsed tables: the count is a window of the same rows that the choice is made of."""
+    counted = best_table_score(tables).withColumn("tables_found", F.count(F.lit(1)).over(Window.partitionBy("page_id")))
+    best = pick_first_best(counted)
+    sample = F.transform(F.slice("rows", 2, sample_rows), lambda r: F.array_join(r, "|"))
+    return best.select("page_id", "tables_found", F.col("table_idx").alias("best_table_idx"), F.col("data_rows").alias("best_rows"),
+                       F.col("data_cols").alias("best_cols"), F.col("score").alias("best_score"),
+                       F.array_join(F.col("rows")[0], ",").alias("columns"), sample.alias("sample"))
+
+
 def remove_blocks_regex(html: Column) -> Column:
     """H2/H3 regex twin: script and style blocks and comments removed."""
     return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")

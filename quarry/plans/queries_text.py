@@ -6,9 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import round_doubles
+from quarry.operators import jsonops as J
 from quarry.operators import pages as H
 from quarry.plans import fixtures as FX
 from quarry.plans.catalog import T, query
+from quarry.session import cut_lineage
+from quarry.sources import tables as TB
 
 # ------------------------------------------------------------------ pages
 
@@ -111,8 +114,127 @@ def q_h9(spark, sf):
 
 @query("h10_cleaning_metrics")
 def q_h10(spark, sf):
-    """Before/after tables and sizes of the real page corpus (parse job)."""
-    return round_doubles(H.cleaning_metrics(H.parse_pages(T(spark, sf, "pages"))))
+    """Before/after tables and sizes of the page corpus (parse job)."""
+    return round_doubles(H.cleaning_metrics(cut_lineage(H.parse_pages(T(spark, sf, "pages")))))
+
+
+# ---- pages whose parts vary with the supplier's key (fixtures.pages_varied)
+
+VP = """WITH vp AS (SELECT s_suppkey AS k, s_suppkey % 5 AS kind,
+    CASE WHEN s_suppkey % 2 = 0 THEN 1 WHEN s_suppkey % 4 = 1 THEN 3 ELSE 0 END AS nr,
+    CASE WHEN s_suppkey % 11 = 0 THEN 0 WHEN s_suppkey % 8 = 0 THEN 2 ELSE 1 END AS copies,
+    CASE WHEN s_suppkey % 5 = 4 THEN s_suppkey % 3 ELSE 3 + s_suppkey % 30 END AS r FROM supplier),
+vm AS (SELECT *, CAST(kind < 4 AS BIGINT) AS h, CASE WHEN kind = 4 THEN 0 WHEN kind = 3 THEN 5 ELSE 3 END AS hc, 1 + CAST(nr > 0 AS BIGINT) AS per FROM vp),
+vt AS (
+  SELECT k, kind, 'main' AS what, c * per AS table_idx, h + r + 3 + nr AS row_count, hc + 3 * r + 3 + 2 * nr + 4 AS cell_count, h, r, nr
+  FROM (SELECT *, unnest(range(copies)) AS c FROM vm)
+  UNION ALL SELECT k, kind, 'nested', c * per + 1, nr, 2 * nr, 0, 0, nr FROM (SELECT *, unnest(range(copies)) AS c FROM vm) WHERE nr > 0
+  UNION ALL SELECT k, kind, 'box', copies * per, 1, 1, 0, 0, 0 FROM vm WHERE k % 13 = 1),
+rel AS (SELECT *, what = 'main' AND kind IN (0, 2) OR row_count > 5 AS relevant FROM vt)
+"""
+
+
+def varied(spark, sf):
+    # parsed once: the parts below read it more than once
+    return cut_lineage(H.parse_pages(FX.pages_varied(spark, sf)))
+
+
+@query("p6_page_flags", sql="""
+SELECT s_suppkey AS page_id, s_suppkey % 11 <> 0 OR s_suppkey % 13 < 2 AS has_tables, s_suppkey % 7 = 0 AS has_forms,
+  s_suppkey % 3 = 0 AS has_scripts FROM supplier""")
+def q_p6f(spark, sf):
+    from quarry.operators import profile as P
+    return P.html_profile(FX.pages_varied(spark, sf)).select("page_id", "has_tables", "has_forms", "has_scripts")
+
+
+@query("h1_span_cells", sql=VP + """
+SELECT k AS page_id, table_idx, CAST(h + r + n AS INTEGER) AS row_idx,
+  CASE n WHEN 0 THEN 'n|o|' || CASE nr WHEN 1 THEN 'xy' WHEN 3 THEN 'uvuvuv' ELSE 'none' END
+    ELSE CASE WHEN k % 9 = 0 THEN 'Titanic' ELSE 'end' END || CASE n WHEN 1 THEN '|both|both' ELSE '|p|q' END END AS cells
+FROM vt, (SELECT unnest([0, 1, 2]) AS n) WHERE what = 'main'""")
+def q_h1s(spark, sf):
+    """The last three rows of every main table: a nested table's text, spanned cells in each place."""
+    t = H.page_tables(varied(spark, sf)).filter(F.size("rows") > 3 - F.lit(1)).filter("cell_count > 6 and nested_tables <= 1")
+    rows = t.select("page_id", F.col("table_idx").cast("bigint").alias("table_idx"), F.posexplode("rows").alias("row_idx", "cells"), F.size("rows").alias("n"))
+    return rows.filter("row_idx >= n - 3").select("page_id", "table_idx", "row_idx", F.array_join("cells", "|").alias("cells"))
+
+
+@query("h4_wiki_rules", sql=VP + """
+SELECT k AS page_id, k % 13 = 0 AS wiki, CAST(copies * per + CAST(k % 13 < 2 AS INTEGER) AS INTEGER) AS original_tables,
+  CAST(copies * per + CAST(k % 13 = 1 AS INTEGER) AS INTEGER) AS cleaned_tables FROM vm""")
+def q_h4(spark, sf):
+    """Navigation boxes go from pages that name wikipedia.org, and stay elsewhere."""
+    return H.parse_pages(FX.pages_varied(spark, sf)).select("page_id", "wiki", "original_tables", "cleaned_tables")
+
+
+@query("h6_sections", sql=VP + """,
+found AS (SELECT k, 'table' AS kind, table_idx AS idx, what FROM rel WHERE relevant
+  UNION ALL SELECT k, 'div', 0, 'div' FROM vm WHERE k % 6 IN (1, 3)),
+kept AS (SELECT *, false AS fallback FROM found
+  UNION ALL SELECT k, 'table', table_idx, what, true FROM rel WHERE k NOT IN (SELECT k FROM found))
+SELECT k AS page_id, kind, CAST(idx AS INTEGER) AS idx, fallback,
+  CAST(kind = 'table' AND what <> 'box' AND k % 6 = 3 AS BIGINT) + CAST(what = 'nested' AND (SELECT count(*) FROM kept o
+    WHERE o.k = kept.k AND o.what = 'main' AND o.idx = kept.idx - 1) > 0 AS BIGINT) AS within FROM kept""")
+def q_h6s(spark, sf):
+    """Relevant tables and divs, all tables where a page has neither, and what lies within what."""
+    return H.sections(varied(spark, sf)).select("page_id", "kind", "idx", "fallback", "within")
+
+
+@query("h7_strategies", sql=VP + """
+SELECT k AS page_id, CAST(table_idx AS INTEGER) AS table_idx, CASE WHEN what = 'main' AND kind < 4 THEN kind + 1
+  WHEN kind = 4 AND cell_count >= 10 THEN 5 WHEN what = 'box' AND k % 11 = 0 AND cell_count >= 10 THEN 5 END AS strategy FROM vt""")
+def q_h7s(spark, sf):
+    """All five strategies, the last one on pages where none of the others finds a table."""
+    return H.strategy(H.page_tables(varied(spark, sf))).select("page_id", "table_idx", F.col("strategy").cast("bigint").alias("strategy"))
+
+
+@query("h9_nested_tables", sql=VP + """
+SELECT k AS page_id, CAST(table_idx - 1 AS INTEGER) AS outer_idx, CAST(table_idx AS INTEGER) AS table_idx, CAST(1 AS BIGINT) AS depth, nr = 1 AS is_formatting,
+  CASE WHEN nr = 1 THEN 'xy' END AS replaced_by, nr = 1 AS gone FROM vt WHERE what = 'nested'""")
+def q_h9n(spark, sf):
+    return H.nested_tables(varied(spark, sf))
+
+
+SCORE_SQL = """score AS (SELECT *, CASE WHEN h + r + 2 > 20 THEN 10 ELSE 0 END + CASE WHEN kind = 3 THEN 20 WHEN kind = 0 THEN 15 ELSE 0 END
+  + CASE WHEN k % 9 = 0 THEN 2 ELSE 0 END AS score FROM vt WHERE what = 'main')
+"""
+
+
+@query("h11_best_tables", sql=VP + "," + SCORE_SQL + """
+SELECT k AS page_id, CAST(min(table_idx) AS INTEGER) AS table_idx, CAST(any_value(score) AS INTEGER) AS score FROM score WHERE score > 0 GROUP BY k""")
+def q_h11b(spark, sf):
+    """Ties (a page with the same table twice) go to the first table; pages without a score have none."""
+    return H.pick_first_best(H.best_table_score(H.page_tables(varied(spark, sf)))).select("page_id", "table_idx", "score")
+
+
+@query("h14_page_titles", sql=VP + """
+SELECT k AS page_id, 'Supplier ' || k AS title, CAST(copies * per + CAST(k % 13 = 1 AS INTEGER) AS INTEGER) AS total_tables FROM vm""")
+def q_h14t(spark, sf):
+    return H.page_summary(H.parse_pages(FX.pages_varied(spark, sf)))
+
+
+@query("h15_named_cells", sql=VP + """
+SELECT k AS page_id, CAST(table_idx AS INTEGER) AS table_idx, CAST(h + i - 1 AS INTEGER) AS row_idx, CAST(i AS VARCHAR) AS "Rank",
+  'Item ' || i || ' of ' || s_name AS "Peak", '$' || i || ',000' AS "Title", CAST(NULL AS VARCHAR) AS "Worldwide_Gross", CAST(NULL AS VARCHAR) AS "Year"
+FROM (SELECT *, unnest(range(1, r + 1)) AS i FROM vt WHERE what = 'main') JOIN supplier ON s_suppkey = k""")
+def q_h15(spark, sf):
+    """Data rows under positional names; the places beyond a row's cells are NULL."""
+    return H.named_cells(H.scraped_rows(H.page_tables(H.parse_pages(FX.pages_varied(spark, sf)))))
+
+
+@query("h16_page_metadata", sql=VP + "," + SCORE_SQL + """,
+b AS (SELECT k, min(table_idx) AS idx FROM score WHERE score > 0 GROUP BY k),
+item AS (SELECT k, [CAST(i AS VARCHAR) || '|Item ' || i || ' of ' || s_name || '|$' || i || ',000' for i in range(1, 1 + r)] AS items
+  FROM vm JOIN supplier ON s_suppkey = k)
+SELECT s.k AS page_id, (SELECT count(*) FROM vt WHERE vt.k = s.k) AS tables_found, CAST(idx AS INTEGER) AS best_table_idx,
+  CAST(h + r + 2 AS INTEGER) AS best_rows, CASE WHEN kind = 3 THEN 5 ELSE 3 END AS best_cols, CAST(score AS INTEGER) AS best_score,
+  CASE kind WHEN 0 THEN 'Rank,Title,Gross' WHEN 3 THEN 'Rank,Peak,Title,Worldwide,Year' ELSE 'A,B,C' END AS columns,
+  array_to_string(list_slice(items, 1, 3), ';') AS sample
+FROM score s JOIN b ON b.k = s.k AND b.idx = s.table_idx JOIN item ON item.k = s.k WHERE kind < 4""")
+def q_h16m(spark, sf):
+    """Best table per page with its first three data rows (pages whose best table has a header)."""
+    m = H.extraction_metadata(H.page_tables(varied(spark, sf))).filter(F.col("page_id") % 5 != 4)
+    return m.withColumn("sample", F.array_join("sample", ";"))
 
 
 @query("h11_best_table", sql=PG + """
@@ -222,6 +344,24 @@ def q_x2(spark, sf):
     return c.select("conv_id", "turn", X.analysis_type(F.col("text")).alias("analysis_type"))
 
 
+_NO_KEYWORD = "Is there more to see?"
+
+
+@query("x2_json_analysis", sql=f"""
+WITH d AS (SELECT c_custkey AS id, c_custkey % 5 AS k, CASE WHEN c_custkey % 3 = 0 THEN 'Show the trend' ELSE '{_NO_KEYWORD}' END AS q FROM customer)
+SELECT id, CASE WHEN id % 3 = 0 THEN 'timeseries' WHEN k IN (0, 1) THEN 'json' WHEN k = 3 AND id % 2 = 0 THEN 'timeseries'
+  WHEN k = 3 THEN 'network' ELSE 'general' END AS analysis_type FROM d""")
+def q_x2j(spark, sf):
+    """Questions without a keyword over the JSON documents: the documents' structure and keys decide."""
+    docs = FX.json_synth(spark, sf)
+    # the dicts of lists get keys that name a time or an edge
+    renamed = F.regexp_replace("js", '"segments"', F.when(F.col("id") % 2 == 0, '"created_on"').otherwise('"target_node"'))
+    docs = docs.withColumn("js", F.when(F.col("id") % 5 == 3, renamed).otherwise(F.col("js")))
+    q = F.when(F.col("id") % 3 == 0, "Show the trend").otherwise(_NO_KEYWORD)
+    prof = J.json_profile(docs)
+    return prof.select("id", X.analysis_type(q, X.json_analysis(F.col("suggested_analysis"), F.col("keys"), F.col("complexity"))).alias("analysis_type"))
+
+
 def _keywords_sql() -> str:
     parts = ["[" + ", ".join(_sql_lit(w) for w in X.BASE_KEYWORDS) + "]"]
     for triggers, words in X.DOMAIN_KEYWORDS:
@@ -320,6 +460,27 @@ def q_q2(spark, sf):
     return spark.sql(f"SELECT o_orderpriority, count(*) AS n FROM parquet.`{sf}/orders.parquet` GROUP BY 1")
 
 
+@query("q2_sql_over_csv", sql="""
+SELECT l_returnflag, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty, min(CAST(l_shipdate AS DATE)) AS first_day
+FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 100 = 4) GROUP BY 1""")
+def q_q2c(spark, sf):
+    """read_csv('...') in a FROM clause: the folder as a view with the types that a scan infers."""
+    TB.register_file(spark, "lines_csv", FX.csv_dirty_path(spark, sf))
+    return spark.sql("""SELECT l_returnflag, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty, min(CAST(l_shipdate AS DATE)) AS first_day
+                        FROM lines_csv GROUP BY 1""")
+
+
+@query("q2_sql_over_json", sql="""
+SELECT e.event_type, count(*) AS n, count(DISTINCT o.o_custkey) AS customers, CAST(max(o.o_orderkey) AS BIGINT) AS last_order
+FROM events e JOIN orders o ON o.o_custkey = e.user_id GROUP BY 1""")
+def q_q2j(spark, sf):
+    """JSON lines joined with whole JSON documents, both by file path, in one statement."""
+    TB.register_file(spark, "events_json", FX.jsonl_events_path(spark, sf), format="jsonl")
+    TB.register_file(spark, "orders_json", FX.json_array_docs_path(spark, sf), format="json")
+    return spark.sql("""SELECT e.event_type, count(*) AS n, count(DISTINCT o.o_custkey) AS customers, CAST(max(o.o_orderkey) AS BIGINT) AS last_order
+                        FROM events_json e JOIN orders_json o ON o.o_custkey = e.user_id GROUP BY 1""")
+
+
 @query("q3_q5_date_functions", sql="""
 SELECT o_orderkey, CAST(datediff('day', o_orderdate, max_ship) AS INTEGER) AS ship_days,
        CAST(CAST(max_ship AS DATE) - CAST(o_orderdate AS DATE) AS INTEGER) AS minus_days, CAST(o_orderdate AS DATE) AS order_day
