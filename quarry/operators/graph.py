@@ -1,16 +1,12 @@
 """Graph operators on edge-list DataFrames (SURVEY N*).
 
-Graphs are undirected and simple: ``canonical`` orders every edge as
-(src < dst), drops self loops and duplicates. Node ids may be any
-orderable type.
-
-Iterative operators are driver loops of join + aggregate rounds; only a
-tiny aggregate (a count of changed rows) reaches the driver per round,
-and lineage is cut with a reliable checkpoint every few rounds.
-Triangle-type enumeration orients each edge from the endpoint with the
-lower (degree, id) to the higher one; every node then has at most
-sqrt(2m) out-neighbours, so the wedge join is bounded by O(m^1.5) and a
-high-degree hub never expands its full neighbour list.
+Edges are canonical (``edges.canonical``). Searches and the scores on them are in ``graph_paths``,
+scores by iteration in ``graph_scores``, communities in ``communities``; this module offers all of
+them. Iterative operators are driver loops of join + aggregate rounds, each written with a reliable
+checkpoint; only a tiny aggregate (a count, a checksum, a sum of changes) reaches the driver.
+Triangle-type enumeration orients each edge from the endpoint with the lower (degree, id) to the
+higher one; every node then has at most sqrt(2m) out-neighbours, so the wedge join is bounded by
+O(m^1.5) and a high-degree hub never expands its full neighbour list.
 """
 
 from __future__ import annotations
@@ -18,29 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import cut_lineage
+from quarry.operators.communities import communities
+from quarry.operators.edges import both_directions, canonical, degrees, nodes
+from quarry.operators.graph_paths import betweenness, closeness, path_stats, pivots, search, shared_adjacency, shortest_path, to_shares
+from quarry.operators.graph_scores import eigenvector, pagerank
+from quarry.session import cut_lineage, stored
 
-CHECKPOINT_EVERY = 4
-
-
-def canonical(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """N1 input: (src < dst), no self loops, no duplicates."""
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return (e.filter(F.col("a") != F.col("b"))
-             .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
-
-
-def both_directions(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-
-
-def nodes(edges: DataFrame) -> DataFrame:
-    return both_directions(edges).select(F.col("src").alias("node")).distinct()
-
-
-def degrees(edges: DataFrame) -> DataFrame:
-    """Degree per node (partial aggregate over both endpoints)."""
-    return both_directions(edges).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+__all__ = ["betweenness", "bfs", "both_directions", "canonical", "closeness", "clustering", "clustering_summary", "communities",
+           "component_sizes", "connected_components", "degree_centrality", "degree_distribution", "degrees", "eigenvector",
+           "four_cliques", "highest_degree", "label_propagation", "modularity", "nodes", "oriented", "pagerank", "path_stats",
+           "pivots", "search", "shortest_path", "shortest_path_length", "summary", "triangles"]
 
 
 def summary(edges: DataFrame) -> DataFrame:
@@ -138,33 +121,8 @@ def four_cliques(edges: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, sources: DataFrame, target=None) -> DataFrame:
-    """Multi-source BFS. ``sources`` has a ``source`` column.
-
-    Returns (source, node, dist) for every reachable node. The visited set
-    is keyed (source, node); each round joins the frontier with the
-    adjacency, anti-joins the visited set and stops when the frontier is
-    empty (one count per round reaches the driver). With a ``target`` the
-    search ends in the round that reaches it.
-    """
-    # the adjacency is read every round: pin it once (reliable checkpoint)
-    adj = cut_lineage(both_directions(edges).select(F.col("src").alias("node"), F.col("dst").alias("nxt")))
-    frontier = sources.select("source", F.col("source").alias("node")).distinct()
-    visited = frontier.withColumn("dist", F.lit(0))
-    k = 0
-    while True:
-        k += 1
-        nxt = (frontier.join(adj, "node").select("source", F.col("nxt").alias("node")).distinct()
-               .join(visited.select("source", "node"), ["source", "node"], "left_anti"))
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
-            break
-        visited = visited.unionByName(nxt.withColumn("dist", F.lit(k)))
-        if k % CHECKPOINT_EVERY == 0:
-            visited = cut_lineage(visited)
-        frontier = nxt
-        if target is not None and not nxt.filter(F.col("node") == F.lit(target)).isEmpty():
-            break
-    return visited
+    """(source, node, dist) of every node that a source reaches; see ``graph_paths.search``."""
+    return search(edges, sources, target).select("source", "node", "dist")
 
 
 def shortest_path_length(edges: DataFrame, source, target) -> DataFrame:
@@ -176,128 +134,13 @@ def shortest_path_length(edges: DataFrame, source, target) -> DataFrame:
     return hit.select(F.lit(source).alias("source"), F.lit(target).alias("target"), "length")
 
 
-def closeness(edges: DataFrame) -> DataFrame:
-    """Closeness (Wasserman-Faust scaling for disconnected graphs) and
-    harmonic centrality per node, from an all-sources BFS."""
-    ns = nodes(edges)
-    n = ns.agg(F.count(F.lit(1))).scalar()
-    dist = bfs(edges, ns.select(F.col("node").alias("source")))
-    g = dist.filter(F.col("dist") > 0).groupBy("source").agg(
-        F.sum("dist").alias("total"), F.count(F.lit(1)).alias("reach"), F.sum(1.0 / F.col("dist")).alias("harmonic"))
-    r = F.col("reach").cast("double")
-    cl = (r / F.col("total")) * (r / (n - 1))
-    out = ns.withColumnRenamed("node", "source").join(g, "source", "left")
-    return out.select(F.col("source").alias("node"), F.coalesce(cl, F.lit(0.0)).alias("closeness"),
-                      F.coalesce("harmonic", F.lit(0.0)).alias("harmonic"))
-
-
-def path_stats(edges: DataFrame) -> DataFrame:
-    """Average shortest-path length and diameter over reachable pairs."""
-    ns = nodes(edges).select(F.col("node").alias("source"))
-    d = bfs(edges, ns).filter(F.col("dist") > 0)
-    return d.agg(F.avg("dist").alias("average_path_length"), F.max("dist").alias("diameter"),
-                 F.count(F.lit(1)).alias("reachable_pairs"))
-
-
-def betweenness(edges: DataFrame, normalized: bool = True) -> DataFrame:
-    """Brandes betweenness as level-synchronous joins for all sources.
-
-    Forward: shortest-path counts sigma(s, v) level by level. Backward:
-    delta(s, v) = sum over successors w of sigma(s,v)/sigma(s,w) *
-    (1 + delta(s, w)), level by level from the deepest. Scores are the
-    sum over sources, scaled like networkx (undirected).
-    """
-    edges = cut_lineage(edges.select("src", "dst"))
-    adj = both_directions(edges).select(F.col("src").alias("node"), F.col("dst").alias("nxt"))
-    ns = nodes(edges)
-    n = ns.agg(F.count(F.lit(1))).scalar()
-    frontier = ns.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("sigma"))
-    levels = [frontier]
-    visited = frontier.select("source", "node")
-    while True:
-        cand = (frontier.join(adj, "node").groupBy("source", F.col("nxt").alias("node"))
-                .agg(F.sum("sigma").alias("sigma")))
-        cand = cut_lineage(cand.join(visited, ["source", "node"], "left_anti"))
-        if cand.isEmpty():
-            break
-        levels.append(cand)
-        visited = cut_lineage(visited.unionByName(cand.select("source", "node")))
-        frontier = cand
-    delta_next = None
-    scores = None
-    for k in range(len(levels) - 1, 0, -1):
-        cur = levels[k]
-        if delta_next is None:
-            dw = cur.select("source", F.col("node").alias("w"), F.col("sigma").alias("sw"), F.lit(0.0).alias("dlt"))
-        else:
-            dw = cur.select("source", F.col("node").alias("w"), F.col("sigma").alias("sw")).join(
-                delta_next.select("source", F.col("node").alias("w"), "dlt"), ["source", "w"], "left").fillna({"dlt": 0.0})
-        prev = levels[k - 1].select("source", "node", F.col("sigma").alias("sv"))
-        contrib = (prev.join(adj, "node").withColumnRenamed("nxt", "w").join(dw, ["source", "w"])
-                   .groupBy("source", "node").agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("dlt"))).alias("dlt")))
-        contrib = cut_lineage(contrib)
-        part = contrib.filter(F.col("source") != F.col("node")).groupBy("node").agg(F.sum("dlt").alias("b"))
-        scores = part if scores is None else scores.unionByName(part)
-        delta_next = contrib
-    if scores is None:
-        return ns.select("node", F.lit(0.0).alias("betweenness"))
-    total = scores.groupBy("node").agg(F.sum("b").alias("b"))
-    if normalized:
-        scale = F.when(n > 2, F.lit(1.0) / ((n - 1) * (n - 2)))
-    else:
-        scale = F.lit(0.5)
-    return ns.join(total, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
-
-
-# ------------------------------------------------------------------ iterative scores
-
-
-def eigenvector(edges: DataFrame, rounds: int = 20, rescale_every: int = 5) -> DataFrame:
-    """Power iteration on (A + I), fixed rounds, L2-normalised.
-
-    x_{k+1} = (A + I) x_k is one join of the previous vector with the
-    adjacency plus self loops (the vector is referenced once per round,
-    so the plan grows linearly). Normalising only every few rounds gives
-    the same direction as normalising every round; the periodic rescale
-    (after a reliable checkpoint) keeps magnitudes bounded.
-    """
-    edges = cut_lineage(edges.select("src", "dst"))
-    adj = both_directions(edges).unionByName(nodes(edges).select(F.col("node").alias("src"), F.col("node").alias("dst")))
-    adj = adj.persist()
-    x = nodes(edges).select("node", F.lit(1.0).alias("x"))
-    for k in range(1, rounds + 1):
-        x = (adj.join(x.withColumnRenamed("node", "src"), "src")
-             .groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("x")))
-        if k % rescale_every == 0 or k == rounds:
-            x = cut_lineage(x)
-            norm = F.sqrt(x.agg(F.sum(F.col("x") * F.col("x"))).scalar())
-            x = x.select("node", (F.col("x") / norm).alias("x"))
-    x = cut_lineage(x)
-    adj.unpersist()
-    return x.withColumnRenamed("x", "eigenvector")
-
-
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, checkpoint_every: int = 5) -> DataFrame:
-    """PageRank over both edge directions, fixed rounds from the
-    uniform start. Nodes are edge endpoints, so every node has out-degree
-    >= 1 and there is no dangling mass to spread. The adjacency (with each
-    source's out-degree) is persisted for the loop; the rank vector is
-    read once per round and cut with a reliable checkpoint every few rounds.
-    """
-    edges = cut_lineage(edges.select("src", "dst"))
-    adj = both_directions(edges)
-    outdeg = cut_lineage(adj.groupBy("src").agg(F.count(F.lit(1)).alias("od")))
-    wadj = adj.join(outdeg, "src").persist()
-    n = outdeg.agg(F.count(F.lit(1))).scalar()
-    pr = outdeg.select(F.col("src").alias("node"), (F.lit(1.0) / n).alias("pr"))
-    for k in range(1, rounds + 1):
-        flow = (wadj.join(pr.withColumnRenamed("node", "src"), "src")
-                .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pr") / F.col("od")).alias("inflow")))
-        pr = flow.select("node", (F.lit(1 - damping) / n + F.lit(damping) * F.col("inflow")).alias("pr"))
-        if k % checkpoint_every == 0 or k == rounds:
-            pr = cut_lineage(pr)
-    wadj.unpersist()
-    return pr.withColumnRenamed("pr", "pagerank")
+# ------------------------------------------------------------------ components and communities
+
+
+def _mark(df: DataFrame, *columns: str) -> tuple:
+    """Count and checksum of a duplicate-free table."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h")).first()
+    return r.n, r.h
 
 
 def connected_components(edges: DataFrame, method: str = "star") -> DataFrame:
@@ -313,13 +156,13 @@ def connected_components(edges: DataFrame, method: str = "star") -> DataFrame:
     if method == "propagate":
         return _propagate_components(edges)
     cur = cut_lineage(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    before = _mark(cur, "a", "b")
     while True:
-        nxt = cut_lineage(_small_star(_large_star(cur)))
-        # both are duplicate-free edge sets: equal size and no new edge means equal
-        same = nxt.count() == cur.count() and nxt.exceptAll(cur).isEmpty()
-        cur = nxt
-        if same:
+        cur = cut_lineage(_small_star(_large_star(cur)))
+        now = _mark(cur, "a", "b")
+        if now == before:
             break
+        before = now
     # stars: every non-minimum node is attached to its component minimum
     attached = cur.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label"))
     att = attached.groupBy("node").agg(F.min("label").alias("label"))
@@ -376,23 +219,24 @@ def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """Synchronous label propagation: every node takes its neighbours'
-    most frequent label (ties: smallest label), fixed rounds."""
-    edges = cut_lineage(edges.select("src", "dst"))
-    adj = both_directions(edges)
-    lab = nodes(edges).select("node", F.col("node").alias("label"))
-    for k in range(1, rounds + 1):
-        votes = (adj.join(lab.withColumnRenamed("node", "src"), "src")
-                 .groupBy(F.col("dst").alias("node"), "label").agg(F.count(F.lit(1)).alias("votes")))
-        # most votes, then smallest label: two partial aggregates instead of a
-        # window per node, so a hub's many candidate labels are not sorted in one task
-        top = votes.groupBy("node").agg(F.max("votes").alias("votes"))
-        best = votes.join(top, ["node", "votes"]).groupBy("node").agg(F.min("label").alias("label"))
-        lab = lab.select("node").join(best, "node", "left").join(
-            lab.withColumnRenamed("label", "old"), "node").select("node", F.coalesce("label", "old").alias("label"))
-        lab = cut_lineage(lab)
-    return lab
+def label_propagation(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Synchronous label propagation: every node takes its neighbours' most frequent label
+    (ties: smallest label), until the labels are those of an earlier round (as a rule the last one:
+    nothing changes any more; else the rule goes round in a cycle, whose first labels are kept), or
+    for ``rounds`` rounds."""
+    adj, d = shared_adjacency(edges)
+    lab = d.select("node", "shares", F.col("node").alias("label"))
+    seen: set[tuple] = set()
+    while rounds is None or len(seen) < rounds:
+        votes = to_shares(lab).join(adj, ["node", "share"]).groupBy(F.col("nxt").alias("node"), "label").agg(
+            F.count(F.lit(1)).alias("votes"), F.first("nxt_shares").alias("shares"))
+        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("votes")).alias("v"), "label")).alias("b"), F.first("shares").alias("shares"))
+        lab = stored(best.select("node", "shares", "b.label"))
+        now = _mark(lab, "node", "label")
+        if now in seen:
+            break
+        seen.add(now)
+    return lab.select("node", "label")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -89,6 +89,47 @@ def latin1_documents_path(spark: SparkSession, sf: str) -> str:
     return _once(spark, "latin1_docs", sf, write)
 
 
+def utf16_orders_path(spark: SparkSession, sf: str, rows_per_doc: int = 5000) -> str:
+    """The JSON array documents of the orders, one file each, in UTF-16 with a byte order mark."""
+    def write(path):
+        fs, base = _arrow_fs_path(path)
+        fs.create_dir(base, recursive=True)
+        docs = spark.read.option("wholetext", True).text(json_array_docs_path(spark, sf, rows_per_doc))
+
+        def put(batches):
+            import pandas as pd
+            fs, base = _arrow_fs_path(path)
+            for pdf in batches:
+                for value, bucket in zip(pdf["value"], pdf["bucket"]):
+                    with fs.open_output_stream(f"{base}/doc-{bucket}.json") as out:
+                        out.write(value.encode("utf-16"))
+                yield pd.DataFrame({"n": [len(pdf)]})
+
+        docs.mapInPandas(put, "n long").write.format("noop").mode("overwrite").save()
+    return _once(spark, "utf16_orders", sf, write)
+
+
+def mixed_folder(spark: SparkSession, sf: str) -> str:
+    """One file of each nation, of a type that its key chooses: csv, json, txt or html."""
+    def write(path):
+        n = load(spark, sf, "nation")
+        ext = F.get(F.array(*[F.lit(x) for x in ("csv", "json", "txt", "html")]), (F.col("n_nationkey") % 4).cast("int"))
+        fs, base = _arrow_fs_path(path)
+        fs.create_dir(base, recursive=True)
+
+        def put(batches):
+            import pandas as pd
+            fs, base = _arrow_fs_path(path)
+            for pdf in batches:
+                for key, ext, name in zip(pdf["n_nationkey"], pdf["ext"], pdf["n_name"]):
+                    with fs.open_output_stream(f"{base}/nation-{key}.{ext}") as out:
+                        out.write(name.encode())
+                yield pd.DataFrame({"n": [len(pdf)]})
+
+        n.select("n_nationkey", "n_name", ext.alias("ext")).mapInPandas(put, "n long").write.format("noop").mode("overwrite").save()
+    return _once(spark, "mixed_folder", sf, write)
+
+
 def text_documents_path(spark: SparkSession, sf: str) -> str:
     def write(path):
         load(spark, sf, "documents").select("text").write.mode("overwrite").text(path)
@@ -112,26 +153,44 @@ def result_runs_path(spark: SparkSession, sf: str) -> str:
     return _once(spark, "result_runs", sf, write)
 
 
+def damaged_runs_path(spark: SparkSession, sf: str) -> str:
+    """As ``result_runs_path``, but one run's file ends in the middle, and every run folder also
+    holds its result as text."""
+    def write(path):
+        o = load(spark, sf, "orders")
+        res = o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+        js = F.to_json(F.struct("n_orders", "total"))
+        text = F.when(F.col("o_orderpriority").startswith("3"), F.expr("substring(to_json(struct(n_orders, total)), 1, 20)")).otherwise(js)
+        res.select(F.concat(F.lit("run-"), F.substring("o_orderpriority", 1, 1)).alias("run"), text.alias("value")) \
+            .repartition("run").write.mode("overwrite").partitionBy("run").text(path)
+    return _once(spark, "damaged_runs", sf, write)
+
+
 # ------------------------------------------------------------------ graphs
 
 
 def graph_sparse(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct part pairs (src < dst) ordered together, both lines with
-    returnflag 'R' and quantity >= 45. An order has at most seven lines, so
-    the per-order pairing is bounded by 21 pairs per order."""
-    li = (load(spark, sf, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45))
-          .select("l_orderkey", "l_partkey").distinct())
-    a = li.select("l_orderkey", F.col("l_partkey").alias("src"))
-    b = li.select("l_orderkey", F.col("l_partkey").alias("dst"))
-    return a.join(b, "l_orderkey").filter(F.col("src") < F.col("dst")).select("src", "dst").distinct()
+    """Every line item as an edge between its order ('o' + key) and its part ('p' + key)."""
+    return load(spark, sf, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"),
+                                              F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+
+
+def graph_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer linked with its nation and every order with its customer: one component per
+    nation, whose nation is a hub that grows with the table."""
+    def node(prefix, key):
+        return F.concat(F.lit(prefix), key)
+    c = load(spark, sf, "customer").select(node("c", "c_custkey").alias("src"), node("n", "c_nationkey").alias("dst"))
+    o = load(spark, sf, "orders").select(node("c", "o_custkey").alias("src"), node("o", "o_orderkey").alias("dst"))
+    return c.unionByName(o)
 
 
 def graph_dense(spark: SparkSession, sf: str) -> DataFrame:
-    """Unordered pairs of consecutive purchasers in (ts, event_id) order,
-    self pairs dropped. The "previous purchase" of every row comes from a
-    range-partitioned lag (see ``prefix.previous_row``), not a global window."""
+    """Unordered pairs of the users of consecutive events in (ts, event_id) order, self pairs
+    dropped. The previous event of every row comes from a range-partitioned lag (see
+    ``prefix.previous_row``), not a global window."""
     from quarry.plans.prefix import previous_row
-    ev = load(spark, sf, "events").filter(F.col("event_type") == "purchase").select("ts", "event_id", "user_id")
+    ev = load(spark, sf, "events").select("ts", "event_id", "user_id")
     pairs = previous_row(ev, ["ts", "event_id"], "user_id", "prev_user")
     e = pairs.filter(F.col("prev_user").isNotNull() & (F.col("prev_user") != F.col("user_id")))
     return e.select(F.least("user_id", "prev_user").alias("src"), F.greatest("user_id", "prev_user").alias("dst")).distinct()
@@ -185,6 +244,50 @@ def pages_synth(spark: SparkSession, sf: str, suppliers_per_page: int = 50) -> D
                        .alias("url"), html.alias("html"))
 
 
+def pages_varied(spark: SparkSession, sf: str) -> DataFrame:
+    """One page per supplier (page_id = its key k), whose parts the key chooses:
+
+    - no tables if 11 divides k, the main table twice if 8 does, else once;
+    - main table by k mod 5: a captioned wikitable, a sortable one, one with a keyword in its
+      caption, one with film headers, a bare one; 3 + k mod 30 data rows (bare: k mod 3), a row
+      with a nested table (one row if k is even, three rows if k mod 4 is 1), two rows with spans;
+    - k mod 6: 1 a content div with a keyword, 2 one without, 3 the tables inside an article div;
+    - a form if 7 divides k, a script if 3 does, a navigation box with a table if k mod 13 is 0
+      (a page that names wikipedia.org) or 1 (one that does not).
+    """
+    k = F.col("s_suppkey")
+
+    def by(m, *cases):
+        out = F.when(F.lit(False), "")
+        for r, text in cases:
+            out = out.when(k % m == r, text)
+        return out
+
+    data = F.array_join(F.transform(
+        F.expr("case when s_suppkey % 5 = 4 then sequence(0, s_suppkey % 3) else sequence(0, 3 + s_suppkey % 30) end"),
+        lambda i: F.when(i == 0, "").otherwise(F.concat(F.lit("<tr><td>"), i, F.lit("</td><td>Item "), i, F.lit(" of "), F.col("s_name"),
+                                                       F.lit("</td><td>$"), i, F.lit(",000</td></tr>")))), "")
+    nested = F.when(k % 2 == 0, "<table><tr><td>x</td><td>y</td></tr></table>").when(
+        k % 4 == 1, "<table>" + "<tr><td>u</td><td>v</td></tr>" * 3 + "</table>").otherwise("none")
+    end = F.when(k % 9 == 0, "Titanic").otherwise("end")
+    abc = "<tr><th>A</th><th>B</th><th>C</th></tr>"
+    head = by(5, (0, '<table class="wikitable"><caption>Highest grossing films</caption><tr><th>Rank</th><th>Title</th><th>Gross</th></tr>'),
+              (1, '<table class="sortable">' + abc), (2, "<table><caption>sales overview</caption>" + abc),
+              (3, "<table><tr><th>Rank</th><th>Peak</th><th>Title</th><th>Worldwide</th><th>Year</th></tr>"), (4, "<table>"))
+    main = F.concat(head, data, F.lit("<tr><td>n</td><td>o</td><td>"), nested, F.lit('</td></tr><tr><td rowspan="2">'), end,
+                    F.lit('</td><td colspan="2">both</td></tr><tr><td>p<sup>1</sup></td><td><a href="/q">q</a></td></tr></table>'))
+    tables = F.when(k % 11 == 0, "<p>no rows</p>").when(k % 8 == 0, F.concat(main, main)).otherwise(main)
+    box = '<div class="navbox"><table><tr><td>nav</td></tr></table></div>'
+    html = F.concat(
+        F.lit("<html><head><title>Supplier "), k, F.lit("</title></head><body>"),
+        F.when(k % 3 == 0, "<script>let a = 1;</script>").otherwise(""), F.when(k % 7 == 0, '<form action="/s"></form>').otherwise(""),
+        F.when(k % 13 == 0, "<p>from wikipedia.org</p>").otherwise(""),
+        F.when(k % 6 == 1, '<div class="main-content">Results of the supplier</div>')
+        .when(k % 6 == 2, '<div class="content">nothing here</div>').when(k % 6 == 3, '<div class="article">Overview ').otherwise(""),
+        tables, F.when(k % 6 == 3, "</div>").otherwise(""), F.when(k % 13 < 2, box).otherwise(""), F.lit("</body></html>"))
+    return load(spark, sf, "supplier").select(k.alias("page_id"), F.col("s_name"), html.alias("html"))
+
+
 def html_files_dir(spark: SparkSession, sf: str) -> str:
     """The synthetic pages as one .html file per page (page_id=N/part-*.txt)."""
     def write(path):

@@ -12,7 +12,7 @@ from quarry.operators import stats as S
 from quarry.operators import timeseries as W
 from quarry.plans import fixtures as FX
 from quarry.plans.catalog import T, query
-from quarry.plans.queries_graph import GD, GS, W as GW, dense, sparse
+from quarry.plans.queries_graph import GD, GS, LEVELS, W as GW, communities_sql, dense, sparse
 from quarry.streaming import streams as V
 
 
@@ -121,15 +121,9 @@ def q_c10(spark, sf):
     return C.network_table(dense(spark, sf))
 
 
-@query("c11_community_sizes", sql=GW(GD) + """, l0 AS (SELECT node, node AS label FROM nd),
-""" + ",\n".join(
-    f"""l{k} AS MATERIALIZED (SELECT p.node, coalesce(b.label, p.label) AS label FROM l{k-1} p LEFT JOIN
-  (SELECT node, label FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY votes DESC, label) AS rn
-     FROM (SELECT ee.b AS node, l.label, count(*) AS votes FROM ee JOIN l{k-1} l ON ee.a = l.node GROUP BY 1, 2))
-   WHERE rn = 1) b ON p.node = b.node)""" for k in range(1, 6)) + """
-SELECT label, count(*) AS size FROM l5 GROUP BY label""")
+@query("c11_community_sizes", sql=communities_sql(GD, LEVELS) + "\nSELECT label, count(*) AS size FROM labels GROUP BY label")
 def q_c11(spark, sf):
-    return G.component_sizes(G.label_propagation(dense(spark, sf), 5))
+    return G.component_sizes(G.communities(dense(spark, sf)))
 
 
 # ------------------------------------------------------------------ run logs and streams

@@ -1,7 +1,7 @@
-"""Registered queries: graph operators (N*) on the two derived graphs
-(FIXTURES.md §3): ``graph_sparse`` from line items and ``graph_dense``
-from consecutive purchases. SQL twins rebuild the same graphs in DuckDB;
-BFS-type twins use a keyed recursive CTE, iterative scores are unrolled."""
+"""Registered queries: graph operators (N*) on three graphs that hold every row of their tables:
+``graph_dense`` (consecutive events' users), ``graph_sparse`` (orders and parts of all line items)
+and ``graph_forest`` (nations, customers, orders). SQL twins rebuild the same graphs in DuckDB;
+search twins use a keyed recursive CTE, iterative scores are unrolled beyond their fixed point."""
 
 from __future__ import annotations
 
@@ -12,9 +12,10 @@ from quarry.operators import graph as G
 from quarry.plans import fixtures as FX
 from quarry.plans.catalog import query
 
-GS = """li AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45),
-g AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"""
-GD = """p AS (SELECT user_id, lag(user_id) OVER (ORDER BY ts, event_id) AS prev FROM events WHERE event_type = 'purchase'),
+GS = """g AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem)"""
+GF = """g AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer
+  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
+GD = """p AS (SELECT user_id, lag(user_id) OVER (ORDER BY ts, event_id) AS prev FROM events),
 g AS (SELECT DISTINCT least(user_id, prev) AS src, greatest(user_id, prev) AS dst FROM p WHERE prev IS NOT NULL AND prev <> user_id)"""
 COMMON = """ee AS (SELECT src AS a, dst AS b FROM g UNION ALL SELECT dst, src FROM g),
 nd AS (SELECT DISTINCT a AS node FROM ee),
@@ -33,6 +34,10 @@ def sparse(spark, sf):
     return G.canonical(FX.graph_sparse(spark, sf))
 
 
+def forest(spark, sf):
+    return G.canonical(FX.graph_forest(spark, sf))
+
+
 BFS_ALL = """bfs(s, node, d) USING KEY (s, node) AS (
   SELECT node, node, 0 FROM nd
   UNION
@@ -110,16 +115,29 @@ def q_n7d(spark, sf):
             .withColumn("source", F.col("source").cast("bigint")).withColumn("target", F.col("target").cast("bigint"))
 
 
-@query("n7_shortest_path_sparse", sql=W(GS, True) + ", " + _bfs_from("SELECT min(src) AS s FROM g") + """
+@query("n7_shortest_path_sparse", sql=W(GF, True) + ", " + _bfs_from("SELECT min(src) AS s FROM g") + """
 SELECT (SELECT min(src) FROM g) AS source, (SELECT max(dst) FROM g) AS target,
        (SELECT min(d) FROM bfs WHERE node = (SELECT max(dst) FROM g)) AS length""")
 def q_n7s(spark, sf):
-    """Usually unreachable in the sparse graph: the length must be NULL."""
-    e = sparse(spark, sf)
+    """From one nation's tree to another's in the forest: there is no path, the length is NULL."""
+    e = forest(spark, sf)
     lo = e.agg(F.min("src")).first()[0]
     hi = e.agg(F.max("dst")).first()[0]
-    return G.shortest_path_length(e, lo, hi).withColumn("length", F.col("length").cast("integer")) \
-            .withColumn("source", F.col("source").cast("bigint")).withColumn("target", F.col("target").cast("bigint"))
+    return G.shortest_path_length(e, lo, hi).withColumn("length", F.col("length").cast("integer"))
+
+
+@query("n8_shortest_path", sql=W(GS, True) + ", " + _bfs_from("SELECT min(node) AS s FROM nd") + """,
+path(step, node) AS (
+  SELECT d, node FROM bfs WHERE node = (SELECT max(node) FROM nd)
+  UNION ALL
+  SELECT p.step - 1, min(x.b) FROM path p JOIN ee x ON x.a = p.node JOIN bfs ON bfs.node = x.b AND bfs.d = p.step - 1
+  GROUP BY p.step)
+SELECT CAST(step AS INTEGER) AS step, node FROM path""")
+def q_n8p(spark, sf):
+    """The nodes of the path through orders and parts, in order."""
+    e = sparse(spark, sf)
+    ends = G.nodes(e).agg(F.min("node"), F.max("node")).first()
+    return G.shortest_path(e, ends[0], ends[1])
 
 
 @query("n8_bfs_distances", sql=W(GD, True) + ", " + _bfs_from("SELECT min(node) AS s FROM nd") + """
@@ -141,19 +159,31 @@ def q_n10(spark, sf):
     return round_doubles(G.degree_centrality(dense(spark, sf)))
 
 
-@query("n11_closeness", sql=W(GD, True) + ", " + BFS_ALL + """,
+# the ten nodes of highest degree
+TOP_SQL = "SELECT node AS s FROM deg ORDER BY degree DESC, node LIMIT 10"
+
+
+def top_nodes(edges):
+    return G.degrees(edges).orderBy(F.col("degree").desc(), "node").limit(10).select(F.col("node").alias("source"))
+
+
+@query("n11_closeness", sql=W(GD, True) + ", " + _bfs_from(TOP_SQL) + """,
 agg AS (SELECT s, sum(d) AS total, count(*) AS reach, sum(1.0 / d) AS harmonic FROM bfs WHERE d > 0 GROUP BY s)
-SELECT nd.node, round(coalesce((reach * 1.0 / total) * (reach * 1.0 / ((SELECT count(*) FROM nd) - 1)), 0), 6) AS closeness,
-       round(coalesce(harmonic, 0), 6) AS harmonic FROM nd LEFT JOIN agg ON nd.node = agg.s""")
+SELECT s AS node, round((reach * 1.0 / total) * (reach * 1.0 / ((SELECT count(*) FROM nd) - 1)), 6) AS closeness,
+       round(harmonic, 6) AS harmonic FROM agg""")
 def q_n11(spark, sf):
-    return round_doubles(G.closeness(dense(spark, sf)))
+    """Of the ten nodes of highest degree, as a table of sources."""
+    e = dense(spark, sf)
+    return round_doubles(G.closeness(e, top_nodes(e)))
 
 
-@query("n11_path_stats", sql=W(GD, True) + ", " + BFS_ALL + """
+@query("n11_path_stats", sql=W(GS, True) + ", " + _bfs_from(TOP_SQL) + """
 SELECT round(avg(d), 6) AS average_path_length, CAST(max(d) AS INTEGER) AS diameter, count(*) AS reachable_pairs
 FROM bfs WHERE d > 0""")
 def q_n11p(spark, sf):
-    return round_doubles(G.path_stats(dense(spark, sf))).withColumn("diameter", F.col("diameter").cast("integer"))
+    """Distances from the ten parts with most orders."""
+    e = sparse(spark, sf)
+    return round_doubles(G.path_stats(e, top_nodes(e))).withColumn("diameter", F.col("diameter").cast("integer"))
 
 
 @query("n12_betweenness", sql=W(GD, True) + ", " + BFS_ALL + """,
@@ -164,56 +194,102 @@ sig(s, node, d, sigma) USING KEY (s, node) AS (
   JOIN bfs t ON t.s = p.s AND t.node = x.b AND t.d = p.d + 1
   GROUP BY p.s, x.b),
 n AS (SELECT count(*) AS n FROM nd),
-bc AS (SELECT v.node, sum(v.sigma * w.sigma / st.sigma) AS b
-       FROM sig v JOIN sig w ON w.s = v.node JOIN sig st ON st.s = v.s AND st.node = w.node
-       WHERE v.s <> v.node AND w.node <> v.node AND v.s <> w.node AND v.d + w.d = st.d
-       GROUP BY v.node)
-SELECT nd.node, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM nd LEFT JOIN bc ON nd.node = bc.node, n""")
+piv AS (SELECT node AS s FROM nd ORDER BY md5(CAST(node AS VARCHAR)), node LIMIT 20),
+k AS (SELECT count(*) AS k FROM piv),
+dep AS (SELECT v.s, v.node, sum(v.sigma * w.sigma / st.sigma) AS dep
+        FROM sig v JOIN piv ON piv.s = v.s JOIN sig w ON w.s = v.node JOIN sig st ON st.s = v.s AND st.node = w.node
+        WHERE v.s <> v.node AND w.node <> v.node AND v.s <> w.node AND v.d + w.d = st.d
+        GROUP BY v.s, v.node),
+bc AS (SELECT node, sum(dep) AS s, sum(dep * dep) AS ss FROM dep GROUP BY node)
+SELECT nd.node, round(coalesce(s, 0) * (n * 1.0 / k) / ((n - 1) * (n - 2)), 6) AS betweenness,
+  round(sqrt(greatest(coalesce(ss, 0) - coalesce(s, 0) * coalesce(s, 0) / k, 0) / (k - 1) / k) * n / ((n - 1) * (n - 2)), 4) AS std_error
+FROM nd LEFT JOIN bc ON nd.node = bc.node, n, k""")
 def q_n12(spark, sf):
-    return round_doubles(G.betweenness(dense(spark, sf)))
+    """Estimated from twenty pivots, with the standard error of the estimate."""
+    e = dense(spark, sf)
+    out = G.betweenness(e, G.pivots(e, 20))
+    return round_doubles(out.drop("std_error")).join(out.select("node", F.round("std_error", 4).alias("std_error")), "node")
 
 
 def _eigen_sql(rounds: int) -> str:
-    parts = ["x0 AS MATERIALIZED (SELECT node, 1.0 / (SELECT count(*) FROM nd) AS x FROM nd)"]
+    """Not normalised before the end; ``rounds`` go beyond the fixed point."""
+    parts = ["x0 AS MATERIALIZED (SELECT node, CAST(1.0 AS DOUBLE) AS x FROM nd)"]
     for k in range(1, rounds + 1):
-        parts.append(f"""y{k} AS MATERIALIZED (SELECT p.node, p.x + coalesce(q.ax, 0) AS x FROM x{k-1} p LEFT JOIN
-  (SELECT ee.b AS node, sum(s.x) AS ax FROM ee JOIN x{k-1} s ON ee.a = s.node GROUP BY ee.b) q ON p.node = q.node)""")
-        parts.append(f"x{k} AS MATERIALIZED (SELECT node, x / (SELECT sqrt(sum(x * x)) FROM y{k}) AS x FROM y{k})")
-    return W(GD) + ", " + ",\n".join(parts) + f"\nSELECT node, round(x, 6) AS eigenvector FROM x{rounds}"
+        parts.append(f"""x{k} AS MATERIALIZED (SELECT node, sum(x) AS x FROM (SELECT node, x FROM x{k-1}
+  UNION ALL SELECT ee.b, s.x FROM ee JOIN x{k-1} s ON ee.a = s.node) GROUP BY node)""")
+    return W(GD) + ", " + ",\n".join(parts) + f"\nSELECT node, round(x / (SELECT sqrt(sum(x * x)) FROM x{rounds}), 6) AS eigenvector FROM x{rounds}"
 
 
-@query("n13_eigenvector", sql=_eigen_sql(20))
+@query("n13_eigenvector", sql=_eigen_sql(40))
 def q_n13(spark, sf):
-    return round_doubles(G.eigenvector(dense(spark, sf), 20))
+    return round_doubles(G.eigenvector(dense(spark, sf), 1e-13))
 
 
 def _pagerank_sql(rounds: int, d: float = 0.85) -> str:
-    parts = ["n AS (SELECT count(*) AS n FROM nd)",
-             "od AS (SELECT a AS node, count(*) AS od FROM ee GROUP BY a)",
-             "r0 AS MATERIALIZED (SELECT node, 1.0 / (SELECT n FROM n) AS pr FROM nd)"]
+    parts = ["n AS (SELECT count(*) AS n FROM nd)", "r0 AS MATERIALIZED (SELECT node, 1.0 / (SELECT n FROM n) AS pr FROM nd)"]
     for k in range(1, rounds + 1):
-        parts.append(f"""r{k} AS MATERIALIZED (SELECT nd.node, {1 - d} / (SELECT n FROM n) + {d} * (coalesce(f.inflow, 0)
-  + (SELECT coalesce(sum(CASE WHEN od.od IS NULL THEN r.pr END), 0) FROM r{k-1} r LEFT JOIN od ON r.node = od.node) / (SELECT n FROM n)) AS pr
-  FROM nd LEFT JOIN (SELECT ee.b AS node, sum(r.pr / od.od) AS inflow FROM r{k-1} r JOIN od ON r.node = od.node
-  JOIN ee ON ee.a = r.node GROUP BY ee.b) f ON nd.node = f.node)""")
+        parts.append(f"""r{k} AS MATERIALIZED (SELECT ee.b AS node, {1 - d} / (SELECT n FROM n) + {d} * sum(r.pr / degree) AS pr
+  FROM r{k-1} r JOIN deg ON r.node = deg.node JOIN ee ON ee.a = r.node GROUP BY ee.b)""")
     return W(GD) + ", " + ",\n".join(parts) + f"\nSELECT node, round(pr, 6) AS pagerank FROM r{rounds}"
 
 
-@query("n14_pagerank", sql=_pagerank_sql(20))
+@query("n14_pagerank", sql=_pagerank_sql(60))
 def q_n14(spark, sf):
-    return round_doubles(G.pagerank(dense(spark, sf), 0.85, 20))
+    return round_doubles(G.pagerank(dense(spark, sf), 0.85, 1e-14))
+
+
+LABEL_SQL = W(GF, True) + """, lab(node, label) USING KEY (node) AS (
+  SELECT node, node FROM nd
+  UNION
+  SELECT x.b, min(l.label) FROM lab l JOIN ee x ON l.node = x.a JOIN recurring.lab r ON r.node = x.b
+  WHERE l.label < r.label GROUP BY x.b)
+"""
 
 
-@query("n15_connected_components", sql=W(GS, True) + ", " + BFS_ALL + """
-SELECT node, min(s) AS label FROM bfs GROUP BY node""")
+@query("n15_connected_components", sql=LABEL_SQL + "SELECT node, label FROM lab")
 def q_n15(spark, sf):
-    return G.connected_components(sparse(spark, sf))
+    return G.connected_components(forest(spark, sf))
 
 
-@query("n15_component_sizes", sql=W(GS, True) + ", " + BFS_ALL + """
-SELECT label, count(*) AS size FROM (SELECT node, min(s) AS label FROM bfs GROUP BY node) GROUP BY label""")
+@query("n15_component_sizes", sql=LABEL_SQL + "SELECT label, count(*) AS size FROM lab GROUP BY label")
 def q_n15s(spark, sf):
-    return G.component_sizes(G.connected_components(sparse(spark, sf)))
+    return G.component_sizes(G.connected_components(forest(spark, sf)))
+
+
+def communities_sql(graph: str, levels: int) -> str:
+    """``labels(node, label)`` by modularity gain: one block of CTEs per level; levels after the last
+    move change nothing."""
+    parts = ["m AS (SELECT CAST(2 * count(*) AS HUGEINT) AS m2 FROM g)",
+             "lab0 AS (SELECT node, node AS c FROM deg)", "d0 AS (SELECT node AS c, CAST(degree AS HUGEINT) AS d FROM deg)",
+             "w0 AS (SELECT src AS a, dst AS b, 1 AS w FROM g)"]
+    for k in range(1, levels + 1):
+        j = k - 1
+        parts.append(f"""pick{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY gain DESC, tie DESC, b DESC) AS rn
+  FROM (SELECT e.a, e.b, e.w, x.d AS da, y.d AS db, m2 * e.w - x.d * y.d AS gain,
+          md5(least(e.a, e.b) || '|' || greatest(e.a, e.b) || '|{k}') AS tie
+        FROM (SELECT a, b, w FROM w{j} UNION ALL SELECT b, a, w FROM w{j}) e JOIN d{j} x ON x.c = e.a JOIN d{j} y ON y.c = e.b, m) WHERE gain > 0) WHERE rn = 1),
+role{k} AS MATERIALIZED (SELECT p.*, CASE WHEN q.b = p.a THEN p.a > p.b
+    ELSE md5(p.a || '|{k}')[1] IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') END AS moves FROM pick{k} p LEFT JOIN pick{k} q ON q.a = p.b),
+cand{k} AS MATERIALIZED (SELECT r.*, sum(da) OVER (PARTITION BY b) AS all_d, row_number() OVER (PARTITION BY b ORDER BY gain DESC, a) AS nth
+  FROM role{k} r WHERE moves AND EXISTS (SELECT 1 FROM role{k} o WHERE o.a = r.b AND NOT o.moves)),
+fit{k} AS MATERIALIZED (SELECT *, m2 * w - da * (db + all_d - da) > 0 AS fits FROM cand{k}, m),
+move{k} AS MATERIALIZED (SELECT a AS c, b AS into_c FROM (SELECT *, bool_or(fits) OVER (PARTITION BY b) AS any_fits FROM fit{k})
+  WHERE fits OR (NOT any_fits AND nth = 1)),
+lab{k} AS MATERIALIZED (SELECT node, coalesce(into_c, l.c) AS c FROM lab{j} l LEFT JOIN move{k} t ON t.c = l.c),
+d{k} AS MATERIALIZED (SELECT coalesce(into_c, x.c) AS c, sum(d) AS d FROM d{j} x LEFT JOIN move{k} t ON t.c = x.c GROUP BY 1),
+w{k} AS MATERIALIZED (SELECT least(a, b) AS a, greatest(a, b) AS b, sum(w) AS w
+  FROM (SELECT coalesce(t.into_c, x.a) AS a, coalesce(u.into_c, x.b) AS b, w FROM w{j} x LEFT JOIN move{k} t ON t.c = x.a
+        LEFT JOIN move{k} u ON u.c = x.b) WHERE a <> b GROUP BY 1, 2)""")
+    return W(graph) + ", " + ",\n".join(parts) + f""",
+labels AS MATERIALIZED (SELECT node, min(node) OVER (PARTITION BY c) AS label FROM lab{levels})"""
+
+
+LEVELS = 22
+
+
+@query("n16_communities", sql=communities_sql(GD, LEVELS) + "\nSELECT node, label FROM labels")
+def q_n16c(spark, sf):
+    return G.communities(dense(spark, sf))
 
 
 def _lpa_sql(rounds: int) -> str:
@@ -226,21 +302,21 @@ def _lpa_sql(rounds: int) -> str:
     return W(GD) + ", " + ",\n".join(parts)
 
 
-@query("n16_label_propagation", sql=_lpa_sql(5) + "\nSELECT node, label FROM l5")
+@query("n16_label_propagation", sql=_lpa_sql(12) + "\nSELECT node, label FROM l12")
 def q_n16(spark, sf):
-    return G.label_propagation(dense(spark, sf), 5)
+    return G.label_propagation(dense(spark, sf))
 
 
-@query("n16_modularity", sql=_lpa_sql(5) + """,
-m AS (SELECT count(*) AS m FROM g),
-ins AS (SELECT la.label, count(*) AS lc FROM g JOIN l5 la ON g.src = la.node JOIN l5 lb ON g.dst = lb.node
+@query("n16_modularity", sql=communities_sql(GD, LEVELS) + """,
+mm AS (SELECT count(*) AS m FROM g),
+ins AS (SELECT la.label, count(*) AS lc FROM g JOIN labels la ON g.src = la.node JOIN labels lb ON g.dst = lb.node
         WHERE la.label = lb.label GROUP BY la.label),
-dc AS (SELECT l5.label, sum(degree) AS dc FROM deg JOIN l5 ON deg.node = l5.node GROUP BY l5.label)
+dc AS (SELECT labels.label, sum(degree) AS dc FROM deg JOIN labels ON deg.node = labels.node GROUP BY labels.label)
 SELECT round(sum(coalesce(lc, 0) * 1.0 / m - (dc / (2.0 * m)) * (dc / (2.0 * m))), 6) AS modularity, count(*) AS communities
-FROM dc LEFT JOIN ins ON dc.label = ins.label, m""")
+FROM dc LEFT JOIN ins ON dc.label = ins.label, mm""")
 def q_n16m(spark, sf):
     e = dense(spark, sf)
-    return round_doubles(G.modularity(e, G.label_propagation(e, 5)))
+    return round_doubles(G.modularity(e, G.communities(e)))
 
 
 @query("n17_triangles", sql=W(GD) + "," + TRI_SQL + "\nSELECT a, b, c FROM tri")

@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 MODULES = ("relational", "profile", "stats", "timeseries", "graph", "ml", "jsonops", "pages", "questions",
            "answers", "charts")
+# a module also offers what it names in ``__all__``
 
 
 def operators() -> dict[str, Callable]:
@@ -21,7 +22,7 @@ def operators() -> dict[str, Callable]:
     for m in MODULES:
         mod = importlib.import_module(f"quarry.operators.{m}")
         for name, fn in inspect.getmembers(mod, inspect.isfunction):
-            if fn.__module__ == mod.__name__ and not name.startswith("_"):
+            if (fn.__module__ == mod.__name__ or name in getattr(mod, "__all__", ())) and not name.startswith("_"):
                 out[f"{m}.{name}"] = fn
     return out
 

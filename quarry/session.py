@@ -161,3 +161,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back. For loops of many rounds: unlike a
+    checkpoint, what is read back carries no size estimates and constraints of the plans before it,
+    which would grow from round to round."""
+    import uuid
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = shared_path(spark, "rounds", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def laid_out(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` written once to the shared folder as a table bucketed by ``keys``, one bucket for each
+    shuffle partition. Joins and groupings by these keys then read it in place; only the other side
+    of a join moves."""
+    import uuid
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"quarry_layout_{uuid.uuid4().hex[:16]}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys)
+     .option("path", shared_path(spark, "layout", name)).saveAsTable(name))
+    return spark.table(name)
