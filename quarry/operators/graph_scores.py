@@ -25,13 +25,16 @@ def _flows(x: DataFrame, adj: DataFrame, sent) -> DataFrame:
                                                      F.max("shares").alias("shares"), F.max("old").alias("old"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, hub: int = HUB) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, hub: int = HUB,
+             rounds: int | None = None) -> DataFrame:
     """PageRank over both edge directions, from the uniform start until the ranks of a round
-    differ by no more than ``tolerance`` in sum. Every node has an edge, so no rank is lost."""
+    differ by no more than ``tolerance`` in sum, or for ``rounds`` rounds. Every node has an edge, so no rank is lost."""
     adj, d = shared_adjacency(edges, hub)
     n = d.count()
     x = d.select("node", "degree", "shares", F.lit(1.0 / max(n, 1)).alias("x"))
-    while n:
+    done = 0
+    while n and done != rounds:
+        done += 1
         new = (1 - damping) / n + damping * F.col("flow")
         x = stored(_flows(x, adj, F.col("x") / F.col("degree")).select("node", "degree", "shares", "old", new.alias("x")))
         if x.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] <= tolerance:
@@ -39,13 +42,15 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, h
     return x.select("node", F.col("x").alias("pagerank"))
 
 
-def eigenvector(edges: DataFrame, tolerance: float = 1e-9, hub: int = HUB) -> DataFrame:
+def eigenvector(edges: DataFrame, tolerance: float = 1e-9, hub: int = HUB, rounds: int | None = None) -> DataFrame:
     """The leading eigenvector, of length 1, by power iteration on A + I until a round moves it
-    by no more than ``tolerance`` (in length). Components beside the leading one fade to 0."""
+    by no more than ``tolerance`` (in length), or for ``rounds`` rounds. Components beside the leading one fade to 0."""
     adj, d = shared_adjacency(edges, hub)
     n = d.count()
     x = d.select("node", "degree", "shares", F.lit(max(n, 1) ** -0.5).alias("x"))
-    while n:
+    done = 0
+    while n and done != rounds:
+        done += 1
         y = stored(_flows(x, adj, F.col("x")).select("node", "degree", "shares", "old", (F.col("flow") + F.col("old")).alias("y")))
         norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0]
         x = y.select("node", "degree", "shares", "old", (F.col("y") / norm).alias("x"))
