@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from quarry.operators.communities import communities
 from quarry.operators.edges import both_directions, canonical, degrees, nodes
-from quarry.operators.graph_paths import betweenness, closeness, path_stats, pivots, search, shared_adjacency, shortest_path, to_shares
+from quarry.operators.graph_paths import (betweenness, closeness, distance_counts, path_stats, pivots, search, shared_adjacency,
+                                          shortest_path, to_shares)
 from quarry.operators.graph_scores import eigenvector, pagerank
 from quarry.session import cut_lineage, stored
 
 __all__ = ["betweenness", "bfs", "both_directions", "canonical", "closeness", "clustering", "clustering_summary", "communities",
-           "component_sizes", "connected_components", "degree_centrality", "degree_distribution", "degrees", "eigenvector",
+           "component_sizes", "connected_components", "degree_centrality", "degree_distribution", "degrees", "distance_counts", "eigenvector",
            "four_cliques", "highest_degree", "label_propagation", "modularity", "nodes", "oriented", "pagerank", "path_stats",
            "pivots", "search", "shortest_path", "shortest_path_length", "summary", "triangles"]
 

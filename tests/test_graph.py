@@ -94,6 +94,30 @@ def test_closeness_and_betweenness(spark):
     assert (row.diameter, row.reachable_pairs) == (max(every), len(every)) and abs(row.average_path_length - sum(every) / len(every)) < 1e-9
 
 
+def test_distances_between_all_pairs(spark):
+    # several blocks of sources, hubs in several shares, parts apart
+    pairs = [*random_pairs(4, 200, 700), (5000, 5001)]
+    adj, e = adjacency(pairs), frame(spark, pairs)
+    expected = {}
+    for s in adj:
+        for d in distances(adj, s).values():
+            if d:
+                expected[s, d] = expected.get((s, d), 0) + 1
+    assert {(r.node, r.dist): r.n for r in G.distance_counts(e, 5, 900).collect()} == expected
+    whole = {r.node: r.betweenness for r in G.betweenness(frame(spark, pairs[:40])).collect()}
+    split = {r.node: r.betweenness for r in G.betweenness(frame(spark, pairs[:40]), batch_pairs=3000).collect()}
+    assert set(whole) == set(split) and all(abs(whole[x] - split[x]) < 1e-9 for x in whole)
+
+
+def test_path_queries_start_from_every_node(spark):
+    from quarry.plans import queries_graph as Q
+    sf = "/root/testdata/sf0.001"
+    n = G.nodes(Q.dense(spark, sf)).count()
+    assert Q.q_n11(spark, sf).count() == n
+    assert Q.q_n11p(spark, sf).first().reachable_pairs == n * (n - 1)
+    assert Q.q_n12(spark, sf).columns == ["node", "betweenness"]
+
+
 def test_scores_stand_still(spark):
     hub = 4
     pairs = random_pairs(2, 16, 60) + [(0, 100 + i) for i in range(6)]
