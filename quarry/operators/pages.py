@@ -4,7 +4,7 @@ pages (page_id, html) -> one parse job -> one row per table, then
 relevance, scoring and selection as DataFrame expressions.
 
 The parse step is the only Python: the standard-library ``html.parser``
-builds a small element tree per page inside ``mapInPandas`` (bs4/lxml are
+builds a small element tree per page inside ``mapInArrow`` (bs4/lxml are
 not installed), applies the removal rules and emits table metadata and
 cell texts. A malformed page costs one error row, never the job.
 """
@@ -12,11 +12,14 @@ cell texts. A malformed page costs one error row, never the job.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Fixed values that must equal the reference's.
 REMOVED_TAGS = ["script", "style", "nav", "header", "footer", "aside", "meta", "link", "noscript"]
@@ -34,6 +37,10 @@ LIKELY_HEADER_WORDS = ["rank", "film", "title", "worldwide", "gross", "year", "p
 SCRAPED_COLUMN_NAMES = ["Rank", "Peak", "Title", "Worldwide_Gross", "Year"]
 SECTION_CLASS_PATTERN = r"(?i)(content|main|article|data|table)"
 
+# Characters of pages in one batch of parsed rows, about, and parse tasks for each core.
+PARSED_CHARS = 1_000_000
+TASKS_PER_CORE = 4
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 IMPLIED = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "li": {"li"}, "p": {"p"},
            "option": {"option"}}
@@ -341,14 +348,28 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     """The parse job: one output row per page (tables nested).
 
     Whole pages travel to Python in Arrow batches, whose bytes Spark bounds
-    (``spark.sql.execution.arrow.maxBytesPerBatch``); each page is parsed
-    once and yielded by itself. A page that fails keeps its error row.
+    (``spark.sql.execution.arrow.maxBytesPerBatch``); each page is parsed once, and rows leave in
+    batches of about PARSED_CHARS characters of pages. A page that fails keeps its error row.
+
+    Parsing costs far more than reading, and a file of many small pages is one input split: the pages
+    are dealt to ``TASKS_PER_CORE`` tasks a core, at least as many as there are shuffle partitions.
     """
-    def run(batches):
-        for pdf in batches:
-            for p, h in zip(pdf[id_col], pdf[html_col]):
-                yield pd.DataFrame([parse_page(int(p), h)])
-    return pages.select(F.col(id_col).cast("long").alias(id_col), F.col(html_col)).mapInPandas(run, PAGE_SCHEMA)
+    spark = pages.sparkSession
+    n = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    schema = to_arrow_schema(StructType.fromDDL(PAGE_SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, chars = [], 0
+            for p, h in zip(batch.column(0), batch.column(1)):
+                rows.append(parse_page(int(p.as_py()), h.as_py()))
+                chars += rows[-1]["original_size"]
+                if chars >= PARSED_CHARS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, chars = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    return pages.select(F.col(id_col).cast("long").alias(id_col), F.col(html_col)).repartition(n).mapInArrow(run, PAGE_SCHEMA)
 
 
 def failed_pages(parsed: DataFrame) -> DataFrame:

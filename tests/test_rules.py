@@ -149,3 +149,13 @@ def test_quantiles_of_large_hot_and_null_groups(spark):
     everything = exact_quantiles(df, "v", [0.5]).first()
     assert abs(everything["q0"] - np.quantile([v for _, v in rows if v is not None and v == v], 0.5)) < 1e-12
     assert exact_quantiles(df.limit(0), "v", [0.5]).first()["q0"] is None
+
+
+def test_pages_of_one_split_are_parsed_by_many_tasks(spark):
+    from quarry.operators import pages as H
+    html = "<html><head><title>T</title></head><body><table><tr><th>a</th></tr><tr><td>b</td></tr></table></body></html>"
+    rows = [(i, html if i % 3 else None) for i in range(40)] + [(7, html), (8, "<p>x")]
+    parsed = H.parse_pages(spark.createDataFrame(rows, "page_id long, html string").coalesce(1))
+    assert parsed.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    got = sorted((r.page_id, r.title or "", r.cleaned_tables, r.original_size, len(r.tables)) for r in parsed.collect())
+    assert got == sorted((i, "T" if h == html else "", int(h == html), len(h or ""), int(h == html)) for i, h in rows)
