@@ -7,6 +7,7 @@ not reproduced (stated deviation).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -209,13 +210,36 @@ def detect_dates(df: DataFrame, column: str, formats: Sequence[str] = tuple(DATE
                     (F.col("parsed") >= F.lit(threshold) * F.col("non_null")).alias("is_date"))
 
 
+def date_shape(fmt: str) -> str:
+    """A regular expression that the beginning of every text of a date format matches: fields of two
+    or four digits, literals as they are, anything from the first other field on."""
+    out = "^"
+    for m in re.finditer(r"([A-Za-z])\1*|'|[^A-Za-z']", fmt):
+        part = m.group()
+        if part == "yyyy":
+            out += r"[+-]?[0-9]{4,}"
+        elif part in ("MM", "dd", "HH", "mm", "ss"):
+            out += "[0-9]{2}"
+        elif part[0].isalpha() or part in "'[]{}#":
+            break
+        else:
+            out += re.escape(part)
+    return out
+
+
+def _parsed(x: Column, fmt: str) -> Column:
+    """``try_to_timestamp`` for the texts that have the format's shape: a text that does not parse
+    costs an exception, many times what the shape costs."""
+    return F.when(x.rlike(date_shape(fmt)), F.try_to_timestamp(x, F.lit(fmt)))
+
+
 def _votes(df: DataFrame, columns: Sequence[str], formats: Sequence[str]) -> DataFrame:
     """One row: present values (``n{i}``) and votes per format (``v{i}``) of every column."""
     aggs = []
     for i, c in enumerate(columns):
         x = F.trim(F.col(f"`{c}`"))
         aggs += [F.count(F.nullif(x, F.lit(""))).alias(f"n{i}"),
-                 F.array(*[F.count_if(F.try_to_timestamp(x, F.lit(f)).isNotNull()) for f in formats]).alias(f"v{i}")]
+                 F.array(*[F.count_if(_parsed(x, f).isNotNull()) for f in formats]).alias(f"v{i}")]
     return df.agg(*aggs)
 
 
@@ -237,15 +261,11 @@ def date_formats(df: DataFrame, columns: Sequence[str], formats: Sequence[str] =
 def convert_dates(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = tuple(DATE_FORMATS)) -> DataFrame:
     """``df`` with the text columns converted to timestamps by the format that ``date_formats``
     finds for each; values in another format, or none, become NULL. The vote is one aggregate over
-    all columns, read back as scalars."""
-    votes = _votes(df, columns, formats)
+    all columns, whose one row of counts chooses the formats before the conversion is planned."""
+    votes = _votes(df, columns, formats).first()
     out = {}
     for i, c in enumerate(columns):
-        v = votes.select(F.col(f"v{i}")).scalar()
-        winner = F.when(F.array_max(v) > 0, F.array_position(v, F.array_max(v)))
-        x = F.trim(F.col(f"`{c}`"))
-        value = F.lit(None).cast("timestamp")
-        for k in range(len(formats), 0, -1):
-            value = F.when(winner == k, F.try_to_timestamp(x, F.lit(formats[k - 1]))).otherwise(value)
-        out[c] = value
+        v = votes[f"v{i}"]
+        best = max(v, default=0)
+        out[c] = _parsed(F.trim(F.col(f"`{c}`")), formats[v.index(best)]) if best > 0 else F.lit(None).cast("timestamp")
     return df.withColumns(out)

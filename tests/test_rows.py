@@ -127,3 +127,15 @@ def test_quantiles_with_large_brackets(spark, monkeypatch, most):
     got = prefix.exact_quantiles(spark.createDataFrame(rows, "k string, v double").repartition(4), "v", [0.1, 0.5], ["k"]).collect()
     for r in got:
         assert np.allclose([r.q0, r.q1], np.quantile([v for k, v in rows if k == r.k], [0.1, 0.5]))
+
+
+def test_date_shapes_let_every_date_pass(spark):
+    from quarry.operators import profile as P
+    texts = ["2024-02-03", "02/03/2024", "03.02.2024", "2024/02/03", "2024-02-03 04:05:06", "02-03-2024", "20240203", "+12024-02-03",
+             "2024-2-3", "", "n/a", "2024-02-03x", "2024-02-30", "Feb 3, 2024", "٢٠٢٤-٠٢-٠٣", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for f in (*P.DATE_FORMATS, "yyyyMMdd", "MMM d, yyyy", "yyyy-MM-dd['T'HH]", "d.M.yyyy"):
+        both = df.select(F.try_to_timestamp("t", F.lit(f)).cast("string"), P._parsed(F.col("t"), f).cast("string")).collect()
+        assert all(plain == guarded for plain, guarded in both), f
+    import re
+    assert not re.match(P.date_shape("MM/dd/yyyy"), "2024-02-03") and re.match(P.date_shape("MM/dd/yyyy"), "02/03/2024")
