@@ -67,15 +67,34 @@ def oriented(edges: DataFrame) -> DataFrame:
                     F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("v"))
 
 
+def _out_lists(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lists, later) of the oriented edges: ``v, own``, the out-neighbours of each node, and
+    ``u, v, rest`` for each edge u -> v: u's out-neighbours that come after v by (degree, id), which
+    are all that can close a triangle over it."""
+    d = stored(degrees(edges))
+    da = d.select(F.col("node").alias("src"), F.col("degree").alias("da"))
+    db = d.select(F.col("node").alias("dst"), F.col("degree").alias("db"))
+    x, y = F.struct(F.col("da").alias("d"), F.col("src").alias("n")), F.struct(F.col("db").alias("d"), F.col("dst").alias("n"))
+    o = edges.join(da, "src").join(db, "dst").select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+    lists = stored(o.groupBy(F.col("u.n").alias("u")).agg(F.array_sort(F.collect_list("v")).alias("out"))
+                   .select("u", F.transform("out", lambda v: v["n"]).alias("out")))
+    later = lists.select("u", F.posexplode("out").alias("at", "v"), "out").filter(F.col("at") + 1 < F.size("out")) \
+        .select("u", "v", F.slice("out", F.col("at") + 2, F.size("out")).alias("rest"))
+    return lists.select(F.col("u").alias("v"), F.col("out").alias("own")), later
+
+
+def _closing(lists: DataFrame, later: DataFrame) -> DataFrame:
+    """``u, v, rest`` with the nodes of ``rest`` that are also out-neighbours of v, where there are any.
+    The lists of v are the built side, at most sqrt(2m) long each; the others pass by unsorted."""
+    met = later.join(lists.hint("shuffle_hash"), "v")
+    return met.withColumn("rest", F.array_intersect("rest", "own")).drop("own").filter(F.size("rest") > 0)
+
+
 def triangles(edges: DataFrame) -> DataFrame:
-    """Every triangle once, as sorted ids (a < b < c)."""
-    o = oriented(edges)
-    w = o.alias("x").join(o.alias("y"), F.col("x.u") == F.col("y.u")).filter(F.col("x.v") < F.col("y.v")) \
-         .select(F.col("x.u").alias("p"), F.col("x.v").alias("q"), F.col("y.v").alias("r"))
-    close = edges.select(F.col("src").alias("q1"), F.col("dst").alias("r1"))
-    lo, hi = F.least("q", "r"), F.greatest("q", "r")
-    t = w.join(close, (lo == F.col("q1")) & (hi == F.col("r1")), "left_semi")
-    arr = F.array_sort(F.array("p", "q", "r"))
+    """Every triangle once, as sorted ids (a < b < c). What moves is one list per edge, not one
+    row per pair of neighbours."""
+    t = _closing(*_out_lists(edges)).select("u", "v", F.explode("rest").alias("w"))
+    arr = F.array_sort(F.array("u", "v", "w"))
     return t.select(arr[0].alias("a"), arr[1].alias("b"), arr[2].alias("c"))
 
 
@@ -101,21 +120,18 @@ def clustering_summary(edges: DataFrame) -> DataFrame:
 def four_cliques(edges: DataFrame) -> DataFrame:
     """Every 4-clique once, as sorted ids (a < b < c < d).
 
-    A 4-clique has one lowest-oriented member u; the other three are out-
-    neighbours of u (v < w < x by id). Triangles at u are extended by a
-    third out-neighbour x, then x is checked against v and w, so only
-    bounded out-neighbour lists are ever paired.
+    A 4-clique u, v, w, x in the order of (degree, id) is a triangle u, v, w
+    and an x behind w that closes it over each of them. The lists of
+    ``triangles`` hold what closes u, v; they go on to w the same way, so
+    only bounded out-neighbour lists are ever met.
     """
-    o = oriented(edges)
-    adj = both_directions(edges)
-    wed = (o.alias("p").join(o.alias("q"), F.col("p.u") == F.col("q.u")).filter(F.col("p.v") < F.col("q.v"))
-           .select(F.col("p.u").alias("u"), F.col("p.v").alias("v"), F.col("q.v").alias("w")))
-    tri = wed.join(adj.select(F.col("src").alias("v"), F.col("dst").alias("w")), ["v", "w"], "left_semi")
-    ext = tri.join(o.select("u", F.col("v").alias("x")), "u").filter(F.col("x") > F.col("w"))
-    for m in ("v", "w"):
-        ext = ext.join(adj.select(F.col("src").alias(m), F.col("dst").alias("x")), [m, "x"], "left_semi")
-    arr = F.array_sort(F.array("u", "v", "w", "x"))
-    return ext.select(*[arr[i].alias(n) for i, n in enumerate("abcd")])
+    lists, later = _out_lists(edges)
+    two = _closing(lists, later)
+    rest = two.select("u", F.col("v").alias("t"), F.posexplode("rest").alias("at", "v"), "rest").filter(F.col("at") + 1 < F.size("rest")) \
+        .select("u", "t", "v", F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+    c = _closing(lists, rest).select("u", "t", "v", F.explode("rest").alias("x"))
+    arr = F.array_sort(F.array("u", "t", "v", "x"))
+    return c.select(*[arr[i].alias(n) for i, n in enumerate("abcd")])
 
 
 # ------------------------------------------------------------------ BFS

@@ -118,6 +118,16 @@ def test_path_queries_start_from_every_node(spark):
     assert Q.q_n12(spark, sf).columns == ["node", "betweenness"]
 
 
+def test_triangles_move_lists_not_pairs(spark):
+    pairs = random_pairs(5, 24, 110) + [(0, 100 + i) for i in range(9)]
+    adj, e = adjacency(pairs), frame(spark, pairs)
+    for k, out in ((3, G.triangles(e)), (4, G.four_cliques(e))):
+        expected = [c for c in itertools.combinations(sorted(adj), k) if all(y in adj[x] for x, y in itertools.combinations(c, 2))]
+        assert sorted(tuple(r) for r in out.collect()) == expected and expected
+        # no join of two neighbours of a node row by row
+        assert "array_intersect" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_scores_stand_still(spark):
     hub = 4
     pairs = random_pairs(2, 16, 60) + [(0, 100 + i) for i in range(6)]
