@@ -248,3 +248,11 @@ def test_columns_of_any_name_survive(spark, names):
         assert got and set(df.columns) <= set(out.columns)
         assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
     assert next(r.text for r in line_dedup(df).collect() if r.doc_id == 1) == "x"
+
+
+def test_every_copied_passage_is_found_by_default(spark):
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(words[20 * i:20 * i + 20])) for i in range(20)]
+    docs += [(100 + i, f"a{i} {text} b{i}") for i, text in docs]
+    rows = {r.doc_id: r.text for r in passage_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(rows[i] == docs[i][1] and rows[100 + i] == f"a{i} b{i}" for i in range(20))
