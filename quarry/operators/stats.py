@@ -139,6 +139,15 @@ def spearman(df: DataFrame, x: str, y: str, name: str = "rho") -> DataFrame:
     return ranked.agg((weighted("_dx", "_dy") / F.nullif(norm, F.lit(0.0))).alias(name))
 
 
+def _average_ranks(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every value replaced by its tie-averaged rank in its column."""
+    out = rows
+    for c in columns:
+        ranks = value_ranks(rows, c).select(c, F.col("avg_rank").alias("_rank"))
+        out = join_groups(out, ranks, c).withColumn(c, F.col("_rank")).drop("_rank")
+    return out
+
+
 def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(_num(value)).alias("n"), F.avg(_num(value)).alias("mean"),
                                  F.var_samp(_num(value)).alias("var"))
@@ -321,11 +330,15 @@ def chi_square_ml(df: DataFrame, features: list[str], label: str) -> DataFrame:
 def correlation_matrix_ml(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
     """T4/T5 (Spark ML form): ``Correlation.corr`` on an assembled vector, long form. By its
     definition rows with a NULL in any of the columns are left out; ``correlation_matrix`` uses
-    every pair's complete rows."""
+    every pair's complete rows. ``spearman`` is Pearson on the columns' tie-averaged ranks: these come
+    from the counts of the distinct values, so that no column's rows are sorted."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
+    rows = df.select(*[_num(c).alias(c) for c in columns])
+    if method == "spearman":
+        rows, method = _average_ranks(rows.dropna(), columns), "pearson"
     va = VectorAssembler(inputCols=columns, outputCol="_f", handleInvalid="skip")
-    mat = Correlation.corr(va.transform(df.select(*[F.col(c).cast("double") for c in columns])), "_f", method).first()[0]
+    mat = Correlation.corr(va.transform(rows), "_f", method).first()[0]
     arr = mat.toArray()
     rows = [(a, b, float(arr[i][j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")

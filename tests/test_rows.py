@@ -11,6 +11,7 @@ from quarry.functions import distributions as D
 from quarry.operators import ml as M
 from quarry.operators import pages as H
 from quarry.operators import profile as P
+from quarry.operators import relational as R
 from quarry.operators import stats as S
 from quarry.operators import timeseries as W
 from quarry.plans import prefix
@@ -139,3 +140,18 @@ def test_date_shapes_let_every_date_pass(spark):
         assert all(plain == guarded for plain, guarded in both), f
     import re
     assert not re.match(P.date_shape("MM/dd/yyyy"), "2024-02-03") and re.match(P.date_shape("MM/dd/yyyy"), "02/03/2024")
+
+
+def test_spearman_matrix_sorts_no_rows(spark, monkeypatch):
+    from pyspark.ml.stat import Correlation
+    methods = []
+    real = Correlation.corr
+    monkeypatch.setattr(Correlation, "corr", staticmethod(lambda df, column, method="pearson": (methods.append(method), real(df, column, method))[1]))
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1.0, 2.0, -3.5, float("nan")]) if rng.random() < 0.3 else rng.gauss(0, 1), rng.randint(0, 4), rng.random() ** 3) for _ in range(300)]
+    got = {(r.col_a, r.col_b): r.r for r in S.correlation_matrix_ml(spark.createDataFrame(rows, "a double, b int, c double"), ["a", "b", "c"], "spearman").collect()}
+    kept = [r for r in rows if r[0] is not None and r[0] == r[0]]
+    ranks = [[sum(y < x for y in col) + (sum(y == x for y in col) + 1) / 2 for x in col] for col in zip(*kept)]
+    want = np.corrcoef(ranks)
+    assert all(abs(got["abc"[i], "abc"[j]] - want[i, j]) < 1e-9 for i in range(3) for j in range(i + 1, 3))
+    assert methods == ["pearson"]       # of the ranks
