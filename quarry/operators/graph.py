@@ -167,48 +167,51 @@ def connected_components(edges: DataFrame, method: str = "star") -> DataFrame:
     (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014).
     Each round is a grouped min over the adjacency and a join; the
     graph contracts to stars around each component's minimum in O(log n)
-    rounds, independent of the diameter. ``method="propagate"``: plain
-    min-label propagation (O(diameter) rounds).
+    rounds, independent of the diameter. Nodes whose only neighbour is smaller
+    take no part in the rounds: their label is that neighbour's.
+    ``method="propagate"``: plain min-label propagation (O(diameter) rounds).
     """
     if method == "propagate":
         return _propagate_components(edges)
-    cur = cut_lineage(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    pairs = stored(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")))
+    ends = pairs.select(F.col("b").alias("node"), F.col("a").alias("smaller")).unionByName(
+        pairs.select(F.col("a").alias("node"), F.lit(None).alias("smaller")))
+    ends = stored(ends.groupBy("node").agg(((F.count(F.lit(1)) == 1) & (F.count("smaller") == 1)).alias("leaf"),
+                                           F.min("smaller").alias("smaller")))
+    leaves = ends.filter("leaf").select("node", "smaller")
+    cur = stored(pairs.join(leaves.select(F.col("node").alias("b")), "b", "left_anti").filter("a != b").select("a", "b"))
     before = _mark(cur, "a", "b")
     while True:
-        cur = cut_lineage(_small_star(_large_star(cur)))
+        cur = stored(_small_star(_large_star(cur)))
         now = _mark(cur, "a", "b")
         if now == before:
             break
         before = now
     # stars: every non-minimum node is attached to its component minimum
-    attached = cur.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label"))
-    att = attached.groupBy("node").agg(F.min("label").alias("label"))
-    ns = nodes(edges)
-    return ns.join(att, "node", "left").select("node", F.coalesce("label", F.col("node")).alias("label"))
+    attached = cur.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+    inner = stored(ends.filter("not leaf").select("node").join(attached, "node", "left")
+                   .select("node", F.coalesce("label", F.col("node")).alias("label")))
+    # the one neighbour of a leaf is no leaf
+    outer = leaves.join(inner.withColumnRenamed("node", "smaller"), "smaller").select("node", "label")
+    return inner.unionByName(outer)
 
 
-def _both(e: DataFrame) -> DataFrame:
-    return e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+def _smallest(e: DataFrame) -> DataFrame:
+    """The smallest neighbour of every node that has a smaller one (edges a < b)."""
+    return e.groupBy("b").agg(F.min("a").alias("m"))
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Connect every strictly larger neighbour of u to min(N(u) + u)."""
-    adj = _both(e)
-    m = adj.groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("u", "mv").alias("m"))
-    out = adj.filter(F.col("v") > F.col("u")).join(m, "u").select(F.col("v").alias("x"), F.col("m").alias("y"))
-    return out.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) \
-              .distinct()
+    m = _smallest(e).withColumnRenamed("b", "a")
+    return e.join(m, "a", "left").select(F.coalesce("m", "a").alias("a"), "b").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Connect u and its smaller-or-equal neighbours to their minimum."""
-    adj = _both(e)
-    small = adj.filter(F.col("v") <= F.col("u"))
-    m = small.groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("u", "mv").alias("m"))
-    members = small.select("u", F.col("v").alias("x")).unionByName(small.select("u", F.col("u").alias("x")))
-    out = members.join(m, "u").select("x", F.col("m").alias("y")).filter(F.col("x") != F.col("y"))
-    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    m = _smallest(e)
+    out = e.join(m, "b").filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    return out.unionByName(m.select(F.col("m").alias("a"), "b")).distinct()
 
 
 def _propagate_components(edges: DataFrame) -> DataFrame:

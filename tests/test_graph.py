@@ -7,6 +7,7 @@ from collections import deque
 import numpy as np
 from pyspark.sql import functions as F
 
+from quarry.operators import graph
 from quarry.operators import graph as G
 
 
@@ -118,6 +119,19 @@ def test_path_queries_start_from_every_node(spark):
     assert Q.q_n12(spark, sf).columns == ["node", "betweenness"]
 
 
+def test_leaves_take_no_part_in_the_rounds(spark, monkeypatch):
+    for seed, pairs in ((1, [(0, i) for i in range(1, 40)]), (2, random_pairs(2, 40, 24) + [(50, 51), (3, 60), (60, 61), (2, 70)]), (3, [(i, i + 1) for i in range(40)])):
+        first = []
+        real = graph._large_star
+        monkeypatch.setattr(graph, "_large_star", lambda e: (first.append(e.count()), real(e))[1])
+        e, adj = frame(spark, pairs), adjacency(pairs)
+        label = {r.node: r.label for r in G.connected_components(e).collect()}
+        monkeypatch.setattr(graph, "_large_star", real)
+        assert label == {x: min(distances(adj, x)) for x in adj}
+        leaves = sum(len(ys) == 1 and min(ys) < x for x, ys in adj.items())
+        assert first[0] == len({tuple(sorted(p)) for p in pairs}) - leaves and leaves
+
+
 def test_triangles_move_lists_not_pairs(spark):
     pairs = random_pairs(5, 24, 110) + [(0, 100 + i) for i in range(9)]
     adj, e = adjacency(pairs), frame(spark, pairs)
