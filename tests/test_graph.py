@@ -132,6 +132,33 @@ def test_leaves_take_no_part_in_the_rounds(spark, monkeypatch):
         assert first[0] == len({tuple(sorted(p)) for p in pairs}) - leaves and leaves
 
 
+def test_adjacency_without_hubs_joins_nothing(spark, monkeypatch):
+    from quarry.operators import graph_paths as GP
+    plans = []
+    real = GP.laid_out
+    monkeypatch.setattr(GP, "laid_out", lambda df, keys: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df, keys))[1])
+    pairs = random_pairs(4, 30, 80)
+    e, adj = frame(spark, pairs), adjacency(pairs)
+    GP.shared_adjacency(e)
+    assert "Join" not in plans[0]
+    hub = max(map(len, adj.values())) - 1
+    rows = GP.shared_adjacency(e, hub)[0].collect()
+    assert sorted((r.node, r.nxt) for r in rows) == sorted((x, y) for x, ys in adj.items() for y in ys)
+    assert all(r.nxt_shares == -(-len(adj[r.nxt]) // hub) for r in rows) and {r.share for r in rows} == {0, 1}
+
+
+def test_search_of_a_long_path_is_held_against_two_levels(spark):
+    pairs = [(i, i + 1) for i in range(9)] + [(0, 2), (4, 6), (20, 21)]
+    e, adj = frame(spark, pairs), adjacency(pairs)
+    rows = G.search(e, spark.createDataFrame([(0,), (5,)], "source long")).collect()
+    for s in (0, 5):
+        dist = distances(adj, s)
+        assert sorted((r.node, r.dist) for r in rows if r.source == s) == sorted(dist.items())
+    assert all(r.parent == min(y for y in adj[r.node] if distances(adj, r.source)[y] == r.dist - 1) for r in rows if r.dist)
+    path = sorted(map(tuple, G.shortest_path(e, 0, 9).collect()))
+    assert path == [(0, 0), (1, 2), (2, 3), (3, 4), (4, 6), (5, 7), (6, 8), (7, 9)]
+
+
 def test_triangles_move_lists_not_pairs(spark):
     pairs = random_pairs(5, 24, 110) + [(0, 100 + i) for i in range(9)]
     adj, e = adjacency(pairs), frame(spark, pairs)
