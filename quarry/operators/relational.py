@@ -15,6 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Rows of both tables in one part of ``key_table_diff``, about.
+KEYS_IN_PART = 500_000
+
 
 # ---------------------------------------------------------------- R: rows
 
@@ -97,6 +100,23 @@ def key_set_diff(present: Column, required: Column) -> tuple[Column, Column]:
             F.array_sort(F.array_except(present, required)))
 
 
+def key_table_diff(required: DataFrame, present: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """R13 (table form): the rows of ``required`` whose keys ``present`` lacks (``kind`` missing), and
+    once each the keys of ``present`` that ``required`` lacks (extra). A key with a NULL is found nowhere.
+
+    Both tables, of about ``rows`` rows in all, are dealt once into parts whose number grows with the
+    rows and which are not merged again, so that a task's sorts stay small however large the tables are;
+    one outer join of the parts finds both kinds.
+    """
+    parts = max(int(required.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // KEYS_IN_PART))
+    req = required.select(*keys).repartition(parts, *keys)
+    have = present.select(*keys).repartition(parts, *keys).distinct()
+    required_here, present_here = "_required", "_present"
+    met = req.withColumn(required_here, F.lit(True)).join(have.withColumn(present_here, F.lit(True)).hint("merge"), list(keys), "full")
+    missing, extra = F.col(present_here).isNull(), F.col(required_here).isNull()
+    return met.filter(missing | extra).select(*keys, F.when(missing, "missing").otherwise("extra").alias("kind"))
+
+
 def head_ordered(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """First n rows in a declared order (distributed top-n)."""
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(n)

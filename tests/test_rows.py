@@ -155,3 +155,15 @@ def test_spearman_matrix_sorts_no_rows(spark, monkeypatch):
     want = np.corrcoef(ranks)
     assert all(abs(got["abc"[i], "abc"[j]] - want[i, j]) < 1e-9 for i in range(3) for j in range(i + 1, 3))
     assert methods == ["pearson"]       # of the ranks
+
+
+def test_key_table_diff_grows_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(R, "KEYS_IN_PART", 10)
+    need = [(1, 1), (1, 1), (2, 5), (2, 5), (None, 1), (None, 1), (3, None)] + [(100 + i, 1) for i in range(200)]
+    have = [(1, 1), (4, 4), (4, 4), (None, 1), (None, 1)] + [(100 + i, 1) for i in range(190)]
+    frames = [spark.createDataFrame(rows, "k long, l int") for rows in (need, have)]
+    out = R.key_table_diff(*frames, ["k", "l"], len(need) + len(have))
+    assert out.rdd.getNumPartitions() == -(-(len(need) + len(have)) // 10)
+    want = [(2, 5, "missing")] * 2 + [(None, 1, "missing")] * 2 + [(3, None, "missing")] + [(100 + i, 1, "missing") for i in range(190, 200)]
+    want += [(4, 4, "extra"), (None, 1, "extra")]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
