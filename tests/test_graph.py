@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import graph
 from quarry.operators import graph as G
+from quarry.operators import graph_paths
 
 
 def frame(spark, pairs):
@@ -110,6 +111,33 @@ def test_distances_between_all_pairs(spark):
     assert set(whole) == set(split) and all(abs(whole[x] - split[x]) < 1e-9 for x in whole)
 
 
+def test_all_pairs_write_one_row_for_a_block_of_sources(spark, monkeypatch):
+    # parts that do not meet: a random one, a chain and a hub
+    pairs = [*random_pairs(7, 150, 500), *((i, i + 1) for i in range(5000, 5012)), *((9000, 9001 + i) for i in range(60))]
+    adj, e, rows = adjacency(pairs), frame(spark, pairs), []
+    n = len(adj)
+
+    def counted(df, real=graph_paths.stored):
+        out = real(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph_paths, "stored", counted)
+    got = {(r.node, r.dist): r.n for r in graph_paths.distance_counts(e).collect()}
+    expected = {}
+    for s in adj:
+        for d in distances(adj, s).values():
+            if d:
+                expected[s, d] = expected.get((s, d), 0) + 1
+    assert got == expected
+    assert sum(rows) <= n + 1 + 13  # the nodes, one part, a row a round; before: a row a node and round
+    monkeypatch.undo()
+    assert {(r.node, r.dist): r.n for r in graph_paths.distance_counts(e, 300, n, words=1).collect()} == expected
+    named = e.select(F.concat(F.lit("u"), "src").alias("src"), F.concat(F.lit("u"), "dst").alias("dst"))
+    assert {(r.node, r.dist): r.n for r in graph_paths.distance_counts(named, 300, words=2).collect()} == {
+        (f"u{v}", d): c for (v, d), c in expected.items()}
+
+
 def test_path_queries_start_from_every_node(spark):
     from quarry.plans import queries_graph as Q
     sf = "/root/testdata/sf0.001"
