@@ -5,13 +5,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import components, simhash
+from quarry.llm.key_streams import pack_numbers, pack_sorted
 from quarry.llm.line_runs import line_dedup, repeated_runs
 from quarry.llm.simhash import one_per_component
-from quarry.llm.unit_dedup import passage_dedup, unit_dedup, units
+from quarry.llm.unit_dedup import KEPT, PLACES, _kept_places, _unpacked, passage_dedup, unit_dedup, units
 from tests.llm import plain
 
 SCHEMA = "doc_id long, text string"
@@ -256,3 +258,27 @@ def test_every_copied_passage_is_found_by_default(spark):
     docs += [(100 + i, f"a{i} {text} b{i}") for i, text in docs]
     rows = {r.doc_id: r.text for r in passage_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(rows[i] == docs[i][1] and rows[100 + i] == f"a{i} b{i}" for i in range(20))
+
+
+def test_query_starts_at_every_word(spark, tmp_path):
+    from quarry.llm.queries import QUERIES
+    words = [w for w in (f"w{i}" for i in range(200)) if hashlib.md5(w.encode()).digest()[0] >= 32][:25]
+    docs = [(1, "one " + " ".join(words)), (2, "two " + " ".join(words) + " end"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in QUERIES["op7_unit_dedup"](spark, str(tmp_path)).collect()}
+    assert rows[1].text == docs[0][1] and rows[1].n_removed == 0 and rows[3].text is None
+    assert rows[2].text == "two end" and rows[2].n_removed == 6 and rows[2].removed.startswith("4:1:4,")
+
+
+def test_kept_places_tell_digests_with_one_key_apart():
+    def pack(block, *entries):      # key, check, n, rank, none, doc, start, size
+        cols = dict(zip(PLACES, zip(*entries)))
+        return {"range": 0, "block": block} | {c: (pack_sorted if c == "key" else pack_numbers)(np.array(v, np.uint64)) for c, v in cols.items()}
+
+    rows = [pack(5, (7, 1, 1, 8, 0, 0, 3, 9), (7, 2, 1, 8, 0, 0, 4, 9), (9, 1, 2, 3, 0, 1, 6, 2)),
+            pack(6, (7, 2, 1, 2, 0, 4, 5, 9), (8, 1, 1, 8, 0, 0, 1, 1))]
+    got = {r["block"]: r for r in _kept_places(pa.Table.from_pylist(rows)).to_pylist()}
+    assert set(got) == {5}
+    x, _ = _unpacked(pa.array([got[5]]), KEPT)
+    assert {c: v.tolist() for c, v in x.items()} == {
+        "key": [7, 9], "check": [2, 1], "rank": [1, -2], "none": [0, 0], "start": [5, 6], "doc": [0, 2], "stop": [0, 8]}
