@@ -5,11 +5,13 @@ import random
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import graph
 from quarry.operators import graph as G
-from quarry.operators import graph_paths
+from quarry.operators import graph_paths, graph_tasks
 
 
 def frame(spark, pairs):
@@ -138,6 +140,32 @@ def test_all_pairs_write_one_row_for_a_block_of_sources(spark, monkeypatch):
         (f"u{v}", d): c for (v, d), c in expected.items()}
 
 
+def tasks_adjacency(pairs):
+    # nodes are numbered from 0; two parts, one of them given twice
+    adj = adjacency(pairs)
+    n, half = len(adj), len(adj) // 2
+    lists = [pa.array([{"id": v, "next": sorted(adj[v])} for v in r],
+                      pa.struct([("id", pa.int32()), ("next", pa.list_(pa.int32()))])) for r in (range(half), range(half, n))]
+    g = graph_tasks.Adjacency(n)
+    for part in (1, 0, 1):
+        g.add(part, lists[part])
+    return adj, g.ready()
+
+
+@pytest.mark.parametrize("seed,edges", [(1, 90), (2, 900)])
+def test_dependencies_inside_a_task(seed, edges):
+    rng = random.Random(seed)
+    pairs = {tuple(sorted(rng.sample(range(80), 2))) for _ in range(edges)} | {(i, i + 1) for i in range(99)} | {(100, 101)}
+    adj, g = tasks_adjacency(sorted(pairs))
+    for own, sources in (([{"task": 0}, {"task": 1}], list(adj)), ([{"task": 0, "sources": [3, 100, 7]}], [3, 100, 7])):
+        deps = [plain_dependencies(adj, v) for v in sources]
+        out = [r for b in graph_tasks.dependencies(len(adj), 25, 2)(g, own) for r in b.to_pylist()]
+        got = {r["id"]: (r["s"], r["ss"]) for r in out}
+        for v in adj:
+            want = [d.get(v, 0.0) for d in deps]
+            assert np.allclose(got.get(v, (0.0, 0.0)), (sum(want), sum(x * x for x in want)), rtol=1e-12, atol=1e-12)
+
+
 def test_path_queries_start_from_every_node(spark):
     from quarry.plans import queries_graph as Q
     sf = "/root/testdata/sf0.001"
