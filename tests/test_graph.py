@@ -152,6 +152,27 @@ def tasks_adjacency(pairs):
     return adj, g.ready()
 
 
+@pytest.mark.parametrize("cost,words", [(0, 1), (0.5, 2), (1e9, 3)])
+def test_rounds_inside_a_task(monkeypatch, cost, words):
+    # new bits sent or met, a hub beyond the aligned neighbours, a chain, two nodes apart
+    monkeypatch.setattr(graph_tasks, "SEND_COST", cost)
+    monkeypatch.setattr(graph_tasks, "ALIGNED", 20)
+    monkeypatch.setattr(graph_tasks, "ROWS", 50)
+    rng = random.Random(words)
+    pairs = {tuple(sorted(rng.sample(range(150), 2))) for _ in range(400)} | {(i, i + 1) for i in range(190)} | {(150, i) for i in range(191, 260)}
+    adj, g = tasks_adjacency(sorted(pairs | {(260, 261)}))
+    expected = {}
+    for v in adj:
+        for d in distances(adj, v).values():
+            if d:
+                expected[v, d] = expected.get((v, d), 0) + 1
+    got = {}
+    for task in range(2):
+        for out in graph_tasks.distances(len(adj), words, 30, 2)(g, [{"task": task}]):
+            got |= {(r["id"], r["dist"]): r["n"] for r in out.to_pylist()}
+    assert got == expected
+
+
 @pytest.mark.parametrize("seed,edges", [(1, 90), (2, 900)])
 def test_dependencies_inside_a_task(seed, edges):
     rng = random.Random(seed)
@@ -166,6 +187,18 @@ def test_dependencies_inside_a_task(seed, edges):
             assert np.allclose(got.get(v, (0.0, 0.0)), (sum(want), sum(x * x for x in want)), rtol=1e-12, atol=1e-12)
 
 
+def test_searches_from_every_node_write_nothing_between_rounds(spark, monkeypatch):
+    pairs, calls = [(i, i + 1) for i in range(40)], []
+    e = frame(spark, pairs)
+    monkeypatch.setattr(graph_paths, "stored", lambda df, real=graph_paths.stored: calls.append(1) or real(df))
+    got = {(r.node, r.dist): r.n for r in graph_paths.distance_counts(e).collect()}
+    assert got == {(v, d): (v + d <= 40) + (v >= d) for v in range(41) for d in range(1, 41) if v + d <= 40 or v >= d}
+    rows = {r.node: r.betweenness for r in G.betweenness(e).collect()}
+    assert all(abs(rows[v] - 2 * v * (40 - v) / (40 * 39)) < 1e-12 for v in range(41))
+    # the nodes and the parts of each search; before, a table for each of 40 levels
+    assert len(calls) == 4
+
+
 def test_path_queries_start_from_every_node(spark):
     from quarry.plans import queries_graph as Q
     sf = "/root/testdata/sf0.001"
